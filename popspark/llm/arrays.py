@@ -38,6 +38,8 @@ def _byte_table(lower: bool) -> np.ndarray:
 _TABLE = {False: _byte_table(False), True: _byte_table(True)}
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Marks ASCII bytes other than letters and digits.
+NON_LETTERS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _POWERS = [np.ones(1, U64), np.ones(1, U64)]
 
 
@@ -82,14 +84,15 @@ def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, in
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a piece, with 64-bit hashes of their bytes.
 
-    ``bounds[i]:bounds[i + 1]`` are the words of text i.
+    ``bounds[i]:bounds[i + 1]`` are the words of text i. ``space`` marks the
+    bytes that are in no word, white space by default.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, space: np.ndarray = _SPACE):
         n = len(data)
         self.data, self.lower = data, lower
         inside = np.zeros(n + 2, bool)
-        inside[1:-1] = ~_SPACE[data]
+        inside[1:-1] = ~space[data]
         cut = np.zeros(n + 1, bool)
         cut[offsets] = True
         self.starts = np.flatnonzero(inside[1:] & (~inside[:-1] | cut))

@@ -7,6 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import decontamination, html, toxicity
 from .durable import table
 from .lines import dedup_lines
 from .mixing import mix_sources
@@ -17,6 +18,27 @@ Query = Callable[[SparkSession, str], DataFrame]
 BENCH_TOKENIZER = "byte_bpe_50k.json"
 
 
+def fold(rest: int, modulus: int = 5):
+    """Rows whose crc32(doc_id as text) mod ``modulus`` is ``rest``; a null id is not among them."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == rest, F.lit(False))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
+    """The model of all training rows: those that are not in fold 0 of 5."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~fold(0))
+    return toxicity.fit(table(spark, sf_dir, "documents"), labels)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", fold(0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -25,6 +47,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -38,8 +64,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None =
 
 
 QUERIES: dict[str, Query] = {
+    "op3_toxicity": op3_toxicity,
+    "op5_main_text": op5_main_text,
     "op6_quality_rules": op6_quality_rules,
     "op7_mix_sources": op7_mix_sources,
+    "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
 }
