@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+np.seterr(over="ignore")  # hashes wrap
 _MULT = U64(0x9E3779B97F4A7C55)
 #: Text bytes handled at once; a longer text makes a piece of its own.
 PIECE_BYTES = 1 << 20

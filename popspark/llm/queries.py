@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import decontamination, html, toxicity
 from .durable import table
+from .jaccard import jaccard_components
 from .lines import dedup_lines
 from .mixing import mix_sources
 from .quality import quality_rules
@@ -18,6 +19,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 BENCH_TOKENIZER = "byte_bpe_50k.json"
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def fold(rest: int, modulus: int = 5):
     """Rows whose crc32(doc_id as text) mod ``modulus`` is ``rest``; a null id is not among them."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == rest, F.lit(False))
@@ -64,6 +69,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None =
 
 
 QUERIES: dict[str, Query] = {
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_toxicity": op3_toxicity,
     "op5_main_text": op5_main_text,
     "op6_quality_rules": op6_quality_rules,
