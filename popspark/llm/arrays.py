@@ -71,6 +71,19 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def growing(batches: Iterator[pa.RecordBatch], least: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, offsets) of runs of whole texts of the first columns, each run up to twice as long as the one before."""
+    limit = least
+    for b in batches:
+        data, offsets = buffers(b.column(0))
+        first, rows = 0, len(offsets) - 1
+        while first < rows:
+            end = int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1
+            end = min(max(end, first + 1), rows)
+            yield data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
+            first, limit = end, min(2 * limit, most)
+
+
 def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) of runs of whole texts."""
     data, offsets = buffers(column)

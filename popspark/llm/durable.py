@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept as files in the shared folder."""
+    """``df`` computed once and kept as files in the shared folder.
+
+    What it was computed from is needed no longer; a collection lets Spark's
+    cleaner drop those shuffles before the next ones fill the disks.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def partitions(spark: SparkSession) -> int:
