@@ -11,23 +11,30 @@ from . import decontamination, html, toxicity
 from .durable import table
 from .jaccard import jaccard_components
 from .lines import dedup_lines
+from .lm import score_texts
 from .mixing import mix_sources
 from .quality import quality_rules
+from .substrings import remove_repeats
 from .tokens import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 BENCH_TOKENIZER = "byte_bpe_50k.json"
 
 
-def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
-
-
 def fold(rest: int, modulus: int = 5):
     """Rows whose crc32(doc_id as text) mod ``modulus`` is ``rest``; a null id is not among them."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == rest, F.lit(False))
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_texts(table(spark, sf_dir, "documents"), ~fold(1))
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
     """The model of all training rows: those that are not in fold 0 of 5."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~fold(0))
@@ -40,6 +47,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", fold(0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages"))
 
@@ -69,8 +80,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None =
 
 
 QUERIES: dict[str, Query] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_toxicity": op3_toxicity,
+    "op4_substrings": op4_substrings,
     "op5_main_text": op5_main_text,
     "op6_quality_rules": op6_quality_rules,
     "op7_mix_sources": op7_mix_sources,
