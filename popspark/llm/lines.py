@@ -62,7 +62,7 @@ def _reach(words: Column, min_words: int) -> Column:
 def line_runs(docs: DataFrame, min_words: int) -> DataFrame:
     """(k, first, last, name) of the shortest runs of min_words words of texts (k, t)."""
     lines = F.transform(F.split("t", "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("w")))
-    d = docs.where(F.regexp_count("t", F.lit(WORD)) >= min_words).select("k", F.filter(lines, lambda s: s["w"] > 0).alias("ids"))
+    d = docs.where(F.octet_length("t") >= 2 * min_words - 1).select("k", F.filter(lines, lambda s: s["w"] > 0).alias("ids"))
 
     def runs(ids: Column) -> Column:
         n, w = F.size(ids), F.transform(ids, lambda s: s["w"])
@@ -86,7 +86,7 @@ def line_runs(docs: DataFrame, min_words: int) -> DataFrame:
 
 def repeated_runs(docs: DataFrame, min_words: int) -> DataFrame:
     """(k, first, last) of the runs whose lines also run earlier."""
-    r = line_runs(docs, min_words)
+    r = durable(line_runs(docs, min_words))
     firsts = r.groupBy("name").agg(F.min(F.struct("k", "first")).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("name").alias("name1"), "kept")
     return r.join(firsts, F.col("name") == F.col("name1")).where(F.struct("k", "first") > F.col("kept")).select("k", "first", "last")
 
@@ -115,6 +115,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         left = F.array_except(F.sequence(F.lit(0), F.size(a) - 1), lost)
         return F.struct(F.array_join(F.transform(left, lambda i: F.get(a, i)), "\n").alias("t"), F.size(a).alias("n"), F.size("__gone").alias("r"))
 
-    got = F.when(F.col("__gone").isNotNull(), let(lines, cut)).otherwise(F.struct(F.col(text_col).alias("t"), (F.regexp_count(F.col(text_col), F.lit("\n")) + 1).alias("n"), F.lit(0).alias("r")))
+    got = F.when(F.col("__gone").isNotNull(), let(lines, cut)).otherwise(F.struct(F.col(text_col).alias("t"), (F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1).alias("n"), F.lit(0).alias("r")))
     j = j.select(*keep, got.alias("__got"))
     return j.select(*[F.col("__got.t").alias(c) if c == text_col else F.col(c) for c in keep], F.coalesce("__got.n", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("__got.r", F.lit(0)).cast("long").alias("n_removed"))
