@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..durable import cut
 from .condense import condense
 from .relations import RELATIONS, relation_counts
 from .sampling import draws_for, weighted_draws
@@ -79,7 +80,7 @@ def household_relations(households: DataFrame, pairs: DataFrame, household: str,
 
 def sample_persons(households: DataFrame, pools: Mapping[str, DataFrame], household_atts: Sequence[str], person_atts: Sequence[str], household: str = "hhid", size: str = "hhsize", seed: object = 0) -> tuple[DataFrame, DataFrame]:
     """(persons with their relationship, (household, relationship, n) that no pair could serve)."""
-    numbers = household_relations(households, pools["HH-Main"], household, household_atts, size, seed)
+    numbers = cut(household_relations(households, pools["HH-Main"], household, household_atts, size, seed))
     source_cols = {"HH": [f"HH_{a}" for a in household_atts]}
     people: dict[str, DataFrame] = {}
     made: dict[str, DataFrame] = {"HH": numbers}
@@ -96,6 +97,7 @@ def sample_persons(households: DataFrame, pools: Mapping[str, DataFrame], househ
         found, _ = candidates(evidence, pairs, [household], cols, target_cols)
         draws = draws_for(want, [household], "__n")
         got = weighted_draws(draws, found, [household], "count", target_cols, [household, "draw"], f"{seed}-{source}-{target}").select(household, *target_cols)
+        got = cut(got)  # the next levels read it again and again
         people[target] = people[target].unionByName(got) if target in people else got
         made[target] = people[target]
     out, short = None, None
@@ -109,8 +111,6 @@ def sample_persons(households: DataFrame, pools: Mapping[str, DataFrame], househ
 
 def sample_with_retries(households: DataFrame, pools: Mapping[str, DataFrame], household_atts: Sequence[str], person_atts: Sequence[str], household: str = "hhid", size: str = "hhsize", seed: int = 0, retries: int = 5) -> tuple[DataFrame, DataFrame]:
     """As ``sample_persons``, but households with someone missing are drawn again with other persons above them."""
-    from ..durable import cut
-
     todo, out = households, None
     short = None
     for r in range(retries + 1):
