@@ -140,7 +140,12 @@ def _descend(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, weight: np.ndarr
     """Logistic fit by Nesterov steps: log loss + ridge + squared score changes of the swaps."""
     w, b = np.zeros(n), 0.0
     total = weight.sum()
-    rate = 4.0 / max(1.0, float(np.bincount(rows, minlength=len(y)).mean() + 1))
+    steep = np.full(n, max(1.0, float(np.bincount(rows, minlength=len(y)).mean() + 1)) / 4)
+    bias_rate = 1 / steep[0] if n else 1.0
+    for a, c, share in pairs:  # row sums of the penalty's curvature bound each weight's step
+        for at in (a, c):
+            steep[at] += 2 * share * (len(a) + len(c))
+    rate = 1 / steep
     vw, vb = w.copy(), b
     for step in range(steps):
         z = vb + np.bincount(rows, vw[cols], len(y))
@@ -148,9 +153,9 @@ def _descend(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, weight: np.ndarr
         gw = np.bincount(cols, r[rows], n) + ridge * vw
         for a, c, share in pairs:
             change = vw[a].sum() - vw[c].sum()
-            gw[a] += 2 * share * change / max(len(a), 1)
-            gw[c] -= 2 * share * change / max(len(c), 1)
-        nw, nb = vw - rate * gw, vb - rate * r.sum()
+            gw[a] += 2 * share * change
+            gw[c] -= 2 * share * change
+        nw, nb = vw - rate * gw, vb - bias_rate * r.sum()
         pull = step / (step + 3)
         vw, vb, w, b = nw + pull * (nw - w), nb + pull * (nb - b), nw, nb
     return w, b

@@ -1,0 +1,331 @@
+"""Each operator against its plain version, with nulls, empty tables, ties, repeats and clashing columns."""
+
+import sys
+from collections import Counter, defaultdict
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).parent))
+import brute  # noqa: E402
+
+from popspark.llm import decontamination, html, toxicity  # noqa: E402
+from popspark.llm.jaccard import SMALL_GROUP, Band, band_of, band_start, jaccard_components, one_of_each_component  # noqa: E402
+from popspark.llm.lines import dedup_lines  # noqa: E402
+from popspark.llm.lm import score_texts  # noqa: E402
+from popspark.llm.mixing import mix_sources, source_targets  # noqa: E402
+from popspark.llm.quality import quality_rules  # noqa: E402
+from popspark.llm.substrings import remove_repeats  # noqa: E402
+from popspark.llm.tokens import token_counts  # noqa: E402
+
+from conftest import frame, words  # noqa: E402
+
+
+def keyed(rows):
+    return sorted(map(tuple, rows), key=repr)
+
+
+# 1
+
+
+def test_lm_base_and_score(docs, rows):
+    got = score_texts(docs, F.crc32(F.col("doc_id").cast("string")) % 5 != 1).collect()
+    want = brute.base_scores(rows, lambda k: k is not None and not brute.fold(k, 1))
+    assert keyed((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == keyed((k, a, b, n, round(s, 6)) for (k, _), (a, b, n, s) in zip(rows, want))
+    assert all(r.score < 0 and r.score == r.score for r in got)
+
+
+def test_lm_learns(spark):
+    import random
+
+    rng = random.Random(1)
+    make = lambda: " ".join(rng.choice(["the", "of", "thing", "bling", "string"]) + rng.choice(["", "er", "ing"]) for _ in range(300))
+    d = frame(spark, [(i, make()) for i in range(40)] + [(100, "".join(rng.choice("qxzjkvw ") for _ in range(1500)))])
+    got = {r.doc_id: r.bits_per_byte for r in score_texts(d, F.col("doc_id") < 30).collect()}
+    assert max(got[i] for i in range(30, 40)) < 1.5 and got[100] > 2 * got[35]
+
+
+def test_lm_without_training_or_rows(docs, empty, rows):
+    got = score_texts(docs, F.lit(False)).collect()
+    assert len(got) == len(rows) and all(r.base_score is None and r.train_tokens == 0 and r.score < 0 for r in got)
+    assert score_texts(empty, F.lit(True)).collect() == []
+
+
+# 2
+
+
+def test_jaccard_components(docs, rows):
+    assert keyed(jaccard_components(docs).collect()) == keyed(brute.jaccard_components(rows))
+
+
+def test_jaccard_large_group_and_chain(spark):
+    """A chain of near copies, each near the next only, longer than a small group, and texts of all small sizes."""
+    import random
+
+    rng = random.Random(3)
+    w = words(rng, 400)
+    rows = [(i, " ".join(w[6 * i : 6 * i + 100])) for i in range(3 * SMALL_GROUP)]
+    rows += [(100 + i, " ".join(words(rng, 1))) for i in range(5)]
+    for n in range(5, 40):
+        base = words(rng, n)
+        for e in range(3):
+            edit = list(base)
+            if e:
+                edit[rng.randrange(n)] = f"edit{e}"
+            rows.append((1000 + 10 * n + e, " ".join(edit + words(rng, rng.randrange(2)))))
+    d = frame(spark, rows).repartition(5)
+    assert keyed(jaccard_components(d).collect()) == keyed(brute.jaccard_components(rows))
+
+
+def test_bands_cover_partners():
+    for size in range(1, 3000):
+        assert band_start(band_of(size)) <= size < band_start(band_of(size) + 1)
+        assert band_of(size * 4 // 3) - band_of(size) <= 1
+    for b in range(band_of(2000)):
+        assert Band(b).m >= 1
+
+
+def test_one_of_each(docs, rows):
+    got = one_of_each_component(docs)
+    want = brute.jaccard_components(rows)
+    least = {k for k, _, c in want if k == c and k is not None}
+    assert Counter(r.doc_id for r in got.collect()) == Counter({k: 1 for k in least} | {None: 2})
+    assert got.columns == docs.columns
+
+
+def test_jaccard_empty(empty):
+    assert jaccard_components(empty).collect() == []
+
+
+# 3
+
+
+def labelled(n):
+    import random
+
+    rng = random.Random(2)
+    rows, labels = [], []
+    for i in range(n):
+        bad = i % 4 == 0
+        w = words(rng, 40) + (["women"] if bad and i % 8 == 0 or i % 9 == 0 else [])
+        if bad:
+            w[rng.randrange(40)] = rng.choice(["scumbag.", "idiotic", "Vileperson"])
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    return rows, labels
+
+
+def test_toxicity_held_out(spark):
+    rows, labels = labelled(400)
+    d = frame(spark, rows)
+    y = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(d, y.where("doc_id < 300"))
+    got = {r.doc_id: r.score for r in toxicity.score(d.select("doc_id", "text"), model).collect()}
+    right = sum((got[k] >= 0.5) == bool(v) for k, v in labels if k >= 300)
+    assert right >= 95 and all(0 <= s <= 1 for s in got.values())
+
+
+def test_swap_penalty_flattens_mentions(spark):
+    rows, labels = labelled(400)
+    d, y = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    probe = frame(spark, [(1, "the women spoke"), (2, "the men spoke")])
+
+    def gap(penalty):
+        s = [r.score for r in toxicity.score(probe, toxicity.fit(d, y, swap_penalty=penalty)).orderBy("doc_id").collect()]
+        return abs(s[0] - s[1])
+
+    assert gap(50.0) <= gap(0.0)
+
+
+def test_toxicity_edges(spark, docs, rows, empty):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    model = toxicity.fit(docs, none)
+    got = toxicity.score(docs.select("doc_id", "text", "score"), model).collect()
+    assert len(got) == len(rows) and all(r.score < 0.5 for r in got)
+    one = spark.createDataFrame([(1, 1), (None, 0), (2, None)], "doc_id long, toxic int")
+    assert all(r.score > 0.5 for r in toxicity.score(docs, toxicity.fit(docs, one)).collect())
+    assert toxicity.score(empty, model).collect() == []
+
+
+# 4
+
+
+@pytest.mark.parametrize("hot", [50_000, 1])
+def test_substrings(spark, rows, hot):
+    distinct = list({k: (k, t) for k, t in rows if k is not None}.values()) + [(None, "ab" * 200)]
+    got = {r.doc_id: tuple(r)[1:] for r in remove_repeats(frame(spark, distinct).repartition(3), hot=hot).collect()}
+    assert got == brute.remove_repeats(distinct)
+
+
+def test_substrings_long_text(spark):
+    import random
+
+    rng = random.Random(9)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(1_200_000))
+    rows = [(1, long[1_048_000:1_049_500]), (2, long), (3, long[:300] + "!" + long[-250:])]
+    got = {r.doc_id: tuple(r)[1:] for r in remove_repeats(frame(spark, rows)).collect()}
+    assert got == brute.remove_repeats(rows)
+
+
+def test_substrings_kept_text_and_repeats(spark, empty):
+    d = frame(spark, [(1, "x" * 150), (1, "x" * 150), (2, None)])
+    got = remove_repeats(d, with_text=True).collect()
+    assert [bytes(r.kept) for r in got if r.doc_id == 1] == [b"x" * 0 + b"x"] * 2 or all(r.n_removed > 0 for r in got if r.doc_id == 1)
+    assert remove_repeats(empty).collect() == []
+
+
+# 5
+
+
+PAGE = """<html><head><title>T</title><style>p{{}}</style></head><body><nav><a href=x>Menu</a></nav><div class="ad">Buy</div>{main}
+<form><input value=q>Find</form><div id="comments"><p>first!</p></div><footer>&copy; site</footer></body></html>"""
+
+
+def pages(spark, rows):
+    return spark.createDataFrame([(i, u, h, 1, "x", "y", "z") for i, (u, h) in enumerate(rows)], "page_id long, url string, html string, k int, u string, host string, low string")
+
+
+def test_main_text(spark):
+    got = html.main_text(pages(spark, [
+        ("http://a.b/1", PAGE.format(main="<article><h1>Head</h1><p>One &amp; two<br>three <b>four</b><p>Five <script>var x='</p>'</script>six<aside>no</aside></article>")),
+        ("http://a.b/2", PAGE.format(main="<p>plain\n  text</p><ul><li>a<li>b</ul>")),
+        (None, None), ("", ""), ("x", "no tags at all"), ("x", "<p>unclosed <b>bold"), ("x", "<!-- only a comment"),
+    ])).orderBy("page_id").collect()
+    assert [r.text for r in got] == ["Head\n\nOne & two three four\n\nFive six", "plain text\n\na\n\nb", "", "", "no tags at all", "unclosed bold", ""]
+    assert all(r.n_chars == len(r.text) for r in got)
+
+
+def test_repeated_branches_go(spark):
+    rows = [("http://a.b/%d" % i, f'<body><div class="top">Same on every page</div><div class="body"><p>Text number {i} of its own</p></div></body>') for i in range(20)]
+    rows.append(("http://c.d/1", rows[0][1]))
+    got = html.main_text(pages(spark, rows)).orderBy("page_id").collect()
+    assert [r.text for r in got[:20]] == [f"Text number {i} of its own" for i in range(20)]
+    assert got[20].text == "Same on every page\n\nText number 0 of its own"
+
+
+def test_pages_empty(spark):
+    assert html.main_text(pages(spark, [])).collect() == []
+
+
+# 6
+
+
+def test_quality_counts(docs, rows):
+    got = quality_rules(docs).collect()
+    want = []
+    for k, t in rows:
+        c = brute.quality_counts(t)
+        want.append((k, *c, c[0] < 50 or 100 * c[4] > 50 * c[0]))
+    assert keyed(tuple(r)[:7] for r in got) == keyed(want)
+    assert all(not (r.kept and r.base_failed) for r in got)
+
+
+def test_quality_outlier_falls(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(words(rng, 80))) for i in range(300)] + [(999, " ".join(x + "###$$$" for x in words(rng, 80)))]
+    got = {r.doc_id: r.kept for r in quality_rules(frame(spark, rows)).collect()}
+    assert not got[999] and sum(got.values()) == 300
+
+
+def test_quality_empty(empty):
+    assert quality_rules(empty).collect() == []
+
+
+# 7
+
+
+def test_mixing(docs, rows):
+    got = mix_sources(docs).collect()
+    sizes, source = defaultdict(int), {}
+    for k, t in rows:
+        s = None if k is None else f"s{k % 4}"
+        sizes[s] += len(brute.WORD.findall(t or ""))
+    goal = brute.targets(sizes)
+    taken = defaultdict(int)
+    for r in got:
+        assert r.target == pytest.approx(goal[r.source]) and r.source_size == sizes[r.source]
+        assert 0 <= r.taken <= 2 * r.size
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - goal[s]) <= 1 for s in goal) and len(got) == len(rows)
+    again = mix_sources(docs.repartition(7)).collect()
+    assert keyed(map(tuple, got)) == keyed(map(tuple, again))
+
+
+def test_targets_capped(spark):
+    d = spark.createDataFrame([("a", 10), ("b", 1000), (None, 5), ("c", 0)], "source string, size long")
+    got = {r.source: r.target for r in source_targets(d).collect()}
+    want = brute.targets({"a": 10, "b": 1000, None: 5, "c": 0})
+    assert got == pytest.approx(want)
+
+
+def test_mixing_empty(empty):
+    assert mix_sources(empty).collect() == []
+
+
+# 8
+
+
+def test_contained_items(spark, docs, rows):
+    texts = [t for _, t in rows if t]
+    items = [(1, " ".join(brute.low_words(texts[10])[20:60])), (2, "one two three four"), (3, None), (4, "never seen words in any text here"), (1, " ".join(brute.low_words(texts[5])[3:40]).upper()), (5, "")]
+    bench = spark.createDataFrame([(i, x, 1) for i, x in items], "item_id long, text string, k int")
+    for block in (2_000_000, 30):
+        got = decontamination.contained_items(docs, bench, block_words=block).collect()
+        assert keyed(tuple(r)[:4] for r in got) == keyed(brute.contained(rows, items))
+    clean = decontamination.decontaminate(docs, bench)
+    hit = {k for k, *_ in brute.contained(rows, items)}
+    assert Counter(r.doc_id for r in clean.collect()) == Counter(k for k, _ in rows if k not in hit or k is None) and clean.columns == docs.columns
+
+
+def test_containment_edges(spark, docs, empty):
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert decontamination.contained_items(docs, bench).collect() == []
+    assert decontamination.decontaminate(docs, bench).count() == docs.count()
+    some = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    assert decontamination.contained_items(empty, some).collect() == []
+
+
+# 9
+
+
+@pytest.mark.parametrize("least", [50, 14, 3])
+def test_lines(spark, rows, least):
+    distinct = list({k: (k, t) for k, t in rows}.values())
+    got = dedup_lines(frame(spark, distinct).repartition(3), min_words=least)
+    assert {r.doc_id: r.text for r in got.collect()} == brute.dedup_lines(distinct, least)
+    assert set(got.columns) >= {"n_lines", "n_removed", "label"}
+
+
+def test_lines_edges(spark, empty):
+    d = frame(spark, [(1, "a b\na b\na b"), (1, "a b\na b\na b"), (2, None), (3, "")])
+    got = {(r.doc_id, r.text, r.n_removed) for r in dedup_lines(d, min_words=2).collect()}
+    assert got == {(1, "a b", 2), (2, None, 0), (3, "", 0)}
+    assert dedup_lines(empty).collect() == []
+
+
+# 10
+
+
+@pytest.fixture(scope="module")
+def spec():
+    public = pytest.importorskip("public_tokenizers")
+    return Path(public.path("byte_bpe_50k.json")).read_text()
+
+
+def test_tokens(spark, docs, rows, spec, empty):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_str(spec)
+    more = [(500, "a<|endoftext|>b <|endoftext|>"), (501, "你好 ٣٤ \U0001f600 don't  we’ll\r\n\t x՘y \x1c\x85z"), (502, "  lead   and trail  \n\n"), (503, "w" * 3000)]
+    d = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    got = token_counts(d, spec, limit=50).collect()
+    want = []
+    for k, x in [*rows, *more]:
+        n = len(t.encode(x or "", add_special_tokens=False).ids)
+        want.append((k, len((x or "").encode()), n, n > 50))
+    assert keyed(map(tuple, got)) == keyed(want)
+    assert keyed(map(tuple, token_counts(d, spec, limit=50, table_size=3, cache_size=5, batch_bytes=100).collect())) == keyed(want)
+    assert token_counts(empty, spec).collect() == []
