@@ -13,10 +13,13 @@ from .jaccard import jaccard_components
 from .lines import dedup_lines
 from .lm import score_texts
 from .mixing import mix_sources
+from .oracles import ORACLE_SQL
 from .quality import quality_rules
 from .substrings import remove_repeats
 from .tokens import token_counts
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 BENCH_TOKENIZER = "byte_bpe_50k.json"
 
@@ -60,7 +63,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents"))
+    m = mix_sources(table(spark, sf_dir, "documents"))
+    return m.withColumns({"target": F.round("target", 6), "finish_time": F.round("finish_time", 9)})
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,5 +95,3 @@ QUERIES: dict[str, Query] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
 }
-
-ORACLE_SQL: dict[str, str] = {}
