@@ -12,6 +12,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+# The state names "Negative income", "Nil income", "Others", "4+", "8+", "100+", the household types
+# and the codes -1 (negative) and -2 (missing) of incomes.
+
+
 def total_weight(*parts: Column) -> Column:
     """Sum of weights, a null counting as 0."""
     return reduce(lambda a, b: a + b, [F.coalesce(p, F.lit(0)) for p in parts])

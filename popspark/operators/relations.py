@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+# The relations, and the age gaps in years that make a relation plausible.
 RELATIONS = ("Main", "Spouse", "Child", "Grandchild", "Sibling", "Others", "Parent", "Grandparent")
 PARENT_GAP, GRANDPARENT_GAP = 15, 33
 SPOUSE_AGE, SPOUSE_GAP = 16, 20

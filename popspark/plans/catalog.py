@@ -473,7 +473,7 @@ IPF_START = f"w0 AS (SELECT z.zone_id, s.dwelltype, s.totalvehs, s.w FROM (SELEC
 
 
 def _sweep(k: int, prev: str) -> str:
-    one = f"a{k} AS (SELECT p.zone_id, dwelltype, totalvehs, w * coalesce(m.value, 0) / sum(w) OVER (PARTITION BY p.zone_id, dwelltype) AS w FROM {prev} p LEFT JOIN marg m ON m.zone_id = p.zone_id AND m.att = 'dwelltype' AND m.state = dwelltype)"
+    one = f"a{k} AS (SELECT p.zone_id, dwelltype, totalvehs, CASE WHEN sum(w) OVER (PARTITION BY p.zone_id, dwelltype) > 0 THEN w * coalesce(m.value, 0) / sum(w) OVER (PARTITION BY p.zone_id, dwelltype) ELSE 0 END AS w FROM {prev} p LEFT JOIN marg m ON m.zone_id = p.zone_id AND m.att = 'dwelltype' AND m.state = dwelltype)"
     two = f"b{k} AS (SELECT p.zone_id, dwelltype, totalvehs, CASE WHEN sum(w) OVER (PARTITION BY p.zone_id, totalvehs) > 0 THEN w * coalesce(m.value, 0) / sum(w) OVER (PARTITION BY p.zone_id, totalvehs) ELSE 0 END AS w FROM a{k} p LEFT JOIN marg m ON m.zone_id = p.zone_id AND m.att = 'totalvehs' AND m.state = totalvehs)"
     return f"{one},\n{two}"
 
