@@ -8,6 +8,21 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows and bytes of an Arrow batch of whole texts between Spark and its Python workers, at most.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches down; Spark's own limit, 10,000 rows, is a gigabyte of long texts on either side.
+
+    Lower settings of the session stay. Results do not depend on it.
+    """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
     sc = spark.sparkContext
@@ -23,6 +38,7 @@ def durable(df: DataFrame) -> DataFrame:
     cleaner drop those shuffles before the next ones fill the disks.
     """
     shared_dir(df.sparkSession)
+    small_batches(df.sparkSession)
     out = df.checkpoint(eager=True)
     del df
     gc.collect()
@@ -35,4 +51,5 @@ def partitions(spark: SparkSession) -> int:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
