@@ -163,14 +163,8 @@ def trimmed(syn: DataFrame, marg: DataFrame, attributes: Sequence[str], zone: st
                     if take <= 0:
                         continue
                     cut_ = n[at] * take // n[at].sum()
-                    order = np.argsort(-(n[at] - cut_), kind="stable")
-                    for i in order:
-                        if cut_.sum() >= take:
-                            break
-                        cut_[i] += min(n[at][i] - cut_[i], max(1, 0))
-                    while cut_.sum() < take:
-                        i = int(np.argmax(n[at] - cut_))
-                        cut_[i] += min(n[at][i] - cut_[i], take - cut_.sum())
+                    short = take - int(cut_.sum())  # fewer than there are records: one more from each of the largest
+                    cut_[np.argsort(cut_ - n[at], kind="stable")[:short]] += 1
                     n[at] -= cut_
                     for i, r in zip(at, cut_):
                         for a in atts:
