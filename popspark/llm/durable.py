@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -42,6 +44,9 @@ def durable(df: DataFrame) -> DataFrame:
     out = df.checkpoint(eager=True)
     del df
     gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # what collected results have left on the driver
+        libc.malloc_trim(0)
     out.sparkSession.sparkContext._jvm.System.gc()
     return out
 
