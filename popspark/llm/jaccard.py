@@ -8,8 +8,10 @@ indexed by hashes of its segment subsets or, where that costs less (small
 sets), of these and their one-deletion neighbourhoods. ``Band`` allocates by
 the expected number of signatures. Empty segments give no signature; what they
 take from the guarantee is subtracted, for each set, from the number of
-signatures that it must share (``need``), and a set whose guarantee is used up
-also joins by the prefix filter, which is exact by itself.
+signatures that it must share (``need``). Where that uses up the guarantee of
+any set of a band, the band's sets and their probes from the next one also join
+by the prefix filter, which is exact if both sides have it; only groups with a
+set that needs it count there.
 
 A set drops out when fewer than ``need`` of its signatures occur elsewhere, and
 is looked up under all but its ``need - 1`` most frequent ones. Candidates are
@@ -36,7 +38,8 @@ from .durable import durable, partitions
 
 #: Similarity as a fraction; the bounds below are for it.
 NUM, DEN = 3, 4
-OWN, PROBE, PREFIX = 0, 1, 2
+#: Roles of a node; two of the odd ones are no pair. PREFIX: its guarantee is used up; PARTNER: that of a set it may meet.
+OWN, PROBE, PREFIX, PARTNER = 0, 1, 2, 3
 #: Groups of up to so many sets give all their pairs.
 SMALL_GROUP = 8
 #: Signatures that like sets share beyond the one that the pigeonhole principle gives, as a part of H.
@@ -121,6 +124,23 @@ def signatures(s: np.ndarray, mixed: np.ndarray, band: int, partner: int) -> tup
     return np.concatenate([sigs, less]), plan.m - apart // 2 - alone
 
 
+def roles(n: int) -> Iterator[tuple[int, int, int]]:
+    """(role, band, largest partner) of a set of size n in its own band and in the one below, as far as it has partners there."""
+    own = band_of(n)
+    for role, band in ((OWN, own), (PROBE, own - 1)):
+        if band < 0 or band_plan(band).trivial and role == OWN and n * DEN // NUM == n:
+            continue
+        high = band_plan(band).high
+        if role == PROBE and -(-NUM * n // DEN) > high:
+            continue
+        yield role, band, n * DEN // NUM if role == OWN else high
+
+
+def used_up(s: np.ndarray, mixed: np.ndarray) -> list[int]:
+    """The bands in which a set's guarantee is used up."""
+    return [band for _, band, partner in roles(len(s)) if signatures(s, mixed, band, partner)[1] < 1]
+
+
 def prefix(s: np.ndarray) -> np.ndarray:
     """Signatures of the prefix filter: the smallest |s| - ceil(3/4 |s|) + 1 elements."""
     return mix(s[: len(s) - -(-NUM * len(s) // DEN) + 1] ^ U64(0x5851F42D4C957F2D))
@@ -137,21 +157,29 @@ def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(k, n, fp) of texts (k, t): set size and fingerprint, null for an empty set."""
+    """(k, n, fp, risk) of texts (k, t): set size, fingerprint, null for an empty set, and the bands in which its guarantee is used up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, fp = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, U64)
+            risk: list[list[int]] = [[]] * b.num_rows
             for i, s in _sets(b.column(1), width):
                 n[i] = len(s)
                 if len(s):
-                    fp[i] = fingerprint(s, mix(s)) & ~U64(3)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(fp.view(np.int64), mask=n == 0)], ["k", "n", "fp"])
+                    mixed = mix(s)
+                    fp[i] = fingerprint(s, mixed) & ~U64(3)
+                    risk[i] = used_up(s, mixed)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(fp.view(np.int64), mask=n == 0), pa.array(risk, pa.list_(pa.int32()))], ["k", "n", "fp", "risk"])
+
+    return docs.mapInArrow(run, f"k {docs.schema['k'].dataType.simpleString()}, n long, fp long, risk array<int>")
 
-    return docs.mapInArrow(run, f"k {docs.schema['k'].dataType.simpleString()}, n long, fp long")
 
+def risky_bands(sets: DataFrame) -> frozenset[int]:
+    """The bands in which any set's guarantee is used up."""
+    return frozenset(r[0] for r in sets.select(F.explode("risk")).distinct().collect())
 
-def _indexed(docs: DataFrame, width: int, n_buckets: int) -> DataFrame:
+
+def _indexed(docs: DataFrame, width: int, n_buckets: int, risky: frozenset[int]) -> DataFrame:
     """Blobs: kind 0 (signature, node) by signature, kind 1 (node, size, need) by node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,27 +205,22 @@ def _indexed(docs: DataFrame, width: int, n_buckets: int) -> DataFrame:
                 if fp in seen:
                     continue
                 seen.add(fp)
-                n, own = len(s), band_of(len(s))
-                risky = False
-                for role, band in ((OWN, own), (PROBE, own - 1)):
-                    if band < 0 or band_plan(band).trivial and role == OWN and n * DEN // NUM == n:
-                        continue
-                    high = band_plan(band).high
-                    if role == PROBE and -(-NUM * n // DEN) > high:
-                        continue
-                    x, need = signatures(s, mixed, band, n * DEN // NUM if role == OWN else high)
+                n, spent, meets = len(s), False, False
+                for role, band, partner in roles(n):
+                    meets |= band in risky
+                    x, need = signatures(s, mixed, band, partner)
                     if need < 1:
-                        risky = True
+                        spent = True
                         continue
                     sigs.append(x)
                     nodes.append((fp | role, len(x)))
                     meta.append((fp | role, n, need))
                     held += len(x)
-                if risky:
-                    x = prefix(s)
+                if meets:
+                    x, role = prefix(s), PREFIX if spent else PARTNER
                     sigs.append(x)
-                    nodes.append((fp | PREFIX, len(x)))
-                    meta.append((fp | PREFIX, n, 1))
+                    nodes.append((fp | role, len(x)))
+                    meta.append((fp | role, n, 1))
                     held += len(x)
                 if held >= _FLUSH:
                     yield from flush()
@@ -227,7 +250,7 @@ def _shared(kinds: dict[int, list[bytes]], bucket: int, n_buckets: int) -> Itera
     sig, node = sig[new], node[new]
     starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, np.int64)
     size = np.diff(np.append(starts, len(sig)))
-    own = np.add.reduceat((node & U64(3)) != PROBE, starts) if len(starts) else size
+    own = np.add.reduceat((node & U64(1)) == 0, starts) if len(starts) else size
     freq = np.repeat(np.where(own > 0, size, 1), size)
     ok = freq > 1
     yield from packed(mix(node[ok]), [node[ok], sig[ok], freq[ok].astype(np.uint32)], n_buckets, 2)
@@ -262,7 +285,7 @@ def _groups(kinds: dict[int, list[bytes]], _: int) -> Iterator[pa.RecordBatch]:
         inside = np.repeat(np.where((count > 1) & (count <= SMALL_GROUP), starts + count, 0), count)
         i = np.flatnonzero(np.arange(len(sig)) + gap < inside)
         j = i + gap
-        ok = (NUM * np.maximum(size[i], size[j]) <= DEN * np.minimum(size[i], size[j])) & (((node[i] & U64(3)) != PROBE) | ((node[j] & U64(3)) != PROBE))
+        ok = (NUM * np.maximum(size[i], size[j]) <= DEN * np.minimum(size[i], size[j])) & ((node[i] & node[j] & U64(1)) == 0)
         first.append(node[i[ok]] & ~U64(3))
         second.append(node[j[ok]] & ~U64(3))
     a, b = np.concatenate(first), np.concatenate(second)
@@ -305,10 +328,10 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, b
     return both.mapInArrow(run, "a long, b long")
 
 
-def linked_nodes(docs: DataFrame, nodes: DataFrame, width: int, broadcast_ids: int, stars: int = 2) -> DataFrame:
+def linked_nodes(docs: DataFrame, nodes: DataFrame, width: int, broadcast_ids: int, risky: frozenset[int], stars: int = 2) -> DataFrame:
     """(node, label) of the sets that have a link to another set."""
     n_buckets = bucket_count(docs)
-    shared = by_bucket(_indexed(docs, width, n_buckets), lambda kinds, bucket: _shared(kinds, bucket, n_buckets), SCHEMA)
+    shared = by_bucket(_indexed(docs, width, n_buckets, risky), lambda kinds, bucket: _shared(kinds, bucket, n_buckets), SCHEMA)
     needed = by_bucket(shared, lambda kinds, _: _needed(kinds, n_buckets), SCHEMA)
     found = durable(by_bucket(needed, _groups, "sig long, a long, b long, n long, need long, role long"))
     members = found.where("b is null").select("sig", F.col("a").alias("node"), "n", "need", "role")
@@ -321,7 +344,7 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, width: int, broadcast_ids: i
         m = _open(members, labels)
         if turn < stars:
             hub = m.groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "role", "label")).alias("hub")).select(F.col("sig").alias("sig1"), "hub")
-            new = m.join(hub, F.col("sig") == F.col("sig1")).where((F.col("label") != F.col("hub.label")) & ((F.col("role") != PROBE) | (F.col("hub.role") != PROBE)) & fits(F.col("n"), F.col("hub.n"))).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+            new = m.join(hub, F.col("sig") == F.col("sig1")).where((F.col("label") != F.col("hub.label")) & (F.col("role").bitwiseAND(F.col("hub.role")).bitwiseAND(1) == 0) & fits(F.col("n"), F.col("hub.n"))).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
         else:
             new = m.select("sig", "node", "n", "role", "label", "lo", F.pmod("sig", F.ceil(F.count(F.lit(1)).over(W.partitionBy("lo")) / FAMILY)).alias("part")).repartition(partitions(docs.sparkSession), "lo", "part").select("sig", "node", "n", "role", "label").mapInArrow(_cross_pairs, "a long, b long")
         new = durable(new.distinct().join(tested, ["a", "b"], "left_anti"))
@@ -352,7 +375,7 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(i):
             break
         j = i + gap
-        ok = (label[i] != label[j]) & (NUM * np.maximum(n[i], n[j]) <= DEN * np.minimum(n[i], n[j])) & ((role[i] != PROBE) | (role[j] != PROBE))
+        ok = (label[i] != label[j]) & (NUM * np.maximum(n[i], n[j]) <= DEN * np.minimum(n[i], n[j])) & ((role[i] & role[j] & 1) == 0)
         i, j = i[ok], j[ok]
         held.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1))
         size += len(i)
@@ -390,7 +413,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     d = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
     sets = durable(shingle_sets(d, width))
     nodes = sets.where("fp is not null").groupBy("fp").agg(F.min("k").alias("rep"))
-    labels = linked_nodes(d, nodes, width, broadcast_ids)
+    labels = linked_nodes(d, nodes, width, broadcast_ids, risky_bands(sets))
     classes = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = classes.groupBy("label").agg(F.min("rep").alias("component"))
     of = durable(classes.join(least, "label").select(F.col("fp").alias("fp1"), "component"))

@@ -78,6 +78,19 @@ def test_jaccard_large_group_and_chain(spark):
     assert keyed(jaccard_components(d).collect()) == keyed(brute.jaccard_components(rows))
 
 
+def test_jaccard_short_pairs(spark):
+    """Pairs of short texts of which no third text bridges: some with a used-up guarantee, their partners without."""
+    import random
+
+    rng = random.Random(11)
+    rows = []
+    for n in range(5, 31):
+        for _ in range(12):
+            w = [f"{rng.randrange(10**9):x}" for _ in range(n + 2)]
+            rows += [(len(rows), " ".join(w[:n])), (len(rows) + 1, " ".join(w[: n + 1 + rng.randrange(2)]))]
+    assert keyed(jaccard_components(frame(spark, rows).repartition(5)).collect()) == keyed(brute.jaccard_components(rows))
+
+
 def test_bands_cover_partners():
     for size in range(1, 3000):
         assert band_start(band_of(size)) <= size < band_start(band_of(size) + 1)
