@@ -1,7 +1,8 @@
 """Quality rules with thresholds from mergeable quantile sketches, in DataFrame operations.
 
-Per language and source, KLL sketches of each measure give its quantiles; a text
-falls out where a measure lies beyond the fences of its group. The sketches of a
+Per language and source, KLL sketches of each measure give its quartiles, which
+junk in a quarter of the texts does not reach; a text falls out where a measure
+lies beyond the fences around those of its group. The sketches of a
 group with few rows give way to those of its language, merged from the groups'
 own, and those to the merged sketches of all. The base rules stand beside that.
 """
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .durable import durable
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Measure: least spread of a fence above and below the outer quantiles (None: no fence there).
+#: Measure: least distance of a fence above and below the quartiles (None: no fence there).
 MEASURES: dict[str, tuple[float | None, float | None]] = {
     "symbol_share": (0.10, None),
     "dup_line_share": (0.30, None),
@@ -24,6 +25,10 @@ MEASURES: dict[str, tuple[float | None, float | None]] = {
 }
 
 
+#: Measures that are a part of the whole: a fence is 1 at most.
+PARTS = ("dup_line_share", "repeat_share")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, which is computed once even where a lambda uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -83,13 +88,14 @@ def fences(measured: DataFrame, spread: float, low: float, high: float, min_grou
         if least is None:
             return F.lit(float("inf")) * sign
         s = F.when(F.col("n") >= min_group, F.col(m)).when(F.col("n_l") >= min_group, F.col(f"{m}_l")).otherwise(F.col(f"{m}_a"))
-        at, mid = F.kll_sketch_get_quantile_double(s, F.lit(q)), F.kll_sketch_get_quantile_double(s, F.lit(0.5))
-        return at + sign * F.greatest(spread * F.abs(at - mid), F.lit(least))
+        at, across = (F.kll_sketch_get_quantile_double(s, F.lit(x)) for x in (q, low + high - q))
+        fence = at + sign * F.greatest(spread * F.abs(at - across), F.lit(least))
+        return F.least(fence, F.lit(1.0)) if m in PARTS else fence
 
     return g.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *[edge(m, up, high, 1).alias(f"{m}_hi") for m, (up, _) in MEASURES.items()], *[edge(m, down, low, -1).alias(f"{m}_lo") for m, (_, down) in MEASURES.items()])
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_words: int = 50, max_repeat: int = 50, spread: float = 3.0, low: float = 0.02, high: float = 0.98, min_group: int = 100, sketch_k: int = 200, broadcast_rows: int = 20_000) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_words: int = 50, max_repeat: int = 50, spread: float = 3.0, low: float = 0.25, high: float = 0.75, min_group: int = 100, sketch_k: int = 200, broadcast_rows: int = 20_000) -> DataFrame:
     """Counts, ``base_failed`` and ``kept`` of every whole text.
 
     A null or empty text has no words, fails the base rules and is not kept.

@@ -243,6 +243,18 @@ def test_quality_outlier_falls(spark):
     assert not got[999] and sum(got.values()) == 300
 
 
+@pytest.mark.parametrize("every", [20, 10])
+def test_quality_common_junk_falls(spark, every):
+    """Symbol junk in 5 and 10 percent of every language and source, more than the outer quantiles stand."""
+    import random
+
+    rng = random.Random(14)
+    junk = lambda i: (i // 12) % every == 0
+    rows = [(i, " ".join(x + "%%%&&***"[: 3 + j % 5] if junk(i) else x for j, x in enumerate(words(rng, 80)))) for i in range(2400)]
+    got = {r.doc_id: r.kept for r in quality_rules(frame(spark, rows)).collect()}
+    assert got == {i: not junk(i) for i, _ in rows}
+
+
 def test_quality_empty(empty):
     assert quality_rules(empty).collect() == []
 
