@@ -5,8 +5,9 @@ classes, and each node of the merged tree holds how often which content and
 which child styles occur under it. A content node's importance is the entropy
 of its content over the host's pages, a presentation node's that of its child
 styles joined with that of its children, both from 0 (the same on every page)
-to 1. Branches whose importance is low go from each page, as do elements whose
-role is none of the article's (menus, forms, notices, comments and so on).
+to 1. Branches in which all importance is low go from each page, whether or not
+it marks its article, as do elements whose role is none of the article's (menus,
+forms, notices, comments and so on).
 """
 
 from __future__ import annotations
@@ -168,8 +169,44 @@ def style_nodes(page: str) -> Iterator[tuple[str, int]]:
         yield f"{path} >", _digest("\n".join(kids))
 
 
+def noisy(tree: dict[str, tuple[float, int, int]], least: float, decay: float = 0.9) -> list[str]:
+    """The largest branches ("path >") and the other content nodes ("path") in which all importance is below ``least``.
+
+    ``tree`` has each node's own importance, pages and number of styles. With l
+    child styles a presentation node's composite importance is (1 - decay ** l)
+    times its own and decay ** l times the mean of its children's, by pages; its
+    own text counts as a child.
+    """
+    nodes = {path.removesuffix(" >") for path in tree}
+    kids: dict[str, list[str]] = {path: [] for path in nodes}
+    for path in nodes:
+        if path:
+            kids.setdefault(path.rpartition("/")[0], []).append(path)
+    pages, value, low = {}, {}, {}
+    for path in sorted(kids, key=lambda x: x.count("/"), reverse=True):
+        own, m, styles = tree.get(f"{path} >", (0.0, 0, 0))
+        parts = [(value[k], pages[k], low[k]) for k in kids[path]]
+        if path in tree:
+            parts.append((tree[path][0], tree[path][1], tree[path][0] < least))
+        below = sum(v * n for v, n, _ in parts) / max(1, sum(n for _, n, _ in parts))
+        pages[path] = max([m, *(n for _, n, _ in parts)])
+        value[path] = (1 - decay**styles) * own + decay**styles * below
+        low[path] = value[path] < least and all(x for *_, x in parts)
+    branches = [f"{path} >" for path in kids if low[path] and not (path and low[path.rpartition("/")[0]])]
+    return sorted(branches + [path for path in nodes if path in tree and tree[path][0] < least and not low[path]])
+
+
+def off(path: str, low: frozenset[str]) -> bool:
+    """Whether a block's path is a low content node or in a low branch."""
+    if path in low:
+        return True
+    while path and f"{path} >" not in low:
+        path = path.rpartition("/")[0]
+    return f"{path} >" in low
+
+
 def low_branches(pages: DataFrame, min_pages: int, least: float) -> DataFrame:
-    """(host, low): each host's paths of low importance, with no important branch below."""
+    """(host, low): each host's ``noisy`` branches and content nodes."""
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -182,11 +219,15 @@ def low_branches(pages: DataFrame, min_pages: int, least: float) -> DataFrame:
                 h, p, d = zip(*seen)
                 yield pa.RecordBatch.from_arrays([pa.array(h, pa.string()), pa.array(p, pa.string()), pa.array(d, pa.int64()), pa.array(list(seen.values()), pa.int64())], ["host", "path", "digest", "n"])
 
+    def branches(table: pa.Table) -> pa.Table:
+        path, own, m, styles = (table.column(c).to_pylist() for c in ("path", "own", "m", "styles"))
+        return pa.table({"host": table.column("host")[:1], "low": pa.array([noisy(dict(zip(path, zip(own, m, styles))), least)], pa.list_(pa.string()))})
+
     seen = pages.mapInArrow(nodes, "host string, path string, digest long, n long")
-    per = seen.groupBy("host", "path", "digest").agg(F.sum("n").alias("n")).groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log(F.col("n"))).alias("s"))
+    per = seen.groupBy("host", "path", "digest").agg(F.sum("n").alias("n")).groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log(F.col("n"))).alias("s"), F.count(F.lit(1)).alias("styles"))
     own = F.when(F.col("m") >= min_pages, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(F.lit(1.0))
-    content = per.where(~F.col("path").endswith(" >"))
-    return content.where((own < least) & ~F.col("path").rlike(r"/(article|main)(/|\.|$)")).groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("low"))
+    tree = per.select("host", "path", own.alias("own"), "m", "styles")
+    return tree.groupBy("host").applyInArrow(branches, "host string, low array<string>").where(F.size("low") > 0)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 8, least: float = 0.2, broadcast_rows: int = 100_000) -> DataFrame:
@@ -194,8 +235,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     Blocks are joined in page order by a blank line; references are decoded and
     white space inside a block is one space. Where a page marks its article or
-    main part, that is where text is taken; a page without such a mark gives all
-    blocks that are left. Null, empty or textless pages give an empty text; a
+    main part, that is where text is taken. Of that, or of all blocks where there
+    is no mark, low branches go; a page of which nothing were left, as a copy of
+    most of its host's pages, keeps them. Null, empty or textless pages give an empty text; a
     null url is a host of its own; an empty table gives no rows; repeated rows
     give a row each; other columns are not read.
     """
@@ -206,15 +248,14 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = []
+            texts, sets = [], {}
             for page, low in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                low = sets.setdefault(tuple(low), frozenset(low)) if low else None
                 found = [x for x in blocks(page or "") if not x[2]]
                 if any(x[3] for x in found):
                     found = [x for x in found if x[3]]
-                elif low:
-                    off = tuple(low)
-                    kept = [x for x in found if x[0] not in off]
-                    found = kept or found
+                if low:
+                    found = [x for x in found if not off(x[0], low)] or found
                 texts.append("\n\n".join(x[1] for x in found))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["k", "u", "text", "n_chars"])
 

@@ -217,6 +217,21 @@ def test_repeated_branches_go(spark):
     assert got[20].text == "Same on every page\n\nText number 0 of its own"
 
 
+def test_repeated_branches_go_inside_article(spark):
+    """Repeated parts of the article go with all below them; what differs stays, as does a host's only text."""
+    page = '<body><article><div class="pitch"><div>Our app<p>Get it now</p></div></div><h1>Title {i}</h1><p>Text {i}</p>{more}</article></body>'
+    rows = [("http://a.b/%d" % i, page.format(i=i, more="<ul><li>a</ul>" if i % 2 else "")) for i in range(20)]
+    rows += [("http://c.d/", page.format(i=1, more=""))] * 20
+    got = [r.text for r in html.main_text(pages(spark, rows)).orderBy("page_id").collect()]
+    assert [t.split("\n\n")[:2] for t in got[:20]] == [[f"Title {i}", f"Text {i}"] for i in range(20)]
+    assert set(got[20:]) == {"Our app\n\nGet it now\n\nTitle 1\n\nText 1"}
+
+
+def test_composite_importance():
+    tree = {" >": (0.0, 10, 1), "/div >": (0.0, 10, 1), "/div/p": (0.1, 10, 2), "/div/b": (0.9, 10, 9), "/ul >": (0.0, 10, 1), "/ul/li": (0.0, 10, 1), "/ol >": (0.9, 10, 9), "/ol/li": (0.0, 10, 1)}
+    assert html.noisy(tree, 0.2) == ["/div/p >", "/ol/li >", "/ul >"]
+
+
 def test_pages_empty(spark):
     assert html.main_text(pages(spark, [])).collect() == []
 
