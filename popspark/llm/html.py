@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from .durable import durable
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'=])*+)>|<[!?/][^>]*>?", re.S)
-_ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _WS = re.compile(r"\s+")
 _RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,7 +35,27 @@ _MAIN = frozenset(["article", "main"])
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 _OWN_CLOSE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Words in class, id or role that name something other than the article.
-_ROLE = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|banner|cookie|cookies|consent|gdpr|notice|alert|popup|modal|overlay|sidebar|side|rail|widget|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|pagination|pager|footer|header|masthead|topbar|toolbar|comment|comments|disqus|reply|replies|respond|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|search|skip|contentinfo|complementary|copyright|tags|hidden)(?:$|[\s_-])", re.I)
+_ROLE = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|banner|cookie|cookies|consent|gdpr|notice|alert|popup|modal|overlay|sidebar|side|rail|widget|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|pagination|pager|footer|header|masthead|topbar|toolbar|comment|comments|disqus|reply|replies|respond|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|search|skip|contentinfo|complementary|copyright|tags)(?:$|[\s_-])|(?:^|\s)hidden(?:$|\s)", re.I)
+#: Whole names of these parts inside an article or main part, where single words of a name may well be the article's.
+_ROLE_INSIDE = re.compile(
+    r"(?:^|\s)(?:hidden|(?:(?:article|post|page|entry|site|js)[_-])*"
+    r"(?:ads?|advert|adverts|advertisement|advertising|sponsored|promo|gdpr|cookies?|popup|modal|navbar|navigation|nav|menu|sidebar|breadcrumbs?|pagination|pager"
+    r"|comments|disqus|respond|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|contentinfo|complementary)"
+    r"(?:[_-](?:box|list|links?|buttons?|btn|bar|section|block|area|wrap|wrapper|container|posts?|articles?|stories|items?|unit|slot|form|widget|icons?|thread|\d+))*)(?:$|\s)",
+    re.I,
+)
+
+
+def names_of(attrs: str) -> str:
+    """The classes, id and role of a tag's attributes, and ``hidden`` where an attribute says so."""
+    out = []
+    for name, *values in _ATTR.findall(attrs):
+        name, value = name.lower(), "".join(values)
+        if name == "hidden" or name == "aria-hidden" and "true" in value.lower():
+            out.append("hidden")
+        elif name in ("class", "id", "role"):
+            out.append(value)
+    return " ".join(out)
 
 
 def host_of(url: str | None) -> str:
@@ -106,8 +126,9 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
                         break
             continue
         attrs = m[3] or ""
-        names = " ".join((a[1] or a[2] or a[3] or a[0]) if a[0].lower() not in ("aria-hidden",) else ("hidden" if "true" in (a[1] or a[2] or a[3]).lower() else "") for a in _ATTR.findall(attrs)) if attrs else ""
-        odd = bool(names) and bool(_ROLE.search(names))
+        names = names_of(attrs) if attrs else ""
+        inside = stack[-1].main or tag in _MAIN
+        odd = bool(names) and bool((_ROLE_INSIDE if inside else _ROLE).search(names))
         if tag in _INLINE and not odd:
             if tag == "br":
                 held.append("\n")

@@ -232,6 +232,15 @@ def test_composite_importance():
     assert html.noisy(tree, 0.2) == ["/div/p >", "/ol/li >", "/ul >"]
 
 
+def test_roles_are_names(spark):
+    """Words in other attributes' values are no names, and parts of names are no roles inside an article."""
+    got = html.main_text(pages(spark, [
+        ("http://a.b/1", PAGE.format(main='<article style="overflow: hidden" class="post"><div class="post-header"><h1>Head</h1></div><p title="a hidden gem">One <a class="search-term">two</a> three</p><section id="related-work">Four</section><div class="share-buttons">no</div><div id="comments">no</div><p hidden>no</p><p aria-hidden="true">no</p><p class=hidden>no</p></article>')),
+        ("http://a.b/2", PAGE.format(main="<div style='overflow: hidden' data-x=\"class='ad'\"><p class='overflow-hidden'>plain</p><p class='ad-box'>no</p></div>")),
+    ])).orderBy("page_id").collect()
+    assert [r.text for r in got] == ["Head\n\nOne two three\n\nFour", "plain"]
+
+
 def test_pages_empty(spark):
     assert html.main_text(pages(spark, [])).collect() == []
 
