@@ -397,8 +397,8 @@ def score_texts(docs: DataFrame, train_rows, id_col: str = "doc_id", text_col: s
         u, _, _, number = tokens_of(table)
         m, of = table.num_rows, c[number]
         low = math.log10(n + 0.5 * (v + 1)) if n else math.nan
-        spelled = np.exp2(-np.minimum(model.value.costs(u), 1000.0))
-        chance = np.log2(known_share * of / max(n, 1) + (1 - known_share) * spelled)
+        with np.errstate(divide="ignore"):  # an unseen token has no share
+            chance = np.logaddexp2(np.log2(known_share * of / max(n, 1)), math.log2(1 - known_share) - model.value.costs(u))
         n_tokens = np.bincount(u.text, minlength=m)
         known = np.bincount(u.text, (of > 0)[u.unit], m).astype(np.int64)
         base = np.bincount(u.text, (np.log10(of + 0.5) - low)[u.unit], m)

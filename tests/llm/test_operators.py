@@ -52,6 +52,18 @@ def test_lm_without_training_or_rows(docs, empty, rows):
     assert score_texts(empty, F.lit(True)).collect() == []
 
 
+def test_lm_long_tokens_cost_their_bytes(spark):
+    """Texts of one token of 1 to 20 KB, in hex and without spaces in another script, cost bits by their length."""
+    import random
+
+    rng = random.Random(6)
+    long = "".join(rng.choice("0123456789abcdef") for _ in range(20_000))
+    rows = [(i, " ".join(words(rng, 60))) for i in range(30)] + [(100, long), (101, long[:10_000]), (102, long[:1_000]), (103, "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(6_000)))]
+    got = {r.doc_id: r for r in score_texts(frame(spark, rows), F.col("doc_id") < 30).collect()}
+    assert all(got[k].bits_per_byte > 1 for k in (100, 101, 102, 103))
+    assert got[100].score < 1.8 * got[101].score < 10 * got[102].score
+
+
 # 2
 
 
