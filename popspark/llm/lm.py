@@ -11,8 +11,8 @@ The bytes' probability joins the token's share of the training tokens, which
 has the Good-Turing weight of all that occurs more than once.
 
 Map tasks learn online: each takes in the tokens that are new to it, predicts
-those of every few chunks before it counts their contexts, and so trains its
-weights and its correction table on words it has not met. Counts add
+each of them before it counts its contexts, and so trains its weights and its
+correction table on words it has not met. Counts add
 up over all tasks, in two levels; weights are averaged. The model's size is
 fixed by ``table_bits``. Token counts for the base score grow with the corpus;
 texts are dealt to groups, each group asks for the counts of its distinct
@@ -173,9 +173,9 @@ class Learner:
         self.slope = np.full((_GATES, _INPUTS), 1e-7)
         self.after = np.zeros((_GATES, _STEPS, 2), np.int64)
         self.seen = np.zeros(0, U64)
-        self.chunks = self.online = 0
+        self.online = 0
 
-    def learn(self, data: np.ndarray, offsets: np.ndarray, every: int) -> None:
+    def learn(self, data: np.ndarray, offsets: np.ndarray) -> None:
         """Take in the units that are new to the task, each once: what counts is how words are made."""
         u = units_of(data, offsets)
         at = np.searchsorted(self.seen, u.keys)
@@ -184,18 +184,15 @@ class Learner:
         if not len(new):
             return
         self.seen = np.union1d(self.seen, u.keys[new])
-        predict = 1 < self.chunks < 6 or self.chunks % every == every - 1
-        self.chunks += 1
-        self.online += predict
+        self.online += 1
         new = new[np.argsort(mix(u.keys[new]), kind="stable")]
-        run = 1 << (11 if predict else 14)
+        run = 1 << 11
         for first in range(0, len(new), run):
             c = Contexts(u, new[first : first + run], self.bits)
             ones = np.ones(c.n, np.int32)
             for place, _, slots, bit in c.decisions():
                 at = [(s << 1) + bit for s in slots]
-                if predict:
-                    self._predict(place, at, bit)
+                self._predict(place, at, bit)
                 for a in at:
                     np.add.at(self.counts, a, ones[: len(a)])
 
@@ -269,14 +266,14 @@ class MixingModel:
         return out / math.log(2)
 
 
-def train(texts: DataFrame, table_bits: int = 20, chunk_bytes: int = 1 << 22, every: int = 16) -> MixingModel:
+def train(texts: DataFrame, table_bits: int = 20, chunk_bytes: int = 1 << 22) -> MixingModel:
     """Model of all texts (t). Without texts every bit costs about one bit."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learner = Learner(table_bits)
         seen = False
         for data, offsets in growing(batches, 1 << 15, chunk_bytes):
-            learner.learn(data, offsets, every)
+            learner.learn(data, offsets)
             seen = True
         if seen:
             for bucket, a in learner.parts():

@@ -52,6 +52,25 @@ def test_lm_without_training_or_rows(docs, empty, rows):
     assert score_texts(empty, F.lit(True)).collect() == []
 
 
+def test_lm_weights_learn_from_every_unit(spark):
+    """Each new unit of a task is predicted, however few its bytes are."""
+    import numpy as np
+    import random
+
+    from popspark.llm import lm
+
+    rng = random.Random(8)
+    texts = [" ".join(words(rng, 50)) for _ in range(4)]
+    learner, units = lm.Learner(16), set()
+    for t in texts:
+        data, offsets = np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])
+        learner.learn(data, offsets)
+        units |= {(int(k), int(n) - 2) for u in [lm.units_of(data, offsets)] for k, n in zip(u.keys, u.sizes)}
+    assert learner.after[:8].sum() == sum(n for _, n in units)
+    model = lm.train(spark.createDataFrame([(t,) for t in texts], "t string"), 16)
+    assert (model.weights[:, :-1] != 0.3).any() and (model.after != np.arange(-12.0, 13.0).astype(np.float32)).any()
+
+
 def test_lm_long_tokens_cost_their_bytes(spark):
     """Texts of one token of 1 to 20 KB, in hex and without spaces in another script, cost bits by their length."""
     import random
