@@ -495,7 +495,7 @@ def ipf_joint_converged(spark, d):
 @query()
 def ipu_weights(spark, d):
     h = households(spark, d)
-    sample = h.where("hhid % 15 = 0")
+    sample = sampled_hh(spark, d)
     p = persons(spark, d)
     inc = ipu.incidence(sample, p.join(sample.select("hhid"), "hhid", "left_semi"), "hhid", ["dwelltype"], ["sex"])
     hm = C.marginals(h, "zone_id", ["dwelltype"]).withColumn("level", F.lit("household"))

@@ -50,3 +50,8 @@ def test_layout_independent(spark, sf):
         out.append(sorted(map(tuple, catalog.weighted_draw_by_zone(spark, sf).collect())))
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert out[0] == out[1]
+
+
+def test_ipu_survey_is_drawn_from_all_households(spark, sf):
+    got = {r.hhid for r in catalog.ipu_weights(spark, sf).select("hhid").distinct().collect()}
+    assert got == {r.hhid for r in catalog.sampled_hh(spark, sf).select("hhid").collect()} and any(k % 15 for k in got)
