@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import tempfile
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-
 #: Rows and bytes of an Arrow batch of whole texts between Spark and its Python workers, at most.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
@@ -26,29 +22,32 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset, on one machine."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="popspark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="popspark-"))
     return sc.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept as files in the shared folder.
 
-    What it was computed from is needed no longer; a collection lets Spark's
-    cleaner drop those shuffles before the next ones fill the disks.
+    Its shuffles are needed no longer then, and their files go at once, before
+    those of the next steps come.
     """
-    shared_dir(df.sparkSession)
-    small_batches(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    del df
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # what collected results have left on the driver
-        libc.malloc_trim(0)
-    out.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    spark = df.sparkSession
+    shared_dir(spark)
+    small_batches(spark)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(cleanup, before)
 
 
 def partitions(spark: SparkSession) -> int:

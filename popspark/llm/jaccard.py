@@ -33,20 +33,20 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .arrays import U64, Words, mix, pieces, shingles, sorted_sets
 from .blobs import SCHEMA, bucket_count, by_bucket, packed, unpacked
-from .components import components, merged
+from .components import components, stars
 from .durable import durable, partitions
 
 #: Similarity as a fraction; the bounds below are for it.
 NUM, DEN = 3, 4
 #: Roles of a node; two of the odd ones are no pair. PREFIX: its guarantee is used up; PARTNER: that of a set it may meet.
 OWN, PROBE, PREFIX, PARTNER = 0, 1, 2, 3
-#: Groups of up to so many sets give all their pairs.
-SMALL_GROUP = 8
+#: Groups of up to so many sets give all their pairs; in larger ones so many hubs are compared with all.
+SMALL_GROUP, HUBS = 8, 3
 #: Signatures that like sets share beyond the one that the pigeonhole principle gives, as a part of H.
 SLACK = 0.25
 #: Members of groups with one smallest component that one task takes, about.
 FAMILY = 200_000
-_FLUSH = 1 << 20
+_FLUSH, _ROWS = 1 << 20, 1 << 16
 
 
 def band_start(band: int) -> int:
@@ -157,7 +157,7 @@ def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(k, n, fp, risk) of texts (k, t): set size, fingerprint, null for an empty set, and the bands in which its guarantee is used up."""
+    """(k, h, n, fp, risk) of texts (k, t, h): set size, fingerprint, null for an empty set, and the bands in which its guarantee is used up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -169,9 +169,9 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
                     mixed = mix(s)
                     fp[i] = fingerprint(s, mixed) & ~U64(3)
                     risk[i] = used_up(s, mixed)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(fp.view(np.int64), mask=n == 0), pa.array(risk, pa.list_(pa.int32()))], ["k", "n", "fp", "risk"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n), pa.array(fp.view(np.int64), mask=n == 0), pa.array(risk, pa.list_(pa.int32()))], ["k", "h", "n", "fp", "risk"])
 
-    return docs.mapInArrow(run, f"k {docs.schema['k'].dataType.simpleString()}, n long, fp long, risk array<int>")
+    return docs.mapInArrow(run, f"k {docs.schema['k'].dataType.simpleString()}, h long, n long, fp long, risk array<int>")
 
 
 def risky_bands(sets: DataFrame) -> frozenset[int]:
@@ -274,86 +274,112 @@ def _needed(kinds: dict[int, list[bytes]], n_buckets: int) -> Iterator[pa.Record
 
 
 def _groups(kinds: dict[int, list[bytes]], _: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of small groups (sig null) and members of large ones (b null)."""
+    """Pairs (sig null): all of small groups, each member with the hubs of large ones; members of large ones (b null)."""
     sig, node, size, need = unpacked(kinds.get(0, []), [U64, U64, np.uint32, np.uint32])
-    order = np.lexsort((node, sig))
-    sig, node, size, need = sig[order], node[order], size[order].astype(np.int64), need[order].astype(np.int64)
-    starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, np.int64)
+    if not len(sig):
+        return
+    key = node & ~U64(3)
+    # the sets that stand for many first, in an order that all groups share; roles that meet every other one before
+    order = np.lexsort((mix(key), node & U64(1), sig))
+    sig, node, key, size, need = sig[order], node[order], key[order], size[order].astype(np.int64), need[order].astype(np.int64)
+    starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
     count = np.diff(np.append(starts, len(sig)))
-    first, second = [], []
+    begin, ends = np.repeat(starts, count), np.repeat(starts + count, count)
+    small = np.repeat(count <= SMALL_GROUP, count)
+    held: list[np.ndarray] = []
+    place = np.arange(len(sig))
+
+    def take(i: np.ndarray, j: np.ndarray) -> None:
+        ok = (NUM * np.maximum(size[i], size[j]) <= DEN * np.minimum(size[i], size[j])) & ((node[i] & node[j] & U64(1)) == 0) & (key[i] != key[j])
+        x, y = key[i[ok]].view(np.int64), key[j[ok]].view(np.int64)
+        held.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+        if sum(map(len, held)) > _FLUSH:
+            held[:] = [distinct_pairs(np.concatenate(held))]
+
     for gap in range(1, SMALL_GROUP):
-        inside = np.repeat(np.where((count > 1) & (count <= SMALL_GROUP), starts + count, 0), count)
-        i = np.flatnonzero(np.arange(len(sig)) + gap < inside)
-        j = i + gap
-        ok = (NUM * np.maximum(size[i], size[j]) <= DEN * np.minimum(size[i], size[j])) & ((node[i] & node[j] & U64(1)) == 0)
-        first.append(node[i[ok]] & ~U64(3))
-        second.append(node[j[ok]] & ~U64(3))
-    a, b = np.concatenate(first), np.concatenate(second)
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), U64)
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]].astype(U64)
+        i = np.flatnonzero(small & (place + gap < ends))
+        take(i, i + gap)
+    for hub in range(HUBS):
+        j = np.flatnonzero(~small & (place > begin + hub))
+        take(begin[j] + hub, j)
+    pairs = distinct_pairs(np.concatenate(held))
     names = ["sig", "a", "b", "n", "need", "role"]
-    if len(pairs):
-        none = pa.nulls(len(pairs), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, *(pa.array(np.ascontiguousarray(pairs[:, k]).view(np.int64)) for k in (0, 1)), none, none, none], names)
-    big = np.repeat(count > SMALL_GROUP, count)
-    if big.any():
-        role = (node[big] & U64(3)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(sig[big].view(np.int64)), pa.array((node[big] & ~U64(3)).view(np.int64)), pa.nulls(int(big.sum()), pa.int64()), pa.array(size[big]), pa.array(need[big]), pa.array(role)], names)
+    for i in range(0, len(pairs), _ROWS):
+        p = pairs[i : i + _ROWS]
+        none = pa.nulls(len(p), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1])), none, none, none], names)
+    big = np.flatnonzero(~small)
+    for i in range(0, len(big), _ROWS):
+        m = big[i : i + _ROWS]
+        yield pa.RecordBatch.from_arrays([pa.array(sig[m].view(np.int64)), pa.array(key[m].view(np.int64)), pa.nulls(len(m), pa.int64()), pa.array(size[m]), pa.array(need[m]), pa.array((node[m] & U64(3)).astype(np.int64))], names)
+
+
+def distinct_pairs(p: np.ndarray) -> np.ndarray:
+    p = p[np.lexsort((p[:, 1], p[:, 0]))]
+    return p[np.append(True, (p[1:] != p[:-1]).any(1))] if len(p) else p
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, broadcast_ids: int) -> DataFrame:
-    """The (a, b) pairs whose shingle sets have the similarity, by their whole texts."""
+def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, broadcast_ids: int) -> DataFrame:
+    """Links that join the same sets as the (a, b) pairs of the similarity do, as stars in each task.
+
+    Each set that occurs in a pair is made once, from one text that has it, and
+    goes to its pairs as an array; no text is read for a pair.
+    """
     used = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     ids = durable(nodes.join(used, "fp"))
-    small = ids.count() <= broadcast_ids
-    texts = docs.join(F.broadcast(ids) if small else ids, docs["k"] == ids["rep"]).select("fp", "t")
-    left, right = texts.toDF("fa", "ta"), texts.toDF("fb", "tb")
-    both = pairs.join(left, F.col("a") == F.col("fa")).join(right, F.col("b") == F.col("fb")).select("a", "b", "ta", "tb")
+    ids = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 32):  # a few texts' sets at a time
-                b = batch.slice(at, 32)
-                sides = [dict(_sets(b.column(c), width)) for c in (2, 3)]
-                ends = [b.column(c).to_numpy().view(U64) for c in (0, 1)]
-                keep = []
-                for i in range(b.num_rows):
-                    x, y = sides[0][i], sides[1][i]
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    like = DEN * shared >= NUM * (len(x) + len(y) - shared) and shared > 0
-                    # an id that several texts have may bring another text's set
-                    keep.append(like and all(fingerprint(z, mix(z)) & ~U64(3) == e[i] for z, e in zip((x, y), ends)))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def linked_nodes(docs: DataFrame, nodes: DataFrame, width: int, broadcast_ids: int, risky: frozenset[int], stars: int = 2) -> DataFrame:
-    """(node, label) of the sets that have a link to another set."""
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = b.column(0).to_numpy()
+            for i, s in _sets(b.column(1), width):
+                if len(s) and np.int64(np.uint64(fingerprint(s, mix(s)) & ~U64(3)).view(np.int64)) == fp[i]:
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([s.tobytes()], pa.binary())], ["fp", "s"])
+
+    texts = docs.join(ids, docs["k"].eqNullSafe(ids["rep"]["k"]) & (docs["h"] == ids["rep"]["h"])).select("fp", "t")
+    sets = texts.mapInArrow(make, "fp long, s binary").dropDuplicates(["fp"])
+    left, right = sets.toDF("fa", "sa"), sets.toDF("fb", "sb")
+    both = pairs.join(right, F.col("b") == F.col("fb")).join(left, F.col("a") == F.col("fa")).select("a", "b", "sa", "sb")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[int]] = []
+        for b in batches:
+            for x, y, u, v in zip(*(c.to_pylist() for c in b.columns[:2]), b.column(2), b.column(3)):
+                p, q = np.frombuffer(u.as_buffer(), U64), np.frombuffer(v.as_buffer(), U64)
+                shared = len(np.intersect1d(p, q, assume_unique=True))
+                if shared and DEN * shared >= NUM * (len(p) + len(q) - shared):
+                    held.append([x, y])
+            if len(held) > _FLUSH:
+                held = np.stack(stars(*np.array(held, np.int64).T), 1).tolist()
+        if held:
+            a, b = stars(*np.array(held, np.int64).T)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return both.mapInArrow(verify, "a long, b long")
+
+
+def linked_nodes(docs: DataFrame, nodes: DataFrame, width: int, broadcast_ids: int, risky: frozenset[int]) -> DataFrame:
+    """(node, label) of the sets that have a link to a smaller one, directly or not.
+
+    Two passes: pairs of small groups and of hubs give components; then the
+    pairs of large groups whose ends are in different ones so far.
+    """
     n_buckets = bucket_count(docs)
     shared = by_bucket(_indexed(docs, width, n_buckets, risky), lambda kinds, bucket: _shared(kinds, bucket, n_buckets), SCHEMA)
     needed = by_bucket(shared, lambda kinds, _: _needed(kinds, n_buckets), SCHEMA)
     found = durable(by_bucket(needed, _groups, "sig long, a long, b long, n long, need long, role long"))
     members = found.where("b is null").select("sig", F.col("a").alias("node"), "n", "need", "role")
-    tested = durable(found.where("b is not null").select("a", "b").distinct())
-    labels = durable(components(durable(_verified(tested, nodes, docs, width, broadcast_ids))))
+    tested = found.where("b is not null").select("a", "b").distinct()
+    labels = components(_links(tested, nodes, docs, width, broadcast_ids))
     if members.isEmpty():
         return labels
-    fits = lambda x, y: (NUM * F.greatest(x, y) <= DEN * F.least(x, y))
-    for turn in range(stars + 1):
-        m = _open(members, labels)
-        if turn < stars:
-            hub = m.groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "role", "label")).alias("hub")).select(F.col("sig").alias("sig1"), "hub")
-            new = m.join(hub, F.col("sig") == F.col("sig1")).where((F.col("label") != F.col("hub.label")) & (F.col("role").bitwiseAND(F.col("hub.role")).bitwiseAND(1) == 0) & fits(F.col("n"), F.col("hub.n"))).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-        else:
-            new = m.select("sig", "node", "n", "role", "label", "lo", F.pmod("sig", F.ceil(F.count(F.lit(1)).over(W.partitionBy("lo")) / FAMILY)).alias("part")).repartition(partitions(docs.sparkSession), "lo", "part").select("sig", "node", "n", "role", "label").mapInArrow(_cross_pairs, "a long, b long")
-        new = durable(new.distinct().join(tested, ["a", "b"], "left_anti"))
-        if not new.isEmpty():
-            tested = tested.unionByName(new)
-            links = durable(_verified(new, nodes, docs, width, broadcast_ids))
-            if not links.isEmpty():
-                labels = merged(labels, links)
-    return labels
+    m = _open(members, labels).withColumn("part", F.pmod("sig", F.ceil(F.count(F.lit(1)).over(W.partitionBy("lo")) / FAMILY)))
+    cross = m.repartition(partitions(docs.sparkSession), "lo", "part").select("sig", "node", "n", "role", "label").mapInArrow(_cross_pairs, "a long, b long")
+    cross = durable(cross.distinct().join(tested, ["a", "b"], "left_anti"))
+    if cross.isEmpty():
+        return labels
+    known = labels.select(F.col("label").alias("a"), F.col("node").alias("b"))
+    return components(_links(cross, nodes, docs, width, broadcast_ids).unionByName(known))
 
 
 def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,10 +406,12 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1))
         size += len(i)
         if size > _FLUSH:
-            held, size = [np.unique(np.concatenate(held), axis=0)], 0
+            held, size = [distinct_pairs(np.concatenate(held))], 0
         gap += 1
-    found = np.unique(np.concatenate(held), axis=0)
-    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1]))], ["a", "b"])
+    found = distinct_pairs(np.concatenate(held))
+    for i in range(0, len(found), _ROWS):
+        p = found[i : i + _ROWS]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))], ["a", "b"])
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -406,28 +434,49 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A text with fewer than ``width`` words is its whole sequence as one shingle;
     a null, empty or wordless text has an empty set, links with nothing and is
     its own component. Copies of a set are one component. Rows that share an id
-    but not the text are told apart by their sets; a null id is no component's
-    smallest unless all are null. An empty table gives no rows. Shingles are
-    compared by 64-bit hashes. Only the two named columns are read.
+    but not the text, null ids too, are told apart by their texts; a null id is
+    no component's smallest unless all are null. An empty table gives no rows.
+    Shingles are compared by 64-bit hashes. Only the two named columns are read.
     """
-    d = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
+    c = _components(docs, id_col, text_col, width, broadcast_ids)
+    return c.select(F.col("k").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "k").alias("component_id"))
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int, broadcast_ids: int) -> DataFrame:
+    """(k, h, n, component, keep) of every row: id, hash of the text, set size, the component's smallest id and its (id, hash); null for an empty set."""
+    d = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
     sets = durable(shingle_sets(d, width))
-    nodes = sets.where("fp is not null").groupBy("fp").agg(F.min("k").alias("rep"))
+    first = F.min(F.struct(F.col("k").isNull().alias("none"), "k", "h"))
+    nodes = sets.where("fp is not null").groupBy("fp").agg(first.alias("rep"))
     labels = linked_nodes(d, nodes, width, broadcast_ids, risky_bands(sets))
     classes = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    least = classes.groupBy("label").agg(F.min("rep").alias("component"))
-    of = durable(classes.join(least, "label").select(F.col("fp").alias("fp1"), "component"))
-    return sets.join(of, F.col("fp") == F.col("fp1"), "left").select(F.col("k").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "k").alias("component_id"))
+    least = classes.groupBy("label").agg(F.min("rep").alias("keep"))
+    of = durable(classes.join(least, "label").select(F.col("fp").alias("fp1"), "keep"))
+    return sets.join(of, F.col("fp") == F.col("fp1"), "left").select("k", "h", "n", F.col("keep.k").alias("component"), "keep")
 
 
-def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, with all their columns.
+def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, broadcast_ids: int = 500_000) -> DataFrame:
+    """One row of ``docs`` of each component, that of the smallest id, with all its columns.
 
-    Repeated rows of one id and text become one. Rows with a null id stay.
+    Rows are told apart by id and text, so that one whose id occurs elsewhere
+    goes only where its own text is a near duplicate; of several texts of the
+    component under its smallest id one stays, and of rows alike in id and text
+    one. Null ids come last. Rows without a word stay, all of them.
     """
-    c = durable(jaccard_components(docs, id_col, text_col, width).withColumnRenamed(id_col, "__id"))
-    gone = c.where("__id != component_id").select("__id").distinct()
-    kept = docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
-    if c.where("__id is not null").groupBy("__id").count().where("count > 1").isEmpty():
+    c = durable(_components(docs, id_col, text_col, width, broadcast_ids))
+    names = _free(docs.columns, 2)
+    keys = [F.col("k").alias(names[0]), F.col("h").alias(names[1])]
+    same = lambda: F.col(id_col).eqNullSafe(F.col(names[0])) & (F.xxhash64(text_col) == F.col(names[1]))
+    words = c.where("n > 0")
+    gone = words.where(~(F.col("k").eqNullSafe(F.col("keep.k")) & (F.col("h") == F.col("keep.h")))).select(*keys).distinct()
+    kept = docs.join(gone, same(), "left_anti")
+    again = durable(words.where(F.col("k").eqNullSafe(F.col("keep.k")) & (F.col("h") == F.col("keep.h"))).groupBy(*keys).count().where("count > 1").drop("count"))
+    if again.isEmpty():
         return kept
-    return kept.dropDuplicates([id_col, text_col])
+    return kept.join(again, same(), "left_anti").unionByName(kept.join(again, same(), "left_semi").dropDuplicates([id_col, text_col]))
+
+
+def _free(taken: list[str], n: int) -> list[str]:
+    """Names that no column has."""
+    low = {c.lower() for c in taken}
+    return [x for x in (f"__{i}" for i in range(len(taken) + n)) if x not in low][:n]

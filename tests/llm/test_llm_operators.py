@@ -1,25 +1,22 @@
 """Each operator against its plain version, with nulls, empty tables, ties, repeats and clashing columns."""
 
-import sys
 from collections import Counter, defaultdict
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-sys.path.insert(0, str(Path(__file__).parent))
-import brute  # noqa: E402
+from popspark.llm import decontamination, html, toxicity
+from popspark.llm.jaccard import SMALL_GROUP, Band, band_of, band_start, jaccard_components, one_of_each_component
+from popspark.llm.lines import dedup_lines
+from popspark.llm.lm import score_texts
+from popspark.llm.mixing import mix_sources, source_targets
+from popspark.llm.quality import quality_rules
+from popspark.llm.substrings import remove_repeats
+from popspark.llm.tokens import token_counts
 
-from popspark.llm import decontamination, html, toxicity  # noqa: E402
-from popspark.llm.jaccard import SMALL_GROUP, Band, band_of, band_start, jaccard_components, one_of_each_component  # noqa: E402
-from popspark.llm.lines import dedup_lines  # noqa: E402
-from popspark.llm.lm import score_texts  # noqa: E402
-from popspark.llm.mixing import mix_sources, source_targets  # noqa: E402
-from popspark.llm.quality import quality_rules  # noqa: E402
-from popspark.llm.substrings import remove_repeats  # noqa: E402
-from popspark.llm.tokens import token_counts  # noqa: E402
-
-from conftest import frame, words  # noqa: E402
+from . import brute
+from .data import frame, words
 
 
 def keyed(rows):
@@ -138,6 +135,43 @@ def test_one_of_each(docs, rows):
     assert got.columns == docs.columns
 
 
+def test_one_of_each_tells_rows_apart(spark):
+    """Unique texts under a shared or null id stay; one row of each component does."""
+    import random
+
+    rng = random.Random(21)
+    a, b, c = (" ".join(words(rng, 40)) for _ in range(3))
+    rows = [(1, a), (5, a), (5, b), (5, b), (None, a), (None, c), (None, c), (None, None), (None, None), (7, ""), (7, "")]
+    got = [(r.doc_id, r.text) for r in one_of_each_component(frame(spark, rows).repartition(3)).collect()]
+    assert keyed(got) == keyed([(1, a), (5, b), (None, c), (None, None), (None, None), (7, ""), (7, "")])
+
+
+def test_jaccard_null_ids_link(spark):
+    """A text that only null ids have joins two others that are too far apart by themselves."""
+    import random
+
+    rng = random.Random(22)
+    w = words(rng, 130)
+    texts = [(3, " ".join(w[:110])), (None, " ".join(w[9:119])), (9, " ".join(w[18:128]))]
+    want = brute.jaccard_components(texts)
+    assert len({c for *_, c in want}) == 1 and len({c for *_, c in brute.jaccard_components([texts[0], texts[2]])}) == 2
+    assert keyed(jaccard_components(frame(spark, texts + [(None, None), texts[1]])).collect()) == keyed(brute.jaccard_components(texts + [(None, None), texts[1]]))
+
+
+def test_components_of_chains_and_stars(spark):
+    import random
+
+    from popspark.llm.components import components
+
+    rng = random.Random(23)
+    names = [rng.randrange(-(1 << 62), 1 << 62) for _ in range(1300)]
+    links = [(i, i + 1) for i in range(300)] + [(400, 400 + i) for i in range(1, 500)] + [(900 + i, 900 + rng.randrange(i)) for i in range(1, 300)]
+    got = {r.node: r.label for r in components(spark.createDataFrame([(names[a], names[b]) for a, b in links], "a long, b long").repartition(7)).collect()}
+    want = {x: min(part) for part in (names[:301], names[400:900], names[900:1200]) for x in part}
+    assert got == {x: y for x, y in want.items() if x != y}
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
 def test_jaccard_empty(empty):
     assert jaccard_components(empty).collect() == []
 

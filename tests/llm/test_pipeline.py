@@ -1,13 +1,9 @@
 """The stages in a row, and each against its plain version on the smallest tables."""
 
-import sys
-from pathlib import Path
+import corpus_pipeline as pipeline
+from popspark.llm import queries
 
-sys.path.insert(0, str(Path(__file__).parent))
-import brute  # noqa: E402
-
-import corpus_pipeline as pipeline  # noqa: E402
-from popspark.llm import queries  # noqa: E402
+from . import brute
 
 
 def test_stages(spark, sf):
