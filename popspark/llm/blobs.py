@@ -50,11 +50,15 @@ def by_bucket(blobs: DataFrame, reduce: Callable[[dict[int, list[bytes]], int],
     """``reduce`` over each bucket's blobs by kind, one bucket at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, dict[int, list[bytes]]] = {}
+        at, held = None, {}
         for b in batches:
             for bucket, kind, blob in zip(*(c.to_pylist() for c in b.columns)):
-                held.setdefault(bucket, {}).setdefault(kind, []).append(blob)
-        for bucket in sorted(held):
-            yield from reduce(held.pop(bucket), bucket)
-
-    return blobs.repartition(partitions(blobs.sparkSession), "bucket").mapInArrow(run, schema)
+                if bucket != at and held:
+                    yield from reduce(held, at)
+                    held = {}
+                at = bucket
+                held.setdefault(kind, []).append(blob)
+        if held:
+            yield from reduce(held, at)
+
+    return blobs.repartition(partitions(blobs.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)

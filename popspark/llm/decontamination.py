@@ -1,16 +1,17 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
-Items are partitioned by the size of their shingle set. A partition's sketch is
-as long as its sizes ask for: an item of n shingles of which t must be found is
-sketched by its n - t + 1 smallest hashes, so that a text with t of its
-shingles has one of these at least, however long the text is. The texts need no
-sketch of their own, whose estimate would vanish beside a long text; each
-shingle of a whole text is looked up. Candidates are verified by exact
-containment of the item's shingle set.
+Items are partitioned by the size of their shingle set. Each partition has a
+threshold of its own, h hits, and sketches each of its items of n shingles, of
+which t must be found, by the n - t + h smallest hashes: a text with t of the
+item's shingles, however long it is, has h of these at least. The partitions
+are looked up apart, with every shingle of a whole text; a text of its own
+sketch would not show a short item. Pairs with h hits are verified by exact
+containment of the item's shingle set. An item with fewer words than a shingle
+is one shingle of its own length, in a partition for that length.
 
 The items are held in blocks of ``block_words`` words at most, each broadcast
 and searched in one pass over the texts without a shuffle; any number of blocks
-may follow one another.
+may follow one another, one at a time in memory.
 """
 
 from __future__ import annotations
@@ -23,31 +24,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .arrays import U64, Words, pieces, shingles, sorted_sets
+from .durable import durable
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+class Partition:
+    """Sketches of the items of one size class, and how many hits a text needs."""
+
+    def __init__(self, width: int, items: list[int], sets: list[np.ndarray], needs: list[int]):
+        self.width = width
+        self.hits = max(1, min(needs) // 4)
+        sketches = [s[: len(s) - t + self.hits] for s, t in zip(sets, needs)]
+        keys, of = np.concatenate(sketches), np.repeat(np.array(items), [len(s) for s in sketches])
+        order = np.lexsort((of, keys))
+        self.keys, self.items = keys[order], of[order]
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[(self.keys >> U64(44)).astype(np.int64)] = True
+
+    def candidates(self, values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """(text, item) rows, by text, that share enough of the sketch."""
+        maybe = np.flatnonzero(self.seen[(values >> U64(44)).astype(np.int64)])
+        lo, hi = (np.searchsorted(self.keys, values[maybe], side=s) for s in ("left", "right"))
+        n = hi - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        text = np.searchsorted(bounds, np.repeat(maybe, n), side="right") - 1
+        hit = np.unique(text * len(self.keys) + at)  # a shingle counts once in a text
+        text, item = hit // len(self.keys), self.items[hit % len(self.keys)]
+        pairs, count = np.unique(np.stack([text, item], 1), axis=0, return_counts=True)
+        return pairs[count >= self.hits]
+
+
 class ItemIndex:
-    """Sketches of one block of items, by size partition."""
+    """One block of items, by size partition."""
 
     def __init__(self, texts: list[str | None], width: int, threshold: str):
-        self.width, self.sets, self.needs = width, [], []
         part = Fraction(threshold)
+        self.sets: list[np.ndarray] = []
+        classes: dict[tuple[int, int], list[int]] = {}
         for _, _, data, offsets in pieces(pa.array(texts, pa.string())):
-            self.sets += list(sorted_sets(*shingles(Words(data, offsets), width)))
+            words = Words(data, offsets)
+            sizes = np.diff(words.bounds)
+            by_width = {w: list(sorted_sets(*shingles(words, w))) for w in {min(width, int(n)) for n in sizes if n}}
+            for i, n in enumerate(sizes):
+                s = by_width[min(width, int(n))][i] if n else np.zeros(0, U64)
+                if len(s):
+                    classes.setdefault((min(width, int(n)), len(s).bit_length()), []).append(len(self.sets))
+                self.sets.append(s)
         self.needs = [-(-len(s) * part.numerator // part.denominator) for s in self.sets]
-        keys, items = [], []
-        for size in sorted({len(s).bit_length() for s in self.sets if len(s)}):
-            for i, s in enumerate(self.sets):
-                if len(s) and len(s).bit_length() == size:
-                    sketch = s[: len(s) - self.needs[i] + 1]
-                    keys.append(sketch)
-                    items.append(np.full(len(sketch), i))
-        keys, items = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, U64), (items, np.int64)))
-        order = np.lexsort((items, keys))
-        self.keys, self.items = keys[order], items[order]
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[(self.keys >> U64(44)).astype(np.int64)] = True
+        self.parts = [Partition(w, ids, [self.sets[i] for i in ids], [self.needs[i] for i in ids]) for (w, _), ids in sorted(classes.items())]
 
     def matches(self, column: pa.Array) -> tuple[list[int], list[int], list[int]]:
         """(row, item number, shared shingles) of all contained items."""
@@ -55,27 +80,23 @@ class ItemIndex:
         items: list[int] = []
         shared: list[int] = []
         for first, _, data, offsets in pieces(column):
-            values, bounds = shingles(Words(data, offsets), self.width)
-            maybe = np.flatnonzero(self.seen[(values >> U64(44)).astype(np.int64)])
-            lo, hi = (np.searchsorted(self.keys, values[maybe], side=s) for s in ("left", "right"))
-            n = hi - lo
-            if not n.any():
-                continue
-            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-            text = np.searchsorted(bounds, np.repeat(maybe, n), side="right") - 1
-            pairs = np.unique(text * len(self.sets) + self.items[at])
-            last, own = -1, None
-            for t, i in zip(pairs // len(self.sets), pairs % len(self.sets)):
-                if t != last:
-                    last, own = t, np.unique(values[bounds[t] : bounds[t + 1]])
-                s = self.sets[i]
-                place = np.searchsorted(own, s)
-                place[place == len(own)] = 0
-                found = int((own[place] == s).sum())
-                if found >= self.needs[i]:
-                    rows.append(first + int(t))
-                    items.append(int(i))
-                    shared.append(found)
+            words, width = Words(data, offsets), None
+            for part in self.parts:
+                if part.width != width:
+                    width = part.width
+                    values, bounds = shingles(words, width)
+                last, own = -1, None
+                for t, i in part.candidates(values, bounds):
+                    if t != last:
+                        last, own = t, np.unique(values[bounds[t] : bounds[t + 1]])
+                    s = self.sets[i]
+                    place = np.searchsorted(own, s)
+                    place[place == len(own)] = 0
+                    found = int((own[place] == s).sum())
+                    if found >= self.needs[i]:
+                        rows.append(first + int(t))
+                        items.append(int(i))
+                        shared.append(found)
         return rows, items, shared
 
 
@@ -103,9 +124,9 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     """(id, item id, n_shared, n_item, containment): the items that whole texts contain.
 
     An item counts as contained when at least ``threshold`` of its distinct
-    lower-case ``width``-word shingles are in the text. Items and texts of fewer
-    words have their whole sequence as one shingle; null, empty or wordless ones
-    match nothing. Repeated items and texts give a row each; no rows come from
+    lower-case ``width``-word shingles are in the text; one of fewer words when
+    its words follow one another in the text. Null, empty or wordless items and
+    texts match nothing. Repeated items and texts give a row each; no rows come from
     an empty table on either side. Only the named columns are read.
     """
     spark = docs.sparkSession
@@ -125,6 +146,8 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
                     names = pa.array([ids[i] for i in items])
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), names, pa.array(found, pa.int64()), pa.array(sizes, pa.int64()), pa.array([x / n for x, n in zip(found, sizes)])], ["k", "i", "n_shared", "n_item", "containment"])
 
+        if out is not None:  # the block before is done with when the next one comes
+            out = durable(out)
         part = d.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     out = spark.createDataFrame([], schema) if out is None else out
@@ -132,9 +155,17 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 5, threshold: str = "0.75", block_words: int = 2_000_000) -> DataFrame:
-    """The rows of ``docs`` whose text contains no item, with all their columns."""
+    """The rows of ``docs`` whose text contains no item, with all their columns.
+
+    Containment is that of ``contained_items``. A row is judged by its own text,
+    so that rows that share an id go or stay apart; null, empty and wordless
+    texts stay; repeated rows all go or all stay; an empty table on either side
+    changes nothing. Columns pass through whatever their names are.
+    """
     at = docs.columns.index(text_col)
-    for _, texts in item_blocks(benchmark, item_col, item_text_col, block_words):
+    for n, (_, texts) in enumerate(item_blocks(benchmark, item_col, item_text_col, block_words)):
+        if n:
+            docs = durable(docs)  # one block at a time
         shared = docs.sparkSession.sparkContext.broadcast(ItemIndex(texts, width, threshold))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -17,8 +17,8 @@ A set drops out when fewer than ``need`` of its signatures occur elsewhere, and
 is looked up under all but its ``need - 1`` most frequent ones. Candidates are
 verified on their whole shingle sets. Sets that are equal are one node
 throughout. Small groups give all their pairs; in a large one a few members are
-compared with all others, and then only pairs whose ends are in different
-components so far, which loses no link between components.
+compared with all others, then more of them, and at last only pairs whose ends
+are in different components so far, which loses no link between components.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .arrays import U64, Words, mix, pieces, shingles, sorted_sets
 from .blobs import SCHEMA, bucket_count, by_bucket, packed, unpacked
+from .columns import free
 from .components import components, stars
 from .durable import durable, partitions
 
@@ -40,12 +41,12 @@ from .durable import durable, partitions
 NUM, DEN = 3, 4
 #: Roles of a node; two of the odd ones are no pair. PREFIX: its guarantee is used up; PARTNER: that of a set it may meet.
 OWN, PROBE, PREFIX, PARTNER = 0, 1, 2, 3
-#: Groups of up to so many sets give all their pairs; in larger ones so many hubs are compared with all.
-SMALL_GROUP, HUBS = 8, 3
+#: Groups of up to so many sets give all their pairs; in larger ones so many hubs are compared with all, then so many more.
+SMALL_GROUP, HUBS, MORE_HUBS = 8, 2, 12
 #: Signatures that like sets share beyond the one that the pigeonhole principle gives, as a part of H.
 SLACK = 0.25
 #: Members of groups with one smallest component that one task takes, about.
-FAMILY = 200_000
+FAMILY = 20_000
 _FLUSH, _ROWS = 1 << 20, 1 << 16
 
 
@@ -190,7 +191,7 @@ def _indexed(docs: DataFrame, width: int, n_buckets: int, risky: frozenset[int])
             if sigs:
                 keys = np.concatenate(sigs)
                 node = np.repeat(np.array([x for x, _ in nodes], U64), [n for _, n in nodes])
-                yield from packed(keys, [keys, node], n_buckets)
+                yield from packed(keys, [keys.astype(np.uint32), node], n_buckets)  # a bucket has few enough for 32 bits; chance meetings are verified like others
             if meta:
                 m = np.array(meta, np.uint64).reshape(-1, 3)
                 yield from packed(mix(m[:, 0]), [m[:, 0], m[:, 1].astype(np.uint32), m[:, 2].astype(np.uint32)], n_buckets, 1)
@@ -235,7 +236,8 @@ def _shared(kinds: dict[int, list[bytes]], bucket: int, n_buckets: int) -> Itera
     passed = kinds.get(1, [])
     if passed:
         yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(passed), pa.int32()), pa.array([1] * len(passed), pa.int32()), pa.array(passed, pa.binary())], ["bucket", "kind", "blob"])
-    sig, node = unpacked(kinds.get(0, []), [U64, U64])
+    sig, node = unpacked(kinds.get(0, []), [np.uint32, U64])
+    sig = mix(sig.astype(U64) | U64(bucket) << U64(32))
     order = np.argsort(sig)
     sig = sig[order]
     twice = np.zeros(len(sig), bool)
@@ -257,61 +259,77 @@ def _shared(kinds: dict[int, list[bytes]], bucket: int, n_buckets: int) -> Itera
 
 
 def _needed(kinds: dict[int, list[bytes]], n_buckets: int) -> Iterator[pa.RecordBatch]:
-    """The signatures of the nodes that share enough of them: (signature, node, size, need)."""
-    node, sig, _ = unpacked(kinds.get(2, []), [U64, U64, np.uint32])
+    """(signature, node, size, need, nodes with it, kept) of the nodes that share enough signatures; kept: all but a node's need - 1 most frequent."""
+    node, sig, freq = unpacked(kinds.get(2, []), [U64, U64, np.uint32])
     if not len(node):
         return
     meta, size, need = unpacked(kinds.get(1, []), [U64, np.uint32, np.uint32])
     order = np.argsort(meta, kind="stable")
     meta, size, need = meta[order], size[order], need[order]
-    order = np.argsort(node, kind="stable")
-    node, sig = node[order], sig[order]
+    order = np.lexsort((sig, freq, node))
+    node, sig, freq = node[order], sig[order], freq[order]
     starts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
     count = np.diff(np.append(starts, len(node)))
     at = np.searchsorted(meta, node[starts])
+    kept = np.arange(len(node)) - np.repeat(starts, count) <= np.repeat(count - need[at].astype(np.int64), count)
     ok = np.repeat(count >= need[at], count)
-    yield from packed(sig[ok], [sig[ok], node[ok], np.repeat(size[at], count)[ok], np.repeat(need[at], count)[ok]], n_buckets)
+    yield from packed(sig[ok], [sig[ok], node[ok], np.repeat(size[at], count)[ok], np.repeat(need[at], count)[ok], freq[ok], kept[ok].astype(np.uint8)], n_buckets)
 
 
 def _groups(kinds: dict[int, list[bytes]], _: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (sig null): all of small groups, each member with the hubs of large ones; members of large ones (b null)."""
-    sig, node, size, need = unpacked(kinds.get(0, []), [U64, U64, np.uint32, np.uint32])
+    """Pairs (sig null): all of small groups, each member with the hubs of large ones; members of large ones (b null).
+
+    Two sets that link share ``need`` signatures; the one of these that fewest
+    sets have is kept by both. If that is a small group's, the pair comes from
+    there; if not, all of them are large groups', whose members are passed on.
+    """
+    sig, node, size, need, freq, kept = unpacked(kinds.get(0, []), [U64, U64, np.uint32, np.uint32, np.uint32, np.uint8])
     if not len(sig):
         return
-    key = node & ~U64(3)
-    # the sets that stand for many first, in an order that all groups share; roles that meet every other one before
-    order = np.lexsort((mix(key), node & U64(1), sig))
-    sig, node, key, size, need = sig[order], node[order], key[order], size[order].astype(np.int64), need[order].astype(np.int64)
-    starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-    count = np.diff(np.append(starts, len(sig)))
-    begin, ends = np.repeat(starts, count), np.repeat(starts + count, count)
-    small = np.repeat(count <= SMALL_GROUP, count)
-    held: list[np.ndarray] = []
-    place = np.arange(len(sig))
-
-    def take(i: np.ndarray, j: np.ndarray) -> None:
-        ok = (NUM * np.maximum(size[i], size[j]) <= DEN * np.minimum(size[i], size[j])) & ((node[i] & node[j] & U64(1)) == 0) & (key[i] != key[j])
-        x, y = key[i[ok]].view(np.int64), key[j[ok]].view(np.int64)
-        held.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
-        if sum(map(len, held)) > _FLUSH:
-            held[:] = [distinct_pairs(np.concatenate(held))]
-
-    for gap in range(1, SMALL_GROUP):
-        i = np.flatnonzero(small & (place + gap < ends))
-        take(i, i + gap)
-    for hub in range(HUBS):
-        j = np.flatnonzero(~small & (place > begin + hub))
-        take(begin[j] + hub, j)
-    pairs = distinct_pairs(np.concatenate(held))
+    big = np.flatnonzero(freq > SMALL_GROUP)
     names = ["sig", "a", "b", "n", "need", "role"]
-    for i in range(0, len(pairs), _ROWS):
-        p = pairs[i : i + _ROWS]
-        none = pa.nulls(len(p), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1])), none, none, none], names)
-    big = np.flatnonzero(~small)
+    key = (node & ~U64(3)).view(np.int64)
     for i in range(0, len(big), _ROWS):
         m = big[i : i + _ROWS]
-        yield pa.RecordBatch.from_arrays([pa.array(sig[m].view(np.int64)), pa.array(key[m].view(np.int64)), pa.nulls(len(m), pa.int64()), pa.array(size[m]), pa.array(need[m]), pa.array((node[m] & U64(3)).astype(np.int64))], names)
+        yield pa.RecordBatch.from_arrays([pa.array(sig[m].view(np.int64)), pa.array(key[m]), pa.nulls(len(m), pa.int64()), pa.array(size[m].astype(np.int64)), pa.array(need[m].astype(np.int64)), pa.array((node[m] & U64(3)).astype(np.int64))], names)
+    kept = kept > 0
+    sig, key, size, role, small = sig[kept].view(np.int64), key[kept], size[kept].astype(np.int64), (node[kept] & U64(3)).astype(np.int64), freq[kept] <= SMALL_GROUP
+    pairs = [pairs_of(sig[x], key[x], size[x], role[x], None, hubs) for x, hubs in ((small, SMALL_GROUP), (~small, HUBS))]
+    yield from _pair_rows(distinct_pairs(np.concatenate(pairs)), names)
+
+
+def _pair_rows(pairs: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(pairs), _ROWS):
+        p = pairs[i : i + _ROWS]
+        of = {"a": pa.array(np.ascontiguousarray(p[:, 0])), "b": pa.array(np.ascontiguousarray(p[:, 1]))}
+        yield pa.RecordBatch.from_arrays([of.get(x, pa.nulls(len(p), pa.int64())) for x in names], names)
+
+
+def pairs_of(sig: np.ndarray, key: np.ndarray, size: np.ndarray, role: np.ndarray, label: np.ndarray | None, hubs: int | None) -> np.ndarray:
+    """Distinct pairs inside the groups of one signature: each member with its group's hubs, or all (None); not of one label.
+
+    The hubs are the first by hash, in an order that all groups share, after
+    the roles that do not meet all others.
+    """
+    order = np.lexsort((mix(key.view(U64)), role & 1, sig))
+    sig, key, size, role = sig[order], key[order], size[order], role[order]
+    label = None if label is None else label[order]
+    begin, ends = np.searchsorted(sig, sig), np.searchsorted(sig, sig, side="right")
+    place, held, step = np.arange(len(sig)), [np.zeros((0, 2), np.int64)], 0
+    while hubs is None or step < hubs:
+        i = np.flatnonzero(place + step + 1 < ends) if hubs is None else begin[j := np.flatnonzero(place > begin + step)] + step
+        j = i + step + 1 if hubs is None else j
+        if not len(i):
+            break
+        ok = (NUM * np.maximum(size[i], size[j]) <= DEN * np.minimum(size[i], size[j])) & ((role[i] & role[j] & 1) == 0) & (key[i] != key[j])
+        if label is not None:
+            ok &= label[i] != label[j]
+        x, y = key[i[ok]], key[j[ok]]
+        held.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+        if sum(map(len, held)) > max(_FLUSH, 2 * len(held[0])):
+            held = [distinct_pairs(np.concatenate(held))]
+        step += 1
+    return distinct_pairs(np.concatenate(held))
 
 
 def distinct_pairs(p: np.ndarray) -> np.ndarray:
@@ -361,8 +379,9 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, broa
 def linked_nodes(docs: DataFrame, nodes: DataFrame, width: int, broadcast_ids: int, risky: frozenset[int]) -> DataFrame:
     """(node, label) of the sets that have a link to a smaller one, directly or not.
 
-    Two passes: pairs of small groups and of hubs give components; then the
-    pairs of large groups whose ends are in different ones so far.
+    Pairs of small groups and of a few hubs give components; pairs of more hubs
+    with members of other components join most of the rest of a large family;
+    then come all pairs of large groups whose ends are in different ones so far.
     """
     n_buckets = bucket_count(docs)
     shared = by_bucket(_indexed(docs, width, n_buckets, risky), lambda kinds, bucket: _shared(kinds, bucket, n_buckets), SCHEMA)
@@ -371,47 +390,27 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, width: int, broadcast_ids: i
     members = found.where("b is null").select("sig", F.col("a").alias("node"), "n", "need", "role")
     tested = found.where("b is not null").select("a", "b").distinct()
     labels = components(_links(tested, nodes, docs, width, broadcast_ids))
-    if members.isEmpty():
-        return labels
-    m = _open(members, labels).withColumn("part", F.pmod("sig", F.ceil(F.count(F.lit(1)).over(W.partitionBy("lo")) / FAMILY)))
-    cross = m.repartition(partitions(docs.sparkSession), "lo", "part").select("sig", "node", "n", "role", "label").mapInArrow(_cross_pairs, "a long, b long")
-    cross = durable(cross.distinct().join(tested, ["a", "b"], "left_anti"))
-    if cross.isEmpty():
-        return labels
-    known = labels.select(F.col("label").alias("a"), F.col("node").alias("b"))
-    return components(_links(cross, nodes, docs, width, broadcast_ids).unionByName(known))
+    for hubs in (MORE_HUBS, None):
+        m = _open(members, labels).withColumn("part", F.pmod("sig", F.ceil(F.count(F.lit(1)).over(W.partitionBy("lo")) / FAMILY)))
+        m = m.repartition(partitions(docs.sparkSession), "lo", "part").select("sig", "node", "n", "role", "label")
+        new = durable(m.mapInArrow(lambda batches, hubs=hubs: _cross_pairs(batches, hubs), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"))
+        if new.isEmpty():
+            break
+        tested = tested.unionByName(new)
+        known = labels.select(F.col("label").alias("a"), F.col("node").alias("b"))
+        labels = components(_links(new, nodes, docs, width, broadcast_ids).unionByName(known))
+    return labels
 
 
-def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in any of the task's groups, each once.
+def _cross_pairs(batches: Iterator[pa.RecordBatch], hubs: int | None) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components in any of the task's groups, each once: with hubs only, or all.
 
     Groups that share their smallest component come together, so that a pair
     which many signatures bring up is one row.
     """
     cols = [np.concatenate(c) for c in zip(*([x.to_numpy() for x in b.columns] for b in batches))]
-    if not cols:
-        return
-    order = np.lexsort((cols[1], cols[0]))
-    sig, node, n, role, label = (c[order] for c in cols)
-    ends = np.searchsorted(sig, sig, side="right")
-    found = np.zeros((0, 2), np.int64)
-    held, size, gap = [found], 0, 1
-    while True:
-        i = np.flatnonzero(np.arange(len(sig)) + gap < ends)
-        if not len(i):
-            break
-        j = i + gap
-        ok = (label[i] != label[j]) & (NUM * np.maximum(n[i], n[j]) <= DEN * np.minimum(n[i], n[j])) & ((role[i] & role[j] & 1) == 0)
-        i, j = i[ok], j[ok]
-        held.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1))
-        size += len(i)
-        if size > _FLUSH:
-            held, size = [distinct_pairs(np.concatenate(held))], 0
-        gap += 1
-    found = distinct_pairs(np.concatenate(held))
-    for i in range(0, len(found), _ROWS):
-        p = found[i : i + _ROWS]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))], ["a", "b"])
+    if cols:
+        yield from _pair_rows(pairs_of(*cols, hubs), ["a", "b"])
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -464,7 +463,7 @@ def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str
     one. Null ids come last. Rows without a word stay, all of them.
     """
     c = durable(_components(docs, id_col, text_col, width, broadcast_ids))
-    names = _free(docs.columns, 2)
+    names = free(docs.columns, 2)
     keys = [F.col("k").alias(names[0]), F.col("h").alias(names[1])]
     same = lambda: F.col(id_col).eqNullSafe(F.col(names[0])) & (F.xxhash64(text_col) == F.col(names[1]))
     words = c.where("n > 0")
@@ -474,9 +473,3 @@ def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str
     if again.isEmpty():
         return kept
     return kept.join(again, same(), "left_anti").unionByName(kept.join(again, same(), "left_semi").dropDuplicates([id_col, text_col]))
-
-
-def _free(taken: list[str], n: int) -> list[str]:
-    """Names that no column has."""
-    low = {c.lower() for c in taken}
-    return [x for x in (f"__{i}" for i in range(len(taken) + n)) if x not in low][:n]

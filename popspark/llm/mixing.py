@@ -3,9 +3,11 @@
 Each source's documents are shuffled by a keyed digest and queued, twice over.
 A document's virtual finish time is the cumulative size of its source up to and
 with it, divided by the source's target. All sources reach time 1 together,
-when the sum of the targets, the total budget, is spent; the global order by
-finish time is cut there, and the document that lies across the cut in a
-source counts up to it.
+when the sum of the targets, the total budget, is spent; the document that lies
+across that time in a source counts up to it. The queue is then put in global
+order of finish times, by ranges of the time, and is cut where the running sum
+of the words taken reaches the budget; a document's place in that order, in
+words, is ``mix_start``.
 """
 
 from __future__ import annotations
@@ -38,8 +40,26 @@ def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weigh
     return per.select("source", "source_size", F.when(level.isNull(), F.col("top")).otherwise(F.least("top", F.col("w") * level)).alias("target"))
 
 
+def in_global_order(queue: DataFrame, ranges: int) -> DataFrame:
+    """``queue`` with mix_start: words that the mix takes before each document by (finish, source, o, k, size), null where it takes none.
+
+    Ranges of the virtual time are equal shares of the words, so that a running
+    sum over the ranges' totals and one inside each range give the place.
+    """
+    range_of = F.when(F.col("taken") > 0, F.least(F.floor(F.col("finish") * ranges), F.lit(2 * ranges)).cast("int"))
+    q = queue.withColumn("r", range_of)
+    totals = q.where("taken > 0").groupBy("r").agg(F.sum("taken").alias("words"))
+    before = F.coalesce(F.sum("words").over(W.orderBy("r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    totals = F.broadcast(totals.select(F.col("r").alias("r2"), before.alias("start")))  # 2 * ranges + 1 rows at most
+    taken = q.where("taken > 0")
+    inside = W.partitionBy("r").orderBy("finish", "source", "o", "k", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = taken.withColumn("upto", F.sum("taken").over(inside)).join(totals, F.col("r") == F.col("r2"))
+    placed = placed.select(*queue.columns, (F.col("start") + F.col("upto") - F.col("taken")).alias("mix_start"))
+    return placed.unionByName(q.where("taken = 0").select(*queue.columns, F.lit(None).cast("long").alias("mix_start")))
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), buckets: int = 4096) -> DataFrame:
-    """Every document with size, source_size, target, taken and virtual finish time.
+    """Every document with size, source_size, target, taken, virtual finish time and place in the mix.
 
     ``size`` is the number of words (null text: 0); ``taken`` the words that the
     mix takes of the document, repeats counted; at most ``cap`` times its size.
@@ -71,9 +91,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         first = end - F.col("size") + F.lit(p) * F.col("source_size")
         taken = taken + F.greatest(F.lit(0), F.least(F.col("size"), goal - first))
     finish = F.when(F.col("target") > 0, end / F.col("target"))
-    return d.select(F.col("k").alias(id_col), "source", "size", "source_size", "target", taken.cast("long").alias("taken"), finish.alias("finish_time"))
-
-
-def mixed_order(mixed: DataFrame) -> DataFrame:
-    """The mix's documents in the order of their first finish time, range-sorted."""
-    return mixed.where("taken > 0").orderBy("finish_time")
+    queue = d.select("k", "source", "size", "source_size", "target", "o", taken.cast("long").alias("taken"), finish.alias("finish"))
+    budget = F.broadcast(targets.agg(F.floor(F.sum("target")).cast("long").alias("budget")))
+    q = in_global_order(queue, buckets).crossJoin(budget)  # one row
+    cut = F.when(F.col("taken") > 0, F.greatest(F.lit(0).cast("long"), F.least("taken", F.col("budget") - F.col("mix_start")))).otherwise(F.lit(0).cast("long"))
+    return q.select(F.col("k").alias(id_col), "source", "size", "source_size", "target", cut.alias("taken"), F.col("finish").alias("finish_time"), "mix_start")

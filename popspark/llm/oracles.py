@@ -19,9 +19,11 @@ e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
 r AS (SELECT x, x AS y FROM (SELECT DISTINCT x FROM e) UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.c, doc_id) AS component_id FROM documents LEFT JOIN n ON n.id = doc_id LEFT JOIN (SELECT x, min(y) AS c FROM r GROUP BY x) m ON m.x = doc_id"""
 
-OP8 = "WITH " + _sets("d","doc_id","documents") + ",\n" + _sets("i","item_id","benchmark") + """,
+OP8 = f"""WITH b AS (SELECT item_id AS id, {_WORDS} AS w FROM benchmark),
+i AS (SELECT DISTINCT id, k, s FROM (SELECT id, least(len(w), 5) AS k, unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda i: array_to_string(w[i:i + least(len(w), 5) - 1], ' '))) AS s FROM b WHERE len(w) > 0)),
+d AS (SELECT DISTINCT id, k, s FROM (SELECT doc_id AS id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents), (SELECT DISTINCT k FROM i) WHERE len(w) >= k)),
 n AS (SELECT id, count(*) AS n FROM i GROUP BY id)
-SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, any_value(n.n) AS n_item, count(*) / any_value(n.n) AS containment FROM d JOIN i USING (s) JOIN n ON n.id = i.id GROUP BY d.id, i.id HAVING 4 * count(*) >= 3 * any_value(n.n)"""
+SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, any_value(n.n) AS n_item, count(*) / any_value(n.n) AS containment FROM d JOIN i USING (k, s) JOIN n ON n.id = i.id GROUP BY d.id, i.id HAVING 4 * count(*) >= 3 * any_value(n.n)"""
 
 OP7 = r"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('mix:' || CAST(doc_id AS VARCHAR)) AS o FROM documents),
 s AS (SELECT source, sum(size) AS source_size, ([3.0, 1.0, 2.0])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
@@ -29,6 +31,27 @@ q AS (SELECT *, 2.0 * source_size AS top, 2.0 * source_size / w AS ratio FROM s)
 v AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(top) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM q),
 t AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, CAST(coalesce(least(top, w * (SELECT arg_min(level, ratio) FROM v WHERE level < ratio)), top) AS DOUBLE) AS target FROM v),
 c AS (SELECT d.*, t.source_size, t.target, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, source, size, source_size, round(target, 6) AS target, CAST(greatest(0, least(size, floor(target) - (run - size))) + greatest(0, least(size, floor(target) - (run - size) - source_size)) AS BIGINT) AS taken, round(CASE WHEN target > 0 THEN run / target END, 9) AS finish_time FROM c"""
-
-ORACLE_SQL: dict[str, str] = {"op2_jaccard_join": OP2, "op7_mix_sources": OP7, "op8_decontamination": OP8}
+f AS (SELECT *, CAST(greatest(0, least(size, floor(target) - (run - size))) + greatest(0, least(size, floor(target) - (run - size) - source_size)) AS BIGINT) AS taken, CASE WHEN target > 0 THEN run / target END AS finish FROM c)
+SELECT doc_id, source, size, source_size, round(target, 6) AS target, taken, round(finish, 9) AS finish_time,
+  CASE WHEN taken > 0 THEN CAST(sum(taken) OVER (PARTITION BY taken > 0 ORDER BY finish, source NULLS FIRST, o, doc_id, size ROWS UNBOUNDED PRECEDING) - taken AS BIGINT) END AS mix_start FROM f"""
+
+_BIN = "(v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0)"
+
+OP6 = r"""WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w))) WHERE n > 1) GROUP BY doc_id),
+c AS (SELECT w.doc_id, lang, source, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(l) AS n_lines FROM w LEFT JOIN r USING (doc_id)),
+m AS (SELECT *, n_symbols * 1000000 // greatest(n_words, 1) AS symbol_share, n_dup_lines * 1000000 // greatest(n_lines, 1) AS dup_line_share, n_repeat_words * 1000000 // greatest(n_words, 1) AS repeat_share, word_chars * 1000000 // greatest(n_words, 1) AS mean_word FROM c),
+u AS (SELECT lang, source, measure, BIN AS bin FROM (SELECT lang, source, unnest(['symbol_share', 'dup_line_share', 'repeat_share', 'mean_word']) AS measure, unnest([symbol_share, dup_line_share, repeat_share, mean_word]) AS v FROM m WHERE n_words > 0)),
+g AS (SELECT 1 AS level, lang, source, measure, bin FROM u UNION ALL SELECT 2, lang, NULL, measure, bin FROM u UNION ALL SELECT 3, NULL, NULL, measure, bin FROM u),
+s AS (SELECT level, lang, source, measure, bin, count(*) AS n FROM g GROUP BY ALL),
+k AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS every FROM s),
+q AS (SELECT level, lang, source, measure, max(every) AS n, min(bin) FILTER (4 * upto >= every) AS low, min(bin) FILTER (4 * upto >= 3 * every) AS high FROM k GROUP BY ALL),
+f AS (SELECT a.lang, a.source, a.measure, CASE WHEN a.n >= 100 THEN a.low WHEN b.n >= 100 THEN b.low ELSE c.low END AS low, CASE WHEN a.n >= 100 THEN a.high WHEN b.n >= 100 THEN b.high ELSE c.high END AS high
+  FROM q a JOIN q b ON b.level = 2 AND a.lang IS NOT DISTINCT FROM b.lang AND a.measure = b.measure JOIN q c ON c.level = 3 AND a.measure = c.measure WHERE a.level = 1),
+e AS (SELECT lang, source, max(high + greatest(3 * (high - low), 100000)) FILTER (measure = 'symbol_share') AS symbols, least(max(high + greatest(3 * (high - low), 300000)) FILTER (measure = 'dup_line_share'), 1000000) AS lines,
+  least(max(high + greatest(3 * (high - low), 250000)) FILTER (measure = 'repeat_share'), 1000000) AS repeats, max(high + greatest(3 * (high - low), 4000000)) FILTER (measure = 'mean_word') AS long, max(low - greatest(3 * (high - low), 2000000)) FILTER (measure = 'mean_word') AS short FROM f GROUP BY ALL)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(symbol_share <= symbols, true) AND coalesce(dup_line_share <= lines, true) AND coalesce(repeat_share <= repeats, true) AND coalesce(mean_word <= long, true) AND coalesce(mean_word >= short, true) AS kept
+FROM m LEFT JOIN e ON m.lang IS NOT DISTINCT FROM e.lang AND m.source IS NOT DISTINCT FROM e.source""".replace("BIN AS bin", _BIN + " AS bin")
+
+ORACLE_SQL: dict[str, str] = {"op2_jaccard_join": OP2, "op6_quality_rules": OP6, "op7_mix_sources": OP7, "op8_decontamination": OP8}

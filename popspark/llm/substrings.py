@@ -26,14 +26,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from .arrays import U64, _TABLE, mix, pieces, powers
 from .blobs import SCHEMA, bucket_count, by_bucket, packed, unpacked
-from .durable import durable
+from .durable import durable, partitions
 
 #: Bytes of a trigger string.
 ANCHOR = 32
 _CHUNK = 1 << 20
 _LOW = U64(_CHUNK - 1)
 _FLUSH = 1 << 21
-_NULL_ID = -(1 << 63)
 
 
 class Phrases:
@@ -91,7 +90,7 @@ def _parts(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple
 
 
 def _ids(column: pa.Array) -> np.ndarray:
-    return column.cast(pa.int64()).fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
+    return column.cast(pa.int64()).to_numpy(zero_copy_only=False)
 
 
 def _parse(docs: DataFrame, length: int, n_buckets: int) -> DataFrame:
@@ -322,31 +321,46 @@ def _merged(blobs: list[bytes | None], length: int) -> tuple[np.ndarray, np.ndar
 
 
 def repeated_spans(docs: DataFrame, length: int = 100, hot: int = 50_000) -> DataFrame:
-    """(k, repeats, more): packed spans of repeated windows of the texts (k, t)."""
+    """(k, repeats, more): packed spans of repeated windows of the texts (k, t); rows with one k are one text."""
     n_buckets = bucket_count(docs)
     settled = by_bucket(_parse(docs, length, n_buckets), lambda kinds, _: _settle(kinds, n_buckets, hot), SCHEMA)
     first = durable(by_bucket(settled, _by_text, "k long, repeats binary, compare binary"))
     del settled
     ask = first.where("compare is not null").select(F.col("k").alias("k1"), "compare")
-    texts = docs.join(ask, F.coalesce("k", F.lit(_NULL_ID)) == F.col("k1")).select("k", "t", "compare")
+    texts = docs.join(ask, F.col("k") == F.col("k1")).select("k", "t", "compare")
     compared = by_bucket(_contexts(texts, length, n_buckets), lambda kinds, bucket: _compare(kinds, bucket, length, n_buckets), SCHEMA)
     more = durable(by_bucket(compared, _spans_by_text, "k long, more binary"))
     return first.where("repeats is not null").select("k", "repeats").join(more, "k", "full")
 
 
+def numbered(texts: DataFrame) -> DataFrame:
+    """(k, t, r) of texts (k, t): a number of the row in the order of k, null first, then of the text's hash.
+
+    Where no id is null or occurs twice, that is the id. Else the distinct ids
+    and hashes are range-sorted and counted through.
+    """
+    d = texts.withColumn("h", F.xxhash64("t"))
+    if d.groupBy("k").count().where("count > 1 OR k IS NULL").isEmpty():
+        return d.select("k", "t", F.col("k").alias("r"))
+    order = d.select(F.col("k").alias("k1"), F.col("h").alias("h1")).distinct().repartitionByRange(partitions(texts.sparkSession), "k1", "h1").sortWithinPartitions("k1", "h1")
+    order = durable(order.withColumn("r", F.monotonically_increasing_id()))
+    return durable(d.join(order, F.col("k").eqNullSafe(F.col("k1")) & (F.col("h") == F.col("h1"))).select("k", "t", "r"))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, with_text: bool = False, hot: int = 50_000) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every text as UTF-8 bytes.
 
     Each byte goes that a string of ``length`` bytes covers which also starts
     earlier: in a smaller id, or earlier in the same text. A null text is empty;
-    texts shorter than ``length`` lose nothing; a null id counts as the
-    smallest; rows that share an id share their places, so that neither is
-    earlier than the other at the same place. Ids must be integers. An empty
-    table gives no rows. Only the two named columns are read.
+    texts shorter than ``length`` lose nothing; a null id is the smallest. Of
+    texts that share an id, null ids too, the one with the smaller hash is
+    earlier; rows alike in id and text are one text, neither earlier than the
+    other. Ids must be integers. An empty table gives no rows. Only the two
+    named columns are read.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
-    spans = repeated_spans(d, length, hot).withColumnRenamed("k", "k1")
-    j = d.join(spans, F.coalesce("k", F.lit(_NULL_ID)) == F.col("k1"), "left").select("k", "t", "repeats", "more")
+    d = numbered(docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")))
+    spans = repeated_spans(d.select(F.col("r").alias("k"), "t"), length, hot).withColumnRenamed("k", "k1")
+    j = d.join(spans, F.col("r") == F.col("k1"), "left").select("k", "t", "repeats", "more")
     schema = "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

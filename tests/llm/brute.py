@@ -6,6 +6,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -46,19 +48,30 @@ def jaccard_components(rows):
 def contained(rows, items):
     out = []
     for k, t in rows:
-        d = shingle_set(t)
         for i, x in items:
-            s = shingle_set(x)
-            n = len(s & d)
+            width = min(5, len(low_words(x)))
+            s = shingle_set(x, width)
+            n = len(s & shingle_set(t, width)) if len(low_words(t)) >= width > 0 else 0
             if s and 100 * n >= 75 * len(s):
                 out.append((k, i, n, len(s)))
     return out
 
 
+def text_hash(t):
+    """Spark's xxhash64 of a text."""
+    n = 42 if t is None else xxhash.xxh64_intdigest(t.encode(), seed=42)
+    return n - (1 << 64) if n >> 63 else n
+
+
+def in_order(rows):
+    """Distinct rows by id, null first, then by the text's hash."""
+    return sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, text_hash(r[1])))
+
+
 def remove_repeats(rows, length=100):
-    """{id: (bytes, removed, spans, sha256)} for distinct ids."""
+    """(id, bytes, removed, spans, sha256) of each row; rows alike are one text."""
     seen, out = set(), {}
-    for k, t in sorted(rows, key=lambda r: -1 if r[0] is None else r[0]):
+    for k, t in in_order(rows):
         b = (t or "").encode()
         gone = bytearray(len(b))
         for p in range(len(b) - length + 1):
@@ -68,20 +81,20 @@ def remove_repeats(rows, length=100):
             seen.add(w)
         kept = bytes(x for x, g in zip(b, gone) if not g)
         spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
-        out[k] = (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
-    return out
+        out[k, t] = (k, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+    return [out[r] for r in rows]
 
 
 def dedup_lines(rows, min_words=50):
-    """{id: text} for distinct ids: every run of lines of min_words words that also runs earlier goes."""
+    """(id, text) of each row: every run of lines of min_words words that also runs earlier goes; rows alike are one text."""
+    order = in_order(rows)
     seqs = {}
-    for k, t in rows:
-        lines = (t or "").split("\n")
-        seqs[k] = [(i, x, len(WORD.findall(x))) for i, x in enumerate(lines) if WORD.search(x)]
-    first, runs = {}, []
-    order = sorted(seqs, key=lambda k: (k is not None, k or 0))
-    for k in order:
-        s = seqs[k]
+    for r in order:
+        lines = (r[1] or "").split("\n")
+        seqs[r] = [(i, x, len(WORD.findall(x))) for i, x in enumerate(lines) if WORD.search(x)]
+    first, runs = set(), []
+    for r in order:
+        s = seqs[r]
         for i in range(len(s)):
             n = 0
             for j in range(i, len(s)):
@@ -89,13 +102,13 @@ def dedup_lines(rows, min_words=50):
                 if n >= min_words:
                     key = tuple(x[1] for x in s[i : j + 1])
                     if key in first:
-                        runs.append((k, i, j))
+                        runs.append((r, i, j))
                     else:
-                        first[key] = (k, i)
+                        first.add(key)
     gone = defaultdict(set)
-    for k, i, j in runs:
-        gone[k].update(s[0] for s in seqs[k][i : j + 1])
-    return {k: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[k]) for k, t in rows}
+    for r, i, j in runs:
+        gone[r].update(s[0] for s in seqs[r][i : j + 1])
+    return [(k, None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[k, t])) for k, t in rows]
 
 
 def quality_counts(text):
