@@ -6,6 +6,7 @@ state or raises, never to a silent null.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
@@ -171,5 +172,35 @@ def control_predicate(att: str, state: str) -> Column:
     return F.col(att).cast("string") == state
 
 
+_CONTROL_TERM = re.compile(r"""\s*\(?\s*(?:(\w+)\s*\.\s*)?(\w+)\s*(==|!=|<=|>=|<|>)\s*(?:'([^']*)'|"([^"]*)"|(-?\d+(?:\.\d+)?))\s*\)?\s*""")
+_COMPARE = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
+
+
+def control_expression(text: str, table: str | None = None) -> Column:
+    """The condition of a control row's expression, such as ``(households.hhsize >= 3) & (households.type == 'x')``.
+
+    Terms compare a column, which may follow a table's name, with a number or a
+    quoted state; they join by ``&``, which binds first, and ``|``. Anything
+    else raises: nothing is evaluated. With ``table`` other tables' columns raise.
+    """
+
+    def term(part: str) -> Column:
+        m = _CONTROL_TERM.fullmatch(part)
+        if not m:
+            raise ValueError(f"no control term: {part!r}")
+        if table and m[1] and m[1] != table:
+            raise ValueError(f"a column of {m[1]} in a control of {table}")
+        quoted = m[4] if m[4] is not None else m[5]
+        return _COMPARE[m[3]](F.col(m[2]).cast("string"), F.lit(quoted)) if quoted is not None else _COMPARE[m[3]](F.col(m[2]).try_cast("double"), F.lit(float(m[6])))
+
+    anyone = [reduce(lambda a, b: a & b, [term(x) for x in part.split("&")]) for part in text.split("|")]
+    return F.coalesce(reduce(lambda a, b: a | b, anyone), F.lit(False))
+
+
+def apply_controls(df: DataFrame, controls: Iterable[tuple[str, str]], table: str | None = None) -> DataFrame:
+    """A 0/1 column for each (name, expression); of several with one name the last counts."""
+    return df.withColumns({name: control_expression(text, table).cast("int") for name, text in dict(controls).items()})
+
+
 def in_ranges(value: Column, ranges: Iterable[tuple[int, int]]) -> Column:
     return reduce(lambda a, b: a | b, [value.between(lo, hi) for lo, hi in ranges], F.lit(False))

@@ -11,6 +11,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .ordered import numbered
 from .sampling import draws_for, uniform
 
 Network = dict[str, tuple[str, ...]]  #: parents of each attribute
@@ -55,25 +56,35 @@ def conditional(df: DataFrame, child: str, parents: Sequence[str], states: Seque
     return g.withColumn("__v", value).select(*parents, child, F.when(total > 0, F.col("__v") / total).otherwise(1 / len(states)).alias("p"))
 
 
-def bic(df: DataFrame, child: str, parents: Sequence[str], cards: Mapping[str, int]) -> DataFrame:
+def bic(df: DataFrame, child: str, parents: Sequence[str], cards: Mapping[str, int], weight: str | None = None) -> DataFrame:
     """One row: the family's log-likelihood less half the parameters times log n (Schwarz, 1978)."""
-    n = counts(df, child, parents)
+    n = counts(df, child, parents, weight)
     total = F.sum("n").over(W.partitionBy(*parents))
     params = (cards[child] - 1) * math.prod(cards[p] for p in parents)
     ll = n.withColumn("__t", total).agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("__t"))).alias("ll"), F.sum("n").alias("all"))
     return ll.select((F.col("ll") - 0.5 * params * F.log("all")).alias("bic"))
 
 
-def learn_structure(df: DataFrame, attributes: Sequence[str], max_parents: int = 3, max_steps: int = 200, score: Callable[[str, tuple[str, ...]], float] | None = None) -> Network:
-    """Hill climbing by adding, deleting and reversing edges; equal gains go by name."""
+def learn_structure(df: DataFrame, attributes: Sequence[str], max_parents: int = 3, max_steps: int = 200, score: Callable[[str, tuple[str, ...]], float] | None = None, weight: str | None = None) -> Network:
+    """Hill climbing by adding, deleting and reversing edges; equal gains go by name. ``weight``: a column of counts."""
     atts = list(attributes)
     cards = {a: len(s) for a, s in state_names(df, atts).items()}
     known: dict[tuple[str, tuple[str, ...]], float] = {}
 
+    def score_all(families: set[tuple[str, tuple[str, ...]]]) -> None:
+        """The families' scores, in one job."""
+        new = sorted(families - known.keys())
+        if score or not new:
+            return
+        parts = [bic(df, child, list(parents), cards, weight).select(F.lit(i).alias("i"), "bic") for i, (child, parents) in enumerate(new)]
+        while len(parts) > 1:
+            parts = [a.unionByName(b) for a, b in zip(parts[::2], parts[1::2])] + parts[len(parts) // 2 * 2 :]
+        known.update({new[r["i"]]: r["bic"] for r in parts[0].collect()})
+
     def of(child: str, parents: tuple[str, ...]) -> float:
         key = (child, tuple(sorted(parents)))
         if key not in known:
-            known[key] = score(*key) if score else bic(df, child, list(key[1]), cards).collect()[0][0]
+            known[key] = score(*key) if score else bic(df, child, list(key[1]), cards, weight).collect()[0][0]
         return known[key]
 
     net: Network = {a: () for a in atts}
@@ -92,6 +103,9 @@ def learn_structure(df: DataFrame, attributes: Sequence[str], max_parents: int =
 
     for _ in range(max_steps):
         best, change = 1e-9, None
+        near = {(c, tuple(sorted(net[c]))) for c in atts}
+        near |= {(c, tuple(sorted({*net[c]} ^ {p}))) for c in atts for p in atts if p != c and (p in net[c] or len(net[c]) < max_parents)}
+        score_all(near)
         for child in atts:
             for parent in atts:
                 if parent == child:
@@ -169,7 +183,8 @@ def rejection_pool(spark, n: int, net: Network, cpds: Mapping[str, DataFrame], a
         out = more if out is None else out.unionByName(more)
         got = out.count()
         if got >= n:
-            return out.orderBy("id").limit(n)
+            d, _ = numbered(out, ["id"], "__n")
+            return d.where(F.col("__n") <= n).drop("__n")
         size = int((n - got) * max(1.5, size / max(1, got) * 1.2)) + 10
     raise ValueError(f"{got} of {n} samples met the condition after {rounds} rounds")
 

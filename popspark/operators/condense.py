@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .ordered import numbered
+
 
 def condense(df: DataFrame, cols: Sequence[str] | None = None, id_col: str | None = None) -> DataFrame:
     """One row for each combination of ``cols`` with its ``count`` (and, with ``id_col``, its ids in order)."""
@@ -79,7 +81,7 @@ def first_of_each(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
 
 def row_index(df: DataFrame, order: Sequence[str], name: str = "row_id") -> DataFrame:
     """Numbers from 1 in a stated order."""
-    return df.withColumn(name, F.row_number().over(W.orderBy(*order)))
+    return numbered(df, order, name)[0]
 
 
 def household_total(marg: DataFrame, zone: str = "zone_id") -> DataFrame:

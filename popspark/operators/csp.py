@@ -13,9 +13,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..durable import cut
+from .bayes import conditional, learn_structure, sample, state_names
 from .condense import condense
 from .relations import RELATIONS, relation_counts
-from .sampling import draws_for, weighted_draws
+from .sampling import draws_for, keyed, weighted_draws
 
 #: (source, target) in order of use; the deeper edges come before their fallback from Main.
 EDGES = (("HH", "Main"), ("Main", "Spouse"), ("Main", "Child"), ("Main", "Parent"), ("Main", "Sibling"), ("Main", "Others"), ("Parent", "Grandparent"), ("Child", "Grandchild"), ("Main", "Grandparent"), ("Main", "Grandchild"))
@@ -100,6 +101,43 @@ def sample_persons(households: DataFrame, pools: Mapping[str, DataFrame], househ
         got = cut(got)  # the next levels read it again and again
         people[target] = people[target].unionByName(got) if target in people else got
         made[target] = people[target]
+    return _people(people, person_atts, numbers, household)
+
+
+def sample_persons_bn(households: DataFrame, pools: Mapping[str, DataFrame], household_atts: Sequence[str], person_atts: Sequence[str], household: str = "hhid", size: str = "hhsize", seed: object = 0, pseudo: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """As ``sample_persons``, from one Bayesian network for each edge.
+
+    An edge's network is learned from its pairs, by count: the target's
+    attributes hang on the source's and on one another. Every person has a
+    source person of the household, drawn by a keyed hash where there are
+    several; numbers of relations fit the household's size beforehand.
+    """
+    numbers = cut(household_relations(households, pools["HH-Main"], household, household_atts, size, seed))
+    made, people = {"HH": numbers}, {}
+    for source, target in EDGES:
+        pairs = pools.get(f"{source}-{target}")
+        if pairs is None or source not in made or pairs.isEmpty():
+            continue
+        cols = [f"HH_{a}" for a in household_atts] if source == "HH" else [f"{source}_{a}" for a in person_atts]
+        goals = [f"{target}_{a}" for a in person_atts]
+        net = learn_structure(pairs, [*cols, *goals], max_parents=2, weight="count")
+        net = {a: net[a] if a in goals else () for a in net}  # what is given needs no parents
+        cpds = {a: conditional(pairs, a, net[a], state_names(pairs, [a])[a], "count", pseudo) for a in goals}
+        want = numbers.select(household, F.col(f"n_{target}").alias("__n")).where("__n > 0")
+        if target in people:
+            want = want.join(people[target].select(household).distinct(), household, "left_anti")
+        draws = draws_for(want, [household], "__n").join(made[source].select(household, *cols), household)
+        pick = W.partitionBy(household, "draw").orderBy(keyed(f"{seed}-{source}", household, "draw", *cols), *cols)
+        draws = draws.withColumn("__k", F.row_number().over(pick)).where("__k = 1").drop("__k")
+        got = sample(draws, {a: net[a] for a in goals} | {c: () for c in cols}, cpds, [household, "draw"], f"{seed}-{source}-{target}")
+        got = cut(got.select(household, *goals))
+        people[target] = people[target].unionByName(got) if target in people else got
+        made[target] = people[target]
+    return _people(people, person_atts, numbers, household)
+
+
+def _people(people: Mapping[str, DataFrame], person_atts: Sequence[str], numbers: DataFrame, household: str) -> tuple[DataFrame, DataFrame]:
+    """All relations' persons, and (household, relationship, n) of those that were wanted and are not there."""
     out, short = None, None
     for target, df in people.items():
         plain = df.select(household, *[F.col(f"{target}_{a}").alias(a) for a in person_atts], F.lit(target).alias("relationship"))
@@ -109,6 +147,30 @@ def sample_persons(households: DataFrame, pools: Mapping[str, DataFrame], househ
     return out, short
 
 
+def run(households: DataFrame, pools: Mapping[str, DataFrame], household_atts: Sequence[str], person_atts: Sequence[str], household: str = "hhid", size: str = "hhsize", use_bn: bool = False, zone: str | None = None, zone_pools: Mapping[str, Mapping[str, DataFrame]] | None = None, retries: int = 0, seed: object = 0) -> tuple[DataFrame, DataFrame]:
+    """Persons of all households by the way asked for: from pairs, with retries, or by networks; by zone where zones have pools.
+
+    With ``zone_pools`` the households of a zone that has pools of its own take
+    these, all others ``pools``.
+    """
+
+    def some(h: DataFrame, p: Mapping[str, DataFrame], seed: object) -> tuple[DataFrame, DataFrame]:
+        if use_bn:
+            return sample_persons_bn(h, p, household_atts, person_atts, household, size, seed)
+        if retries:
+            return sample_with_retries(h, p, household_atts, person_atts, household, size, seed, retries)
+        return sample_persons(h, p, household_atts, person_atts, household, size, seed)
+
+    if not zone_pools:
+        return some(households, pools, seed)
+    parts = [some(households.where(F.col(zone) == z), p, f"{seed}-{z}") for z, p in zone_pools.items()]
+    parts.append(some(households.where(~F.coalesce(F.col(zone).isin(list(zone_pools)), F.lit(False))), pools, seed))
+    people, short = parts[0]
+    for more, lost in parts[1:]:
+        people, short = people.unionByName(more), short.unionByName(lost)
+    return people, short
+
+
 def sample_with_retries(households: DataFrame, pools: Mapping[str, DataFrame], household_atts: Sequence[str], person_atts: Sequence[str], household: str = "hhid", size: str = "hhsize", seed: int = 0, retries: int = 5) -> tuple[DataFrame, DataFrame]:
     """As ``sample_persons``, but households with someone missing are drawn again with other persons above them."""
     todo, out = households, None

@@ -8,8 +8,10 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..durable import cut
-from .bayes import Network, sample
-from .sampling import sample_exact, uniform, weighted_draws
+from .bayes import Network, forward_pool, learn_parameters, sample
+from .condense import condense, shares
+from .ordered import numbered
+from .sampling import keyed, sample_exact, weighted_draws
 
 
 def crossover(a: DataFrame, b: DataFrame, keys: Sequence[str], seed: object = 0) -> DataFrame:
@@ -68,26 +70,51 @@ def sample_policy(spark, n: int, q: Mapping[tuple[str, ...], Mapping[str, float]
         table = [(*p, s, v) for p, values in q.items() if len(p) == k for s, v in values.items() if v > 0]
         before = list(attributes[:k])
         schema = ", ".join([*(f"`{a}` string" for a in before), f"`{att}` string", "w double"])
-        policy = spark.createDataFrame(table, schema).withColumn("__one", F.lit(1))
-        rows = weighted_draws(rows.withColumn("__one", F.lit(1)), policy, ["__one", *before], "w", [att], ["id"], f"{seed}-{att}").drop("__one", "w")
+        rows = weighted_draws(rows, spark.createDataFrame(table, schema), before, "w", [att], ["id"], f"{seed}-{att}").drop("w")
     return rows
 
 
 def categorical_generator(seed_rows: DataFrame, attributes: Sequence[str], n: int, seed: object = 0) -> DataFrame:
-    """The interface of a generative model with independent attributes as the plain model."""
-    rows = seed_rows.sparkSession.range(n)
-    for a in attributes:
-        c = seed_rows.groupBy(a).agg(F.count(F.lit(1)).alias("__w")).withColumn("__one", F.lit(1))
-        rows = weighted_draws(rows.withColumn("__one", F.lit(1)), c, ["__one"], "__w", [a], ["id"], f"{seed}-{a}").drop("__one", "__w")
-    return rows
+    """The interface of a generative model with the seed's joint distribution as the plain model."""
+    return naive_synthesis(condense(seed_rows, attributes), n, attributes, seed)
 
 
 def naive_synthesis(condensed: DataFrame, n: int, attributes: Sequence[str], seed: object = 0) -> DataFrame:
     """n rows drawn by count from a condensed table."""
-    d = condensed.sparkSession.range(n).withColumn("__one", F.lit(1))
-    return weighted_draws(d, condensed.withColumn("__one", F.lit(1)), ["__one"], "count", list(attributes), ["id"], seed).select("id", *attributes)
+    return weighted_draws(condensed.sparkSession.range(n), condensed, [], "count", list(attributes), ["id"], seed).select("id", *attributes)
 
 
 def shuffled_head(df: DataFrame, rate: float, keys: Sequence[str], seed: object = 0) -> DataFrame:
-    """The first ``rate`` share of the rows in keyed order, each row by its own number: no count of the table."""
-    return df.where(uniform(seed, *keys) < rate)
+    """The first floor(rate * n) rows of the table in keyed order."""
+    d, n = numbered(df.withColumn("__o", keyed(seed, *keys)), ["__o", *keys], "__n")
+    return d.where(F.col("__n") <= int(n * rate)).drop("__o", "__n")
+
+
+def best_attributes(actual: DataFrame, predicted: DataFrame, attributes: Sequence[str], n: int) -> DataFrame:
+    """(att, bits): the n attributes whose predicted shares tell the actual ones in the fewest bits; ties by name.
+
+    One state that is not predicted makes an attribute's bits infinite.
+    """
+    share = lambda df, name: shares(df.select(F.explode(F.array(*[F.struct(F.lit(a).alias("att"), F.col(a).cast("string").alias("state")) for a in attributes])).alias("x")).select("x.*"), ["state"], within=["att"]).withColumnRenamed("share", name)
+    j = share(actual, "p").join(share(predicted, "q"), ["att", "state"], "left")
+    bits = j.groupBy("att").agg(F.sum(F.when(F.col("q").isNull(), F.lit(float("inf"))).otherwise(-F.col("p") * F.log2("q"))).alias("bits"))
+    return bits.orderBy("bits", "att").limit(n)  # a row for each attribute before
+
+
+def self_training(seed_rows: DataFrame, net: Network, score: Callable[[DataFrame], float], n: int, rounds: int, share: float = 0.5, seed: object = 0) -> tuple[float, DataFrame]:
+    """The best of ``rounds`` samples, each from parameters that count the seed and a share of the best sample before.
+
+    Counts of the sample are the Dirichlet prior's, so that what scored well
+    pulls the next parameters its way.
+    """
+    atts, best, extra = list(net), None, None
+    base = seed_rows.select(*atts).withColumn("__w", F.lit(1.0))
+    for r in range(rounds):
+        rows = base if extra is None else base.unionByName(extra)
+        made = cut(forward_pool(seed_rows.sparkSession, n, net, learn_parameters(rows, net, "__w"), f"{seed}-{r}"))
+        got = (score(made), r, made)
+        best = got if best is None else min(best, got, key=lambda x: x[:2])
+        extra = best[2].select(*atts).withColumn("__w", F.lit(float(share)))
+    if best is None:
+        raise ValueError("no rounds")
+    return best[0], best[2]

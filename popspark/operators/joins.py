@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from .sampling import keyed
+
 
 def persons_with_household(persons: DataFrame, households: DataFrame, key: str = "hhid") -> DataFrame:
     return persons.join(households, key)
@@ -42,7 +44,7 @@ def wildcard_match(records: DataFrame, pool: DataFrame, att: str, keys: Sequence
     p = pool.withColumnRenamed(att, "__p_att")
     fits = (F.col(att) == F.col("__p_att")) | F.col(att).isin(wild) | F.col("__p_att").isin(wild)
     j = records.join(p, list(keys)).where(fits)
-    pick = W.partitionBy(*order).orderBy(F.xxhash64(F.lit(seed), *order, "__p_att"), "__p_att")
+    pick = W.partitionBy(*order).orderBy(keyed(seed, *order, "__p_att"), "__p_att")
     return j.withColumn("__n", F.row_number().over(pick)).where("__n = 1").drop("__n")
 
 
@@ -81,3 +83,9 @@ def union_runs(runs: Mapping[str, DataFrame], name: str = "run") -> DataFrame:
     if out is None:
         raise ValueError("no runs")
     return out
+
+
+def sub_population(households: DataFrame, persons: DataFrame, ids: DataFrame, key: str = "hhid") -> tuple[DataFrame, DataFrame]:
+    """The households of a list of ids, and all their persons."""
+    some = ids.select(key).distinct()
+    return households.join(some, key, "left_semi"), persons.join(some, key, "left_semi")

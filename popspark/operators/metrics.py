@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .condense import condense, differences, marginals
+from .sampling import bernoulli
 
 CELL = ("zone_id", "att", "state")
 
@@ -133,3 +134,12 @@ def population_rmse(full: DataFrame, sample: DataFrame, zone: str, attributes: S
     """RMSE by attribute state of a sample, scaled up, against the full population."""
     s = marginals(sample, zone, attributes).withColumn("value", F.col("value") * scale)
     return rmse(marginals(full, zone, attributes), s, "attribute", zone)
+
+
+def rmse_over_rates(full: DataFrame, zone: str, attributes: Sequence[str], rates: Sequence[float], keys: Sequence[str], rate: str = "rate") -> DataFrame:
+    """(rate, att, state, rmse) of samples at every rate, scaled up, against the full population; each rate draws anew."""
+    out = None
+    for r in rates:
+        part = population_rmse(full, bernoulli(full, r, keys, r), zone, attributes, 1 / r).withColumn(rate, F.lit(r))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -35,9 +35,9 @@ def initial_population(att: str, marg: DataFrame, pool: DataFrame, attributes: S
     known = pool.select(att).distinct()
     p = pool.groupBy(*atts).agg(F.sum("count").alias("count"))
     direct = weighted_draws(draws.join(known, att, "left_semi"), p, [att], "count", atts, [zone, att, "draw"], seed).select(zone, *atts)
-    rest = draws.join(known, att, "left_anti").withColumn("__one", F.lit(1))
-    free = p.groupBy(*[a for a in atts if a != att]).agg(F.sum("count").alias("count")).withColumn("__one", F.lit(1))
-    anyhow = weighted_draws(rest, free, ["__one"], "count", [a for a in atts if a != att], [zone, att, "draw"], seed).select(zone, *atts)
+    rest = draws.join(known, att, "left_anti")
+    free = p.groupBy(*[a for a in atts if a != att]).agg(F.sum("count").alias("count"))
+    anyhow = weighted_draws(rest, free, [], "count", [a for a in atts if a != att], [zone, att, "draw"], seed).select(zone, *atts)
     return direct.unionByName(anyhow)
 
 
@@ -108,7 +108,7 @@ def expand(counts: DataFrame, pool: DataFrame, attributes: Sequence[str], adjust
         parts = found.join(lost, zone).join(total, zone).withColumn("__part", F.col("__lost") * F.col("count") / F.col("__all"))
         more = largest_remainder(parts, "__part", [zone], adjusted, out="__more").select(zone, *adjusted, "__more")
         found = found.join(more, [zone, *adjusted], "left").withColumn("count", F.col("count") + F.coalesce("__more", F.lit(0))).drop("__more")
-        bare = lost.join(total, zone, "left_anti").withColumn("__one", F.lit(1))
+        bare = lost.join(total, zone, "left_anti")
     else:
         found, bare = counts, None
     if full:
@@ -117,8 +117,8 @@ def expand(counts: DataFrame, pool: DataFrame, attributes: Sequence[str], adjust
         p = pool.groupBy(*atts).agg(F.sum("count").alias("count"))
         out = weighted_draws(draws_for(found, [zone, *adjusted], "count"), p, adjusted, "count", atts, [zone, *adjusted, "draw"], seed).select(zone, *atts)
     if bare is not None:
-        p = pool.groupBy(*atts).agg(F.sum("count").alias("count")).withColumn("__one", F.lit(1))
-        out = out.unionByName(weighted_draws(draws_for(bare, [zone, "__one"], "__lost"), p, ["__one"], "count", atts, [zone, "draw"], seed).select(zone, *atts))
+        p = pool.groupBy(*atts).agg(F.sum("count").alias("count"))
+        out = out.unionByName(weighted_draws(draws_for(bare, [zone], "__lost"), p, [], "count", atts, [zone, "draw"], seed).select(zone, *atts))
     return out
 
 
@@ -156,9 +156,10 @@ def trimmed(syn: DataFrame, marg: DataFrame, attributes: Sequence[str], zone: st
                 mask = n > 0
                 for a in chosen:
                     mask &= np.isin(cols[a], [s for (x, s), v in surplus.items() if x == a and v > 0])
-                keys = pd.Series(list(zip(*(cols[a][mask] for a in chosen))), index=np.flatnonzero(mask), dtype=object)
-                for combo in sorted(set(keys)):
-                    at = keys.index[[k == combo for k in keys]].to_numpy()
+                members = pd.DataFrame({a: cols[a][mask] for a in chosen}, index=np.flatnonzero(mask)).groupby(list(chosen), sort=True).indices
+                rows_of = np.flatnonzero(mask)
+                for combo, places in members.items():
+                    combo, at = combo if isinstance(combo, tuple) else (combo,), rows_of[places]
                     take = min(min(surplus.get((a, s), 0) for a, s in zip(chosen, combo)), int(n[at].sum()))
                     if take <= 0:
                         continue

@@ -2,7 +2,9 @@
 
 Every draw is a keyed hash of stable columns, so that results do not depend on
 how rows are partitioned. Weighted draws look a uniform number up in running
-sums, joined on the stratum with a range as the residual condition.
+sums: a stratum's unit interval is cut into as many buckets as it has pool
+rows, a row goes to the buckets that it overlaps, and a draw meets the few rows
+of its bucket in an equi-join.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .condense import inflate
+from .ordered import numbered, running_total
 
 
 def keyed(seed: object, *keys: str | Column) -> Column:
@@ -31,7 +34,13 @@ def sample_exact(df: DataFrame, fraction: float, keys: Sequence[str], seed: obje
         order = W.partitionBy(*within).orderBy("__o", *keys)
         d = d.withColumn("__n", F.row_number().over(order)).withColumn("__all", F.count(F.lit(1)).over(W.partitionBy(*within)))
         return d.where(F.col("__n") <= F.round(F.col("__all") * fraction)).drop("__o", "__n", "__all")
-    return d.orderBy("__o", *keys).limit(int(df.count() * fraction + 0.5)).drop("__o")
+    d, n = numbered(d, ["__o", *keys], "__n")
+    return d.where(F.col("__n") <= int(n * fraction + 0.5)).drop("__o", "__n")
+
+
+def bernoulli(df: DataFrame, rate: float, keys: Sequence[str], seed: object = 0) -> DataFrame:
+    """Rows that each stay with probability ``rate``, by their own number: no count of the table."""
+    return df.where(uniform(seed, *keys) < rate)
 
 
 def sample_count(df: DataFrame, within: Sequence[str], wanted: Column, keys: Sequence[str], seed: object = 0) -> DataFrame:
@@ -40,22 +49,42 @@ def sample_count(df: DataFrame, within: Sequence[str], wanted: Column, keys: Seq
     return df.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= wanted).drop("__n")
 
 
-def running_weights(pool: DataFrame, strata: Sequence[str], weight: str, order: Sequence[str]) -> DataFrame:
-    """``pool`` with the interval [lo, hi) of its running weight in the stratum and the stratum's total."""
+def running_weights(pool: DataFrame, strata: Sequence[str], weight: str, order: Sequence[str]) -> tuple[DataFrame, DataFrame | tuple[int, float]]:
+    """``pool`` with the interval [lo, hi) of its running weight in the stratum; number of rows and total of each stratum.
+
+    Without strata the running sum goes over range partitions, and the number
+    and the total are plain ones.
+    """
+    strata = list(strata)
+    w = F.col(weight).cast("double")
+    pool = pool.where(F.col(weight) > 0)
+    if not strata:
+        cdf, total = running_total(pool, order, w, "hi")
+        cdf = cdf.withColumn("lo", F.col("hi") - w)
+        return cdf, (cdf.count(), total)
     up = W.partitionBy(*strata).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    hi = F.sum(F.col(weight).cast("double")).over(up)
-    return pool.where(F.col(weight) > 0).withColumn("hi", hi).withColumn("lo", F.col("hi") - F.col(weight)).withColumn("total", F.sum(F.col(weight).cast("double")).over(W.partitionBy(*strata)))
+    cdf = pool.withColumn("hi", F.sum(w).over(up)).withColumn("lo", F.col("hi") - w)
+    return cdf, pool.groupBy(*strata).agg(F.count(F.lit(1)).alias("__rows"), F.sum(w).alias("__total"))
 
 
 def weighted_draws(draws: DataFrame, pool: DataFrame, strata: Sequence[str], weight: str, order: Sequence[str], keys: Sequence[str], seed: object = 0) -> DataFrame:
     """One pool row for each row of ``draws``, by weight within the stratum, with replacement.
 
-    Draws of a stratum that the pool lacks give no row. ``keys`` identify a draw.
+    Draws of a stratum that the pool lacks give no row; without ``strata`` the
+    pool is one. ``keys`` identify a draw.
     """
-    cdf = running_weights(pool, strata, weight, order)
+    strata = list(strata)
+    cdf, sums = running_weights(pool, strata, weight, order)
     d = draws.withColumn("__u", uniform(seed, *keys))
-    hit = (F.col("__u") * F.col("total") >= F.col("lo")) & (F.col("__u") * F.col("total") < F.col("hi"))
-    return d.join(cdf, list(strata)).where(hit).drop("__u", "lo", "hi", "total")
+    if strata:
+        d, cdf = d.join(sums, strata), cdf.join(sums, strata)
+    else:
+        both = lambda x: x.withColumn("__rows", F.lit(sums[0]).cast("long")).withColumn("__total", F.lit(float(sums[1])))
+        d, cdf = both(d), both(cdf)
+    bucket = lambda x: F.least(F.floor(x / F.col("__total") * F.col("__rows")), F.col("__rows") - 1)
+    d = d.withColumn("__x", F.col("__u") * F.col("__total")).withColumn("__bucket", bucket(F.col("__x"))).drop("__rows", "__total")
+    cdf = cdf.withColumn("__bucket", F.explode(F.sequence(bucket(F.col("lo")), bucket(F.col("hi"))))).drop("__rows", "__total")
+    return d.join(cdf, [*strata, "__bucket"]).where((F.col("__x") >= F.col("lo")) & (F.col("__x") < F.col("hi"))).drop("__u", "__x", "__bucket", "lo", "hi")
 
 
 def draws_for(counts: DataFrame, keys: Sequence[str], count: str) -> DataFrame:

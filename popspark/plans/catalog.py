@@ -59,7 +59,7 @@ def census_hh(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sampled_hh(spark: SparkSession, d: str, rate: float = 0.5) -> DataFrame:
-    return evolve.shuffled_head(households(spark, d), rate, ["hhid"], "s")
+    return S.bernoulli(households(spark, d), rate, ["hhid"], "s")
 
 
 HH = """hh AS (SELECT c_custkey AS hhid, CAST(c_nationkey AS VARCHAR) AS zone_id, c_mktsegment AS dwelltype, c_acctbal AS bal,
@@ -175,7 +175,22 @@ def implausible_households(spark, d):
     return R.implausible(R.first_is_main(persons(spark, d)))
 
 
-@query()
+RELABEL = """, tp AS (SELECT *, row_number() OVER (PARTITION BY hhid ORDER BY income DESC, (relationship = 'Main') DESC, persid) = 1 AS is_top FROM pm),
+w AS (SELECT *, max(CASE WHEN is_top THEN relationship END) OVER h AS t_rel, max(CASE WHEN is_top THEN age END) OVER h AS t_age, max(CASE WHEN is_top THEN sex END) OVER h AS t_sex, max(CASE WHEN relationship = 'Main' THEN age END) OVER h AS m_age FROM tp WINDOW h AS (PARTITION BY hhid)),
+i AS (SELECT *, bool_or(coalesce((relationship IN ('Child', 'Parent') AND abs(age - m_age) < 15) OR (relationship IN ('Grandchild', 'Grandparent') AND abs(age - m_age) < 33), false)) OVER (PARTITION BY hhid) AS odd,
+  relationship = 'Others' AND NOT is_top AND age > 16 AND t_age > 16 AND abs(age - t_age) <= 20 AND sex <> t_sex AS fits, relationship = 'Child' AND age - t_age >= 15 AS of_age FROM w),
+s AS (SELECT *, fits AND row_number() OVER (PARTITION BY hhid ORDER BY fits DESC, persid) = 1 AS sp, coalesce(bool_or(of_age) OVER (PARTITION BY hhid ORDER BY persid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS before FROM i),
+r AS (SELECT persid, hhid, age, CASE WHEN is_top THEN 'Main' WHEN odd OR t_rel = 'Main' THEN relationship
+  WHEN t_rel = 'Spouse' THEN CASE relationship WHEN 'Main' THEN 'Spouse' WHEN 'Sibling' THEN 'Others' ELSE relationship END
+  WHEN t_rel = 'Child' THEN CASE WHEN sp THEN 'Spouse' WHEN relationship IN ('Main', 'Spouse') THEN 'Parent' WHEN relationship = 'Child' THEN 'Sibling' WHEN relationship = 'Sibling' THEN 'Others' WHEN relationship = 'Grandchild' THEN CASE WHEN t_age - age >= 15 THEN 'Child' ELSE 'Others' END ELSE relationship END
+  WHEN t_rel = 'Sibling' THEN CASE WHEN sp THEN 'Spouse' WHEN relationship = 'Main' THEN 'Sibling' WHEN relationship IN ('Spouse', 'Child', 'Grandchild') THEN 'Others' ELSE relationship END
+  WHEN t_rel = 'Grandchild' THEN CASE WHEN sp THEN 'Spouse' WHEN relationship IN ('Main', 'Spouse') THEN 'Grandparent' WHEN relationship = 'Child' THEN CASE WHEN before THEN 'Others' WHEN of_age THEN 'Parent' ELSE 'Child' END WHEN relationship = 'Grandchild' THEN 'Sibling' ELSE relationship END
+  ELSE 'Others' END AS relationship FROM s),
+o AS (SELECT *, max(CASE WHEN relationship = 'Main' THEN age END) OVER (PARTITION BY hhid) AS m FROM r)
+SELECT persid, hhid, relationship FROM o WHERE hhid NOT IN (SELECT hhid FROM o WHERE (relationship IN ('Child', 'Parent') AND abs(age - m) < 15) OR (relationship IN ('Grandchild', 'Grandparent') AND abs(age - m) < 33))"""
+
+
+@query(WITH(PP, PM).rstrip() + RELABEL)
 def relabel_relationships(spark, d):
     return R.process_relationships(persons(spark, d)).select("persid", "hhid", "relationship")
 
@@ -192,17 +207,17 @@ TYPE = """CASE WHEN fam + n_Others = 0 THEN 'Single Person' WHEN fam = 0 THEN 'G
 WHEN n_Spouse > 0 AND n_Child > 0 THEN 'Couple with Child' WHEN n_Spouse > 0 THEN 'Couple Only' ELSE 'Single Parent' END"""
 
 
-@query(WITH(PP, PM) + f"SELECT hhid, {TYPE} AS hh_type FROM (SELECT *, n_Parent + n_Grandparent + n_Grandchild + n_Sibling AS wide, n_Spouse + n_Child + n_Parent + n_Grandparent + n_Grandchild + n_Sibling AS fam FROM (SELECT hhid, {COUNTS} FROM pm WHERE persid % 4 = 0 OR relationship = 'Main' GROUP BY hhid))")
+@query(WITH(PP, PM) + f"SELECT hhid, {TYPE} AS hh_type FROM (SELECT *, n_Parent + n_Grandparent + n_Grandchild + n_Sibling AS wide, n_Spouse + n_Child + n_Parent + n_Grandparent + n_Grandchild + n_Sibling AS fam FROM (SELECT hhid, {COUNTS} FROM pm WHERE income < 60000 OR relationship = 'Main' GROUP BY hhid))")
 def hh_type(spark, d):
-    p = R.first_is_main(persons(spark, d)).where("persid % 4 = 0 OR relationship = 'Main'")
+    p = R.first_is_main(persons(spark, d)).where("income < 60000 OR relationship = 'Main'")
     n = R.relation_counts(p)
     return n.select("hhid", A.household_type({r: F.col(f"n_{r}") for r in R.RELATIONS}).alias("hh_type"))
 
 
 @query(WITH(PP, PM) + """SELECT hhid, CASE WHEN len(s) = 0 THEN 'Single Person' WHEN s = ['Others'] THEN 'Group Household' WHEN s = ['Child', 'Spouse'] THEN 'Couple with Child' WHEN s = ['Spouse'] THEN 'Couple Only'
-WHEN s = ['Child'] THEN 'Single Parent' ELSE 'Complicated Family' END AS hh_type FROM (SELECT hhid, coalesce(list_sort(list(DISTINCT relationship) FILTER (relationship <> 'Main')), []) AS s FROM pm WHERE persid % 4 = 0 OR relationship = 'Main' GROUP BY hhid)""")
+WHEN s = ['Child'] THEN 'Single Parent' ELSE 'Complicated Family' END AS hh_type FROM (SELECT hhid, coalesce(list_sort(list(DISTINCT relationship) FILTER (relationship <> 'Main')), []) AS s FROM pm WHERE income < 60000 OR relationship = 'Main' GROUP BY hhid)""")
 def hh_type_set(spark, d):
-    p = R.first_is_main(persons(spark, d)).where("persid % 4 = 0 OR relationship = 'Main'")
+    p = R.first_is_main(persons(spark, d)).where("income < 60000 OR relationship = 'Main'")
     return p.groupBy("hhid").agg(A.household_type_of_set(F.collect_set("relationship")).alias("hh_type"))
 
 
@@ -248,18 +263,19 @@ def mutual_semi_filter(spark, d):
     return a.join(b, "k").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(WITH(HH) + "SELECT hh.hhid, p.dwelltype AS matched FROM hh JOIN (SELECT DISTINCT zone_id, dwelltype FROM hh WHERE hhid % 3 = 0) p ON hh.zone_id = p.zone_id AND (hh.dwelltype = p.dwelltype OR hh.dwelltype IN ('MACHINERY') OR p.dwelltype IN ('MACHINERY'))")
+@query(WITH(HH) + "SELECT hh.hhid, p.dwelltype AS matched FROM hh JOIN (SELECT DISTINCT zone_id, dwelltype FROM hh WHERE bal > 4000) p ON hh.zone_id = p.zone_id AND (hh.dwelltype = p.dwelltype OR hh.dwelltype IN ('MACHINERY') OR p.dwelltype IN ('MACHINERY'))")
 def wildcard_candidates(spark, d):
     h = households(spark, d)
-    pool = h.where("hhid % 3 = 0").select("zone_id", F.col("dwelltype").alias("matched")).distinct()
+    pool = h.where("bal > 4000").select("zone_id", F.col("dwelltype").alias("matched")).distinct()
     wild = F.col("dwelltype").isin("MACHINERY") | F.col("matched").isin("MACHINERY")
     return h.join(pool, "zone_id").where((F.col("dwelltype") == F.col("matched")) | wild).select("hhid", "matched")
 
 
-@query()
+@query(WITH(HH) + """SELECT hhid, zone_id, dwelltype, "__p_att" FROM (SELECT hh.hhid, hh.zone_id, hh.dwelltype, p.dwelltype AS "__p_att", row_number() OVER (PARTITION BY hh.hhid ORDER BY md5('0|' || CAST(hh.hhid AS VARCHAR) || '|' || p.dwelltype), p.dwelltype) AS n
+FROM hh JOIN (SELECT DISTINCT zone_id, dwelltype FROM hh WHERE bal > 4000) p ON hh.zone_id = p.zone_id AND (hh.dwelltype = p.dwelltype OR hh.dwelltype IN ('MACHINERY') OR p.dwelltype IN ('MACHINERY'))) WHERE n = 1""")
 def wildcard_match(spark, d):
     h = households(spark, d)
-    pool = h.where("hhid % 3 = 0").select("zone_id", "dwelltype").distinct()
+    pool = h.where("bal > 4000").select("zone_id", "dwelltype").distinct()
     return joins.wildcard_match(h.select("hhid", "zone_id", "dwelltype"), pool, "dwelltype", ["zone_id"], ["MACHINERY"], ["hhid"])
 
 
@@ -274,11 +290,11 @@ def natural_join(spark, d):
     return joins.natural_join(t(spark, d, "nation").withColumnRenamed("n_regionkey", "k"), t(spark, d, "region").withColumnRenamed("r_regionkey", "k")).select("n_nationkey", "n_name", "r_name")
 
 
-@query(WITH(REC) + ", a AS (SELECT DISTINCT l_returnflag, l_linestatus, qty FROM rec WHERE l_suppkey % 2 = 0), b AS (SELECT DISTINCT l_linestatus, qty, disc FROM rec WHERE l_suppkey % 2 = 1 AND qty <> '3') SELECT l_returnflag, l_linestatus, qty FROM a WHERE (l_linestatus, qty) IN (SELECT l_linestatus, qty FROM b)")
+@query(WITH(REC) + ", a AS (SELECT DISTINCT l_returnflag, l_linestatus, qty FROM rec WHERE disc = '1'), b AS (SELECT DISTINCT l_linestatus, qty, disc FROM rec WHERE disc <> '1' AND qty <> '3') SELECT l_returnflag, l_linestatus, qty FROM a WHERE (l_linestatus, qty) IN (SELECT l_linestatus, qty FROM b)")
 def pool_semijoin_consistency(spark, d):
     r = records(spark, d)
-    a = r.where("l_suppkey % 2 = 0").select("l_returnflag", "l_linestatus", "qty").distinct()
-    b = r.where("l_suppkey % 2 = 1 AND qty <> '3'").select("l_linestatus", "qty", "disc").distinct()
+    a = r.where("disc = '1'").select("l_returnflag", "l_linestatus", "qty").distinct()
+    b = r.where("disc <> '1' AND qty <> '3'").select("l_linestatus", "qty", "disc").distinct()
     return joins.consistent_pools(a, b, ["l_linestatus", "qty"])[0].select("l_returnflag", "l_linestatus", "qty")
 
 
@@ -311,16 +327,16 @@ def census_total_hh(spark, d):
     return C.household_total(census_hh(spark, d).withColumnRenamed("value", "target"))
 
 
-MATRIX = "SELECT dwelltype, hhinc, sum(n) FILTER (totalvehs = '0') AS \"0\", sum(n) FILTER (totalvehs = '1') AS \"1\", sum(n) FILTER (totalvehs = '4+') AS \"4+\" FROM (SELECT dwelltype, hhinc, totalvehs, CAST(count(*) AS BIGINT) AS n FROM hh WHERE hhid % 5 = 0 GROUP BY ALL) GROUP BY ALL"
+MATRIX = "SELECT dwelltype, hhinc, sum(n) FILTER (totalvehs = '0') AS \"0\", sum(n) FILTER (totalvehs = '1') AS \"1\", sum(n) FILTER (totalvehs = '4+') AS \"4+\" FROM (SELECT dwelltype, hhinc, totalvehs, CAST(count(*) AS BIGINT) AS n FROM hh GROUP BY ALL) GROUP BY ALL"
 
 
 @query(WITH(HH) + f'SELECT dwelltype, hhinc, CAST("0" AS BIGINT) AS "0", CAST("1" AS BIGINT) AS "1", CAST("4+" AS BIGINT) AS "4+" FROM ({MATRIX})')
 def ilp_matrix_pivot(spark, d):
-    c = C.condense(households(spark, d).where("hhid % 5 = 0"), HH_ATTS)
+    c = C.condense(households(spark, d), HH_ATTS)
     return C.count_matrix(c, ["dwelltype", "hhinc"], "totalvehs", ["0", "1", "4+"])
 
 
-@query(WITH(HH) + "SELECT dwelltype, hhinc, totalvehs, count(*) AS \"count\" FROM hh WHERE hhid % 5 = 0 AND totalvehs IN ('0', '1', '4+') GROUP BY ALL")
+@query(WITH(HH) + "SELECT dwelltype, hhinc, totalvehs, count(*) AS \"count\" FROM hh WHERE totalvehs IN ('0', '1', '4+') GROUP BY ALL")
 def ilp_matrix_unpivot(spark, d):
     return C.matrix_to_counts(ilp_matrix_pivot(spark, d), ["dwelltype", "hhinc"], "totalvehs", ["0", "1", "4+"])
 
@@ -400,7 +416,8 @@ def largest_remainder_zone(spark, d):
     return S.largest_remainder(v, "v", ["zone_id"], ["hhinc"]).select("zone_id", "hhinc", "n")
 
 
-@query()
+@query(WITH(HH) + """SELECT zone_id, hhinc, CAST(floor(v) + CASE WHEN row_number() OVER (PARTITION BY zone_id ORDER BY race DESC, zone_id, hhinc) <= round(sum(v) OVER (PARTITION BY zone_id)) - sum(floor(v)) OVER (PARTITION BY zone_id) THEN 1 ELSE 0 END AS BIGINT) AS n
+FROM (SELECT *, CASE WHEN v - floor(v) > 0 THEN pow(greatest(CAST('0x' || substr(md5('0|' || zone_id || '|' || hhinc), 1, 8) AS BIGINT) / 4294967296.0, 1e-12), 1 / (v - floor(v))) ELSE -1 END AS race FROM (SELECT zone_id, hhinc, count(*) * CAST(0.37 AS DOUBLE) AS v FROM hh GROUP BY ALL))""")
 def trs_update_zone(spark, d):
     v = households(spark, d).groupBy("zone_id", "hhinc").agg((F.count(F.lit(1)) * F.lit(0.37)).alias("v"))
     return S.truncate_replicate_sample(v, "v", ["zone_id"], ["zone_id", "hhinc"]).select("zone_id", "hhinc", "n")
@@ -419,8 +436,8 @@ def stratified_sample(spark, d):
 @query(WITH(HH, REC) + f"""SELECT hhid, qty FROM (SELECT hhid, {U('9', 'hhid')} AS u FROM hh) JOIN (SELECT qty, sum(n) OVER (ORDER BY qty) - n AS lo, sum(n) OVER (ORDER BY qty) AS hi, sum(n) OVER () AS total
 FROM (SELECT qty, count(*) AS n FROM rec GROUP BY qty)) ON u * total >= lo AND u * total < hi""")
 def weighted_draw(spark, d):
-    pool = records(spark, d).groupBy("qty").agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(1))
-    return S.weighted_draws(households(spark, d).select("hhid").withColumn("one", F.lit(1)), pool, ["one"], "n", ["qty"], ["hhid"], 9).select("hhid", "qty")
+    pool = records(spark, d).groupBy("qty").agg(F.count(F.lit(1)).alias("n"))
+    return S.weighted_draws(households(spark, d).select("hhid"), pool, [], "n", ["qty"], ["hhid"], 9).select("hhid", "qty")
 
 
 @query(WITH(HH, REC) + f"""SELECT hhid, zone_id, qty FROM (SELECT hhid, zone_id, {U('9', 'hhid')} AS u FROM hh) JOIN (SELECT zone_id, qty, sum(n) OVER (PARTITION BY zone_id ORDER BY qty) - n AS lo, sum(n) OVER (PARTITION BY zone_id ORDER BY qty) AS hi,
@@ -430,13 +447,21 @@ def weighted_draw_by_zone(spark, d):
     return S.weighted_draws(households(spark, d).select("hhid", "zone_id"), pool, ["zone_id"], "n", ["qty"], ["hhid"], 9).select("hhid", "zone_id", "qty")
 
 
-@query()
+@query(WITH(REC) + f""", c AS (SELECT l_returnflag, l_linestatus, qty, disc, count(*) AS n FROM rec GROUP BY ALL), w AS (SELECT l_returnflag, sum(n) / (SELECT sum(n) FROM c) * 500 AS v FROM c GROUP BY l_returnflag),
+k AS (SELECT l_returnflag, CAST(floor(v) + CASE WHEN row_number() OVER (ORDER BY round(v - floor(v), 9) DESC, l_returnflag) <= round(sum(v) OVER ()) - sum(floor(v)) OVER () THEN 1 ELSE 0 END AS BIGINT) AS m FROM w),
+t AS (SELECT l_returnflag, draw, CAST('0x' || substr(md5('0|' || l_returnflag || '|' || CAST(draw AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM (SELECT l_returnflag, unnest(range(1, m + 1)) AS draw FROM k)),
+p AS (SELECT *, sum(n) OVER (PARTITION BY l_returnflag ORDER BY l_linestatus, qty, disc) AS hi, sum(n) OVER (PARTITION BY l_returnflag) AS total FROM c)
+SELECT l_returnflag, l_linestatus, qty, disc, CAST(draw AS INTEGER) AS draw FROM t JOIN p USING (l_returnflag) WHERE u * total >= hi - n AND u * total < hi""")
 def balanced_type_sample(spark, d):
     c = C.condense(records(spark, d), RECORD_ATTS)
     return S.balanced_types(c, "l_returnflag", 500, "count", RECORD_ATTS).select(*RECORD_ATTS, "draw")
 
 
-@query()
+@query(WITH(HH, PP) + f""", c AS (SELECT relationship = 'Spouse' AS is_main, sex, CASE WHEN age < 100 THEN CAST(age // 10 * 10 AS VARCHAR) || '-' || CAST(age // 10 * 10 + 9 AS VARCHAR) ELSE '100+' END AS age, count(*) AS n FROM pp GROUP BY ALL),
+p AS (SELECT *, sum(n) OVER (PARTITION BY is_main ORDER BY sex, age) AS hi, sum(n) OVER (PARTITION BY is_main) AS total FROM c),
+t AS (SELECT hhid, draw, draw = 1 AS is_main, CAST('0x' || substr(md5('0|' || CAST(hhid AS VARCHAR) || '|' || CAST(draw AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 AS u
+  FROM (SELECT hhid, unnest(range(1, CASE WHEN hhsize = '8+' THEN 8 + CAST(floor({U('0-size', 'hhid')} * 4) AS BIGINT) ELSE CAST(hhsize AS BIGINT) END + 1)) AS draw FROM hh))
+SELECT hhid, CAST(draw AS INTEGER) AS draw, is_main, sex, age FROM t JOIN p USING (is_main) WHERE u * total >= hi - n AND u * total < hi""")
 def filled_households(spark, d):
     pool = C.condense(persons(spark, d).select("sex", A.age_decade(F.col("age")).alias("age"), (F.col("relationship") == "Spouse").alias("is_main")), ["sex", "age", "is_main"])
     return S.fill_household(households(spark, d), "hhid", "hhsize", pool, "is_main", "count", ["sex", "age"]).select("hhid", "draw", "is_main", "sex", "age")
@@ -554,7 +579,17 @@ def bn_forward_pool(spark, d):
     return bayes.forward_pool(spark, 2000, net, bayes.learn_parameters(h, net))
 
 
-@query()
+def _cdf(name: str, parent: str, child: str) -> str:
+    return f"""{name} AS (SELECT {parent}, {child}, sum(p) OVER (PARTITION BY {parent} ORDER BY {child}) AS hi FROM (SELECT {parent}, {child}, (coalesce(n, 0) + 1.0::DOUBLE) / sum(coalesce(n, 0) + 1.0::DOUBLE) OVER (PARTITION BY {parent}) AS p
+  FROM (SELECT * FROM (SELECT DISTINCT {parent} FROM hh) CROSS JOIN (SELECT DISTINCT {child} FROM hh)) LEFT JOIN (SELECT {parent}, {child}, count(*) AS n FROM hh GROUP BY ALL) USING ({parent}, {child})))"""
+
+
+def _drawn(name: str, rows: str, cdf: str, parent: str, child: str) -> str:
+    u = f"CAST('0x' || substr(md5('0-{child}|' || zone_id || '|' || dwelltype || '|' || CAST(draw AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0"
+    return f"{name} AS (SELECT r.*, g.{child} FROM (SELECT *, {u} AS u_{child} FROM {rows}) r JOIN (SELECT *, lag(hi, 1, 0) OVER (PARTITION BY {parent} ORDER BY {child}) AS lo, lead(hi) OVER (PARTITION BY {parent} ORDER BY {child}) IS NULL AS last FROM {cdf}) g ON r.{parent} = g.{parent} AND u_{child} >= lo AND (u_{child} < hi OR last))"
+
+
+@query(WITH(HH, _cdf("c1", "dwelltype", "hhinc"), _cdf("c2", "hhinc", "totalvehs"), "e AS (SELECT zone_id, dwelltype, CAST(unnest(range(1, count(*) + 1)) AS INTEGER) AS draw FROM hh GROUP BY zone_id, dwelltype)", _drawn("d1", "e", "c1", "dwelltype", "hhinc"), _drawn("d2", "d1", "c2", "hhinc", "totalvehs")) + "SELECT zone_id, dwelltype, draw, hhinc, totalvehs FROM d2")
 def bn_evidence_sample(spark, d):
     h = households(spark, d)
     net = {"dwelltype": (), "hhinc": ("dwelltype",), "totalvehs": ("hhinc",)}
@@ -570,11 +605,11 @@ def pool_pairs_counts(spark, d):
     return csp.pool_pairs(households(spark, d), R.first_is_main(persons(spark, d)), ["dwelltype"], ["sex"])["Main-Spouse"]
 
 
-@query(WITH(PP, PM) + f'SELECT hhid, b AS "Spouse_sex", CAST(sum(n) AS BIGINT) AS "count" FROM (SELECT hhid, sex AS a FROM pm WHERE relationship = \'Main\' AND hhid % 3 = 0) JOIN (SELECT a, b, count(*) AS n FROM ({PAIR}) GROUP BY ALL) USING (a) GROUP BY ALL')
+@query(WITH(PP, PM) + f'SELECT hhid, b AS "Spouse_sex", CAST(sum(n) AS BIGINT) AS "count" FROM (SELECT hhid, sex AS a FROM pm WHERE relationship = \'Main\') JOIN (SELECT a, b, count(*) AS n FROM ({PAIR}) GROUP BY ALL) USING (a) GROUP BY ALL')
 def csp_candidates(spark, d):
     p = R.first_is_main(persons(spark, d))
     pairs = csp.pool_pairs(households(spark, d), p, ["dwelltype"], ["sex"])["Main-Spouse"]
-    ev = p.where("relationship = 'Main' AND hhid % 3 = 0").select("hhid", F.col("sex").alias("Main_sex"))
+    ev = p.where("relationship = 'Main'").select("hhid", F.col("sex").alias("Main_sex"))
     return csp.candidates(ev, pairs, ["hhid"], ["Main_sex"], ["Spouse_sex"])[0]
 
 
@@ -586,7 +621,8 @@ def csp_persons(spark, d):
     return people
 
 
-@query()
+@query(WITH(HH) + f""", p AS (SELECT *, sum(n) OVER (ORDER BY dwelltype, hhinc, totalvehs) AS hi, sum(n) OVER () AS total FROM (SELECT dwelltype, hhinc, totalvehs, count(*) AS n FROM hh GROUP BY ALL))
+SELECT id, dwelltype, hhinc, totalvehs FROM (SELECT id, {U('0', 'id')} AS u FROM range(1000) r(id)) JOIN p ON u * total >= hi - n AND u * total < hi""")
 def naive_population(spark, d):
     return evolve.naive_synthesis(C.condense(households(spark, d), HH_ATTS), 1000, HH_ATTS)
 
@@ -663,9 +699,14 @@ def cross_entropy(spark, d):
     return metrics.cross_entropy(households(spark, d).select("dwelltype", one), sampled_hh(spark, d).select("dwelltype", one), "dwelltype", "w").withColumn("bits", r6("bits"))
 
 
-@query()
+RUNS = "runs AS (" + " UNION ALL ".join(f"SELECT 'run_{k}' AS run, * FROM hh WHERE {U(str(k), 'hhid')} < 0.5" for k in range(3)) + ")"
+
+
+@query(WITH(HH, MARG, RUNS) + """, g AS (SELECT run, zone_id, att, state, count(*) AS value FROM (SELECT run, zone_id, 'dwelltype' AS att, dwelltype AS state FROM runs UNION ALL SELECT run, zone_id, 'hhinc', hhinc FROM runs UNION ALL SELECT run, zone_id, 'totalvehs', totalvehs FROM runs) GROUP BY ALL),
+b AS (SELECT run, marg.* FROM marg CROSS JOIN (SELECT DISTINCT run FROM runs))
+SELECT run, att, state, round(sqrt(sum(pow(coalesce(b.value, 0) - coalesce(g.value, 0), 2)) / (SELECT count(DISTINCT zone_id) FROM marg)), 6) AS rmse FROM b FULL JOIN g USING (run, zone_id, att, state) GROUP BY run, att, state""")
 def run_metrics(spark, d):
-    runs = joins.union_runs({f"run_{k}": evolve.shuffled_head(households(spark, d), 0.5, ["hhid"], k) for k in range(3)})
+    runs = joins.union_runs({f"run_{k}": S.bernoulli(households(spark, d), 0.5, ["hhid"], k) for k in range(3)})
     return metrics.run_metrics(census_hh(spark, d), runs, "zone_id", HH_ATTS).withColumn("rmse", r6("rmse"))
 
 

@@ -102,3 +102,31 @@ def write_marginals(long: DataFrame, path: str, zone: str = "zone_id") -> None:
 def resolved(base: str, path: str) -> str:
     """A path of a run file: relative ones start at the file's own folder."""
     return path if "://" in path or path.startswith("/") else str(PurePosixPath(base).parent / path)
+
+
+def artefact_folder(spark: SparkSession, name: str) -> str:
+    """A folder of that name in the session's warehouse, which driver and executors share."""
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/artefacts/{name}"
+
+
+def write_states(spark: SparkSession, states: dict[str, list[str]], path: str) -> None:
+    """States of each attribute in their order, as a table."""
+    rows = [(a, i, s) for a, every in states.items() for i, s in enumerate(every)]
+    spark.createDataFrame(rows, "att string, place int, state string").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_states(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for r in spark.read.parquet(path).orderBy("att", "place").collect():
+        out.setdefault(r["att"], []).append(r["state"])
+    return out
+
+
+def write_pools(pools: dict[str, DataFrame], path: str) -> None:
+    """Pools of pairs, a table for each edge."""
+    for edge, df in pools.items():
+        df.write.mode("overwrite").parquet(f"{path}/{edge}")
+
+
+def read_pools(spark: SparkSession, path: str, edges: list[str]) -> dict[str, DataFrame]:
+    return {edge: spark.read.parquet(f"{path}/{edge}") for edge in edges}

@@ -5,7 +5,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from popspark.plans import catalog
+from popspark.plans import catalog, more  # noqa: F401
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -55,3 +55,10 @@ def test_layout_independent(spark, sf):
 def test_ipu_survey_is_drawn_from_all_households(spark, sf):
     got = {r.hhid for r in catalog.ipu_weights(spark, sf).select("hhid").distinct().collect()}
     assert got == {r.hhid for r in catalog.sampled_hh(spark, sf).select("hhid").collect()} and any(k % 15 for k in got)
+
+
+@pytest.mark.parametrize("name", ["naive_population", "weighted_draw", "weighted_draw_by_zone", "sample_exact_fraction", "row_chunks"])
+def test_no_single_task(spark, sf, name):
+    """Draws, exact samples and row numbers meet neither in a cross join nor in one partition."""
+    plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("BroadcastNestedLoopJoin", "CartesianProduct", "SinglePartition", "TakeOrderedAndProject"))
