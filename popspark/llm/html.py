@@ -46,6 +46,10 @@ _ROLE_INSIDE = re.compile(
 )
 
 
+#: Elements below one another that have style nodes of their own.
+DEEP = 200
+
+
 def names_of(attrs: str) -> str:
     """The classes, id and role of a tag's attributes, and ``hidden`` where an attribute says so."""
     out = []
@@ -64,10 +68,10 @@ def host_of(url: str | None) -> str:
 
 
 class Node:
-    __slots__ = ("tag", "style", "skip", "main")
+    __slots__ = ("tag", "style", "skip", "main", "depth")
 
-    def __init__(self, tag: str, style: str, skip: bool, main: bool):
-        self.tag, self.style, self.skip, self.main = tag, style, skip, main
+    def __init__(self, tag: str, style: str, skip: bool, main: bool, depth: int):
+        self.tag, self.style, self.skip, self.main, self.depth = tag, style, skip, main, depth
 
 
 def _end_of(page: str, pos: int, tag: str) -> int | None:
@@ -83,10 +87,13 @@ def _end_of(page: str, pos: int, tag: str) -> int | None:
 def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
     """(path, text, role outside the article, inside article or main) of a page's text blocks, in order.
 
-    Unclosed tags end with the page; a closing tag without its opening is ignored.
+    Unclosed tags end with the page; a closing tag without its opening is
+    ignored. Elements below ``DEEP`` others share the style node of the one
+    above them; where each begins and ends counts at any depth.
     """
     out: list[tuple[str, str, bool, bool]] = []
-    stack = [Node("", "", False, False)]
+    stack = [Node("", "", False, False, 0)]
+    opened: Counter = Counter()
     held: list[str] = []
     pos, n = 0, len(page)
 
@@ -98,6 +105,10 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
                 top = stack[-1]
                 out.append((top.style, text, top.skip, top.main))
 
+    def close(k: int) -> None:
+        opened.subtract(x.tag for x in stack[k:])
+        del stack[k:]
+
     while pos < n:
         m = _TAG.search(page, pos)
         if not m:
@@ -110,20 +121,14 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
         if not tag:
             continue
         if m[1]:
-            if tag == "p" and not any(x.tag == "p" for x in stack):
+            if opened[tag] > 0:
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                flush()
+                close(k)
+            elif tag == "p":
                 flush()
-            elif tag not in _INLINE:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        flush()
-                        del stack[k:]
-                        break
-            elif any(x.tag == tag for x in stack[1:]):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        flush()
-                        del stack[k:]
-                        break
             continue
         attrs = m[3] or ""
         names = names_of(attrs) if attrs else ""
@@ -144,26 +149,26 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
             flush()
             continue
         flush()
-        if tag in _CLOSES_P:
+        if tag in _CLOSES_P and opened["p"] > 0:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in ("td", "th", "button", "object"):
                     break
-        elif tag in _OWN_CLOSE:
+        elif tag in _OWN_CLOSE and any(opened[x] > 0 for x in _OWN_CLOSE[tag]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in _OWN_CLOSE[tag]:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in ("ul", "ol", "dl", "table"):
                     break
         top = stack[-1]
         first = names.split()[0].lower() if names.split() else ""
         main = top.main or tag in _MAIN or " main " in f" {names} ".lower()
-        stack.append(Node(tag, f"{top.style}/{tag}" + (f".{first}" if first else ""), top.skip or odd or (tag in _ASIDE and not (tag == "header" and top.main)), main))
-        if len(stack) > 4000:  # a runaway nest of unclosed elements reads as one
-            del stack[3999:-1]
+        style = f"{top.style}/{tag}" + (f".{first}" if first else "") if top.depth < DEEP else top.style
+        stack.append(Node(tag, style, top.skip or odd or (tag in _ASIDE and not (tag == "header" and top.main)), main, top.depth + 1))
+        opened[tag] += 1
     flush()
     return out
 
@@ -226,8 +231,13 @@ def off(path: str, low: frozenset[str]) -> bool:
     return f"{path} >" in low
 
 
-def low_branches(pages: DataFrame, min_pages: int, least: float) -> DataFrame:
-    """(host, low): each host's ``noisy`` branches and content nodes."""
+def low_branches(pages: DataFrame, prior_pages: float, least: float) -> DataFrame:
+    """(host, low): each host's ``noisy`` branches and content nodes.
+
+    A node's own importance is the entropy over its pages, from 0 to 1, as if
+    ``prior_pages`` more pages had shown something new each: one page tells
+    nothing, and the more pages are alike, the lower it falls.
+    """
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -246,12 +256,13 @@ def low_branches(pages: DataFrame, min_pages: int, least: float) -> DataFrame:
 
     seen = pages.mapInArrow(nodes, "host string, path string, digest long, n long")
     per = seen.groupBy("host", "path", "digest").agg(F.sum("n").alias("n")).groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log(F.col("n"))).alias("s"), F.count(F.lit(1)).alias("styles"))
-    own = F.when(F.col("m") >= min_pages, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(F.lit(1.0))
+    spread = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(F.lit(1.0))
+    own = (F.col("m") * spread + prior_pages) / (F.col("m") + prior_pages)
     tree = per.select("host", "path", own.alias("own"), "m", "styles")
     return tree.groupBy("host").applyInArrow(branches, "host string, low array<string>").where(F.size("low") > 0)
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 8, least: float = 0.2, broadcast_rows: int = 100_000) -> DataFrame:
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", prior_pages: float = 2.0, least: float = 0.2, broadcast_paths: int = 1_000_000) -> DataFrame:
     """(id, url, text, n_chars) of every page.
 
     Blocks are joined in page order by a blank line; references are decoded and
@@ -263,9 +274,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     give a row each; other columns are not read.
     """
     src = pages.select(F.col(id_col).alias("k"), F.col(url_col).alias("u"), F.col(html_col).alias("h"))
-    low = durable(low_branches(src.select("u", "h"), min_pages, least))
+    low = durable(low_branches(src.select("u", "h"), prior_pages, least))
+    small = (low.agg(F.sum(F.size("low"))).collect()[0][0] or 0) <= broadcast_paths
     url_host = F.lower(F.regexp_extract(F.coalesce("u", F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    joined = src.withColumn("host_", url_host).join(F.broadcast(low) if low.count() <= broadcast_rows else low, F.col("host_") == F.col("host"), "left").select("k", "u", "h", "low")
+    joined = src.withColumn("host_", url_host).join(F.broadcast(low) if small else low, F.col("host_") == F.col("host"), "left").select("k", "u", "h", "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

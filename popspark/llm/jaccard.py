@@ -42,7 +42,7 @@ NUM, DEN = 3, 4
 #: Roles of a node; two of the odd ones are no pair. PREFIX: its guarantee is used up; PARTNER: that of a set it may meet.
 OWN, PROBE, PREFIX, PARTNER = 0, 1, 2, 3
 #: Groups of up to so many sets give all their pairs; in larger ones so many hubs are compared with all, then so many more.
-SMALL_GROUP, HUBS, MORE_HUBS = 8, 2, 12
+SMALL_GROUP, HUBS, MORE_HUBS = 8, 1, 4
 #: Signatures that like sets share beyond the one that the pigeonhole principle gives, as a part of H.
 SLACK = 0.25
 #: Members of groups with one smallest component that one task takes, about.
@@ -305,15 +305,15 @@ def _pair_rows(pairs: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([of.get(x, pa.nulls(len(p), pa.int64())) for x in names], names)
 
 
-def pairs_of(sig: np.ndarray, key: np.ndarray, size: np.ndarray, role: np.ndarray, label: np.ndarray | None, hubs: int | None) -> np.ndarray:
-    """Distinct pairs inside the groups of one signature: each member with its group's hubs, or all (None); not of one label.
+def pairs_of(sig: np.ndarray, key: np.ndarray, size: np.ndarray, role: np.ndarray, label: np.ndarray | None, hubs: int | None, met: np.ndarray | None = None) -> np.ndarray:
+    """Distinct pairs inside the groups of one signature: each member with its group's hubs, or all (None); not of one label, nor with too few shingles that others have.
 
     The hubs are the first by hash, in an order that all groups share, after
     the roles that do not meet all others.
     """
     order = np.lexsort((mix(key.view(U64)), role & 1, sig))
     sig, key, size, role = sig[order], key[order], size[order], role[order]
-    label = None if label is None else label[order]
+    label, met = (None if x is None else x[order] for x in (label, met))
     begin, ends = np.searchsorted(sig, sig), np.searchsorted(sig, sig, side="right")
     place, held, step = np.arange(len(sig)), [np.zeros((0, 2), np.int64)], 0
     while hubs is None or step < hubs:
@@ -324,6 +324,8 @@ def pairs_of(sig: np.ndarray, key: np.ndarray, size: np.ndarray, role: np.ndarra
         ok = (NUM * np.maximum(size[i], size[j]) <= DEN * np.minimum(size[i], size[j])) & ((role[i] & role[j] & 1) == 0) & (key[i] != key[j])
         if label is not None:
             ok &= label[i] != label[j]
+        if met is not None:
+            ok &= (NUM + DEN) * np.minimum(met[i], met[j]) >= NUM * (size[i] + size[j])
         x, y = key[i[ok]], key[j[ok]]
         held.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
         if sum(map(len, held)) > max(_FLUSH, 2 * len(held[0])):
@@ -337,14 +339,21 @@ def distinct_pairs(p: np.ndarray) -> np.ndarray:
     return p[np.append(True, (p[1:] != p[:-1]).any(1))] if len(p) else p
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, broadcast_ids: int) -> DataFrame:
-    """Links that join the same sets as the (a, b) pairs of the similarity do, as stars in each task.
+def _packed_set(s: np.ndarray) -> bytes:
+    """The upper 48 bits of ascending hashes."""
+    return np.ascontiguousarray((s >> U64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
-    Each set that occurs in a pair is made once, from one text that has it, and
-    goes to its pairs as an array; no text is read for a pair.
-    """
-    used = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    ids = durable(nodes.join(used, "fp"))
+
+def _unpacked_set(b: pa.Scalar) -> np.ndarray:
+    raw = np.frombuffer(b.as_buffer(), np.uint8).reshape(-1, 6)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :6] = raw
+    return out.view(U64).ravel()
+
+
+def _sets_of(fps: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, broadcast_ids: int) -> DataFrame:
+    """(fp, s): the packed sets of distinct (fp), each made from one text that has it."""
+    ids = durable(nodes.join(fps, "fp"))
     ids = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,10 +361,19 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, broa
             fp = b.column(0).to_numpy()
             for i, s in _sets(b.column(1), width):
                 if len(s) and np.int64(np.uint64(fingerprint(s, mix(s)) & ~U64(3)).view(np.int64)) == fp[i]:
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([s.tobytes()], pa.binary())], ["fp", "s"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([_packed_set(s)], pa.binary())], ["fp", "s"])
 
     texts = docs.join(ids, docs["k"].eqNullSafe(ids["rep"]["k"]) & (docs["h"] == ids["rep"]["h"])).select("fp", "t")
-    sets = texts.mapInArrow(make, "fp long, s binary").dropDuplicates(["fp"])
+    return texts.mapInArrow(make, "fp long, s binary").dropDuplicates(["fp"])
+
+
+def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, broadcast_ids: int) -> DataFrame:
+    """Links that join the same sets as the (a, b) pairs of the similarity do, as stars in each task.
+
+    Each set that occurs in a pair goes to its pairs as an array; no text is
+    read for a pair.
+    """
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), nodes, docs, width, broadcast_ids)
     left, right = sets.toDF("fa", "sa"), sets.toDF("fb", "sb")
     both = pairs.join(right, F.col("b") == F.col("fb")).join(left, F.col("a") == F.col("fa")).select("a", "b", "sa", "sb")
 
@@ -363,7 +381,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, broa
         held: list[list[int]] = []
         for b in batches:
             for x, y, u, v in zip(*(c.to_pylist() for c in b.columns[:2]), b.column(2), b.column(3)):
-                p, q = np.frombuffer(u.as_buffer(), U64), np.frombuffer(v.as_buffer(), U64)
+                p, q = _unpacked_set(u), _unpacked_set(v)
                 shared = len(np.intersect1d(p, q, assume_unique=True))
                 if shared and DEN * shared >= NUM * (len(p) + len(q) - shared):
                     held.append([x, y])
@@ -376,6 +394,46 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, broa
     return both.mapInArrow(verify, "a long, b long")
 
 
+def _met(open_nodes: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, broadcast_ids: int) -> DataFrame:
+    """(node, met): how many shingles of each of (node, label) occur in a set of another label."""
+    n_buckets = bucket_count(docs)
+    sets = _sets_of(open_nodes.select(F.col("node").alias("fp")), nodes, docs, width, broadcast_ids)
+    labelled = sets.join(open_nodes, F.col("fp") == F.col("node")).select("node", "label", "s")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        size = 0
+        for b in batches:
+            for node, label, s in zip(*(c.to_pylist() for c in b.columns[:2]), b.column(2)):
+                keys = _unpacked_set(s) << U64(16)
+                held.append([keys, np.full(len(keys), node, np.int64), np.full(len(keys), label, np.int64)])
+                size += len(keys)
+                if size >= _FLUSH:
+                    cols, size = [np.concatenate(c) for c in zip(*held)], 0
+                    held.clear()
+                    yield from packed(cols[0], cols, n_buckets)
+        if held:
+            cols = [np.concatenate(c) for c in zip(*held)]
+            yield from packed(cols[0], cols, n_buckets)
+
+    def meet(kinds: dict[int, list[bytes]], _: int) -> Iterator[pa.RecordBatch]:
+        key, node, label = unpacked(kinds.get(0, []), [U64, np.int64, np.int64])
+        order = np.lexsort((label, key))
+        key, node, label = key[order], node[order], label[order]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        last = np.append(starts[1:], len(key)) - 1
+        several = np.repeat(label[starts] != label[last], last + 1 - starts)
+        found, n = np.unique(node[several], return_counts=True)
+        yield from packed(mix(found.view(U64)), [found, n], n_buckets)
+
+    def add(kinds: dict[int, list[bytes]], _: int) -> Iterator[pa.RecordBatch]:
+        node, n = unpacked(kinds.get(0, []), [np.int64, np.int64])
+        found, at = np.unique(node, return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.bincount(at, n).astype(np.int64))], ["node", "met"])
+
+    return by_bucket(by_bucket(labelled.mapInArrow(spread, SCHEMA), meet, SCHEMA), add, "node long, met long")
+
+
 def linked_nodes(docs: DataFrame, nodes: DataFrame, width: int, broadcast_ids: int, risky: frozenset[int]) -> DataFrame:
     """(node, label) of the sets that have a link to a smaller one, directly or not.
 
@@ -391,11 +449,19 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, width: int, broadcast_ids: i
     tested = found.where("b is not null").select("a", "b").distinct()
     labels = components(_links(tested, nodes, docs, width, broadcast_ids))
     for hubs in (MORE_HUBS, None):
-        m = _open(members, labels).withColumn("part", F.pmod("sig", F.ceil(F.count(F.lit(1)).over(W.partitionBy("lo")) / FAMILY)))
-        m = m.repartition(partitions(docs.sparkSession), "lo", "part").select("sig", "node", "n", "role", "label")
+        left = durable(_open(members, labels))
+        if left.isEmpty():
+            break
+        # a link needs 3/7 of both sizes in common: far fewer sets of a family of near misses have that many shingles of others
+        met = _met(left.select("node", "label").distinct(), nodes, docs, width, broadcast_ids).where("met > 0")
+        some = members.join(met, "node").where(DEN * F.col("met") >= NUM * F.col("n"))
+        m = _open(some, labels).withColumn("part", F.pmod("sig", F.ceil(F.count(F.lit(1)).over(W.partitionBy("lo")) / FAMILY)))
+        m = m.repartition(partitions(docs.sparkSession), "lo", "part").select("sig", "node", "n", "role", "label", "met")
         new = durable(m.mapInArrow(lambda batches, hubs=hubs: _cross_pairs(batches, hubs), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"))
         if new.isEmpty():
-            break
+            if hubs is None:
+                break
+            continue
         tested = tested.unionByName(new)
         known = labels.select(F.col("label").alias("a"), F.col("node").alias("b"))
         labels = components(_links(new, nodes, docs, width, broadcast_ids).unionByName(known))
@@ -410,7 +476,7 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch], hubs: int | None) -> Iterato
     """
     cols = [np.concatenate(c) for c in zip(*([x.to_numpy() for x in b.columns] for b in batches))]
     if cols:
-        yield from _pair_rows(pairs_of(*cols, hubs), ["a", "b"])
+        yield from _pair_rows(pairs_of(*cols[:5], hubs, cols[5]), ["a", "b"])
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:

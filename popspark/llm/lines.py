@@ -81,7 +81,7 @@ def shortest_runs(lines: DataFrame, min_words: int) -> DataFrame:
     pos, before, after = F.col("pos"), F.col("before"), F.col("after")
     starts = run(pos, F.max("pos").over(ahead), F.max("after").over(ahead) - before, F.count(F.lit(1)).over(ahead))
     ends = run(F.min("pos").over(behind), pos, after - F.min("before").over(behind), F.count(F.lit(1)).over(behind))
-    r = r.select("k", "d", F.explode(F.array_distinct(F.filter(F.array(starts, ends), lambda x: x.isNotNull()))).alias("r")).select("k", "d", "r.*").distinct()
+    r = r.select("k", "d", F.array(starts, ends).alias("both")).select("k", "d", F.explode("both").alias("r")).where("r IS NOT NULL").select("k", "d", "r.*").distinct()
     return r.withColumn("level", F.length(F.bin((F.col("last") - F.col("first") + 1).cast("long"))) - 1)
 
 

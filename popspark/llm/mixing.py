@@ -14,6 +14,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from .columns import free
+from .durable import durable
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -58,22 +61,10 @@ def in_global_order(queue: DataFrame, ranges: int) -> DataFrame:
     return placed.unionByName(q.where("taken = 0").select(*queue.columns, F.lit(None).cast("long").alias("mix_start")))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), buckets: int = 4096) -> DataFrame:
-    """Every document with size, source_size, target, taken, virtual finish time and place in the mix.
-
-    ``size`` is the number of words (null text: 0); ``taken`` the words that the
-    mix takes of the document, repeats counted; at most ``cap`` times its size.
-    Documents of size 0, or of a source without words, have taken 0. Ties in
-    the shuffle go by id, then size; rows alike in both may swap places, which
-    leaves the rows the same. Null ids and sources are values like others; an
-    empty table gives no rows. Only the three named columns are read.
-
-    Running sums are two-level: totals of hash buckets, then ranks inside one,
-    so that a source with most of the rows is no single task.
-    """
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    d = docs.select(F.col(id_col).alias("k"), F.col(source_col).alias("source"), size.alias("size"))
-    d = d.withColumn("o", F.md5(F.concat_ws(":", F.lit(seed), F.col("k").cast("string"))))
+def _queued(docs: DataFrame, seed: str, share: float, cap: float, weights: tuple[int, ...], buckets: int) -> DataFrame:
+    """(k, source, more columns, size) rows queued, cut and placed."""
+    more = [c for c in docs.columns if c not in ("k", "source", "size")]
+    d = docs.withColumn("o", F.md5(F.concat_ws(":", F.lit(seed), F.col("k").cast("string"))))
     d = d.withColumn("b", (F.conv(F.substring("o", 1, 8), 16, 10).cast("long") * buckets / F.lit(float(1 << 32))).cast("int"))
     sums = d.groupBy("source", "b").agg(F.sum("size").alias("size"))
     before = W.partitionBy("source").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
@@ -91,8 +82,53 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         first = end - F.col("size") + F.lit(p) * F.col("source_size")
         taken = taken + F.greatest(F.lit(0), F.least(F.col("size"), goal - first))
     finish = F.when(F.col("target") > 0, end / F.col("target"))
-    queue = d.select("k", "source", "size", "source_size", "target", "o", taken.cast("long").alias("taken"), finish.alias("finish"))
+    queue = d.select("k", "source", *more, "size", "source_size", "target", "o", taken.cast("long").alias("taken"), finish.alias("finish"))
     budget = F.broadcast(targets.agg(F.floor(F.sum("target")).cast("long").alias("budget")))
     q = in_global_order(queue, buckets).crossJoin(budget)  # one row
     cut = F.when(F.col("taken") > 0, F.greatest(F.lit(0).cast("long"), F.least("taken", F.col("budget") - F.col("mix_start")))).otherwise(F.lit(0).cast("long"))
-    return q.select(F.col("k").alias(id_col), "source", "size", "source_size", "target", cut.alias("taken"), F.col("finish").alias("finish_time"), "mix_start")
+    return q.withColumn("taken", cut)
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), buckets: int = 4096) -> DataFrame:
+    """Every document with size, source_size, target, taken, virtual finish time and place in the mix.
+
+    ``size`` is the number of words (null text: 0); ``taken`` the words that the
+    mix takes of the document, repeats counted; at most ``cap`` times its size.
+    Documents of size 0, or of a source without words, have taken 0. Ties in
+    the shuffle go by id, then size; rows alike in both may swap places, which
+    leaves the rows the same. Null ids and sources are values like others; an
+    empty table gives no rows. Only the three named columns are read.
+
+    Running sums are two-level: totals of hash buckets, then ranks inside one,
+    so that a source with most of the rows is no single task.
+    """
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    d = docs.select(F.col(id_col).alias("k"), F.col(source_col).alias("source"), size.alias("size"))
+    q = _queued(d, seed, share, cap, weights, buckets)
+    return q.select(F.col("k").alias(id_col), "source", "size", "source_size", "target", "taken", F.col("finish").alias("finish_time"), "mix_start")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), buckets: int = 4096) -> DataFrame:
+    """The rows of ``docs`` that the mix takes words of, with size, target, taken, finish_time and mix_start.
+
+    Each row has the words that the mix takes of its own text: rows that share
+    an id are told apart by text and source, null ids too. Of rows alike in
+    these, one stays for all, with their words together and the first one's
+    place. Texts without a word and texts after the cut are not among the rows;
+    an empty table gives none. Columns of the input with one of the new names
+    are replaced, all others pass through.
+    """
+    new = ["size", "target", "taken", "finish_time", "mix_start"]
+    keep = [c for c in docs.columns if c.lower() not in new]
+    key, hashed, source, again = free(docs.columns, 4)
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    d = docs.select(F.col(id_col).alias("k"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("d"), size.alias("size"))
+    q = _queued(d, seed, share, cap, weights, buckets).where("taken > 0")
+    q = q.groupBy(F.col("k").alias(key), F.col("d").alias(hashed), F.col("source").alias(source)).agg(
+        F.max("size").alias("size"), F.max("target").alias("target"), F.sum("taken").alias("taken"), F.min("finish").alias("finish_time"), F.min("mix_start").alias("mix_start"), F.count(F.lit(1)).alias(again)
+    )
+    q = durable(q)
+    on = F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text_col) == F.col(hashed)) & F.col(source_col).eqNullSafe(F.col(source))
+    out = docs.select(*keep).join(q, on)
+    if not q.where(F.col(again) > 1).isEmpty():
+        out = out.where(F.col(again) == 1).unionByName(out.where(F.col(again) > 1).dropDuplicates([id_col, text_col, source_col]))
+    return out.select(*keep, *new)

@@ -2,8 +2,13 @@
 
 A logistic model over words and word beginnings. For labelled texts that
 mention an identity term, the term is swapped for each other term of its set
-and the squared change of the score is penalised, so that the mention of a
-group alone moves no score. It is fitted on a bounded sample of the labelled
+and the squared change of the score's log-odds is penalised, so that the
+mention of a group alone moves no score. In a linear model a swap changes the
+log-odds by the difference of the two terms' weights, whatever the rest of the
+sentence is; so the sum over all swapped sentences is that squared difference
+times the number of texts with the term, and no swapped sentence has to be
+written out. Each term counts one mention more than it has, which ties terms
+that no labelled text has to the others of their set. It is fitted on a bounded sample of the labelled
 rows, ``per_class`` of each label by hash order, weighted back to the share
 that the labels have; ``n_features`` bounds what is broadcast.
 """
@@ -104,7 +109,9 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     chosen = {r["k"]: r["y"] for r in ids.collect()}
     rows = docs.sparkSession.createDataFrame([(k, v) for k, v in chosen.items()], ids.schema)
     d = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
-    return d.join(F.broadcast(rows), "k").select("t", "y"), totals
+    # an id with several texts gives one, the first by hash
+    one = d.join(F.broadcast(rows), "k").groupBy("k", "y").agg(F.min_by("t", F.struct(F.xxhash64("t"), "t")).alias("t"))
+    return one.select("t", "y"), totals
 
 
 def _select(texts: DataFrame, n_features: int, min_texts: int) -> np.ndarray:
@@ -165,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Model from the rows of ``labels`` with label 0 or 1.
 
     Null labels and ids are no examples; of several labels of one id the higher
-    counts. Without labelled texts, or with one class only, the model gives the
+    counts, of several texts the first by hash. Without labelled texts, or with one class only, the model gives the
     share of the label (0.0 without any) everywhere.
     """
     texts, totals = _sample(docs, labels, id_col, text_col, label_col, per_class)
