@@ -45,27 +45,107 @@ def test_lm_learns(spark):
 
 def test_lm_without_training_or_rows(docs, empty, rows):
     got = score_texts(docs, F.lit(False)).collect()
-    assert len(got) == len(rows) and all(r.base_score is None and r.train_tokens == 0 and r.score < 0 for r in got)
+    assert len(got) == len(rows) and all(r.base_score == 0 and r.train_tokens == 0 and r.score < 0 for r in got)
     assert score_texts(empty, F.lit(True)).collect() == []
 
 
-def test_lm_weights_learn_from_every_unit(spark):
-    """Each new unit of a task is predicted, however few its bytes are."""
+def plain_counts(texts, learn):
+    """Counts of each token, pair and triple in the training texts but the own one, and of their tokens."""
+    seqs = [["\n", "\n", *brute.low_words(t), "\n"] for t in texts]
+    grams = [[[tuple(s[i - n + 1 : i + 1]) for i in range(2, len(s))] for s in seqs] for n in (1, 2, 3)]
+    counts = [Counter(g for row, yes in zip(of, learn) if yes for g in row) for of in grams]
+    own = [[Counter(row) if yes else Counter() for row, yes in zip(of, learn)] for of in grams]
+    total = sum(counts[0].values())
+    c = [[counts[n][g] - own[n][i][g] for i, row in enumerate(grams[n]) for g in row] for n in range(3)]
+    return c, [total - sum(own[0][i].values()) for i, row in enumerate(grams[0]) for _ in row]
+
+
+def test_lm_mixes_plain_counts(spark):
+    """Scores are those of the mixer over counts made in plain Python, whatever the partitions are."""
     import numpy as np
+    import pyarrow as pa
     import random
 
     from popspark.llm import lm
+    from popspark.llm.arrays import buffers
 
     rng = random.Random(8)
-    texts = [" ".join(words(rng, 50)) for _ in range(4)]
-    learner, units = lm.Learner(16), set()
-    for t in texts:
-        data, offsets = np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])
-        learner.learn(data, offsets)
-        units |= {(int(k), int(n) - 2) for u in [lm.units_of(data, offsets)] for k, n in zip(u.keys, u.sizes)}
-    assert learner.after[:8].sum() == sum(n for _, n in units)
-    model = lm.train(spark.createDataFrame([(t,) for t in texts], "t string"), 16)
-    assert (model.weights[:, :-1] != 0.3).any() and (model.after != np.arange(-12.0, 13.0).astype(np.float32)).any()
+    base = words(rng, 60)
+    texts = sorted({" ".join(words(rng, rng.randrange(1, 30))) for _ in range(25)} | {" ".join(base), " ".join(base[:40] + ["other"] + base[41:]), ""})
+    rows = list(enumerate(texts))
+    learn = [k % 4 != 1 for k, _ in rows]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = [{r.doc_id: r.score for r in score_texts(d.repartition(n), F.col("doc_id") % 4 != 1).collect()} for n in (1, 6)]
+    assert runs[0] == pytest.approx(runs[1], abs=1e-9)
+    c, total = plain_counts(texts, learn)
+    t = lm.tokens_of(*buffers(pa.array(texts)))
+    model = lm.train(d.where("doc_id % 4 != 1").select(F.col("text").alias("t")))
+    spell = lambda at: model.costs(lm.units_of(t.data, t.first[at], t.size[at]))
+    bits = lm.mixed_bits(t, [np.array(x) for x in c], np.array(total), np.array(learn), spell)
+    want = -np.bincount(t.text, bits) * np.log10(2)
+    assert [runs[0][k] for k, _ in rows] == pytest.approx(list(want), abs=1e-6)
+
+
+def test_lm_is_a_probability():
+    """What the decisions and shares give to all tokens that may come next sums to 1 at most."""
+    import numpy as np
+
+    from popspark.llm import lm
+
+    rng = np.random.default_rng(5)
+    n, mixer = 400, lm.Mixer()
+    h = rng.integers(1, 9, n).astype(np.uint64)
+    h[49::50] = lm._END
+    t = lm.Tokens(h, np.repeat(np.arange(n // 50), 50), np.zeros(0, np.uint8), np.zeros(n, np.int64), np.ones(n, np.int64))
+    c = [rng.integers(0, 3, n) * 2, rng.integers(0, 2, n), rng.integers(0, 2, n)]
+    for d in lm.decisions(t, c, np.full(n, 100)):
+        mixer.learn(d, np.arange(len(d.at)))
+        p = mixer.predict(d, slice(None))[3]
+        assert ((p > 0) & (p < 1)).all()
+
+
+def order2_bits(train, test):
+    """Bits a byte of an adaptive order-2 byte model, trained on some texts."""
+    import math
+
+    seen, total = Counter(), Counter()
+
+    def walk(text):
+        b = b"  " + text.lower().encode() + b"\n"
+        return [(b[i - 2 : i], b[i]) for i in range(2, len(b))]
+
+    for t in train:
+        for ctx, x in walk(t):
+            seen[ctx, x] += 1
+            total[ctx] += 1
+    cost = n = 0
+    for t in test:
+        for ctx, x in walk(t):
+            cost -= math.log2((seen[ctx, x] + 0.02) / (total[ctx] + 0.02 * 256))
+            n += 1
+    return cost / n
+
+
+def test_lm_beats_order_2_and_knows_order(spark):
+    """On held-out documents fewer bits a byte than an order-2 model; words in their order cost less than shuffled; a text that was seen least."""
+    import random
+
+    rng = random.Random(12)
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    held = [(k, t) for k, t in docs if brute.fold(k, 1)]
+    train = [t for k, t in docs if not brute.fold(k, 1)]
+    known = next(t for t in train if 200 < len(t.split()) < 400)
+    mixed = known.split()
+    rng.shuffle(mixed)
+    more = [(10**6, known), (10**6 + 1, " ".join(mixed))]
+    d = spark.createDataFrame(docs + more, "doc_id long, text string")
+    got = {r.doc_id: r for r in score_texts(d, (F.crc32(F.col("doc_id").cast("string")) % 5 != 1) & (F.col("doc_id") < 10**6)).collect()}
+    size = lambda t: len(t.encode()) + 1
+    bits = sum(got[k].bits_per_byte * size(t) for k, t in held) / sum(size(t) for _, t in held)
+    base = order2_bits(train, [t for _, t in held])
+    print("bits a byte:", bits, "order 2:", base)
+    assert bits < base
+    assert got[10**6].bits_per_byte < 0.2 * got[10**6 + 1].bits_per_byte
 
 
 def test_lm_long_tokens_cost_their_bytes(spark):
