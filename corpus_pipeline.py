@@ -9,20 +9,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from popspark.llm import decontamination, toxicity
+from popspark.llm.columns import free
 from popspark.llm.durable import durable, table
 from popspark.llm.jaccard import one_of_each_component
 from popspark.llm.lines import WORD, dedup_lines
-from popspark.llm.mixing import mix_sources
+from popspark.llm.mixing import mixed_documents
 from popspark.llm.queries import toxicity_model
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores under 0.5."""
-    return toxicity.score(docs, toxicity_model(spark, sf_dir), out_col="__score").where("__score < 0.5").select(*docs.columns)
+    """Documents that the classifier scores under 0.5.
+
+    A row is scored by its own text, so rows that share an id are told apart and
+    repeated rows go or stay together; a null or empty text scores as the bias
+    says. An empty table gives no rows; any column names pass through.
+    """
+    (score,) = free(docs.columns, 1)
+    return toxicity.score(docs, toxicity_model(spark, sf_dir), out_col=score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of line runs; one that keeps no word of those it had goes."""
+    """Documents without later copies of line runs; one that keeps no word of those it had goes.
+
+    Null and wordless texts stay as they are. Texts under one id or none are
+    told apart, rows alike in id and text are no copies of one another (the
+    next stage keeps one). ``n_chars`` follows a text that changes; a null one
+    where it does not stays null. An empty table gives no rows.
+    """
     d = dedup_lines(docs)
     d = d.where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
     length = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
@@ -30,19 +43,25 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
+    """The document with the smallest id of each group of near duplicates; all without a word stay.
+
+    Ties, null ids and rows that share an id are as in ``one_of_each_component``.
+    """
     return one_of_each_component(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no item of ``benchmark``."""
+    """Documents that contain no item of ``benchmark``; null and wordless ones contain none. Rows are judged one by one."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with the words taken (repeats counted) and their virtual finish time."""
-    m = mix_sources(docs).where("taken > 0").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("__id"), "size", "target", "taken", "finish_time")
-    return docs.join(m, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
+    """The documents that the mix takes, with the words taken (repeats counted), their virtual finish time and place in the mix.
+
+    Texts without a word are not taken; rows that share an id or have none get
+    the words of their own text; an empty table gives no rows.
+    """
+    return mixed_documents(docs)
 
 
 STAGES = [
