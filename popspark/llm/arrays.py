@@ -2,7 +2,7 @@
 
 Texts stay UTF-8 bytes in one buffer; words, shingles and rolling hashes come
 from prefix sums over it, so no Python object is made per word. Batches are cut
-into pieces of a few megabytes, one whole text at least, to bound memory.
+into pieces of a quarter megabyte, one whole text at least, to bound memory.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ U64 = np.uint64
 np.seterr(over="ignore")  # hashes wrap
 _MULT = U64(0x9E3779B97F4A7C55)
 #: Text bytes handled at once; a longer text makes a piece of its own.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -48,7 +48,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse modulo 2**64, n of each."""
     if len(_POWERS[0]) < n:
         inverse = U64(pow(int(_MULT), -1, 1 << 64))
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 19)
         for k, base in enumerate((_MULT, inverse)):
             steps = np.full(size, base, U64)
             steps[0] = 1

@@ -47,7 +47,7 @@ SMALL_GROUP, HUBS, MORE_HUBS = 8, 1, 4
 SLACK = 0.25
 #: Members of groups with one smallest component that one task takes, about.
 FAMILY = 20_000
-_FLUSH, _ROWS = 1 << 20, 1 << 16
+_FLUSH, _ROWS = 1 << 18, 1 << 16
 
 
 def band_start(band: int) -> int:
