@@ -33,18 +33,21 @@ def sweep(w: DataFrame, targets: DataFrame, attributes: Sequence[str], zone: str
     return w
 
 
-def fit(seed: DataFrame, targets: DataFrame, attributes: Sequence[str], zone: str = "zone_id", sweeps: int | None = None, tolerance: float = 1e-5, max_sweeps: int = 1000, zero_marginal: float = 0.0, check_every: int = 5) -> DataFrame:
+def fit(seed: DataFrame, targets: DataFrame, attributes: Sequence[str], zone: str = "zone_id", sweeps: int | None = None, tolerance: float = 1e-5, max_sweeps: int = 1000, zero_marginal: float = 0.0, check_every: int = 5, max_zones: int = 100_000) -> DataFrame:
     """(zone, attributes, weight) fitted to long targets (zone, att, state, value).
 
     ``seed`` has a ``weight`` and may have the zone; without it every zone
-    starts from the whole seed. With ``sweeps`` that many are made in one plan;
+    starts from the whole seed (the list of zones, ``max_zones`` at most, is what
+    is exploded, not the seed). With ``sweeps`` that many are made in one plan;
     else until no weight of any zone moves by more than ``tolerance``. Lineage
     is cut every ``check_every`` sweeps.
     """
     atts = list(attributes)
     if zone not in seed.columns:
-        zones = targets.select(zone).distinct()
-        seed = zones.join(F.broadcast(seed.agg(F.collect_list(F.struct(*atts, "weight")).alias("__all")))).select(zone, F.inline("__all"))
+        zones = [r[0] for r in targets.select(zone).distinct().orderBy(zone).limit(max_zones + 1).collect()]
+        if len(zones) > max_zones:
+            raise ValueError(f"more than {max_zones} zones share one seed: give it a zone column")
+        seed = seed.withColumn(zone, F.explode(F.lit(zones)) if zones else F.lit(None).cast(targets.schema[zone].dataType)).where(F.lit(bool(zones)))
     w = seed.select(zone, *atts, F.col("weight").cast("double").alias("weight"))
     if sweeps is not None:
         for _ in range(sweeps):

@@ -41,13 +41,16 @@ def update(rows: np.ndarray, cols: np.ndarray, freq: np.ndarray, target: np.ndar
     return best, best_fit, used
 
 
-def run(incidence_rows: DataFrame, targets: DataFrame, household: str = "hhid", zone: str = "zone_id", iterations: int = 200, tolerance: float = 1e-6) -> DataFrame:
+def run(incidence_rows: DataFrame, targets: DataFrame, household: str = "hhid", zone: str = "zone_id", iterations: int = 200, tolerance: float = 1e-6, max_incidence: int = 20_000_000) -> DataFrame:
     """(zone, household, weight, fit, iterations): weights of the sample households in every zone.
 
     A task holds one zone's constraints and the sample's incidence, which is a
-    survey's size and the same for all zones.
+    survey's size and the same for all zones; one of more than ``max_incidence``
+    cells is no survey's and raises before it is collected.
     """
     spark = incidence_rows.sparkSession
+    if (cells := incidence_rows.count()) > max_incidence:
+        raise ValueError(f"{cells} cells of incidence: the sample is too large to be held by every task")
     inc = incidence_rows.toPandas()
     inc["key"] = inc["level"] + "\x1f" + inc["att"] + "\x1f" + inc["state"].fillna("")
     ids = np.array(sorted(inc[household].unique()))

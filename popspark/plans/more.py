@@ -203,7 +203,7 @@ def csp_bn_sizes(spark, d):
 
 
 @query(WITH(HH) + ", r AS (SELECT 0.1 * k AS rate FROM range(1, 11) g(k)), s AS (SELECT rate, hh.* FROM r JOIN hh ON CAST('0x' || substr(md5(CAST(rate AS VARCHAR) || '|' || CAST(hhid AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < CAST(rate AS DOUBLE)), " + MARG.replace("marg AS", "f AS", 1) + """,
-g AS (SELECT rate, zone_id, dwelltype AS state, count(*) / CAST(rate AS DOUBLE) AS v FROM s GROUP BY ALL), b AS (SELECT rate, zone_id, state, value FROM f CROSS JOIN r WHERE att = 'dwelltype')
+g AS (SELECT rate, zone_id, dwelltype AS state, count(*) / CAST(rate AS DOUBLE) AS v FROM s GROUP BY rate, zone_id, dwelltype), b AS (SELECT rate, zone_id, state, value FROM f CROSS JOIN r WHERE att = 'dwelltype')
 SELECT CAST(rate AS DOUBLE) AS rate, state, round(sqrt(sum(pow(coalesce(b.value, 0) - coalesce(g.v, 0), 2)) / (SELECT count(DISTINCT zone_id) FROM hh)), 4) AS rmse FROM b FULL JOIN g USING (rate, zone_id, state) GROUP BY rate, state""")
 def rmse_by_rate(spark, d):
     out = metrics.rmse_over_rates(households(spark, d), "zone_id", ["dwelltype"], [k / 10 for k in range(1, 11)], ["hhid"], "rate")
