@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import attributes as A
-from ..operators import bayes, census, condense as C, csp, evolve, ipf, joins, metrics, relations as R, saa, sampling as S
+from ..operators import analysis, bayes, census, condense as C, csp, evolve, ipf, ipu, joins, metrics, relations as R, saa, sampling as S
 from ..sources import files
 from .catalog import BOTH, HH, HH_ATTS, MARG, PM, PP, REC, SMARG, SYN, U, WITH, census_hh, households, persons, query, r6, records, sampled_hh, t
 
@@ -215,3 +215,71 @@ def stored_states(spark, d):
     where = files.artefact_folder(spark, "stored_states")
     files.write_states(spark, bayes.state_names(households(spark, d), ["dwelltype", "hhinc"]), where)
     return spark.createDataFrame([(a, s) for a, every in files.read_states(spark, where).items() for s in every], "att string, state string")
+
+
+# Analysis
+
+
+@query(WITH(HH) + "SELECT DISTINCT hhinc, CASE WHEN hhinc LIKE '%Negative%' THEN -1 WHEN hhinc LIKE '%Nil%' THEN 0 ELSE CAST(regexp_extract(hhinc, '([0-9]+)', 1) AS INTEGER) END AS sort_key, CASE hhinc WHEN '1-999' THEN '$1-999' WHEN '1000-2999' THEN '$1,000-2,999' WHEN '3000-5999' THEN '$3,000-5,999' WHEN '6000-8999' THEN '$6,000-8,999' ELSE hhinc END AS label FROM hh")
+def income_labels(spark, d):
+    return households(spark, d).select("hhinc").distinct().select("hhinc", A.income_to_int(F.col("hhinc")).cast("int").alias("sort_key"), A.income_label(F.col("hhinc")).alias("label"))
+
+
+RMSE_SQL = "SELECT att, state, sqrt(sum(diff * diff) / (SELECT count(DISTINCT zone_id) FROM d)) AS rmse FROM d GROUP BY ALL"
+
+
+def attribute_errors(spark, d):
+    return metrics.rmse(census_hh(spark, d), C.marginals(sampled_hh(spark, d), "zone_id", HH_ATTS)).withColumn("method", F.lit("a"))
+
+
+@query(BOTH + f"SELECT 'a' AS method, state, round(rmse, 6) AS rmse, CASE WHEN state LIKE '%Negative%' THEN -1 WHEN state LIKE '%Nil%' THEN 0 ELSE CAST(regexp_extract(state, '([0-9]+)', 1) AS INTEGER) END AS band_low FROM ({RMSE_SQL}) WHERE att = 'hhinc'")
+def income_errors(spark, d):
+    return analysis.income_errors(attribute_errors(spark, d)).select("method", "state", r6("rmse").alias("rmse"), "band_low")
+
+
+@query(BOTH + f"SELECT 'a' AS method, round(avg(rmse), 6) AS x, round(avg(rmse) * 2, 6) AS y FROM ({RMSE_SQL})")
+def error_points(spark, d):
+    e = attribute_errors(spark, d)
+    p = analysis.error_points(e, e.select("method", "att", (F.col("rmse") * 2).alias("jsd")), ["method"])
+    return p.select("method", r6("x").alias("x"), r6("y").alias("y"))
+
+
+@query("SELECT c_nationkey % 5 AS loop, CAST(sum(c_custkey) AS BIGINT) AS \"left\" FROM customer GROUP BY 1")
+def convergence(spark, d):
+    return analysis.convergence(t(spark, d, "customer").withColumn("loop", F.col("c_nationkey") % 5), "loop", "c_custkey")
+
+
+@query(WITH(PP, PM) + "SELECT m.age AS main_age, c.age AS child_age, count(*) AS \"count\" FROM pm m JOIN pm c USING (hhid) WHERE m.relationship = 'Main' AND c.relationship = 'Child' AND m.age - c.age >= 15 GROUP BY ALL")
+def filtered_pairs(spark, d):
+    p = R.first_is_main(persons(spark, d))
+    side = lambda r, name: p.where(F.col("relationship") == r).select("hhid", F.col("age").alias(name))
+    pairs = C.condense(side("Main", "main_age").join(side("Child", "child_age"), "hhid"), ["main_age", "child_age"])
+    return csp.filter_pairs(pairs, "main_age", "child_age", 15)
+
+
+@query(WITH(HH) + "SELECT zone_id, count(*) AS n FROM hh WHERE zone_id < '2' GROUP BY zone_id")
+def imputed_zones(spark, d):
+    h = households(spark, d)
+    net = {"dwelltype": (), "hhinc": ("dwelltype",), "totalvehs": ("hhinc",)}
+    totals = h.groupBy("zone_id").agg(F.count(F.lit(1)).alias("total"))
+    made = bayes.impute_zones(totals, h.where("zone_id >= '2'"), net, bayes.learn_parameters(h, net))
+    return made.na.drop().groupBy("zone_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(WITH(HH, PP, PM) + "SELECT hhid, 1 AS mains FROM hh WHERE (dwelltype, hhsize) IN (SELECT dwelltype, hhsize FROM hh JOIN pm USING (hhid))")
+def csp_retries_mains(spark, d):
+    h = households(spark, d)
+    pools = csp.pool_pairs(h, R.first_is_main(persons(spark, d)), ["dwelltype", "hhsize"], ["sex"])
+    people, _ = csp.run(h, pools, ["dwelltype", "hhsize"], ["sex"], retries=1)
+    return people.groupBy("hhid").agg(F.count_if(F.col("relationship") == "Main").cast("int").alias("mains")).where("mains > 0")
+
+
+@query(WITH(HH, SYN) + "SELECT dwelltype, count(*) AS n FROM syn GROUP BY dwelltype")
+def ipu_own_sample(spark, d):
+    """Weights of a sample fitted to the sample's own counts give these back."""
+    s = sampled_hh(spark, d).withColumn("zone_id", F.lit("z"))
+    p = persons(spark, d).join(s.select("hhid"), "hhid", "left_semi")
+    inc = ipu.incidence(s, p, "hhid", ["dwelltype"], ["sex"]).where("level = 'household'")
+    targets = C.marginals(s, "zone_id", ["dwelltype"]).withColumn("level", F.lit("household"))
+    w = ipu.run(inc, targets, iterations=20).select("zone_id", "hhid", "weight")
+    return w.join(s.select("hhid", "dwelltype"), "hhid").groupBy("dwelltype").agg(F.round(F.sum("weight")).cast("long").alias("n"))
