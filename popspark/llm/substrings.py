@@ -8,11 +8,14 @@ one phrase. The parse of the corpus is its sequence of phrase hashes. Phrases
 that occur again in full are settled on the parse: all windows of a later copy
 are repeats. What is left is the dictionary of distinct phrases; of these only
 the ones whose trigger string occurs in another phrase can share a window. They
-meet by trigger, and their suffixes of ``LENGTH`` bytes are sorted by hash,
-which gives the first of equal windows in corpus order.
-
-Hashes have 64 bits. A trigger whose distinct phrases are many (``hot``) sends
-its windows one by one, combined in the map task, so that no task holds all.
+meet by trigger, in parts of the dictionary; the suffix array of such a part,
+by prefix doubling up to ``LENGTH`` bytes, gives the first of equal windows in
+corpus order. No window runs over a phrase's end, so the parse is compared
+phrase by phrase and needs no suffix array of its own.
+
+Triggers and phrases are compared by 64-bit hashes. A trigger whose distinct
+phrases are many (``hot``) sends its windows one by one, by hash and combined
+in the map task, so that no task holds all.
 """
 
 from __future__ import annotations
@@ -244,8 +247,32 @@ def _first_of_equal(w: np.ndarray, text: np.ndarray, start: np.ndarray) -> tuple
     return w, text, start, new
 
 
-def _compare(kinds: dict[int, list[bytes]], bucket: int, length: int, n_buckets: int, at_once: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    """By text: (text, start, windows) of the windows that run earlier."""
+def suffix_ranks(raw: np.ndarray, length: int) -> np.ndarray:
+    """Places, in lexical order, of the strings of ``length`` bytes that begin at each byte; equal strings share one.
+
+    Prefix doubling: the rank by 2 * w bytes is that of the pair of ranks by w
+    bytes, of the place itself and of the one w bytes on; the last step overlaps.
+    """
+    r, width = raw.astype(np.int64), 1
+    while width < length and len(r):
+        step = min(width, length - width)
+        n = max(0, len(r) - step)
+        pair = (r[:n] << 32) | r[step : step + n]
+        order = np.argsort(pair)
+        ranked = pair[order]
+        r = np.empty(n, np.int64)
+        r[order] = np.cumsum(np.append(False, ranked[1:] != ranked[:-1])[:n])
+        width += step
+    return r
+
+
+def _compare(kinds: dict[int, list[bytes]], bucket: int, length: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """By text: (text, start, windows) of the windows that run earlier.
+
+    The bucket's phrases are its part of the dictionary; the order of their
+    suffixes by their first ``length`` bytes brings equal windows together, in
+    corpus order.
+    """
     for blob in kinds.get(2, []):
         yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([0], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "kind", "blob"])
     found: list[tuple] = []
@@ -253,32 +280,18 @@ def _compare(kinds: dict[int, list[bytes]], bucket: int, length: int, n_buckets:
     if len(w):
         w, text, start, new = _first_of_equal(w, text, start)
         found.append((text[~new], start[~new]))
-    texts, starts, counts, raws = [], [], [], []
+    cols: list[tuple] = []
     for blob in kinds.get(0, []):
         n = int(np.frombuffer(blob, np.uint32, 1)[0])
-        texts.append(np.frombuffer(blob, np.int64, n, 4))
-        starts.append(np.frombuffer(blob, np.uint32, n, 4 + 8 * n))
-        counts.append(np.frombuffer(blob, np.uint8, n, 4 + 12 * n))
-        raws.append(np.frombuffer(blob, np.uint8, -1, 4 + 13 * n))
-    if texts:
-        total = sum(int(c.astype(np.int64).sum()) for c in counts)
-        slices = 1 << max(0, (total // at_once).bit_length())
-        for s in range(slices):
-            parts = []
-            for text, start, count, raw in zip(texts, starts, counts, raws):
-                c = count.astype(np.int64)
-                ends = np.cumsum(c + length - 1)
-                base = ends - (c + length - 1)
-                p, inverse = powers(len(raw) + 1)
-                sums = np.zeros(len(raw) + 1, U64)
-                np.cumsum(_TABLE[False][raw] * p[:-1], out=sums[1:])
-                off = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-                pos = np.repeat(base, c) + off
-                w = mix((sums[pos + length] - sums[pos]) * inverse[pos])
-                ok = slice(None) if slices == 1 else np.flatnonzero((w >> U64(8)) % U64(slices) == s)
-                parts.append((w[ok], np.repeat(text, c)[ok], (np.repeat(start, c) + off.astype(np.uint32))[ok]))
-            w, text, start, new = _first_of_equal(*(np.concatenate(x) for x in zip(*parts)))
-            found.append((text[~new], start[~new]))
+        cols.append((np.frombuffer(blob, np.int64, n, 4), np.frombuffer(blob, np.uint32, n, 4 + 8 * n), np.frombuffer(blob, np.uint8, n, 4 + 12 * n), np.frombuffer(blob, np.uint8, -1, 4 + 13 * n)))
+    if cols:
+        text, start, count, raw = (np.concatenate(x) for x in zip(*cols))
+        c = count.astype(np.int64)
+        base = np.cumsum(c + length - 1) - (c + length - 1)
+        off = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        ranks = suffix_ranks(raw, length)[np.repeat(base, c) + off]
+        _, text, start, new = _first_of_equal(ranks, np.repeat(text, c), np.repeat(start, c) + off.astype(np.uint32))
+        found.append((text[~new], start[~new]))
     if not found:
         return
     text, start = (np.concatenate(x) for x in zip(*found))
@@ -320,7 +333,7 @@ def _merged(blobs: list[bytes | None], length: int) -> tuple[np.ndarray, np.ndar
     return s[first], reach[np.append(first[1:], len(s)) - 1]
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, hot: int = 50_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 100, hot: int = 20_000) -> DataFrame:
     """(k, repeats, more): packed spans of repeated windows of the texts (k, t); rows with one k are one text."""
     n_buckets = bucket_count(docs)
     settled = by_bucket(_parse(docs, length, n_buckets), lambda kinds, _: _settle(kinds, n_buckets, hot), SCHEMA)
@@ -347,7 +360,7 @@ def numbered(texts: DataFrame) -> DataFrame:
     return durable(d.join(order, F.col("k").eqNullSafe(F.col("k1")) & (F.col("h") == F.col("h1"))).select("k", "t", "r"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, with_text: bool = False, hot: int = 50_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, with_text: bool = False, hot: int = 20_000) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every text as UTF-8 bytes.
 
     Each byte goes that a string of ``length`` bytes covers which also starts

@@ -330,7 +330,7 @@ def test_toxicity_edges(spark, docs, rows, empty):
 # 4
 
 
-@pytest.mark.parametrize("hot", [50_000, 1])
+@pytest.mark.parametrize("hot", [20_000, 1])
 def test_substrings(spark, rows, hot):
     some = rows + [(None, "ab" * 200)]
     got = remove_repeats(frame(spark, some).repartition(3), hot=hot).collect()
@@ -352,6 +352,20 @@ def test_substrings_shared_ids(spark):
     assert keyed(got) == keyed(want) and sum(r[2] == 0 for r in want) >= 7
 
 
+def test_suffix_ranks():
+    import numpy as np
+
+    from popspark.llm.substrings import suffix_ranks
+
+    rng = np.random.default_rng(4)
+    for length in (1, 2, 5, 8, 13):
+        raw = rng.integers(97, 99, 300).astype(np.uint8)
+        strings = [raw[i : i + length].tobytes() for i in range(300 - length + 1)]
+        order = sorted(set(strings))
+        assert [order.index(x) for x in strings] == suffix_ranks(raw, length).tolist() or length == 1
+    assert len(suffix_ranks(np.zeros(3, np.uint8), 5)) == 0
+
+
 def test_substrings_long_text(spark):
     import random
 
