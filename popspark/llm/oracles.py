@@ -30,7 +30,7 @@ s AS (SELECT source, sum(size) AS source_size, ([3.0, 1.0, 2.0])[(row_number() O
 q AS (SELECT *, 2.0 * source_size AS top, 2.0 * source_size / w AS ratio FROM s),
 v AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(top) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM q),
 t AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, CAST(coalesce(least(top, w * (SELECT arg_min(level, ratio) FROM v WHERE level < ratio)), top) AS DOUBLE) AS target FROM v),
-c AS (SELECT d.*, t.source_size, t.target, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+c AS (SELECT d.*, t.source_size, t.target, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 f AS (SELECT *, CAST(greatest(0, least(size, floor(target) - (run - size))) + greatest(0, least(size, floor(target) - (run - size) - source_size)) AS BIGINT) AS taken, CASE WHEN target > 0 THEN run / target END AS finish FROM c)
 SELECT doc_id, source, size, source_size, round(target, 6) AS target, taken, round(finish, 9) AS finish_time,
   CASE WHEN taken > 0 THEN CAST(sum(taken) OVER (PARTITION BY taken > 0 ORDER BY finish, source NULLS FIRST, o, doc_id, size ROWS UNBOUNDED PRECEDING) - taken AS BIGINT) END AS mix_start FROM f"""
@@ -54,4 +54,17 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(symbol_share <= symbols, true) AND coalesce(dup_line_share <= lines, true) AND coalesce(repeat_share <= repeats, true) AND coalesce(mean_word <= long, true) AND coalesce(mean_word >= short, true) AS kept
 FROM m LEFT JOIN e ON m.lang IS NOT DISTINCT FROM e.lang AND m.source IS NOT DISTINCT FROM e.source""".replace("BIN AS bin", _BIN + " AS bin")
 
-ORACLE_SQL: dict[str, str] = {"op2_jaccard_join": OP2, "op6_quality_rules": OP6, "op7_mix_sources": OP7, "op8_decontamination": OP8}
+OP9 = r"""WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS a FROM documents),
+x AS (SELECT doc_id, i, a[i] AS line, len(regexp_extract_all(a[i], '[^\x20\x09-\x0D]+')) AS w FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM l)),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM x WHERE w > 0),
+b AS (SELECT *, upto - w AS before FROM p),
+g AS (SELECT doc_id, list(line ORDER BY pos) AS lines FROM b GROUP BY doc_id),
+r AS (SELECT s.doc_id, s.pos AS a, e.pos AS z FROM b s JOIN b e ON s.doc_id = e.doc_id AND e.before < s.before + 50 AND e.upto >= s.before + 50
+  UNION SELECT s.doc_id, s.pos, e.pos FROM b e JOIN b s ON s.doc_id = e.doc_id AND s.before <= e.upto - 50 AND s.upto > e.upto - 50),
+n AS (SELECT doc_id, a, z, row_number() OVER (PARTITION BY array_to_string(lines[a:z], chr(10)) ORDER BY doc_id, a) AS copy FROM r JOIN g USING (doc_id)),
+gone AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest(range(a, z + 1)) AS pos FROM n WHERE copy > 1) JOIN p USING (doc_id, pos)),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM x ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+lost AS (SELECT doc_id, count(*) AS m FROM gone GROUP BY doc_id)
+SELECT doc_id, CASE WHEN m > 0 THEN coalesce(t, '') ELSE text END AS text, CAST(coalesce(len(a), 0) AS BIGINT) AS n_lines, CAST(coalesce(m, 0) AS BIGINT) AS n_removed FROM l LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)"""
+
+ORACLE_SQL: dict[str, str] = {"op2_jaccard_join": OP2, "op6_quality_rules": OP6, "op7_mix_sources": OP7, "op8_decontamination": OP8, "op9_line_dedup": OP9}
