@@ -16,9 +16,11 @@ set that needs it count there.
 A set drops out when fewer than ``need`` of its signatures occur elsewhere, and
 is looked up under all but its ``need - 1`` most frequent ones. Candidates are
 verified on their whole shingle sets. Sets that are equal are one node
-throughout. Small groups give all their pairs; in a large one a few members are
-compared with all others, then more of them, and at last only pairs whose ends
-are in different components so far, which loses no link between components.
+throughout. Small groups give all their pairs; in a large one a hub is compared
+with all others. Members of large groups that span several components then meet
+with their sets, in parts of a family, and are compared one after the other with
+those that are in other components by then, which loses no link between
+components and writes no pair.
 """
 
 from __future__ import annotations
@@ -41,11 +43,11 @@ from .durable import durable, partitions
 NUM, DEN = 3, 4
 #: Roles of a node; two of the odd ones are no pair. PREFIX: its guarantee is used up; PARTNER: that of a set it may meet.
 OWN, PROBE, PREFIX, PARTNER = 0, 1, 2, 3
-#: Groups of up to so many sets give all their pairs; in larger ones so many hubs are compared with all, then so many more.
-SMALL_GROUP, HUBS, MORE_HUBS = 8, 1, 4
+#: Groups of up to so many sets give all their pairs; in larger ones so many hubs are compared with all.
+SMALL_GROUP, HUBS = 8, 1
 #: Signatures that like sets share beyond the one that the pigeonhole principle gives, as a part of H.
 SLACK = 0.25
-#: Members of groups with one smallest component that one task takes, about.
+#: Members of groups with one smallest component that are compared in one go, about.
 FAMILY = 20_000
 _FLUSH, _ROWS = 1 << 18, 1 << 16
 
@@ -294,7 +296,7 @@ def _groups(kinds: dict[int, list[bytes]], _: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(sig[m].view(np.int64)), pa.array(key[m]), pa.nulls(len(m), pa.int64()), pa.array(size[m].astype(np.int64)), pa.array(need[m].astype(np.int64)), pa.array((node[m] & U64(3)).astype(np.int64))], names)
     kept = kept > 0
     sig, key, size, role, small = sig[kept].view(np.int64), key[kept], size[kept].astype(np.int64), (node[kept] & U64(3)).astype(np.int64), freq[kept] <= SMALL_GROUP
-    pairs = [pairs_of(sig[x], key[x], size[x], role[x], None, hubs) for x, hubs in ((small, SMALL_GROUP), (~small, HUBS))]
+    pairs = [pairs_of(sig[x], key[x], size[x], role[x], hubs) for x, hubs in ((small, SMALL_GROUP), (~small, HUBS))]
     yield from _pair_rows(distinct_pairs(np.concatenate(pairs)), names)
 
 
@@ -305,35 +307,32 @@ def _pair_rows(pairs: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([of.get(x, pa.nulls(len(p), pa.int64())) for x in names], names)
 
 
-def pairs_of(sig: np.ndarray, key: np.ndarray, size: np.ndarray, role: np.ndarray, label: np.ndarray | None, hubs: int | None, met: np.ndarray | None = None) -> np.ndarray:
-    """Distinct pairs inside the groups of one signature: each member with its group's hubs, or all (None); not of one label, nor with too few shingles that others have.
+def pairs_of(sig: np.ndarray, key: np.ndarray, size: np.ndarray, role: np.ndarray, hubs: int) -> np.ndarray:
+    """Distinct pairs inside the groups of one signature: each member with its group's first ``hubs`` ones.
 
     The hubs are the first by hash, in an order that all groups share, after
     the roles that do not meet all others.
     """
     order = np.lexsort((mix(key.view(U64)), role & 1, sig))
     sig, key, size, role = sig[order], key[order], size[order], role[order]
-    label, met = (None if x is None else x[order] for x in (label, met))
-    begin, ends = np.searchsorted(sig, sig), np.searchsorted(sig, sig, side="right")
-    place, held, step = np.arange(len(sig)), [np.zeros((0, 2), np.int64)], 0
-    while hubs is None or step < hubs:
-        i = np.flatnonzero(place + step + 1 < ends) if hubs is None else begin[j := np.flatnonzero(place > begin + step)] + step
-        j = i + step + 1 if hubs is None else j
-        if not len(i):
-            break
-        ok = (NUM * np.maximum(size[i], size[j]) <= DEN * np.minimum(size[i], size[j])) & ((role[i] & role[j] & 1) == 0) & (key[i] != key[j])
-        if label is not None:
-            ok &= label[i] != label[j]
-        if met is not None:
-            ok &= (NUM + DEN) * np.minimum(met[i], met[j]) >= NUM * (size[i] + size[j])
+    begin = np.searchsorted(sig, sig)
+    place, held = np.arange(len(sig)), [np.zeros((0, 2), np.int64)]
+    for step in range(hubs):
+        j = np.flatnonzero(place > begin + step)
+        i = begin[j] + step
+        ok = fits(size[i], size[j]) & ((role[i] & role[j] & 1) == 0) & (key[i] != key[j])
         x, y = key[i[ok]], key[j[ok]]
         held.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
         if sum(map(len, held)) > max(_FLUSH, 2 * len(held[0])):
             held = [distinct_pairs(np.concatenate(held))]
-        step += 1
     return distinct_pairs(np.concatenate(held))
 
 
+def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can have the similarity."""
+    return NUM * np.maximum(a, b) <= DEN * np.minimum(a, b)
+
+
 def distinct_pairs(p: np.ndarray) -> np.ndarray:
     p = p[np.lexsort((p[:, 1], p[:, 0]))]
     return p[np.append(True, (p[1:] != p[:-1]).any(1))] if len(p) else p
@@ -394,10 +393,9 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, broa
     return both.mapInArrow(verify, "a long, b long")
 
 
-def _met(open_nodes: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, broadcast_ids: int) -> DataFrame:
+def _met(open_nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, met): how many shingles of each of (node, label) occur in a set of another label."""
-    n_buckets = bucket_count(docs)
-    sets = _sets_of(open_nodes.select(F.col("node").alias("fp")), nodes, docs, width, broadcast_ids)
+    n_buckets = bucket_count(sets)
     labelled = sets.join(open_nodes, F.col("fp") == F.col("node")).select("node", "label", "s")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -437,9 +435,9 @@ def _met(open_nodes: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, b
 def linked_nodes(docs: DataFrame, nodes: DataFrame, width: int, broadcast_ids: int, risky: frozenset[int]) -> DataFrame:
     """(node, label) of the sets that have a link to a smaller one, directly or not.
 
-    Pairs of small groups and of a few hubs give components; pairs of more hubs
-    with members of other components join most of the rest of a large family;
-    then come all pairs of large groups whose ends are in different ones so far.
+    Pairs of small groups and of a hub with its group give components. Members
+    of large groups that span several of these then go to their families, with
+    their sets, and are compared there as far as they are not joined yet.
     """
     n_buckets = bucket_count(docs)
     shared = by_bucket(_indexed(docs, width, n_buckets, risky), lambda kinds, bucket: _shared(kinds, bucket, n_buckets), SCHEMA)
@@ -448,35 +446,97 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, width: int, broadcast_ids: i
     members = found.where("b is null").select("sig", F.col("a").alias("node"), "n", "need", "role")
     tested = found.where("b is not null").select("a", "b").distinct()
     labels = components(_links(tested, nodes, docs, width, broadcast_ids))
-    for hubs in (MORE_HUBS, None):
-        left = durable(_open(members, labels))
-        if left.isEmpty():
-            break
-        # a link needs 3/7 of both sizes in common: far fewer sets of a family of near misses have that many shingles of others
-        met = _met(left.select("node", "label").distinct(), nodes, docs, width, broadcast_ids).where("met > 0")
-        some = members.join(met, "node").where(DEN * F.col("met") >= NUM * F.col("n"))
-        m = _open(some, labels).withColumn("part", F.pmod("sig", F.ceil(F.count(F.lit(1)).over(W.partitionBy("lo")) / FAMILY)))
-        m = m.repartition(partitions(docs.sparkSession), "lo", "part").select("sig", "node", "n", "role", "label", "met")
-        new = durable(m.mapInArrow(lambda batches, hubs=hubs: _cross_pairs(batches, hubs), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"))
-        if new.isEmpty():
-            if hubs is None:
-                break
-            continue
-        tested = tested.unionByName(new)
-        known = labels.select(F.col("label").alias("a"), F.col("node").alias("b"))
-        labels = components(_links(new, nodes, docs, width, broadcast_ids).unionByName(known))
-    return labels
-
-
-def _cross_pairs(batches: Iterator[pa.RecordBatch], hubs: int | None) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in any of the task's groups, each once: with hubs only, or all.
-
-    Groups that share their smallest component come together, so that a pair
-    which many signatures bring up is one row.
+    left = durable(_open(members, labels))
+    if left.isEmpty():
+        return labels
+    open_nodes = left.select("node", "label").distinct()
+    sets = durable(_sets_of(open_nodes.select(F.col("node").alias("fp")), nodes, docs, width, broadcast_ids))
+    # a link needs 3/7 of both sizes in common: not all sets of a family have that many shingles of others
+    met = _met(open_nodes, sets).where("met > 0")
+    some = members.join(met, "node").where(DEN * F.col("met") >= NUM * F.col("n"))
+    m = _open(some, labels).withColumn("part", F.pmod("sig", F.ceil(F.count(F.lit(1)).over(W.partitionBy("lo")) / FAMILY)))
+    m = durable(m.select("lo", "part", "sig", "node", "n", "role", "label", "met"))
+    own = m.select("lo", "part", "node").distinct().join(sets, F.col("node") == F.col("fp")).select("lo", "part", "node", "s")
+    family = m.unionByName(own, allowMissingColumns=True).repartition(partitions(docs.sparkSession), "lo", "part").sortWithinPartitions("lo", "part")
+    known = labels.select(F.col("label").alias("a"), F.col("node").alias("b"))
+    return components(family.select("lo", "part", "sig", "node", "n", "role", "label", "met", "s").mapInArrow(_family_links, "a long, b long").unionByName(known))
+
+
+def _family_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between different components inside the parts of families, as they are needed to join them.
+
+    Rows of a part come together: members of its groups (s null), and each set
+    once (sig null).
     """
-    cols = [np.concatenate(c) for c in zip(*([x.to_numpy() for x in b.columns] for b in batches))]
-    if cols:
-        yield from _pair_rows(pairs_of(*cols[:5], hubs, cols[5]), ["a", "b"])
+    at, rows, sets = None, [], {}
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if rows:
+            links = compared(np.concatenate(rows, axis=1), sets)
+            if len(links):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(links[:, k])) for k in (0, 1)], ["a", "b"])
+
+    for b in batches:
+        lo, part = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        cuts = np.flatnonzero(np.append(True, (lo[1:] != lo[:-1]) | (part[1:] != part[:-1]))) if len(lo) else []
+        for i, j in zip(cuts, np.append(cuts[1:], len(lo)) if len(cuts) else []):
+            if (lo[i], part[i]) != at:
+                yield from done()
+                at, rows, sets = (lo[i], part[i]), [], {}
+            piece = b.slice(i, j - i)
+            has = piece.column(8).is_valid().to_numpy(zero_copy_only=False)
+            for k in np.flatnonzero(has):
+                sets[piece.column(3)[int(k)].as_py()] = _unpacked_set(piece.column(8)[int(k)])
+            member = pa.array(~has)
+            rows.append(np.stack([c.filter(member).to_numpy(zero_copy_only=False).astype(np.int64) for c in piece.columns[2:8]]))
+    yield from done()
+
+
+def compared(rows: np.ndarray, sets: dict[int, np.ndarray]) -> np.ndarray:
+    """(smaller, larger) links of members (sig, node, size, role, label, met), one for each two components that they join.
+
+    A member meets those of its groups that are in other components by then,
+    later in order, of a fitting size and with enough shingles that others have.
+    """
+    sig, node = rows[0], rows[1]
+    order = np.argsort(sig, kind="stable")
+    nodes, first, of = np.unique(node, return_index=True, return_inverse=True)
+    size, role, label, met = (rows[k][first] for k in (2, 3, 4, 5))
+    # the roles that meet all others may differ between a node's groups: odd ones count only where all are
+    role = np.ones(len(nodes), np.int64)
+    np.minimum.at(role, of, rows[3] & 1)
+    starts = np.flatnonzero(np.append(True, sig[order][1:] != sig[order][:-1]))
+    ends = np.append(starts[1:], len(sig))
+    group = np.empty(len(sig), np.int64)
+    group[order] = np.repeat(np.arange(len(starts)), ends - starts)
+    members = of[order]
+    by_node = np.argsort(of, kind="stable")
+    bounds = np.searchsorted(of[by_node], np.arange(len(nodes) + 1))
+    own = [sets[x] for x in nodes.tolist()]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+    _, ids = np.unique(np.concatenate(own), return_inverse=True)
+    inside = np.zeros(int(ids.max()) + 1 if len(ids) else 1, bool)
+    joined, out = label.copy(), []
+    later = np.zeros(len(nodes), bool)
+    for x in range(len(nodes)):
+        later[:] = False
+        for g in group[by_node[bounds[x] : bounds[x + 1]]]:
+            later[members[starts[g] : ends[g]]] = True
+        later[: x + 1] = False
+        y = np.flatnonzero(later & (joined != joined[x]))
+        y = y[fits(size[y], size[x]) & ((role[y] & role[x]) == 0) & ((NUM + DEN) * np.minimum(met[y], met[x]) >= NUM * (size[y] + size[x]))]
+        if not len(y):
+            continue
+        inside[ids[offsets[x] : offsets[x + 1]]] = True
+        n = offsets[y + 1] - offsets[y]
+        begin = np.cumsum(n) - n
+        shared = np.add.reduceat(inside[ids[np.arange(n.sum()) - np.repeat(begin - offsets[y], n)]].astype(np.int64), begin)
+        inside[ids[offsets[x] : offsets[x + 1]]] = False
+        for z in y[DEN * shared >= NUM * (n + len(own[x]) - shared)]:
+            if joined[z] != joined[x]:
+                out.append((min(nodes[x], nodes[z]), max(nodes[x], nodes[z])))
+                joined[joined == joined[z]] = joined[x]
+    return np.array(out, np.int64).reshape(-1, 2)
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:

@@ -238,6 +238,23 @@ def test_jaccard_null_ids_link(spark):
     assert keyed(jaccard_components(frame(spark, texts + [(None, None), texts[1]])).collect()) == keyed(brute.jaccard_components(texts + [(None, None), texts[1]]))
 
 
+def test_jaccard_family_of_near_misses(spark):
+    """A large family around the similarity: some links, many pairs just under it, more members than a small group."""
+    import random
+
+    rng = random.Random(24)
+    base = words(rng, 70)
+    rows = []
+    for i in range(12 * SMALL_GROUP):
+        w = list(base)
+        for j in rng.sample(range(70), rng.randrange(0, 6)):
+            w[j] = f"edit{i}x{j}"
+        rows.append((i, " ".join(w)))
+    want = brute.jaccard_components(rows)
+    assert 3 < len({c for *_, c in want}) < len(rows)
+    assert keyed(jaccard_components(frame(spark, rows).repartition(5)).collect()) == keyed(want)
+
+
 def test_components_of_chains_and_stars(spark):
     import random
 
