@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .arrays import U64, Words, mix, pieces, shingles, sorted_sets
-from .blobs import SCHEMA, bucket_count, by_bucket, packed, unpacked
+from .blobs import SCHEMA, by_bucket, packed, unpacked
 from .columns import free
 from .components import components, stars
 from .durable import durable, partitions
@@ -237,7 +237,8 @@ def _shared(kinds: dict[int, list[bytes]], bucket: int, n_buckets: int) -> Itera
     """Signatures that several nodes have, by node: (node, signature, nodes with it); kind 1 passes on."""
     passed = kinds.get(1, [])
     if passed:
-        yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(passed), pa.int32()), pa.array([1] * len(passed), pa.int32()), pa.array(passed, pa.binary())], ["bucket", "kind", "blob"])
+        blob = b"".join(c.tobytes() for c in unpacked(passed, [U64, np.uint32, np.uint32]))
+        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([1], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "kind", "blob"])
     sig, node = unpacked(kinds.get(0, []), [np.uint32, U64])
     sig = mix(sig.astype(U64) | U64(bucket) << U64(32))
     order = np.argsort(sig)
@@ -395,7 +396,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, broa
 
 def _met(open_nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, met): how many shingles of each of (node, label) occur in a set of another label."""
-    n_buckets = bucket_count(sets)
+    n_buckets = partitions(sets.sparkSession)
     labelled = sets.join(open_nodes, F.col("fp") == F.col("node")).select("node", "label", "s")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,7 +440,7 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, width: int, broadcast_ids: i
     of large groups that span several of these then go to their families, with
     their sets, and are compared there as far as they are not joined yet.
     """
-    n_buckets = bucket_count(docs)
+    n_buckets = partitions(docs.sparkSession)  # few blobs between the steps: their number is its square
     shared = by_bucket(_indexed(docs, width, n_buckets, risky), lambda kinds, bucket: _shared(kinds, bucket, n_buckets), SCHEMA)
     needed = by_bucket(shared, lambda kinds, _: _needed(kinds, n_buckets), SCHEMA)
     found = durable(by_bucket(needed, _groups, "sig long, a long, b long, n long, need long, role long"))
