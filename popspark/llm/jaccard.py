@@ -455,8 +455,9 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, width: int, broadcast_ids: i
     # a link needs 3/7 of both sizes in common: not all sets of a family have that many shingles of others
     met = _met(open_nodes, sets).where("met > 0")
     some = members.join(met, "node").where(DEN * F.col("met") >= NUM * F.col("n"))
-    m = _open(some, labels).withColumn("part", F.pmod("sig", F.ceil(F.count(F.lit(1)).over(W.partitionBy("lo")) / FAMILY)))
-    m = durable(m.select("lo", "part", "sig", "node", "n", "role", "label", "met"))
+    m = durable(_open(some, labels))
+    parts = m.groupBy("lo").agg(F.ceil(F.count(F.lit(1)) / FAMILY).alias("parts"))
+    m = durable(m.join(parts, "lo").select("lo", F.pmod("sig", "parts").alias("part"), "sig", "node", "n", "role", "label", "met"))
     own = m.select("lo", "part", "node").distinct().join(sets, F.col("node") == F.col("fp")).select("lo", "part", "node", "s")
     family = m.unionByName(own, allowMissingColumns=True).repartition(partitions(docs.sparkSession), "lo", "part").sortWithinPartitions("lo", "part")
     known = labels.select(F.col("label").alias("a"), F.col("node").alias("b"))
