@@ -45,7 +45,7 @@ def durable(df: DataFrame) -> DataFrame:
     before = spark.conf.get(cleanup, "false")
     spark.conf.set(cleanup, "true")
     try:
-        return df.checkpoint(eager=True)
+        return df.select("*").checkpoint(eager=True)  # planned anew: the setting counts when a plan is made
     finally:
         spark.conf.set(cleanup, before)
 

@@ -349,7 +349,7 @@ def train(texts: DataFrame, table_bits: int = 20, run_bytes: int = 1 << 22, n_le
     salts = max(1, math.isqrt(n_learners))
     learned = by_bucket(texts.mapInArrow(words_of, SCHEMA), learn, schema)
     once = learned.withColumn("salt", F.pmod("salt", F.lit(salts))).repartition(n, "bucket", "salt").mapInArrow(add, schema)
-    rows = {r["bucket"]: bytes(r["blob"]) for r in once.repartition(n, "bucket").mapInArrow(finish, schema).collect()}
+    rows = {r["bucket"]: bytes(r["blob"]) for r in durable(once.repartition(n, "bucket").mapInArrow(finish, schema)).collect()}
     total = _slots_total(table_bits)
     odds = np.zeros(total, np.int8)
     weights = np.full((_GATES, _INPUTS), 0.3)
