@@ -399,6 +399,21 @@ def unplaned(b: bytes, n: int, at: int = 0) -> tuple[np.ndarray, int]:
     return out.view("<u8").ravel(), at + 1 + k * n
 
 
+def few(x: np.ndarray) -> bytes:
+    """Counts of which most are 0 or 1: a bit each, then the places and values of the others."""
+    more = np.flatnonzero(x > 1)
+    return np.packbits(x == 1).tobytes() + np.int64(len(more)).tobytes() + planes(more) + planes(x[more])
+
+
+def unfew(b: bytes, n: int, at: int) -> np.ndarray:
+    bits = -(-n // 8)
+    out = np.unpackbits(np.frombuffer(b, np.uint8, bits, at), count=n).astype(np.int64)
+    m = int(np.frombuffer(b[at + bits : at + bits + 8], np.int64)[0])
+    more, at = unplaned(b, m, at + bits + 8)
+    out[more.astype(np.int64)] = unplaned(b, m, at)[0].astype(np.int64)
+    return out
+
+
 def bucket_bounds(keys: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of ascending 48-bit keys, and where each begins, with the end."""
     bucket = ((keys >> U64(16)) * U64(n_buckets) >> U64(32)).astype(np.int64)
@@ -409,7 +424,7 @@ def bucket_bounds(keys: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndar
 def _asked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     n, least = (int(x) for x in np.frombuffer(blob, np.int64, 2))
     steps, at = unplaned(blob, n, 16)
-    return np.cumsum(steps) + U64(least), unplaned(blob, n, at)[0]
+    return np.cumsum(steps) + U64(least), unfew(blob, n, at)
 
 
 def own_counts(number: np.ndarray, often: np.ndarray, text: np.ndarray, learn: np.ndarray) -> np.ndarray:
@@ -550,7 +565,7 @@ def mixed_bits(t: Tokens, c: list[np.ndarray], total: np.ndarray, learn: np.ndar
     return bits
 
 
-def score_texts(docs: DataFrame, train_rows, id_col: str = "doc_id", text_col: str = "text", table_bits: int = 20, group_bytes: int = 2 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, train_rows, id_col: str = "doc_id", text_col: str = "text", table_bits: int = 20, group_bytes: int = 3 << 20) -> DataFrame:
     """(id, train, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every whole text.
 
     ``train_rows`` is a column over ``docs``: where it is true the model and the
@@ -583,7 +598,7 @@ def score_texts(docs: DataFrame, train_rows, id_col: str = "doc_id", text_col: s
                 steps = np.diff(h[i:j], prepend=h[i])
                 buckets.append(bucket)
                 kinds.append(key[0].as_py() * 4 + order)
-                blobs.append(np.array([j - i, h[i]], np.int64).tobytes() + planes(steps) + planes(trained[i:j]))
+                blobs.append(np.array([j - i, h[i]], np.int64).tobytes() + planes(steps) + few(trained[i:j]))
         return pa.table([pa.array(buckets, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "kind", "blob"])
 
     def answer(kinds: dict[int, list[bytes]], bucket: int) -> Iterator[pa.RecordBatch]:

@@ -86,6 +86,20 @@ def test_lm_mixes_plain_counts(spark):
     assert [runs[0][k] for k, _ in rows] == pytest.approx(list(want), abs=1e-6)
 
 
+def test_lm_packing():
+    import numpy as np
+
+    from popspark.llm import lm
+
+    rng = np.random.default_rng(6)
+    for n in (1, 7, 8, 9, 1000):
+        for top in (1, 2, 3, 10**12):
+            x = rng.integers(0, top, n)
+            assert (lm.unfew(b"abc" + lm.few(x), n, 3) == x).all()
+            y = x.astype(np.uint64)
+            assert (lm.unplaned(lm.planes(y), n)[0] == y).all()
+
+
 def test_lm_is_a_probability():
     """What the decisions and shares give to all tokens that may come next sums to 1 at most."""
     import numpy as np
