@@ -71,7 +71,7 @@ def _queued(docs: DataFrame, seed: str, share: float, cap: float, weights: tuple
     starts = sums.select(F.col("source").alias("s2"), F.col("b").alias("b2"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
     targets = source_targets(sums, share, cap, weights).withColumnRenamed("source", "s3")
     starts = starts.join(targets, F.col("s2").eqNullSafe(F.col("s3"))).drop("s3")
-    inside = W.partitionBy("source", "b").orderBy("o", "k", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy("source", "b").orderBy("o", "k", "size", *more).rowsBetween(W.unboundedPreceding, W.currentRow)
     d = d.withColumn("run", F.sum("size").over(inside))
     d = d.join(starts, (F.col("b") == F.col("b2")) & F.col("source").eqNullSafe(F.col("s2")))
     end = F.col("base") + F.col("run")
@@ -88,6 +88,7 @@ def _queued(docs: DataFrame, seed: str, share: float, cap: float, weights: tuple
     cut = F.when(F.col("taken") > 0, F.greatest(F.lit(0).cast("long"), F.least("taken", F.col("budget") - F.col("mix_start")))).otherwise(F.lit(0).cast("long"))
     return q.withColumn("taken", cut)
 
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), buckets: int = 4096) -> DataFrame:
     """Every document with size, source_size, target, taken, virtual finish time and place in the mix.
 
