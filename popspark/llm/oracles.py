@@ -67,4 +67,33 @@ kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM x ANTI JO
 lost AS (SELECT doc_id, count(*) AS m FROM gone GROUP BY doc_id)
 SELECT doc_id, CASE WHEN m > 0 THEN coalesce(t, '') ELSE text END AS text, CAST(coalesce(len(a), 0) AS BIGINT) AS n_lines, CAST(coalesce(m, 0) AS BIGINT) AS n_removed FROM l LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op2_jaccard_join": OP2, "op6_quality_rules": OP6, "op7_mix_sources": OP7, "op8_decontamination": OP8, "op9_line_dedup": OP9}
+def _codes(parts: int = 8, width: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Plain Lloyd rounds, one CTE for each assignment and each codebook."""
+    near = lambda c: f"SELECT r, p, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT x.r, x.p, c.e, sum((x.v - c.v) * (x.v - c.v)) AS d FROM x JOIN {c} c USING (p, j) GROUP BY ALL) GROUP BY ALL"
+    ctes = [
+        "k AS MATERIALIZED (SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0)",
+        f"x AS MATERIALIZED (SELECT r, (i - 1) // {width} AS p, (i - 1) % {width} AS j, CAST(floor(CAST(embedding[i] AS DOUBLE) * 4096) AS BIGINT) AS v FROM (SELECT r, embedding, unnest(range(1, {parts * width + 1})) AS i FROM k))",
+        f"c0 AS MATERIALIZED (SELECT p, r - 1 AS e, j, v FROM x WHERE r <= {entries})",
+    ]
+    for n in range(rounds):
+        ctes.append(f"a{n} AS MATERIALIZED ({near(f'c{n}')})")
+        ctes.append(f"c{n + 1} AS MATERIALIZED (SELECT c.p, c.e, c.j, coalesce(m.v, c.v) AS v FROM c{n} c LEFT JOIN (SELECT p, e, j, CAST((sum(v) - ((sum(v) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS v FROM x JOIN a{n} USING (r, p) GROUP BY ALL) m USING (p, e, j))")
+    ctes.append(f"z AS ({near(f'c{rounds}')})")
+    ctes.append("o AS (SELECT r, string_agg(lpad(format('{:x}', e), 2, '0'), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM z GROUP BY r)")
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p, e, j)) FROM c{rounds}) AS codebooks_sha256 FROM k JOIN o USING (r)"
+
+
+OP11 = _codes()
+
+OP13 = r"""WITH t AS (SELECT coalesce(source, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, coalesce(min(doc_id) OVER (PARTITION BY coalesce(text, '')) < doc_id, false) AS copy, coalesce(q, 0) AS q, coalesce(b, 0) AS b
+  FROM documents LEFT JOIN (SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INT)) AS q, max(CAST(coalesce(toxic = 1, false) AS INT)) AS b FROM labels GROUP BY doc_id) USING (doc_id)),
+m AS (SELECT part, q, b, concat(CASE WHEN len(w) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' END, CASE WHEN 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 2 * length(x) THEN 'C' END, CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 'D' END, CASE WHEN copy THEN 'E' END) AS f FROM t),
+g AS (SELECT part, f, count(*) AS n, sum(q) AS q, sum(b) AS b FROM m GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS o FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT o, i, substr(o, i, 1) AS c, substr(o, 1, i - 1) AS prior FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS i)),
+j AS (SELECT part, o, i, c, n, q, b, contains(f, c) AS fails, len(list_intersect(string_split(f, ''), string_split(prior, ''))) > 0 AND f <> '' AS gone, f = c AS sole FROM g, s),
+r AS (SELECT part, o, i, c, sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END) AS removed, sum(CASE WHEN fails AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN sole THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN fails AND NOT gone THEN q ELSE 0 END) AS good_lost, sum(CASE WHEN fails AND NOT gone THEN b ELSE 0 END) AS toxic_lost FROM j GROUP BY ALL)
+SELECT part, o AS filter_order, CAST(i AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, c) AS BIGINT) AS shapley FROM r"""
+
+ORACLE_SQL: dict[str, str] = {"op2_jaccard_join": OP2, "op6_quality_rules": OP6, "op7_mix_sources": OP7, "op8_decontamination": OP8, "op9_line_dedup": OP9, "op11_vector_codes": OP11, "op13_filter_audit": OP13}

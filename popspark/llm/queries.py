@@ -8,6 +8,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import decontamination, html, toxicity
+from .audit import filter_audit
+from .codes import product_codes
 from .durable import table
 from .jaccard import jaccard_components
 from .lines import dedup_lines
@@ -83,6 +85,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None =
     return token_counts(table(spark, sf_dir, "documents"), Path(tokenizer).read_text(encoding="utf-8"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, fit = product_codes(table(spark, sf_dir, "embeddings"))
+    return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(fit.digest()).alias("codebooks_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_jaccard_join": op2_jaccard_join,
@@ -94,4 +105,6 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_vector_codes": op11_vector_codes,
+    "op13_filter_audit": op13_filter_audit,
 }

@@ -150,3 +150,64 @@ def base_scores(rows, trained):
 
 def fold(k, rest):
     return k is not None and zlib.crc32(str(k).encode()) % 5 == rest
+
+
+def lloyd(rows, parts=8, entries=16, rounds=6, scale=4096):
+    """(id, code, error, label_error) and the codebooks by plain Lloyd rounds; rows are (id, vector, label)."""
+    kept = [(k, [math.floor(float(v) * scale) for v in x], y, x) for k, x, y in rows if x is not None and all(v is not None and math.isfinite(v) for v in x)]
+    usable = sorted((r for r in kept if r[1] and len(r[1]) % parts == 0), key=lambda r: (r[0] is None, r[0] or 0, r[3]))
+    dim = len(usable[0][1]) if usable else 0
+    fit, w = [r for r in usable if len(r[1]) == dim], dim // parts
+    cut = lambda x, p: x[p * w : (p + 1) * w]
+    books = [[cut(r[1], p) for r in fit[:entries]] for p in range(parts)]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    near = lambda x, p: min(range(len(books[p])), key=lambda e: (far(cut(x, p), books[p][e]), e))
+    for _ in range(rounds):
+        got = [[near(r[1], p) for p in range(parts)] for r in fit]
+        for p in range(parts):
+            for e in range(len(books[p])):
+                of = [cut(r[1], p) for r, at in zip(fit, got) if at[p] == e]
+                if of:
+                    books[p][e] = [sum(c) // len(of) for c in zip(*of)]
+    out = []
+    for k, x, y, _ in kept:
+        if dim and len(x) == dim:
+            at = [near(x, p) for p in range(parts)]
+            out.append((k, "".join(f"{e:02x}" for e in at), sum(far(cut(x, p), books[p][e]) for p, e in enumerate(at)), y))
+        else:
+            out.append((k, None, None, y))
+    per = defaultdict(int)
+    for _, _, d, y in out:
+        per[y] += d or 0
+    seen = {y for _, _, d, y in out if d is not None}
+    return [(k, c, d, per[y] if y in seen else None) for k, c, d, y in out], hashlib.sha256(",".join(str(v) for b in books for e in b for v in e).encode()).hexdigest()
+
+
+def audit(rows, labels):
+    """All orders applied one by one; rows are (id, text, source), labels (id, quality, toxic)."""
+    from itertools import permutations
+
+    least = {}
+    for k, t, _ in rows:
+        if k is not None:
+            least[t or ""] = min(k, least.get(t or "", k))
+    good, toxic = ({k for k, *y in labels if k is not None and y[i] == 1} for i in (0, 1))
+    parts = defaultdict(list)
+    for k, t, s in rows:
+        t = t or ""
+        w = WORD.findall(t)
+        fails = {"A": len(w) < 200, "B": 100 * len(set(w)) < 50 * len(w), "C": 100 * len(re.findall("[A-Z]", t)) > 2 * len(t), "D": bool(re.search("[#$%&*|]", t)), "E": k is not None and least[t] < k}
+        parts[s or ""].append((k, {f for f in fails if fails[f]}))
+    out = []
+    for part, docs in parts.items():
+        total, mine = defaultdict(int), []
+        for order in permutations("ABCDE"):
+            left = docs
+            for step, f in enumerate(order, 1):
+                lost = [k for k, x in left if f in x]
+                left = [(k, x) for k, x in left if f not in x]
+                every = sum(f in x for _, x in docs)
+                total[f] += len(lost)
+                mine.append((f, [part, "".join(order), step, len(left), len(lost), every - len(lost), sum(x == {f} for _, x in docs), sum(k in good for k in lost), sum(k in toxic for k in lost)]))
+        out += [(*r, total[f]) for f, r in mine]
+    return out

@@ -68,5 +68,5 @@ def test_stages_at_the_edges(spark, sf, name, stage):
 
 
 def test_names():
-    assert sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [n for i in range(1, 11) for n in queries.QUERIES if n.startswith(f"op{i}_")]
+    assert sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [n for i in range(1, 14) for n in queries.QUERIES if n.startswith(f"op{i}_")]
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
