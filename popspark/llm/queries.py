@@ -16,6 +16,7 @@ from .lines import dedup_lines
 from .lm import score_texts
 from .mixing import mix_sources
 from .oracles import ORACLE_SQL
+from .pii import personal_data
 from .quality import quality_rules
 from .substrings import remove_repeats
 from .tokens import token_counts
@@ -90,6 +91,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(fit.digest()).alias("codebooks_sha256"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -106,5 +111,6 @@ QUERIES: dict[str, Query] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
     "op11_vector_codes": op11_vector_codes,
+    "op12_personal_data": op12_personal_data,
     "op13_filter_audit": op13_filter_audit,
 }

@@ -211,3 +211,69 @@ def audit(rows, labels):
                 mine.append((f, [part, "".join(order), step, len(left), len(lost), every - len(lost), sum(x == {f} for _, x in docs), sum(k in good for k in lost), sum(k in toxic for k in lost)]))
         out += [(*r, total[f]) for f, r in mine]
     return out
+
+
+def pii_matches(t):
+    """kind: [(start, end, text, valid)] of the leftmost matches of the plain patterns; card runs of other lengths are no matches."""
+    digits = lambda x: re.sub("[^0-9]", "", x)
+
+    def luhn(x):
+        return sum(d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits(x))))) % 10 == 0
+
+    plain = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda x: True, lambda x: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda x: True, lambda x: all(int(p) <= 255 for p in x.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda x: 14 <= len(digits(x)) <= 19, luhn),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: True, lambda x: 10 <= len(digits(x)) <= 15),
+    }
+    return {k: [(m.start(), m.end(), m.group(), ok(m.group())) for m in re.finditer(p, t) if counts(m.group())] for k, (p, counts, ok) in plain.items()}
+
+
+def personal_data(rows, disclosure=0.75, support=3):
+    """(id, counts by kind, digest of the base spans, all spans) of (id, text) rows."""
+    import regex
+
+    term = regex.compile(r"\p{L}{3,}")
+    found = []  # per row: (start, kind, end, entity, before, after) with terms as (t, s, e)
+    for _, t in rows:
+        t, mine = t or "", []
+        for k, ms in pii_matches(t).items():
+            edges = [0, *[m[1] for m in ms]], [*[m[0] for m in ms], len(t)]
+            for i, (s, e, v, ok) in enumerate(ms):
+                if not ok:
+                    continue
+                lo, hi = max(edges[0][i], s - 80), min(edges[1][i + 1], e + 80)
+                before = [(m.group().lower(), m.start() + lo, m.end() + lo) for m in term.finditer(t[lo:s]) if lo == edges[0][i] or m.start() > 0][-5:]
+                after = [(m.group().lower(), m.start() + e, m.end() + e) for m in term.finditer(t[e:hi]) if hi == edges[1][i + 1] or m.end() < 80][:5]
+                entity = v.lower() if k == "email" else v if k == "ip" else re.sub("[^0-9]", "", v)
+                mine.append((s, list(plain_kinds).index(k), e, f"{k}:{entity}", before, after))
+        found.append(sorted(mine))
+    cls = lambda w: w[:3] + "*"
+    n, n_c, n_t, n_ct, sides = len(rows), Counter(), Counter(), Counter(), (defaultdict(set), defaultdict(set))
+    for (_, t), mine in zip(rows, found):
+        w = {m.group().lower() for m in term.finditer(t or "")}
+        n_t.update(w | {cls(x) for x in w})
+        n_c.update({c for _, _, _, c, _, _ in mine})
+        pairs = {(c, x) for _, _, _, c, a, b in mine for y, _, _ in a + b for x in (y, cls(y))}
+        n_ct.update(pairs)
+        for _, _, _, c, a, b in mine:
+            for y, _, _ in a + b:
+                for x in (y, cls(y)):
+                    sides[0][c, x].add(tuple(z[0] for z in a))
+                    sides[1][c, x].add(tuple(z[0] for z in b))
+    shows = {p for p in n_ct if min(n_c[p[0]], n_ct[p], len(sides[0][p]), len(sides[1][p])) >= support and n_c[p[0]] < n and math.log2(n * n_ct[p] / n_c[p[0]] / n_t[p[1]]) >= disclosure * math.log2(n / n_c[p[0]]) - 1e-9}
+    out = []
+    for (key, t), mine in zip(rows, found):
+        base = [(s, k, e) for s, k, e, *_ in mine]
+        more = {}
+        for _, _, _, c, a, b in mine:
+            for y, s, e in a + b:
+                if (c, y) in shows:
+                    more[s, e] = max(more.get((s, e), 4), 5 if (c, cls(y)) in shows else 4)
+        spans = sorted(base + [(s, k, e) for (s, e), k in more.items()])
+        text = lambda xs: ",".join(f"{(*plain_kinds, 'general', 'term')[k]}:{s}:{e}" for s, k, e in xs)
+        out.append((key, *[sum(k == i for _, k, _ in base) for i in range(4)], hashlib.sha256(text(base).encode()).hexdigest(), text(spans)))
+    return out
+
+
+plain_kinds = ("email", "ip", "card", "phone")
