@@ -1,13 +1,15 @@
 """Discrete Bayesian networks over attribute tables.
 
 Sufficient statistics are grouped counts; structure search runs on the driver
-over the condensed table's scores; sampling is a chain of weighted draws.
+over scores that come from one pass over the table; sampling is a chain of
+weighted draws.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -65,26 +67,60 @@ def bic(df: DataFrame, child: str, parents: Sequence[str], cards: Mapping[str, i
     return ll.select((F.col("ll") - 0.5 * params * F.log("all")).alias("bic"))
 
 
+def count_sums(df: DataFrame, attributes: Sequence[str], size: int, weight: str | None = None) -> DataFrame:
+    """(atts, e, n, cells): for every subset of up to ``size`` attributes, the sum of c log c over its cells' counts c, their sum and number.
+
+    A family's log-likelihood is e(child and parents) - e(parents), so this is
+    all that any score needs. The table is read once: condensed to its distinct
+    combinations, these grouped by all subsets at once, the cells summed up. A
+    null is a state.
+    """
+    atts = list(attributes)
+    subsets = [c for k in range(min(size, len(atts)) + 1) for c in combinations(atts, k)]
+    c = (F.sum(weight) if weight else F.count(F.lit(1))).cast("double")
+    cells = df.groupBy(*atts).agg(c.alias("__c")).groupingSets([[F.col(a) for a in s] for s in subsets], *[F.col(a) for a in atts])
+    cells = cells.agg(F.sum("__c").alias("__c"), F.grouping_id().alias("__id"))
+    # a bit of the id is set where an attribute is left out, the first attribute's being the highest
+    names = F.filter(F.array(*[F.when(F.col("__id").bitwiseAND(1 << (len(atts) - 1 - i)) == 0, F.lit(a)) for i, a in enumerate(atts)]), lambda x: x.isNotNull())
+    sums = cells.where("__c > 0").groupBy("__id").agg(F.sum(F.col("__c") * F.log("__c")).alias("e"), F.sum("__c").alias("n"), F.count(F.lit(1)).alias("cells"))
+    return sums.select(names.alias("atts"), "e", "n", "cells")
+
+
+class Scores:
+    """BIC of any family from ``count_sums``, which has one row a subset of attributes."""
+
+    def __init__(self, df: DataFrame, attributes: Sequence[str], max_parents: int, weight: str | None = None):
+        rows = {tuple(sorted(r["atts"])): r for r in count_sums(df, attributes, max_parents + 1, weight).collect()}
+        self.e = {k: r["e"] for k, r in rows.items()}
+        self.cards = {k[0]: r["cells"] for k, r in rows.items() if len(k) == 1}
+        self.n = max((r["n"] for r in rows.values()), default=0.0)
+
+    def __call__(self, child: str, parents: Sequence[str]) -> float:
+        params = (self.cards[child] - 1) * math.prod(self.cards[p] for p in parents)
+        return self.e[tuple(sorted([child, *parents]))] - self.e[tuple(sorted(parents))] - 0.5 * params * math.log(self.n)
+
+
+def family_scores(df: DataFrame, attributes: Sequence[str], max_parents: int, weight: str | None = None) -> DataFrame:
+    """(child, parents, bic) of every family of up to ``max_parents`` parents."""
+    atts, of = list(attributes), Scores(df, attributes, max_parents, weight)
+    rows = [(c, ",".join(p), of(c, p)) for c in atts if c in of.cards for k in range(max_parents + 1) for p in combinations(sorted(set(atts) - {c}), k)]
+    return df.sparkSession.createDataFrame(rows, "child string, parents string, bic double")
+
+
 def learn_structure(df: DataFrame, attributes: Sequence[str], max_parents: int = 3, max_steps: int = 200, score: Callable[[str, tuple[str, ...]], float] | None = None, weight: str | None = None) -> Network:
-    """Hill climbing by adding, deleting and reversing edges; equal gains go by name. ``weight``: a column of counts."""
+    """Hill climbing by adding, deleting and reversing edges; equal gains go by name. ``weight``: a column of counts.
+
+    The table is read once, whatever the number of steps and families.
+    """
     atts = list(attributes)
-    cards = {a: len(s) for a, s in state_names(df, atts).items()}
     known: dict[tuple[str, tuple[str, ...]], float] = {}
-
-    def score_all(families: set[tuple[str, tuple[str, ...]]]) -> None:
-        """The families' scores, in one job."""
-        new = sorted(families - known.keys())
-        if score or not new:
-            return
-        parts = [bic(df, child, list(parents), cards, weight).select(F.lit(i).alias("i"), "bic") for i, (child, parents) in enumerate(new)]
-        while len(parts) > 1:
-            parts = [a.unionByName(b) for a, b in zip(parts[::2], parts[1::2])] + parts[len(parts) // 2 * 2 :]
-        known.update({new[r["i"]]: r["bic"] for r in parts[0].collect()})
+    if score is None:
+        score = Scores(df, atts, max_parents, weight)
 
     def of(child: str, parents: tuple[str, ...]) -> float:
         key = (child, tuple(sorted(parents)))
         if key not in known:
-            known[key] = score(*key) if score else bic(df, child, list(key[1]), cards, weight).collect()[0][0]
+            known[key] = score(*key)
         return known[key]
 
     net: Network = {a: () for a in atts}
@@ -103,9 +139,6 @@ def learn_structure(df: DataFrame, attributes: Sequence[str], max_parents: int =
 
     for _ in range(max_steps):
         best, change = 1e-9, None
-        near = {(c, tuple(sorted(net[c]))) for c in atts}
-        near |= {(c, tuple(sorted({*net[c]} ^ {p}))) for c in atts for p in atts if p != c and (p in net[c] or len(net[c]) < max_parents)}
-        score_all(near)
         for child in atts:
             for parent in atts:
                 if parent == child:

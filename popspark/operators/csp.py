@@ -16,7 +16,7 @@ from ..durable import cut
 from .bayes import conditional, learn_structure, sample, state_names
 from .condense import condense
 from .relations import RELATIONS, relation_counts
-from .sampling import draws_for, keyed, weighted_draws
+from .sampling import draws_for, keyed, uniform, weighted_draws
 
 #: (source, target) in order of use; the deeper edges come before their fallback from Main.
 EDGES = (("HH", "Main"), ("Main", "Spouse"), ("Main", "Child"), ("Main", "Parent"), ("Main", "Sibling"), ("Main", "Others"), ("Parent", "Grandparent"), ("Child", "Grandchild"), ("Main", "Grandparent"), ("Main", "Grandchild"))
@@ -81,10 +81,15 @@ def household_relations(households: DataFrame, pairs: DataFrame, household: str,
 
 def sample_persons(households: DataFrame, pools: Mapping[str, DataFrame], household_atts: Sequence[str], person_atts: Sequence[str], household: str = "hhid", size: str = "hhsize", seed: object = 0) -> tuple[DataFrame, DataFrame]:
     """(persons with their relationship, (household, relationship, n) that no pair could serve)."""
+    return _sample(households, pools, household_atts, person_atts, household, size, seed, False)
+
+
+def _sample(households: DataFrame, pools: Mapping[str, DataFrame], household_atts: Sequence[str], person_atts: Sequence[str], household: str, size: str, seed: object, again: bool) -> tuple[DataFrame, DataFrame]:
     numbers = cut(household_relations(households, pools["HH-Main"], household, household_atts, size, seed))
     source_cols = {"HH": [f"HH_{a}" for a in household_atts]}
     people: dict[str, DataFrame] = {}
     made: dict[str, DataFrame] = {"HH": numbers}
+    options: dict[str, DataFrame] = {}
     for source, target in EDGES:
         pairs = pools.get(f"{source}-{target}")
         if pairs is None or source not in made:
@@ -94,6 +99,8 @@ def sample_persons(households: DataFrame, pools: Mapping[str, DataFrame], househ
         want = numbers.select(household, F.col(f"n_{target}").alias("__n")).where("__n > 0")
         if target in people:
             want = want.join(people[target].select(household).distinct(), household, "left_anti")
+        if again and source in options:
+            people[source] = made[source] = cut(redraw_parents(made[source], options[source], want, pairs, cols, household, f"{seed}-{source}-{target}")[0])
         evidence = made[source].select(household, *cols).join(want, household)
         found, _ = candidates(evidence, pairs, [household], cols, target_cols)
         draws = draws_for(want, [household], "__n")
@@ -101,6 +108,7 @@ def sample_persons(households: DataFrame, pools: Mapping[str, DataFrame], househ
         got = cut(got)  # the next levels read it again and again
         people[target] = people[target].unionByName(got) if target in people else got
         made[target] = people[target]
+        options[target] = options[target].unionByName(found) if target in options else found
     return _people(people, person_atts, numbers, household)
 
 
@@ -147,8 +155,8 @@ def _people(people: Mapping[str, DataFrame], person_atts: Sequence[str], numbers
     return out, short
 
 
-def run(households: DataFrame, pools: Mapping[str, DataFrame], household_atts: Sequence[str], person_atts: Sequence[str], household: str = "hhid", size: str = "hhsize", use_bn: bool = False, zone: str | None = None, zone_pools: Mapping[str, Mapping[str, DataFrame]] | None = None, retries: int = 0, seed: object = 0) -> tuple[DataFrame, DataFrame]:
-    """Persons of all households by the way asked for: from pairs, with retries, or by networks; by zone where zones have pools.
+def run(households: DataFrame, pools: Mapping[str, DataFrame], household_atts: Sequence[str], person_atts: Sequence[str], household: str = "hhid", size: str = "hhsize", use_bn: bool = False, zone: str | None = None, zone_pools: Mapping[str, Mapping[str, DataFrame]] | None = None, retries: int = 0, seed: object = 0, backtrack: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Persons of all households by the way asked for: from pairs, from pairs with back-tracking (``retries`` of any number stand for it), or by networks; by zone where zones have pools.
 
     With ``zone_pools`` the households of a zone that has pools of its own take
     these, all others ``pools``.
@@ -157,8 +165,8 @@ def run(households: DataFrame, pools: Mapping[str, DataFrame], household_atts: S
     def some(h: DataFrame, p: Mapping[str, DataFrame], seed: object) -> tuple[DataFrame, DataFrame]:
         if use_bn:
             return sample_persons_bn(h, p, household_atts, person_atts, household, size, seed)
-        if retries:
-            return sample_with_retries(h, p, household_atts, person_atts, household, size, seed, retries)
+        if backtrack or retries:
+            return sample_with_backtracking(h, p, household_atts, person_atts, household, size, seed)
         return sample_persons(h, p, household_atts, person_atts, household, size, seed)
 
     if not zone_pools:
@@ -171,20 +179,46 @@ def run(households: DataFrame, pools: Mapping[str, DataFrame], household_atts: S
     return people, short
 
 
-def sample_with_retries(households: DataFrame, pools: Mapping[str, DataFrame], household_atts: Sequence[str], person_atts: Sequence[str], household: str = "hhid", size: str = "hhsize", seed: int = 0, retries: int = 5) -> tuple[DataFrame, DataFrame]:
-    """As ``sample_persons``, but households with someone missing are drawn again with other persons above them."""
-    todo, out = households, None
-    short = None
-    for r in range(retries + 1):
-        people, short = sample_persons(todo, pools, household_atts, person_atts, household, size, f"{seed}-{r}")
-        people, short = cut(people), cut(short)
-        failed = short.select(household).distinct()
-        good = people.join(failed, household, "left_anti") if r < retries else people
-        out = good if out is None else out.unionByName(good)
-        if r == retries or failed.isEmpty():
-            break
-        todo = todo.join(failed, household, "left_semi")
-    return out, short
+def redraw_parents(parents: DataFrame, found: DataFrame, wanted: DataFrame, pairs: DataFrame, cols: Sequence[str], household: str = "hhid", seed: object = 0) -> tuple[DataFrame, DataFrame]:
+    """(``parents`` that can serve, (household, tried, served) of the households drawn again).
+
+    ``found`` are the parents' candidates (household, cols, count), ``wanted``
+    the households that need a child from ``pairs`` by ``cols``. Where no parent
+    of a wanting household has a pair, its parents are tried and found wrong:
+    they leave the candidates, and others are drawn, by weight and without
+    replacement, until one has a pair or none is left. Such draws in turn are a
+    race of exponential times u ** (1 / count): the candidates in the order of
+    their times, of which the first with a pair stays, further places going to
+    those after it. A household without any candidate that serves keeps its
+    parents. No round is repeated; a household's candidates meet in one window.
+    """
+    cols = list(cols)
+    want = wanted.select(household).distinct()
+    here = parents.join(want, household, "left_semi")
+    ok = pairs.select(*cols).distinct().withColumn("__ok", F.lit(True))
+    bad = here.join(ok, cols, "left").groupBy(household).agg(F.max(F.coalesce("__ok", F.lit(False))).alias("__any"), F.count(F.lit(1)).alias("__places")).where(~F.col("__any")).drop("__any")
+    wrong = here.join(bad.select(household), household, "left_semi").select(household, *cols).distinct()
+    left = found.join(bad, household).join(wrong, [household, *cols], "left_anti").join(ok, cols, "left").withColumn("__ok", F.coalesce("__ok", F.lit(False)))
+    time = -F.log(F.greatest(uniform(f"{seed}-race", household, *cols), F.lit(1e-300))) / F.col("count")
+    race = W.partitionBy(household).orderBy("__time", *cols)
+    left = left.withColumn("__time", time).withColumn("__at", F.row_number().over(race))
+    left = left.withColumn("__first", F.min(F.when(F.col("__ok"), F.col("__at"))).over(W.partitionBy(household)))
+    new = left.where((F.col("__at") >= F.col("__first")) & (F.col("__at") < F.col("__first") + F.col("__places")))
+    wrongs = wrong.groupBy(household).agg(F.count(F.lit(1)).alias("__wrong"))
+    tried = left.groupBy(household).agg(F.min("__first").alias("__first"), F.count(F.lit(1)).alias("__all"))
+    log = wrongs.join(tried, household, "left").select(household, (F.col("__wrong") + F.coalesce(F.col("__first") - 1, "__all", F.lit(0))).alias("tried"), F.col("__first").isNotNull().alias("served"))
+    moved = new.select(household, *cols)
+    out = parents.select(household, *cols).join(moved.select(household).distinct(), household, "left_anti").unionByName(moved)
+    return out, log
+
+
+def sample_with_backtracking(households: DataFrame, pools: Mapping[str, DataFrame], household_atts: Sequence[str], person_atts: Sequence[str], household: str = "hhid", size: str = "hhsize", seed: object = 0) -> tuple[DataFrame, DataFrame]:
+    """As ``sample_persons``, but where no pair serves a household its parents are drawn again among their untried candidates.
+
+    Only the parent changes: persons drawn from it before stay, and a household's
+    own attributes are never drawn again.
+    """
+    return _sample(households, pools, household_atts, person_atts, household, size, seed, True)
 
 
 def arc_consistent(upper: DataFrame, lower: DataFrame, shared: Sequence[str]) -> DataFrame:

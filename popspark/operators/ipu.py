@@ -1,16 +1,18 @@
-"""Iterative proportional updating of household weights (Ye et al., 2009)."""
+"""Iterative proportional updating of household weights (Ye et al., 2009), all zones in one plan."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..durable import cut
 from .condense import marginals
 from .sampling import largest_remainder
 
+#: A target of 0 is this much, so that weights never vanish; fixed value.
+LEAST = 1e-9
+
 
 def incidence(households: DataFrame, persons: DataFrame, household: str, household_atts: Sequence[str], person_atts: Sequence[str]) -> DataFrame:
     """(household, level, att, state, freq): 1 for a household's own states, numbers of persons for theirs."""
@@ -19,55 +21,105 @@ def incidence(households: DataFrame, persons: DataFrame, household: str, househo
     return own.unionByName(people).select(household, "level", "att", "state", F.col("value").alias("freq"))
 
 
-def update(rows: np.ndarray, cols: np.ndarray, freq: np.ndarray, target: np.ndarray, weights: np.ndarray, iterations: int, tolerance: float) -> tuple[np.ndarray, float, int]:
-    """Weights after at most ``iterations`` passes over the constraints, the mean relative error, the passes made."""
-    order = np.argsort(cols, kind="stable")
-    rows, freq = rows[order], freq[order]
-    ends = np.searchsorted(cols[order], np.arange(len(target) + 1))
-    fit, best, best_fit, used = np.inf, weights.copy(), np.inf, 0
-    for used in range(1, iterations + 1):
-        for k in range(len(target)):
-            r, f = rows[ends[k] : ends[k + 1]], freq[ends[k] : ends[k + 1]]
-            total = (weights[r] * f).sum()
-            if total > 0:
-                weights[r] *= target[k] / total
-        sums = np.array([(weights[rows[ends[k] : ends[k + 1]]] * freq[ends[k] : ends[k + 1]]).sum() for k in range(len(target))])
-        now = float(np.mean(np.abs(sums - target) / np.maximum(target, 1)))
-        if now < best_fit:
-            best, best_fit = weights.copy(), now
-        if abs(fit - now) < tolerance:
-            break
-        fit = now
-    return best, best_fit, used
-
-
-def run(incidence_rows: DataFrame, targets: DataFrame, household: str = "hhid", zone: str = "zone_id", iterations: int = 200, tolerance: float = 1e-6, max_incidence: int = 20_000_000) -> DataFrame:
+def constraints(incidence_rows: DataFrame, max_constraints: int = 5000) -> list[tuple[str, str, str]]:
+    """The states that the sample has, by level, attribute and name: what one census table has as columns."""
+    rows = incidence_rows.select("level", "att", F.coalesce("state", F.lit("")).alias("state")).distinct().orderBy("level", "att", "state").limit(max_constraints + 1).collect()
+    if len(rows) > max_constraints:
+        raise ValueError(f"more than {max_constraints} constraints")
+    return [tuple(r) for r in rows]
+
+
+def _wide(rows: DataFrame, key: str, states: Sequence[tuple[str, str, str]], value: str, out: str) -> DataFrame:
+    """(key, out): an array of each constraint's value, 0 where there is none."""
+    of = F.create_map(*[F.lit(x) for i, (a, b, c) in enumerate(states) for x in ("\x1f".join((a, b, c)), i)])
+    at = F.get(F.transform(F.array(F.concat_ws("\x1f", "level", "att", F.coalesce("state", F.lit("")))), lambda k: F.element_at(of, k)), 0)
+    known = rows.withColumn("__i", at).where(F.col("__i").isNotNull()).groupBy(key, "__i").agg(F.sum(F.col(value).cast("double")).alias("__v"))
+    full = known.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("__i", "__v"))).alias("__m"))
+    return full.select(key, F.transform(F.sequence(F.lit(0), F.lit(len(states) - 1)), lambda i: F.coalesce(F.element_at("__m", i), F.lit(0.0))).alias(out))
+
+
+def one_pass(w: DataFrame, states: Sequence[tuple[str, str, str]], zone: str) -> DataFrame:
+    """One update by every constraint in turn.
+
+    A household has one state of an attribute of its own, so that attribute's
+    constraints do not meet and are one step; numbers of persons are a step for
+    each state. A step is the sum over its zone's rows, which stay where they are.
+    """
+    of_zone = W.partitionBy(zone)
+    at = lambda c, i: F.get(F.col(c), F.lit(i))
+
+    def scaled(w: DataFrame, some: list[int]) -> DataFrame:
+        sums = {i: F.sum(F.col("weight") * at("freq", i)).over(of_zone) for i in some}
+        w = w.withColumns({f"__s{i}": s for i, s in sums.items()})
+        factor = F.coalesce(*[F.when((at("freq", i) > 0) & (F.col(f"__s{i}") > 0), at("goal", i) / F.col(f"__s{i}")) for i in some], F.lit(1.0))
+        return w.withColumn("weight", F.col("weight") * factor).drop(*[f"__s{i}" for i in some])
+
+    own: dict[str, list[int]] = {}
+    for i, (level, att, _) in enumerate(states):
+        if level == "household":
+            own.setdefault(att, []).append(i)
+    for att in sorted(own):
+        w = scaled(w, own[att])
+    for i, (level, _, _) in enumerate(states):
+        if level != "household":
+            w = scaled(w, [i])
+    return w
+
+
+def fits(w: DataFrame, n: int, zone: str) -> DataFrame:
+    """(zone, fit): the mean relative error of the constraints; sums are added up before they are shuffled."""
+    at = lambda c, i: F.get(F.col(c), F.lit(i))
+    sums = w.groupBy(zone).agg(*[F.sum(F.col("weight") * at("freq", i)).alias(f"__s{i}") for i in range(n)], F.first("goal").alias("goal"))
+    error: Column = sum((F.abs(F.col(f"__s{i}") - at("goal", i)) / F.greatest(at("goal", i), F.lit(1.0)) for i in range(n)), F.lit(0.0))
+    return sums.select(zone, (error / n).alias("fit"))
+
+
+def run(incidence_rows: DataFrame, targets: DataFrame, household: str = "hhid", zone: str = "zone_id", iterations: int = 200, tolerance: float = 1e-6, check_every: int = 5) -> DataFrame:
     """(zone, household, weight, fit, iterations): weights of the sample households in every zone.
 
-    A task holds one zone's constraints and the sample's incidence, which is a
-    survey's size and the same for all zones; one of more than ``max_incidence``
-    cells is no survey's and raises before it is collected.
+    ``targets`` are (zone, level, att, state, value); a state that the sample
+    lacks has no constraint, one that a zone's targets lack a target of 0. All
+    households of a zone begin alike, with its mean total of the household
+    attributes. Passes go on, ``check_every`` in a plan, until no zone's mean
+    relative error moves by more than ``tolerance`` from one check to the next
+    or ``iterations`` are made; a zone keeps the weights of its best check.
+
+    Rows are zones by sample households, as the result is. They are shuffled by
+    zone once; nothing but the constraints' names is collected.
     """
-    spark = incidence_rows.sparkSession
-    if (cells := incidence_rows.count()) > max_incidence:
-        raise ValueError(f"{cells} cells of incidence: the sample is too large to be held by every task")
-    inc = incidence_rows.toPandas()
-    inc["key"] = inc["level"] + "\x1f" + inc["att"] + "\x1f" + inc["state"].fillna("")
-    ids = np.array(sorted(inc[household].unique()))
-    keys = np.array(sorted(inc["key"].unique()))
-    shared = spark.sparkContext.broadcast((ids, keys, np.searchsorted(ids, inc[household].to_numpy()), np.searchsorted(keys, inc["key"].to_numpy()), inc["freq"].to_numpy(float)))
-
-    def one(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
-        ids, keys, rows, cols, freq = shared.value
-        want = dict(zip(t["level"] + "\x1f" + t["att"] + "\x1f" + t["state"].fillna(""), t["value"].astype(float)))
-        target = np.array([want.get(k, 0.0) for k in keys])
-        homes = max(1.0, t[t["level"] == "household"].groupby("att")["value"].sum().astype(float).mean() if (t["level"] == "household").any() else len(ids))
-        w, fit, used = update(rows, cols, freq, np.maximum(target, 1e-9), np.full(len(ids), homes / len(ids)), iterations, tolerance)
-        return pd.DataFrame({zone: key[0], household: ids, "weight": w, "fit": fit, "iterations": used})
-
-    kind = dict(incidence_rows.dtypes)[household]
-    z = dict(targets.dtypes)[zone]
-    return targets.groupBy(zone).applyInPandas(one, f"{zone} {z}, {household} {kind}, weight double, fit double, iterations int")
+    states = constraints(incidence_rows)
+    freq = _wide(incidence_rows, household, states, "freq", "freq")
+    goal = _wide(targets, zone, states, "value", "__goal")
+    zones = targets.select(zone).distinct().join(goal, zone, "left")
+    goal = zones.select(zone, F.transform(F.sequence(F.lit(0), F.lit(len(states) - 1)), lambda i: F.greatest(F.coalesce(F.get("__goal", i), F.lit(0.0)), F.lit(LEAST))).alias("goal"))
+    per_att = targets.where("level = 'household'").groupBy(zone, "att").agg(F.sum(F.col("value").cast("double")).alias("v")).groupBy(zone).agg(F.avg("v").alias("__homes"))
+    every = freq.agg(F.count(F.lit(1)).alias("__n"))
+    # each zone gets every household: a join on a constant, as the result has them all
+    both = goal.join(per_att, zone, "left").withColumn("__one", F.lit(1)).join(freq.withColumn("__one", F.lit(1)), "__one").drop("__one").join(F.broadcast(every))
+    start = F.greatest(F.coalesce("__homes", F.col("__n").cast("double")), F.lit(1.0)) / F.col("__n")
+    n = max(1, int(incidence_rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    w = both.select(zone, household, "freq", "goal", start.alias("weight")).repartition(n, zone)
+    best = w.select(zone, household, "weight", F.lit(float("inf")).alias("fit"), F.lit(0).alias("iterations"))
+    done, before = 0, None
+    while done < iterations:
+        k = min(check_every, iterations - done)
+        for _ in range(k):
+            w = one_pass(w, states, zone)
+        w, done = cut(w), done + k
+        now = cut(fits(w, len(states), zone))
+        step = w.join(now, zone).select(zone, household, "weight", "fit", F.lit(done).alias("iterations"))
+        if before is None:
+            best = step
+        else:
+            old = best.select(zone, household, *[F.col(c).alias(f"__{c}") for c in ("weight", "fit", "iterations")])
+            keep = F.col("__fit") <= F.col("fit")
+            best = step.join(old, [zone, household]).select(zone, household, *[F.when(keep, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in ("weight", "fit", "iterations")])
+            best = cut(best)
+            moved = now.join(before.withColumnRenamed("fit", "__f"), zone).agg(F.max(F.abs(F.col("fit") - F.col("__f")))).first()[0]
+            if (moved or 0.0) < tolerance:
+                break
+        before = now
+    return best
 
 
 def synthesise(weights: DataFrame, household: str = "hhid", zone: str = "zone_id") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..durable import cut
 from .condense import condense, differences, inflate, marginals
-from .flow import adjust
+from .flow import adjust, objective
 from .sampling import draws_for, keyed, largest_remainder, sample_exact, weighted_draws
 
 
@@ -57,15 +57,24 @@ def feasible_cells(counts: DataFrame, pool: DataFrame, prior: Sequence[str], att
     return counts.join(options, [zone, *prior, att], "full").select(zone, *prior, att, F.coalesce("count", "__zero").alias("count"))
 
 
-def adjusted_counts(cells: DataFrame, diff: DataFrame, prior: Sequence[str], att: str, zone: str = "zone_id") -> DataFrame:
+def adjusted_counts(cells: DataFrame, diff: DataFrame, prior: Sequence[str], att: str, zone: str = "zone_id", deviation: str = "absolute", spread_penalty: float = 0.0) -> DataFrame:
     """(zone, prior, att, count) after each zone's flow; a zone's matrix is combinations by states, not its rows."""
+    return _flows(cells, diff, prior, att, zone, deviation, spread_penalty).drop("objective")
+
+
+def adjustment_objective(cells: DataFrame, diff: DataFrame, prior: Sequence[str], att: str, zone: str = "zone_id", deviation: str = "absolute", spread_penalty: float = 0.0) -> DataFrame:
+    """(zone, objective): what each zone's flow costs, changes and slack together."""
+    return _flows(cells, diff, prior, att, zone, deviation, spread_penalty).groupBy(zone).agg(F.max("objective").alias("objective"))
+
+
+def _flows(cells: DataFrame, diff: DataFrame, prior: Sequence[str], att: str, zone: str, deviation: str, spread_penalty: float) -> DataFrame:
     prior = list(prior)
     kinds = dict(cells.dtypes)
-    schema = ", ".join([f"`{zone}` {kinds[zone]}", *(f"`{a}` string" for a in [*prior, att]), "count long"])
+    schema = ", ".join([f"`{zone}` {kinds[zone]}", *(f"`{a}` string" for a in [*prior, att]), "count long", "objective double"])
 
     def one(key: tuple, c: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         if c.empty:
-            return pd.DataFrame(columns=[zone, *prior, att, "count"])
+            return pd.DataFrame(columns=[zone, *prior, att, "count", "objective"])
         keys = c[prior].fillna("\x00").agg("\x1f".join, axis=1)
         rows, names = pd.factorize(keys, sort=True)
         states = sorted(set(c[att]) | set(d["state"]))
@@ -78,13 +87,14 @@ def adjusted_counts(cells: DataFrame, diff: DataFrame, prior: Sequence[str], att
         want = np.zeros(len(states), np.int64)
         for s, n in zip(d["state"], d["diff"]):
             want[col[s]] = n
-        got, _ = adjust(counts, ok, want)
+        got, left = adjust(counts, ok, want, deviation, spread_penalty)
         r, s = np.nonzero(got)
         first = c.drop_duplicates(prior).set_index(keys.loc[c.drop_duplicates(prior).index])
         out = first.loc[names[r], prior].reset_index(drop=True)
         out.insert(0, zone, key[0])
         out[att] = [states[i] for i in s]
         out["count"] = got[r, s]
+        out["objective"] = objective(counts, got, ok, left, deviation, spread_penalty)
         return out
 
     return cells.groupBy(zone).cogroup(diff.groupBy(zone)).applyInPandas(one, schema)
@@ -122,11 +132,11 @@ def expand(counts: DataFrame, pool: DataFrame, attributes: Sequence[str], adjust
     return out
 
 
-def adjust_attribute(att: str, syn: DataFrame, marg: DataFrame, pool: DataFrame, attributes: Sequence[str], prior: Sequence[str], zone: str = "zone_id", keep_zero_cells: bool = False, seed: object = 0) -> DataFrame:
+def adjust_attribute(att: str, syn: DataFrame, marg: DataFrame, pool: DataFrame, attributes: Sequence[str], prior: Sequence[str], zone: str = "zone_id", keep_zero_cells: bool = False, seed: object = 0, deviation: str = "absolute", spread_penalty: float = 0.0) -> DataFrame:
     """``syn`` with ``att`` moved to the census as far as the pool's combinations allow."""
     prior = list(prior)
     counts = condense(syn, [zone, *prior, att])
-    got = adjusted_counts(feasible_cells(counts, pool, prior, att, zone), state_differences(att, syn, marg, zone), prior, att, zone)
+    got = adjusted_counts(feasible_cells(counts, pool, prior, att, zone), state_differences(att, syn, marg, zone), prior, att, zone, deviation, spread_penalty)
     return expand(got, pool, attributes, [*prior, att], zone, keep_zero_cells, seed)
 
 
@@ -176,69 +186,88 @@ def trimmed(syn: DataFrame, marg: DataFrame, attributes: Sequence[str], zone: st
     return c.groupBy(zone).cogroup(over.groupBy(zone)).applyInPandas(one, schema)
 
 
-def check_fit(syn: DataFrame, marg: DataFrame, attributes: Sequence[str], extra_removed: float = 0.0, zone: str = "zone_id", seed: object = 0) -> tuple[DataFrame, DataFrame]:
-    """(kept records, what is left of the marginals, never negative)."""
-    kept = cut(inflate(trimmed(syn, marg, attributes, zone, seed)))
+def check_fit(syn: DataFrame, marg: DataFrame, attributes: Sequence[str], extra_removed: float = 0.0, zone: str = "zone_id", seed: object = 0, exclude_atts: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(kept records, what is left of the marginals, never negative).
+
+    A random part of all records goes first, then what is over the census.
+    Attributes in ``exclude_atts`` are not held against it and leave the marginals.
+    """
     if extra_removed > 0:
         order = [zone, *attributes]
-        numbered = kept.withColumn("__k", F.row_number().over(W.partitionBy(*order).orderBy(*order)))
-        kept = cut(sample_exact(numbered, 1 - extra_removed, [*order, "__k"], seed, [zone]).drop("__k"))
-    left = differences(marg, marginals(kept, zone, attributes), (zone, "att", "state")).withColumnRenamed("diff", "value")
+        numbered = syn.withColumn("__k", F.row_number().over(W.partitionBy(*order).orderBy(*order)))
+        syn = cut(sample_exact(numbered, 1 - extra_removed, [*order, "__k"], seed).drop("__k"))
+    marg = marg.where(~F.col("att").isin(list(exclude_atts)))
+    kept = cut(inflate(trimmed(syn, marg, attributes, zone, seed)))
+    checked = [a for a in attributes if a not in exclude_atts]
+    left = differences(marg, marginals(kept, zone, checked), (zone, "att", "state")).withColumnRenamed("diff", "value")
     return kept, left
 
 
-def first_order(marg: DataFrame, adjustable: Sequence[str]) -> list[str]:
-    """Adjustable attributes by their number of states, most first, then by name."""
-    n = {r["att"]: r["n"] for r in marg.where(F.col("att").isin(list(adjustable))).groupBy("att").agg(F.countDistinct("state").alias("n")).collect()}
-    return sorted(adjustable, key=lambda a: (-n.get(a, 0), a))
+def first_order(marg: DataFrame) -> list[str]:
+    """The attributes of the marginals by their number of states, most first, then by name."""
+    n = {r["att"]: r["n"] for r in marg.groupBy("att").agg(F.countDistinct("state").alias("n")).collect()}
+    return sorted(n, key=lambda a: (-n[a], a))
+
 
+def orders(first: Sequence[str], runs: int, last: Sequence[str] = (), seed: int = 0, randomly_last: Sequence[str] = (), adjustable: Sequence[str] | None = None) -> list[list[str]]:
+    """An order for each run.
 
-def orders(first: Sequence[str], runs: int, last: Sequence[str] = (), seed: int = 0, randomly_last: Sequence[str] = ()) -> list[list[str]]:
-    """An order for each run: the first by size, the last as configured, those between shuffled with a rotating head."""
-    rng, out = random.Random(seed), []
+    The first run takes ``first``, all attributes of the marginals; later ones
+    those that stay in the marginals, ``adjustable``. The last run begins as
+    configured, the rest shuffled. Those between shuffle the order of the run
+    before behind its head, whose place moves on with the runs; with a chance of
+    one in four all of ``randomly_last`` go to the end.
+    """
+    rng, out, now = random.Random(seed), [], list(first)
     for run in range(runs):
-        if run == 0:
-            out.append(list(first))
-        elif run == runs - 1 and last:
-            rest = [a for a in first if a not in last]
+        if run == 1 and adjustable is not None:
+            now = [a for a in now if a in adjustable]
+        if run == runs - 1:
+            rest = [a for a in now if a not in last and (run or adjustable is None or a in adjustable)]
             rng.shuffle(rest)
-            out.append([*last, *rest])
-        else:
-            head = first[run % len(first)]
-            rest = [a for a in first if a != head]
+            now = [*[a for a in last if a in first], *rest]
+        elif run:
+            head, ends = now[run % len(now)], rng.random() < 0.25
+            rest = [a for a in now if a != head]
             rng.shuffle(rest)
-            order = [head, *rest]
-            for a in randomly_last:
-                if a in order and rng.random() < 0.25:
-                    order.remove(a)
-                    order.append(a)
-            out.append(order)
+            now = [head, *rest]
+            if ends:
+                now = [a for a in now if a not in randomly_last] + [a for a in randomly_last if a in now]
+        out.append(list(now))
     return out
 
 
-def run(marg: DataFrame, pool: DataFrame, attributes: Sequence[str], adjustable: Sequence[str] | None = None, last: Sequence[str] = (), runs: int = 15, extra_removed: float = 0.3, zone: str = "zone_id", keep_zero_cells: bool = True, randomly_last: Sequence[str] = (), seed: int = 0, on_step: Callable[[int, int, str, DataFrame], None] | None = None) -> DataFrame:
+def run(marg: DataFrame, pool: DataFrame, attributes: Sequence[str], adjustable: Sequence[str] | None = None, last: Sequence[str] = (), runs: int = 15, extra_removed: float = 0.3, zone: str = "zone_id", keep_zero_cells: bool = True, randomly_last: Sequence[str] = (), seed: int = 0, on_step: Callable[[int, int, str, DataFrame], None] | None = None, deviation: str = "absolute", spread_penalty: float = 0.0) -> DataFrame:
     """The synthetic population (zone, attributes) after at most ``runs`` loops.
 
-    ``on_step`` gets (run, step, attribute, population) after every adjustment.
-    State between loops is the kept population and the marginals that are left;
-    both are cut from their lineage.
+    Of every run but the last, what fits the census is kept and the marginals
+    shrink by it; the last run's records are kept as they are, so that each zone
+    ends with its census total. Attributes that are not ``adjustable`` are
+    adjusted in the first run, and held against nothing. ``on_step`` gets (run,
+    step, attribute, population) after every adjustment. State between loops is
+    the kept population and the marginals that are left; both are cut from their
+    lineage.
     """
     atts = list(attributes)
     marg = cut(marg.where(F.col("att").isin(atts)).select(zone, "att", "state", F.col("value").cast("long").alias("value")))
+    excluded = [a for a in atts if adjustable is not None and a not in adjustable]
     kept: DataFrame | None = None
     left = marg
-    for r, order in enumerate(orders(first_order(marg, adjustable or atts), runs, last, seed, randomly_last)):
+    for r, order in enumerate(orders(first_order(marg), runs, last, seed, randomly_last, adjustable)):
         if not left.where("value > 0").limit(1).count():
             break
         syn = cut(initial_population(order[0], left, pool, atts, zone, f"{seed}-{r}"))
         done = [order[0]]
         for step, att in enumerate(order[1:]):
-            syn = cut(adjust_attribute(att, syn, left, pool, atts, done, zone, keep_zero_cells, f"{seed}-{r}-{step}"))
+            syn = cut(adjust_attribute(att, syn, left, pool, atts, done, zone, keep_zero_cells, f"{seed}-{r}-{step}", deviation, spread_penalty))
             done.append(att)
             if on_step:
                 on_step(r, step, att, syn)
-        more, left = check_fit(syn, left, atts, extra_removed if r < runs - 1 else 0.0, zone, f"{seed}-{r}-fit")
-        left = cut(left)
+        if r == runs - 1:
+            more = syn
+        else:
+            more, left = check_fit(syn, left, atts, extra_removed, zone, f"{seed}-{r}-fit", excluded)
+            left = cut(left)
         kept = more if kept is None else cut(kept.unionByName(more))
     if kept is None:
         raise ValueError("the marginals are empty")

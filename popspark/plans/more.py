@@ -150,8 +150,7 @@ def saa_adjusted_marginals(spark, d):
 
 @query(WITH(HH, MARG) + "SELECT zone_id, CAST(sum(value) AS DOUBLE) AS placed FROM marg WHERE att = 'hhinc' GROUP BY zone_id")
 def saa_placed(spark, d):
-    h = households(spark, d)
-    out = saa.run(census_hh(spark, d), full_pool(h), HH_ATTS, runs=2, extra_removed=0.0)
+    out = saa.run(census_hh(spark, d), C.condense(sampled_hh(spark, d), HH_ATTS), HH_ATTS, runs=2, extra_removed=0.3)
     return out.groupBy("zone_id").agg(F.count(F.lit(1)).cast("double").alias("placed"))
 
 
