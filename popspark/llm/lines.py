@@ -118,9 +118,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with the smaller hash counts as earlier; a null id is the smallest. Rows
     alike in id and text are no copies of one another. An empty table gives no
     rows. Other columns pass through unchanged; columns of the input that are
-    called n_lines or n_removed are replaced.
+    called n_lines or n_removed, in any case, are replaced.
     """
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    keep = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     key, text_hash, gone_col, got_col = free(docs.columns, 4)
     t = docs.select(F.col(id_col).alias("k"), F.xxhash64(text_col).alias("d"), F.col(text_col).alias("t"))
     gone = repeated_runs(t, min_words).groupBy("k", "d").agg(F.collect_list(F.struct("first", "last")).alias("runs"))

@@ -1,13 +1,14 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame operations.
 
 Each source's documents are shuffled by a keyed digest and queued, twice over.
-A document's virtual finish time is the cumulative size of its source up to and
-with it, divided by the source's target. All sources reach time 1 together,
-when the sum of the targets, the total budget, is spent; the document that lies
-across that time in a source counts up to it. The queue is then put in global
-order of finish times, by ranges of the time, and is cut where the running sum
-of the words taken reaches the budget; a document's place in that order, in
-words, is ``mix_start``.
+An entry's virtual finish time is the cumulative size of its source up to and
+with it, divided by the source's target, so that all sources reach time 1
+together; the second copy of a document has a time of its own. An entry that
+begins before time 1 and ends after it is queued word by word. All entries of
+all sources are put in one order of finish times, by ranges of the time, and a
+running total of their words against the total budget decides alone what is
+taken: it runs out near time 1, wherever the entries then are. A document's
+place in that order, in words, is ``mix_start``.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .columns import free
-from .durable import durable
+from .durable import durable, partitions
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -43,26 +44,37 @@ def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weigh
     return per.select("source", "source_size", F.when(level.isNull(), F.col("top")).otherwise(F.least("top", F.col("w") * level)).alias("target"))
 
 
-def in_global_order(queue: DataFrame, ranges: int) -> DataFrame:
-    """``queue`` with mix_start: words that the mix takes before each document by (finish, source, o, k, size), null where it takes none.
+def entries(queue: DataFrame, cap: float) -> DataFrame:
+    """(queue, copy, piece, w, finish) of documents that have words: an entry for each copy, one for each word where time 1 falls into it."""
+    copies = F.explode(F.transform(F.sequence(F.lit(0), F.lit(int(-(-cap // 1)) - 1)), lambda p: F.struct(p.alias("copy"), (F.col("end") + p * F.col("source_size")).alias("upto"))))
+    q = queue.where((F.col("size") > 0) & (F.col("target") > 0)).select("*", copies.alias("c"))
+    begin = F.col("c.upto") - F.col("size")
+    split = (begin < F.col("target")) & (F.col("c.upto") > F.col("target"))
+    piece = lambda n, w, upto: F.struct(n.alias("piece"), w.cast("long").alias("w"), (upto / F.col("target")).alias("finish"))
+    pieces = F.when(split, F.transform(F.sequence(F.lit(1).cast("long"), F.col("size")), lambda j: piece(j, F.lit(1), begin + j))).otherwise(F.array(piece(F.lit(0).cast("long"), F.col("size"), F.col("c.upto"))))
+    return q.select(*queue.columns, F.col("c.copy").alias("copy"), F.explode(pieces).alias("p")).select(*queue.columns, "copy", "p.*")
 
-    Ranges of the virtual time are equal shares of the words, so that a running
-    sum over the ranges' totals and one inside each range give the place.
+
+def taken_words(queue: DataFrame, budget: DataFrame, cap: float, ranges: int) -> DataFrame:
+    """(source, end, taken, mix_start) of the documents that the budget reaches, in the order (finish, source, o, k, size, copy, piece).
+
+    Ranges of the virtual time are about equal shares of the words: a running
+    sum over the ranges' totals and one inside each range give an entry's place.
+    Ranges that begin after the budget are not looked into.
     """
-    range_of = F.when(F.col("taken") > 0, F.least(F.floor(F.col("finish") * ranges), F.lit(2 * ranges)).cast("int"))
-    q = queue.withColumn("r", range_of)
-    totals = q.where("taken > 0").groupBy("r").agg(F.sum("taken").alias("words"))
+    e = entries(queue, cap).withColumn("r", F.least(F.floor(F.col("finish") * ranges), F.lit(2 * ranges)).cast("int"))
+    totals = e.groupBy("r").agg(F.sum("w").alias("words"))
     before = F.coalesce(F.sum("words").over(W.orderBy("r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    totals = F.broadcast(totals.select(F.col("r").alias("r2"), before.alias("start")))  # 2 * ranges + 1 rows at most
-    taken = q.where("taken > 0")
-    inside = W.partitionBy("r").orderBy("finish", "source", "o", "k", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = taken.withColumn("upto", F.sum("taken").over(inside)).join(totals, F.col("r") == F.col("r2"))
-    placed = placed.select(*queue.columns, (F.col("start") + F.col("upto") - F.col("taken")).alias("mix_start"))
-    return placed.unionByName(q.where("taken = 0").select(*queue.columns, F.lit(None).cast("long").alias("mix_start")))
+    reached = totals.select(F.col("r").alias("r2"), before.alias("start")).crossJoin(F.broadcast(budget)).where("start < budget")  # a row a range at most
+    inside = W.partitionBy("r").orderBy("finish", "source", "o", "k", "size", "copy", "piece").rowsBetween(W.unboundedPreceding, W.currentRow)
+    e = e.join(F.broadcast(reached), F.col("r") == F.col("r2")).withColumn("place", F.col("start") + F.sum("w").over(inside) - F.col("w"))
+    e = e.withColumn("got", F.least("w", F.col("budget") - F.col("place"))).where("got > 0")
+    return e.groupBy(F.col("source").alias("s4"), F.col("end").alias("e4")).agg(F.sum("got").alias("taken"), F.min("place").alias("mix_start"))
 
 
-def _queued(docs: DataFrame, seed: str, share: float, cap: float, weights: tuple[int, ...], buckets: int) -> DataFrame:
+def _queued(docs: DataFrame, seed: str, share: float, cap: float, weights: tuple[int, ...], buckets: int | None) -> DataFrame:
     """(k, source, more columns, size) rows queued, cut and placed."""
+    buckets = buckets or max(4096, 8 * partitions(docs.sparkSession))
     more = [c for c in docs.columns if c not in ("k", "source", "size")]
     d = docs.withColumn("o", F.md5(F.concat_ws(":", F.lit(seed), F.col("k").cast("string"))))
     d = d.withColumn("b", (F.conv(F.substring("o", 1, 8), 16, 10).cast("long") * buckets / F.lit(float(1 << 32))).cast("int"))
@@ -75,21 +87,17 @@ def _queued(docs: DataFrame, seed: str, share: float, cap: float, weights: tuple
     d = d.withColumn("run", F.sum("size").over(inside))
     d = d.join(starts, (F.col("b") == F.col("b2")) & F.col("source").eqNullSafe(F.col("s2")))
     end = F.col("base") + F.col("run")
-    goal = F.floor(F.col("target")).cast("long")
-    taken = F.lit(0).cast("long")
-    passes = int(-(-cap // 1))
-    for p in range(passes):
-        first = end - F.col("size") + F.lit(p) * F.col("source_size")
-        taken = taken + F.greatest(F.lit(0), F.least(F.col("size"), goal - first))
     finish = F.when(F.col("target") > 0, end / F.col("target"))
-    queue = d.select("k", "source", *more, "size", "source_size", "target", "o", taken.cast("long").alias("taken"), finish.alias("finish"))
-    budget = F.broadcast(targets.agg(F.floor(F.sum("target")).cast("long").alias("budget")))
-    q = in_global_order(queue, buckets).crossJoin(budget)  # one row
-    cut = F.when(F.col("taken") > 0, F.greatest(F.lit(0).cast("long"), F.least("taken", F.col("budget") - F.col("mix_start")))).otherwise(F.lit(0).cast("long"))
-    return q.withColumn("taken", cut)
+    queue = durable(d.select("k", "source", *more, "size", "source_size", "target", "o", end.alias("end"), finish.alias("finish")))
+    # the targets add up to this, in whole numbers: only sources that stop at the cap leave something over
+    budget = targets.agg(F.floor(F.lit(float(min(share, cap))) * F.sum("source_size")).cast("long").alias("budget"))
+    got = taken_words(queue.drop("finish"), budget, cap, buckets)
+    # of a source's documents with words, each ends at a place of its own
+    same = F.col("source").eqNullSafe(F.col("s4")) & (F.col("end") == F.col("e4")) & (F.col("size") > 0)
+    return queue.join(got, same, "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long"))).drop("s4", "e4", "end")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), buckets: int = 4096) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), buckets: int | None = None) -> DataFrame:
     """Every document with size, source_size, target, taken, virtual finish time and place in the mix.
 
     ``size`` is the number of words (null text: 0); ``taken`` the words that the
@@ -99,8 +107,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     leaves the rows the same. Null ids and sources are values like others; an
     empty table gives no rows. Only the three named columns are read.
 
-    Running sums are two-level: totals of hash buckets, then ranks inside one,
-    so that a source with most of the rows is no single task.
+    Running sums are two-level: totals of hash buckets (``buckets``, by default
+    eight for each shuffle partition and 4096 at least), then sums inside one, so
+    that a source with most of the rows is no single task. All sources' totals
+    meet in one task: they are a row each.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     d = docs.select(F.col(id_col).alias("k"), F.col(source_col).alias("source"), size.alias("size"))
@@ -108,7 +118,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return q.select(F.col("k").alias(id_col), "source", "size", "source_size", "target", "taken", F.col("finish").alias("finish_time"), "mix_start")
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), buckets: int = 4096) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), buckets: int | None = None) -> DataFrame:
     """The rows of ``docs`` that the mix takes words of, with size, target, taken, finish_time and mix_start.
 
     Each row has the words that the mix takes of its own text: rows that share

@@ -31,9 +31,14 @@ q AS (SELECT *, 2.0 * source_size AS top, 2.0 * source_size / w AS ratio FROM s)
 v AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(top) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM q),
 t AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, CAST(coalesce(least(top, w * (SELECT arg_min(level, ratio) FROM v WHERE level < ratio)), top) AS DOUBLE) AS target FROM v),
 c AS (SELECT d.*, t.source_size, t.target, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-f AS (SELECT *, CAST(greatest(0, least(size, floor(target) - (run - size))) + greatest(0, least(size, floor(target) - (run - size) - source_size)) AS BIGINT) AS taken, CASE WHEN target > 0 THEN run / target END AS finish FROM c)
-SELECT doc_id, source, size, source_size, round(target, 6) AS target, taken, round(finish, 9) AS finish_time,
-  CASE WHEN taken > 0 THEN CAST(sum(taken) OVER (PARTITION BY taken > 0 ORDER BY finish, source NULLS FIRST, o, doc_id, size ROWS UNBOUNDED PRECEDING) - taken AS BIGINT) END AS mix_start FROM f"""
+e AS (SELECT c.*, p, p * source_size + run - size AS begin FROM c, (SELECT unnest([0, 1]) AS p) WHERE size > 0 AND target > 0),
+i AS (SELECT *, 0 AS j, size AS w, (begin + size) / target AS f FROM e WHERE NOT (begin < target AND begin + size > target)
+  UNION ALL SELECT *, 1 AS w, (begin + j) / target AS f FROM (SELECT *, unnest(range(1, size + 1)) AS j FROM e WHERE begin < target AND begin + size > target)),
+g AS (SELECT *, sum(w) OVER (ORDER BY f, source NULLS FIRST, o, doc_id, size, p, j ROWS UNBOUNDED PRECEDING) - w AS place FROM i),
+b AS (SELECT *, least(w, (SELECT floor(1.5 * sum(size)) FROM d) - place) AS got FROM g),
+y AS (SELECT source, run, CAST(sum(got) AS BIGINT) AS taken, CAST(min(place) AS BIGINT) AS mix_start FROM b WHERE got > 0 GROUP BY ALL)
+SELECT doc_id, c.source, size, source_size, round(target, 6) AS target, CASE WHEN size > 0 THEN coalesce(y.taken, 0) ELSE 0 END AS taken, round(CASE WHEN target > 0 THEN c.run / target END, 9) AS finish_time, CASE WHEN size > 0 THEN y.mix_start END AS mix_start
+FROM c LEFT JOIN y ON c.source IS NOT DISTINCT FROM y.source AND c.run = y.run"""
 
 _BIN = "(v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0)"
 

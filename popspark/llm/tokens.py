@@ -75,8 +75,8 @@ class Counting:
 
 
 def frequent_pretokens(docs: DataFrame, spec: str, id_col: str, text_col: str, sample_docs: int, table_size: int) -> dict[str, int]:
-    """Token counts of the pre-tokens most frequent in a bounded sample of texts."""
-    order = F.xxhash64(F.col(id_col))
+    """Token counts of the pre-tokens most frequent in a sample of at most ``sample_docs`` different (id, text) pairs."""
+    order = F.xxhash64(F.col(id_col), F.col(text_col))
     ids = [r[0] for r in docs.select(order.alias("o")).orderBy("o").limit(sample_docs).collect()]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +89,9 @@ def frequent_pretokens(docs: DataFrame, spec: str, id_col: str, text_col: str, s
         if total:
             yield pa.RecordBatch.from_pydict({"p": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64())})
 
-    found = docs.where(order.isin(ids)).select(text_col).mapInArrow(count, "p string, n long") if ids else None
+    # rows alike in id and text are one: repeated rows do not make the sample larger
+    sample = docs.where(order.isin(ids)).groupBy(order.alias("o")).agg(F.first(text_col).alias(text_col)) if ids else None
+    found = sample.select(text_col).mapInArrow(count, "p string, n long") if ids else None
     if found is None:
         return {}
     top = [r[0] for r in found.groupBy("p").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "p").limit(table_size).collect()]

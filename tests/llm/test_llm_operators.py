@@ -554,15 +554,40 @@ def test_mixing(docs, rows):
     assert keyed(map(tuple, got)) == keyed(map(tuple, again))
 
 
+def sizes_of(docs):
+    return [len(brute.WORD.findall(r.text or "")) for r in docs.collect()]
+
+
+def test_mix_cut_decides(spark, monkeypatch):
+    """Without the cut every document is taken whole and twice; with it a source comes within a word of its target."""
+    from popspark.llm import mixing
+
+    rows = [(i, " ".join(["w"] * (1 + i * 7 % 40 if i % 50 else 900)), f"s{i % 3}") for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = mix_sources(d).collect()
+    per, goal = defaultdict(int), {r.source: r.target for r in got}
+    for r in got:
+        per[r.source] += r.taken
+    assert all(abs(per[s] - goal[s]) <= 1.5 for s in goal) and sum(per.values()) == int(1.5 * sum(len(t.split()) for _, t, _ in rows))
+    assert any(r.taken == 0 for r in got) and any(0 < r.taken < r.size for r in got) and any(r.taken == 2 * r.size for r in got)
+    plain = mixing.taken_words
+    monkeypatch.setattr(mixing, "taken_words", lambda q, b, cap, n: plain(q, b.withColumn("budget", F.lit(1 << 40)), cap, n))
+    assert all(r.taken == 2 * r.size for r in mix_sources(d).collect())
+
+
 def test_mix_order(docs):
     """Places in the mix are the running sums of the words taken by finish time, up to the budget."""
     got = [r for r in mix_sources(docs, buckets=7).collect() if r.taken]
     upto = 0
-    for r in sorted(got, key=lambda r: r.mix_start):
-        assert r.mix_start == upto
-        upto += r.taken
     assert [r.finish_time for r in sorted(got, key=lambda r: r.mix_start)] == sorted(r.finish_time for r in got)
-    assert upto <= sum({r.source: r.target for r in got}.values())
+    assert [(r.doc_id, r.mix_start, r.taken) for r in sorted(got, key=repr)] == [(r.doc_id, r.mix_start, r.taken) for r in sorted((r for r in mix_sources(docs).collect() if r.taken), key=repr)]
+    entry = lambda r: [(p * r.source_size + r.finish_time * r.target, r) for p in (0, 1)]
+    words = [(e - r.size + j + 1 if e - r.size < r.target < e - 1e-6 else e, r) for x in got for e, r in entry(x) for j in range(r.size)]
+    for r in got:
+        first = min((e - r.size + 1 if e - r.size < r.target < e - 1e-6 else e) / r.target for e, _ in entry(r))
+        assert r.mix_start <= sum(1 for e, o in words if e / o.target <= first + 1e-9)
+        upto += r.taken
+    assert abs(upto - int(1.5 * sum(sizes_of(docs)))) <= 0
 
 
 def test_targets_capped(spark):
@@ -665,3 +690,17 @@ def test_tokens(spark, docs, rows, spec, empty):
     assert keyed(map(tuple, got)) == keyed(want)
     assert keyed(map(tuple, token_counts(d, spec, limit=50, table_size=3, cache_size=5, batch_bytes=100).collect())) == keyed(want)
     assert token_counts(empty, spec).collect() == []
+
+
+def test_token_sample_is_bounded(spark, spec):
+    """Null and repeated ids, and repeated rows, do not make the sample larger."""
+    from popspark.llm import tokens
+
+    rows = [(None, f"word{i} text") for i in range(3000)] + [(7, "same row")] * 3000 + [(i, f"other{i}") for i in range(50)]
+    d = spark.createDataFrame(rows, "k long, t string")
+    assert len(tokens.frequent_pretokens(d, spec, "k", "t", 100, 10_000)) <= 2 * 100
+
+
+def test_lines_replace_clashing_columns(spark):
+    d = spark.createDataFrame([(1, "a b", 41, 42)], "doc_id long, text string, N_Lines int, n_removed int")
+    assert dedup_lines(d).columns == ["doc_id", "text", "n_lines", "n_removed"]

@@ -34,14 +34,14 @@ def test_stages(spark, sf):
             assert kept == {k for k, _ in before} - {k for k, *_ in brute.contained(before, items)}
 
 
-EDGES = "doc_id long, text string, lang string, source string, n_chars long, __0 int, __1 int, k int, d long, score double, target string, n_lines int"
+EDGES = "doc_id long, text string, lang string, source string, n_chars long, __0 int, __1 int, k int, d long, score double, target string, n_lines int, N_Removed int"
 
 
 def edge_rows():
     rng = random.Random(51)
     a, b, c = ("\n".join(" ".join(words(rng, 20)) for _ in range(4)) for _ in range(3))
     rows = [(1, a), (5, a), (5, b), (5, b), (None, c), (None, c), (None, None), (7, ""), (7, None), (8, " \n "), (9, "one"), (9, "one"), (10, " ".join(words(rng, 30_000)))]
-    return [(k, t, None if k is None else "en", None if k == 9 else "s", None if t is None else len(t), 1, 2, 3, 4, 0.9, "x", 5) for k, t in rows]
+    return [(k, t, None if k is None else "en", None if k == 9 else "s", None if t is None else len(t), 1, 2, 3, 4, 0.9, "x", 5, 6) for k, t in rows]
 
 
 @pytest.mark.parametrize("name,stage", pipeline.STAGES)
@@ -64,6 +64,8 @@ def test_stages_at_the_edges(spark, sf, name, stage):
     else:
         assert set(texts) <= {r for r in before if brute.WORD.search(r[1] or "")} and len(texts) == len(set(texts))
         assert all(0 < r.taken <= 2 * len(brute.WORD.findall(r.text)) * texts.count((r.doc_id, r.text)) * 2 for r in got.collect())
+    if name != "mixing":
+        assert {(r.n_lines, r.N_Removed) for r in stage(spark, docs, sf).collect()} == {(5, 6)}
     assert stage(spark, docs.limit(0), sf).collect() == []
 
 
