@@ -34,12 +34,16 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     Null and wordless texts stay as they are. Texts under one id or none are
     told apart, rows alike in id and text are no copies of one another (the
     next stage keeps one). ``n_chars`` follows a text that changes; a null one
-    where it does not stays null. An empty table gives no rows.
+    where it does not stays null. An empty table gives no rows. Other columns
+    pass through, also those called n_lines or n_removed in any case.
     """
-    d = dedup_lines(docs)
+    clash = [c for c in docs.columns if c.lower() in ("n_lines", "n_removed")]
+    aside = dict(zip(clash, free(docs.columns, len(clash))))
+    d = dedup_lines(docs.withColumnsRenamed(aside))
     d = d.where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
     length = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
-    return d.withColumn("n_chars", length).select(*docs.columns)
+    d = d.withColumn("n_chars", length).drop("n_lines", "n_removed")
+    return d.withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
