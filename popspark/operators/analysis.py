@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Window as W, DataFrame, functions as F
 
 from ..functions.attributes import step_numbers
 from .condense import shares
@@ -57,3 +57,33 @@ def zone_counts(df: DataFrame, zones: DataFrame, zone: str) -> DataFrame:
     """Records of every zone of a list, 0 where there are none."""
     n = df.groupBy(zone).agg(F.count(F.lit(1)).alias("n"))
     return zones.select(zone).distinct().join(n, zone, "left").select(zone, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def saa_trace(steps: DataFrame, kept: DataFrame, census: DataFrame, attributes: Sequence[str], zone: str = "zone_id", run: str = "run", step: str = "step") -> DataFrame:
+    """(run, step, att, state, rmse): every step's population against the census, with what earlier runs kept.
+
+    ``steps`` and ``kept`` are the sinks' tables, partitioned by run and step and
+    by run. Both are condensed to marginal counts first; what a run keeps counts
+    for every later one, as a running sum over its cell's runs. Over the zones
+    of the census a missing cell is 0; states that it lacks count as well.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(a).alias("att"), F.col(a).cast("string").alias("state")) for a in attributes])).alias("x")
+    counts = lambda df, *keys: df.select(*keys, zone, cells).groupBy(*keys, zone, "x.att", "x.state").agg(F.count(F.lit(1)).alias("n"))
+    at = [zone, "att", "state"]
+    now = counts(steps, run, step)
+    # (run, step) pairs are few; a cell that any run keeps has a row for each run from there on
+    shown = steps.select(run, step).distinct()
+    upto = W.partitionBy(*at).orderBy(run).rowsBetween(W.unboundedPreceding, -1)
+    held = counts(kept, run)
+    grid = held.select(*at).distinct().join(F.broadcast(shown.select(run).distinct().withColumn("__one", F.lit(1))), F.lit(True)).drop("__one").join(held, [run, *at], "left")
+    before = grid.withColumn("n", F.coalesce(F.sum("n").over(upto), F.lit(0))).where("n > 0").join(F.broadcast(shown), run)
+    goal = census.select(*at, (-F.col("value")).alias("n")).join(F.broadcast(shown.withColumn("__one", F.lit(1))), F.lit(True)).drop("__one")
+    every = now.unionByName(before.select(*now.columns)).unionByName(goal.select(*now.columns))
+    diff = every.groupBy(run, step, *at).agg(F.sum("n").alias("d"))
+    zones = F.broadcast(census.select(zone).distinct().agg(F.count(F.lit(1)).alias("__z")))
+    return diff.groupBy(run, step, "att", "state").agg(F.sum(F.col("d") * F.col("d")).alias("__s")).join(zones).select(run, step, "att", "state", F.sqrt(F.col("__s") / F.col("__z")).alias("rmse"))
+
+
+def trace_means(trace: DataFrame, run: str = "run", step: str = "step") -> DataFrame:
+    """(run, step, mean): the mean RMSE over all states at each step."""
+    return trace.groupBy(run, step).agg(F.avg("rmse").alias("mean"))

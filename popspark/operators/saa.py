@@ -140,8 +140,8 @@ def adjust_attribute(att: str, syn: DataFrame, marg: DataFrame, pool: DataFrame,
     return expand(got, pool, attributes, [*prior, att], zone, keep_zero_cells, seed)
 
 
-def trimmed(syn: DataFrame, marg: DataFrame, attributes: Sequence[str], zone: str = "zone_id", seed: object = 0) -> DataFrame:
-    """Condensed records (zone, attributes, count) with no cell above the census.
+def trimmed(syn: DataFrame, marg: DataFrame, attributes: Sequence[str], zone: str = "zone_id", seed: object = 0, exclude_atts: Sequence[str] = ()) -> DataFrame:
+    """Condensed records (zone, attributes, count) with no cell above the census, but for those of ``exclude_atts``.
 
     Per zone, records that are in over-filled states of many attributes at once
     go first: subsets of attributes from all to one, in each the combinations of
@@ -150,7 +150,8 @@ def trimmed(syn: DataFrame, marg: DataFrame, attributes: Sequence[str], zone: st
     """
     atts = list(attributes)
     c = condense(syn, [zone, *atts])
-    over = differences(marginals(syn, zone, atts), marg.where(F.col("att").isin(atts)), (zone, "att", "state")).where("diff > 0")
+    checked = [a for a in atts if a not in exclude_atts]
+    over = differences(marginals(syn, zone, checked), marg.where(F.col("att").isin(checked)), (zone, "att", "state")).where("diff > 0")
     kinds = dict(c.dtypes)
     schema = ", ".join(f"`{x}` {kinds[x]}" for x in [zone, *atts, "count"])
 
@@ -197,7 +198,7 @@ def check_fit(syn: DataFrame, marg: DataFrame, attributes: Sequence[str], extra_
         numbered = syn.withColumn("__k", F.row_number().over(W.partitionBy(*order).orderBy(*order)))
         syn = cut(sample_exact(numbered, 1 - extra_removed, [*order, "__k"], seed).drop("__k"))
     marg = marg.where(~F.col("att").isin(list(exclude_atts)))
-    kept = cut(inflate(trimmed(syn, marg, attributes, zone, seed)))
+    kept = cut(inflate(trimmed(syn, marg, attributes, zone, seed, exclude_atts)))
     checked = [a for a in attributes if a not in exclude_atts]
     left = differences(marg, marginals(kept, zone, checked), (zone, "att", "state")).withColumnRenamed("diff", "value")
     return kept, left

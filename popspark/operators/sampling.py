@@ -10,9 +10,11 @@ of its bucket in an equi-join.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..durable import cut
 from .condense import inflate
 from .ordered import numbered, running_total
 
@@ -49,11 +51,13 @@ def sample_count(df: DataFrame, within: Sequence[str], wanted: Column, keys: Seq
     return df.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= wanted).drop("__n")
 
 
-def running_weights(pool: DataFrame, strata: Sequence[str], weight: str, order: Sequence[str]) -> tuple[DataFrame, DataFrame | tuple[int, float]]:
+def running_weights(pool: DataFrame, strata: Sequence[str], weight: str, order: Sequence[str], spread: bool = False) -> tuple[DataFrame, DataFrame | tuple[int, float]]:
     """``pool`` with the interval [lo, hi) of its running weight in the stratum; number of rows and total of each stratum.
 
     Without strata the running sum goes over range partitions, and the number
-    and the total are plain ones.
+    and the total are plain ones. With ``spread`` it does so with strata as well:
+    a stratum with most of the pool's rows lies in many partitions, whose sums
+    are added up by stratum.
     """
     strata = list(strata)
     w = F.col(weight).cast("double")
@@ -62,19 +66,31 @@ def running_weights(pool: DataFrame, strata: Sequence[str], weight: str, order:
         cdf, total = running_total(pool, order, w, "hi")
         cdf = cdf.withColumn("lo", F.col("hi") - w)
         return cdf, (cdf.count(), total)
+    if spread:
+        n = max(1, int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        parts = cut(pool.repartitionByRange(n, *strata, *order).withColumn("__part", F.spark_partition_id()))
+        totals = parts.groupBy(*strata, "__part").agg(F.sum(w).alias("__s"))  # a row for each partition and stratum in it
+        base = F.coalesce(F.sum("__s").over(W.partitionBy(*strata).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+        bases = totals.select(*[F.col(c).alias(f"__b_{c}") for c in strata], F.col("__part").alias("__p"), base.alias("__base"))
+        inside = W.partitionBy("__part", *strata).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__b_{c}")) for c in strata], F.col("__part") == F.col("__p"))
+        cdf = parts.withColumn("__in", F.sum(w).over(inside)).join(bases, same).withColumn("hi", F.col("__base") + F.col("__in")).withColumn("lo", F.col("hi") - w)
+        cdf = cdf.drop("__in", "__base", "__part", "__p", *[f"__b_{c}" for c in strata])
+        return cdf, parts.groupBy(*strata).agg(F.count(F.lit(1)).alias("__rows"), F.sum(w).alias("__total"))
     up = W.partitionBy(*strata).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     cdf = pool.withColumn("hi", F.sum(w).over(up)).withColumn("lo", F.col("hi") - w)
     return cdf, pool.groupBy(*strata).agg(F.count(F.lit(1)).alias("__rows"), F.sum(w).alias("__total"))
 
 
-def weighted_draws(draws: DataFrame, pool: DataFrame, strata: Sequence[str], weight: str, order: Sequence[str], keys: Sequence[str], seed: object = 0) -> DataFrame:
+def weighted_draws(draws: DataFrame, pool: DataFrame, strata: Sequence[str], weight: str, order: Sequence[str], keys: Sequence[str], seed: object = 0, spread: bool = False) -> DataFrame:
     """One pool row for each row of ``draws``, by weight within the stratum, with replacement.
 
     Draws of a stratum that the pool lacks give no row; without ``strata`` the
-    pool is one. ``keys`` identify a draw.
+    pool is one. ``keys`` identify a draw. ``spread`` is for pools of which one
+    stratum may have most of the rows.
     """
     strata = list(strata)
-    cdf, sums = running_weights(pool, strata, weight, order)
+    cdf, sums = running_weights(pool, strata, weight, order, spread)
     d = draws.withColumn("__u", uniform(seed, *keys))
     if strata:
         d, cdf = d.join(sums, strata), cdf.join(sums, strata)

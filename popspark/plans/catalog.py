@@ -207,17 +207,17 @@ TYPE = """CASE WHEN fam + n_Others = 0 THEN 'Single Person' WHEN fam = 0 THEN 'G
 WHEN n_Spouse > 0 AND n_Child > 0 THEN 'Couple with Child' WHEN n_Spouse > 0 THEN 'Couple Only' ELSE 'Single Parent' END"""
 
 
-@query(WITH(PP, PM) + f"SELECT hhid, {TYPE} AS hh_type FROM (SELECT *, n_Parent + n_Grandparent + n_Grandchild + n_Sibling AS wide, n_Spouse + n_Child + n_Parent + n_Grandparent + n_Grandchild + n_Sibling AS fam FROM (SELECT hhid, {COUNTS} FROM pm WHERE income < 60000 OR relationship = 'Main' GROUP BY hhid))")
+@query(WITH(PP, PM) + f"SELECT hhid, {TYPE} AS hh_type FROM (SELECT *, n_Parent + n_Grandparent + n_Grandchild + n_Sibling AS wide, n_Spouse + n_Child + n_Parent + n_Grandparent + n_Grandchild + n_Sibling AS fam FROM (SELECT hhid, {COUNTS} FROM pm GROUP BY hhid))")
 def hh_type(spark, d):
-    p = R.first_is_main(persons(spark, d)).where("income < 60000 OR relationship = 'Main'")
+    p = R.first_is_main(persons(spark, d))
     n = R.relation_counts(p)
     return n.select("hhid", A.household_type({r: F.col(f"n_{r}") for r in R.RELATIONS}).alias("hh_type"))
 
 
 @query(WITH(PP, PM) + """SELECT hhid, CASE WHEN len(s) = 0 THEN 'Single Person' WHEN s = ['Others'] THEN 'Group Household' WHEN s = ['Child', 'Spouse'] THEN 'Couple with Child' WHEN s = ['Spouse'] THEN 'Couple Only'
-WHEN s = ['Child'] THEN 'Single Parent' ELSE 'Complicated Family' END AS hh_type FROM (SELECT hhid, coalesce(list_sort(list(DISTINCT relationship) FILTER (relationship <> 'Main')), []) AS s FROM pm WHERE income < 60000 OR relationship = 'Main' GROUP BY hhid)""")
+WHEN s = ['Child'] THEN 'Single Parent' ELSE 'Complicated Family' END AS hh_type FROM (SELECT hhid, coalesce(list_sort(list(DISTINCT relationship) FILTER (relationship <> 'Main')), []) AS s FROM pm GROUP BY hhid)""")
 def hh_type_set(spark, d):
-    p = R.first_is_main(persons(spark, d)).where("income < 60000 OR relationship = 'Main'")
+    p = R.first_is_main(persons(spark, d))
     return p.groupBy("hhid").agg(A.household_type_of_set(F.collect_set("relationship")).alias("hh_type"))
 
 

@@ -93,9 +93,9 @@ def shuffled_head(spark, d):
 SHARES = "(SELECT att, state, sum(value) AS n, sum(sum(value)) OVER (PARTITION BY att) AS m FROM {} GROUP BY att, state)"
 
 
-@query(BOTH + f"SELECT a.att, round(-sum(a.n / a.m * log2(b.n / b.m)), 6) AS bits FROM {SHARES.format('marg')} a JOIN {SHARES.format('smarg')} b USING (att, state) GROUP BY a.att ORDER BY bits LIMIT 2")
+@query(BOTH + f"SELECT a.att, round(-sum(a.n / a.m * log2(b.n / b.m)), 6) AS bits FROM {SHARES.format('smarg')} a JOIN {SHARES.format('marg')} b USING (att, state) GROUP BY a.att ORDER BY bits LIMIT 2")
 def best_attributes(spark, d):
-    return evolve.best_attributes(households(spark, d), sampled_hh(spark, d), HH_ATTS, 2).withColumn("bits", r6("bits"))
+    return evolve.best_attributes(sampled_hh(spark, d), households(spark, d), HH_ATTS, 2).withColumn("bits", r6("bits"))
 
 
 @query(WITH(HH, MARG) + "SELECT att, CAST(row_number() OVER (ORDER BY n DESC, att) AS INTEGER) AS place FROM (SELECT att, count(DISTINCT state) AS n FROM marg GROUP BY att)")
@@ -162,12 +162,19 @@ def feasible_cells(spark, d):
     return cells.where("count > 0").select("zone_id", *HH_ATTS, "count")
 
 
-@query(WITH(HH, SYN, MARG, SMARG) + "SELECT zone_id, 0 AS over FROM (SELECT DISTINCT zone_id FROM smarg)")
+TWICE = "twin AS (SELECT zone_id, dwelltype, hhinc, totalvehs, count(*) + count(*) FILTER (dwelltype = 'BUILDING') AS n FROM hh GROUP BY ALL), spare AS (SELECT zone_id, count(*) FILTER (dwelltype = 'BUILDING') AS extra FROM hh GROUP BY zone_id)"
+
+
+@query(WITH(HH, TWICE) + "SELECT zone_id, 0 AS over, CAST(extra AS BIGINT) AS removed FROM spare")
 def trimmed_surplus(spark, d):
-    marg = C.marginals(sampled_hh(spark, d), "zone_id", HH_ATTS)
-    kept = C.marginals(C.inflate(saa.trimmed(households(spark, d), marg, HH_ATTS)), "zone_id", HH_ATTS)
-    over = C.differences(kept, marg, ("zone_id", "att", "state")).groupBy("zone_id").agg(F.count_if(F.col("diff") > 0).cast("int").alias("over"))
-    return marg.select("zone_id").distinct().join(over, "zone_id", "left").select("zone_id", F.coalesce("over", F.lit(0)).alias("over"))
+    """A population in which one type of dwelling occurs twice loses just these, zone by zone, and is nowhere over the census."""
+    h, m = households(spark, d), census_hh(spark, d)
+    syn = h.unionByName(h.where("dwelltype = 'BUILDING'")).select("zone_id", *HH_ATTS)
+    kept = C.inflate(saa.trimmed(syn, m, HH_ATTS)).select("zone_id", *HH_ATTS)
+    over = C.differences(C.marginals(kept, "zone_id", HH_ATTS), m, ("zone_id", "att", "state")).groupBy("zone_id").agg(F.count_if(F.col("diff") > 0).cast("int").alias("over"))
+    n = lambda df, name: df.groupBy("zone_id").agg(F.count(F.lit(1)).alias(name))
+    lost = n(syn, "__a").join(n(kept, "__b"), "zone_id", "left").select("zone_id", (F.col("__a") - F.coalesce("__b", F.lit(0))).alias("removed"))
+    return lost.join(over, "zone_id", "left").select("zone_id", F.coalesce("over", F.lit(0)).alias("over"), "removed")
 
 
 @query(WITH(HH, SYN, MARG, SMARG) + "SELECT zone_id, att, state, coalesce(m.value, 0) - coalesce(s.value, 0) AS value FROM marg m FULL JOIN smarg s USING (zone_id, att, state)")
@@ -176,12 +183,14 @@ def marginals_left(spark, d):
     return left.select("zone_id", "att", "state", "value")
 
 
-@query(WITH(HH, MARG) + ", z AS (SELECT DISTINCT zone_id FROM marg), s AS (SELECT DISTINCT state FROM marg WHERE att = 'totalvehs') SELECT zone_id, state, round(greatest(coalesce(value, 0), 0.01), 3) AS value FROM z CROSS JOIN s LEFT JOIN (SELECT * FROM marg WHERE att = 'totalvehs') USING (zone_id, state)")
+@query(WITH(HH, MARG) + ", z AS (SELECT DISTINCT zone_id FROM marg), s AS (SELECT DISTINCT att, state FROM marg WHERE att <> 'hhinc') SELECT zone_id, att, state, round(greatest(coalesce(value, 0), 0.01), 1) AS value FROM z CROSS JOIN s LEFT JOIN marg USING (zone_id, att, state)")
 def ipf_joint_marginals(spark, d):
+    """Both marginals hold after the fit, the one that is swept first as well."""
     h = households(spark, d)
     states = {a: bayes.state_names(h, [a])[a] for a in ("dwelltype", "totalvehs")}
-    w = ipf.fit_joint(spark, states, C.condense(sampled_hh(spark, d), list(states)), C.marginals(h, "zone_id", list(states)), max_sweeps=5)
-    return w.groupBy("zone_id", F.col("totalvehs").alias("state")).agg(F.round(F.sum("weight"), 3).alias("value"))
+    w = ipf.fit_joint(spark, states, C.condense(sampled_hh(spark, d), list(states)), C.marginals(h, "zone_id", list(states)), max_sweeps=60, tolerance=1e-4)
+    cells = F.explode(F.array(*[F.struct(F.lit(a).alias("att"), F.col(a).alias("state")) for a in states])).alias("x")
+    return w.select("zone_id", "weight", cells).groupBy("zone_id", "x.att", "x.state").agg(F.round(F.sum("weight"), 1).alias("value"))
 
 
 @query(WITH(HH, PP, PM) + "SELECT hhid, 1 AS mains FROM hh WHERE (dwelltype, hhsize) IN (SELECT dwelltype, hhsize FROM hh JOIN pm USING (hhid))")
@@ -273,12 +282,12 @@ def csp_retries_mains(spark, d):
     return people.groupBy("hhid").agg(F.count_if(F.col("relationship") == "Main").cast("int").alias("mains")).where("mains > 0")
 
 
-@query(WITH(HH, SYN) + "SELECT dwelltype, count(*) AS n FROM syn GROUP BY dwelltype")
+@query(WITH(HH, SYN) + "SELECT dwelltype, 3 * count(*) FILTER (totalvehs = '0') + count(*) AS n FROM syn GROUP BY dwelltype")
 def ipu_own_sample(spark, d):
-    """Weights of a sample fitted to the sample's own counts give these back."""
+    """Weights of a sample fitted to counts that it does not have, three more for each household without vehicles."""
     s = sampled_hh(spark, d).withColumn("zone_id", F.lit("z"))
     p = persons(spark, d).join(s.select("hhid"), "hhid", "left_semi")
     inc = ipu.incidence(s, p, "hhid", ["dwelltype"], ["sex"]).where("level = 'household'")
-    targets = C.marginals(s, "zone_id", ["dwelltype"]).withColumn("level", F.lit("household"))
+    targets = s.groupBy("zone_id", F.lit("dwelltype").alias("att"), F.col("dwelltype").alias("state")).agg((3 * F.count_if(F.col("totalvehs") == "0") + F.count(F.lit(1))).alias("value")).withColumn("level", F.lit("household"))
     w = ipu.run(inc, targets, iterations=20).select("zone_id", "hhid", "weight")
     return w.join(s.select("hhid", "dwelltype"), "hhid").groupBy("dwelltype").agg(F.round(F.sum("weight")).cast("long").alias("n"))

@@ -105,8 +105,23 @@ def resolved(base: str, path: str) -> str:
 
 
 def artefact_folder(spark: SparkSession, name: str) -> str:
-    """A folder of that name in the session's warehouse, which driver and executors share."""
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/artefacts/{name}"
+    """A folder of that name which driver and executors share: below the checkpoint folder, else, on one machine, the warehouse."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+        shared = spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/artefacts/{name}"
+
+
+def write_steps(df: DataFrame, path: str, run: str = "run", step: str = "step") -> None:
+    """Adjusted populations of many runs and steps, a folder each."""
+    df.write.mode("overwrite").partitionBy(run, step).parquet(path)
+
+
+def write_kept(df: DataFrame, path: str, run: str = "run") -> None:
+    """What each run keeps, a folder a run."""
+    df.write.mode("overwrite").partitionBy(run).parquet(path)
 
 
 def write_states(spark: SparkSession, states: dict[str, list[str]], path: str) -> None:
