@@ -87,3 +87,8 @@ def saa_trace(steps: DataFrame, kept: DataFrame, census: DataFrame, attributes:
 def trace_means(trace: DataFrame, run: str = "run", step: str = "step") -> DataFrame:
     """(run, step, mean): the mean RMSE over all states at each step."""
     return trace.groupBy(run, step).agg(F.avg("rmse").alias("mean"))
+
+
+def error_columns(rmse: DataFrame, runs: Sequence[str], run: str = "run") -> DataFrame:
+    """(att, state, a column for each run): the runs' errors side by side on the attribute's states, null where a run has none."""
+    return rmse.groupBy("att", "state").pivot(run, list(runs)).agg(F.first("rmse"))

@@ -119,6 +119,11 @@ def population_scores(pops: DataFrame, census: DataFrame, attributes: Sequence[s
     return j.groupBy(pop).agg(F.sqrt(F.avg(d * d)).alias("score"))
 
 
+def best_solutions(scores: DataFrame, n: int, ties: Sequence[str] = ("pop",)) -> DataFrame:
+    """The ``n`` rows of least score, ties by name."""
+    return scores.orderBy("score", *ties).limit(n)
+
+
 def chosen_parents(scores: DataFrame, pairs: int, seed: object = 0, pop: str = "pop") -> DataFrame:
     """(pair, a, b): two draws for each pair among the populations, by the softmax of minus their scores."""
     low = scores.agg(F.min("score").alias("__low"))

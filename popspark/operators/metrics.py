@@ -121,13 +121,38 @@ def cross_entropy(actual: DataFrame, predicted: DataFrame, state: str, weight: s
 
 
 def run_metrics(census: DataFrame, runs: DataFrame, zone: str, attributes: Sequence[str], run: str = "run") -> DataFrame:
-    """(run, att, state, rmse) of all runs at once, from one table with a run column."""
+    """(run, att, state, rmse) of all runs at once, from one table with a run column.
+
+    A run has every census cell: its own differences there, and the census' own
+    squares where it has none; the census is added up once, whatever the runs are.
+    """
     got = runs.select(run, zone, F.explode(F.array(*[F.struct(F.lit(a).alias("att"), F.col(a).cast("string").alias("state")) for a in attributes])).alias("x")).groupBy(run, zone, "x.att", "x.state").agg(F.count(F.lit(1)).alias("value"))
-    base = census.select(zone, "att", "state", F.col("value").alias("__c")).withColumn(run, F.explode(F.array([F.lit(r[0]) for r in runs.select(run).distinct().orderBy(run).collect()])))
+    names = runs.select(F.col(run).alias("__run")).distinct().groupBy().agg(F.collect_set("__run").alias("__runs"))  # one row: the runs' names
+    base = census.select(zone, "att", "state", F.col("value").alias("__c")).join(F.broadcast(names)).withColumn(run, F.explode("__runs")).drop("__runs")
     j = base.join(got, [run, zone, "att", "state"], "full")
     d = F.coalesce("__c", F.lit(0)) - F.coalesce("value", F.lit(0))
-    n = j.select(zone).distinct().count()
-    return j.groupBy(run, "att", "state").agg(F.sqrt(F.sum(d * d) / n).alias("rmse"))
+    n = j.select(zone).distinct().agg(F.count(F.lit(1)).alias("__n"))
+    return j.groupBy(run, "att", "state").agg(F.sum(d * d).alias("__s")).join(F.broadcast(n)).select(run, "att", "state", F.sqrt(F.col("__s") / F.col("__n")).alias("rmse"))
+
+
+def run_summary(census: DataFrame, pool: DataFrame, runs: DataFrame, zone: str, attributes: Sequence[str], rare: tuple[str, str], run: str = "run") -> DataFrame:
+    """(run, rmse, jsd, missing_percent, rare): every run's mean error and distance, the pool's combinations that it lacks, its records of a rare state.
+
+    The distance is that of an attribute's shares, over all zones, from the
+    census', averaged over the attributes.
+    """
+    atts = list(attributes)
+    error = run_metrics(census, runs, zone, atts, run).groupBy(run).agg(F.avg("rmse").alias("rmse"))
+    long = runs.select(run, F.explode(F.array(*[F.struct(F.lit(a).alias("att"), F.col(a).cast("string").alias("state")) for a in atts])).alias("x")).groupBy(run, "x.att", "x.state").agg(F.count(F.lit(1)).alias("value"))
+    names = runs.select(F.col(run).alias("__run")).distinct().groupBy().agg(F.collect_set("__run").alias("__runs"))
+    want = census.groupBy("att", "state").agg(F.sum("value").alias("value")).join(F.broadcast(names)).withColumn(run, F.explode("__runs")).drop("__runs")
+    distance = jensen_shannon(want, long, "state", "value", [run, "att"]).groupBy(run).agg(F.avg("jsd").alias("jsd"))
+    combos = pool.select(*atts).distinct()
+    has = runs.select(run, *atts).distinct().join(combos, atts, "left_semi").groupBy(run).agg(F.count(F.lit(1)).alias("__has"))
+    every = F.broadcast(combos.agg(F.count(F.lit(1)).alias("__all")))
+    missing = runs.select(run).distinct().join(has, run, "left").join(every).select(run, (100.0 * (F.col("__all") - F.coalesce("__has", F.lit(0))) / F.col("__all")).alias("missing_percent"))
+    seldom = runs.groupBy(run).agg(F.count_if(F.col(rare[0]) == rare[1]).alias("rare"))
+    return error.join(distance, run).join(missing, run).join(seldom, run)
 
 
 def population_rmse(full: DataFrame, sample: DataFrame, zone: str, attributes: Sequence[str], scale: float = 1.0) -> DataFrame:

@@ -40,6 +40,13 @@ def sample_exact(df: DataFrame, fraction: float, keys: Sequence[str], seed: obje
     return d.where(F.col("__n") <= int(n * fraction + 0.5)).drop("__o", "__n")
 
 
+def split_exact(df: DataFrame, fraction: float, keys: Sequence[str], seed: object = 0) -> tuple[DataFrame, DataFrame]:
+    """(round(n * fraction) rows at random, the rest): every row is on one side."""
+    d, n = numbered(df.withColumn("__o", keyed(seed, *keys)), ["__o", *keys], "__n")
+    some = F.col("__n") <= int(n * fraction + 0.5)
+    return d.where(some).drop("__o", "__n"), d.where(~some).drop("__o", "__n")
+
+
 def bernoulli(df: DataFrame, rate: float, keys: Sequence[str], seed: object = 0) -> DataFrame:
     """Rows that each stay with probability ``rate``, by their own number: no count of the table."""
     return df.where(uniform(seed, *keys) < rate)

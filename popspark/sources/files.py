@@ -58,7 +58,7 @@ def read_export(spark: SparkSession, path: str, columns: Sequence[str], skip_hea
 
     Files are read whole, one file a row: an export is one table of a zone level.
     """
-    files = spark.read.text(path, wholetext=True).select(F.split("value", r"\r?\n").alias("l"))
+    files = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n").alias("l"))
     n = F.size("l")
     lines = files.select(F.explode(F.slice("l", F.lit(skip_head + 1), F.greatest(n - skip_head - skip_foot, F.lit(0)))).alias("line")).where(F.length(F.trim("line")) > 0)
     got = lines.select(F.from_csv("line", ", ".join(f"`{c}` string" for c in columns)).alias("r")).select("r.*").drop("Total")

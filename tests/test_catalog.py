@@ -5,7 +5,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from popspark.plans import catalog, fitting, more, tracing  # noqa: F401
+from popspark.plans import catalog, fitting, more, roundtrips, tracing  # noqa: F401
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
