@@ -230,3 +230,18 @@ def number_persons(persons: DataFrame, household: str = "hhid") -> DataFrame:
     """A person number within each household, by relation and attributes."""
     order = [F.array_position(F.array(*[F.lit(r) for r in RELATIONS]), F.col("relationship")), *[c for c in persons.columns if c not in (household, "relationship")]]
     return persons.withColumn("person", F.row_number().over(W.partitionBy(household).orderBy(*order)))
+
+
+def typed_households(pool: DataFrame, n: int, order: Sequence[str], size: str = "hhsize", weight: str = "count", seed: object = 0) -> DataFrame:
+    """``n`` households with a type, whose types have the shares they have among the pool's possible households.
+
+    The pool has numbers of relations (``n_Spouse``, ...) and a size: households
+    whose members are not as many as the size says go first, then those whose
+    type their size does not allow; the rest is drawn by weight within each type.
+    """
+    from ..functions.attributes import household_type, size_matches, type_allows_size
+    from .sampling import balanced_types
+
+    members = sum((F.col(f"n_{r}") for r in RELATIONS), F.lit(0))
+    real = pool.where(size_matches(F.col(size), members)).withColumn("hh_type", household_type({r: F.col(f"n_{r}") for r in RELATIONS}))
+    return balanced_types(real.where(type_allows_size(F.col("hh_type"), F.col(size))), "hh_type", n, weight, order, seed)

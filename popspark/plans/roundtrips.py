@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import analysis, bayes, condense as C, csp, evolve, joins, metrics, relations as R, saa, sampling as S
 from ..sources import files
-from .catalog import BOTH, HH, HH_ATTS, JSD, MARG, RUNS, WITH, census_hh, households, persons, query, r6, sampled_hh, t
+from .catalog import BOTH, COUNTS, HH, HH_ATTS, JSD, MARG, PM, PP, RUNS, TYPE, WITH, census_hh, households, persons, query, r6, sampled_hh, t
 from .more import full_pool
 from .tracing import POPS
 
@@ -170,6 +170,22 @@ def csp_complete(spark, d):
     return n.join(h.select("hhid", "hhsize"), "hhid").select("hhid", F.when(F.col("hhsize") == "8+", F.least("n", F.lit(8))).otherwise(F.col("n")).alias("n"))
 
 
+REAL = f"""n AS (SELECT hhid, {COUNTS} FROM pm GROUP BY hhid), f AS (SELECT *, n_Parent + n_Grandparent + n_Grandchild + n_Sibling AS wide, n_Spouse + n_Child + n_Parent + n_Grandparent + n_Grandchild + n_Sibling AS fam, n_Main + n_Spouse + n_Child + n_Parent + n_Grandparent + n_Grandchild + n_Sibling + n_Others AS members FROM n JOIN hh USING (hhid)),
+y AS (SELECT hhid, {TYPE} AS hh_type, hhsize FROM f WHERE CASE WHEN hhsize = '8+' THEN members >= 8 ELSE members = CAST(hhsize AS INTEGER) END),
+k AS (SELECT hh_type, count(*) AS c FROM y WHERE CASE hh_type WHEN 'Single Person' THEN hhsize = '1' WHEN 'Couple with Child' THEN hhsize >= '3' ELSE hhsize >= '2' END GROUP BY hh_type),
+v AS (SELECT hh_type, c / (SELECT sum(c) FROM k) * 300 AS v FROM k)"""
+
+
+@query(WITH(HH, PP, PM, REAL) + "SELECT hh_type, CAST(floor(v) + CASE WHEN row_number() OVER (ORDER BY round(v - floor(v), 9) DESC, hh_type) <= round(sum(v) OVER ()) - sum(floor(v)) OVER () THEN 1 ELSE 0 END AS BIGINT) AS n FROM v QUALIFY n > 0")
+def typed_households(spark, d):
+    """300 households of the surveyed kinds whose sizes fit their members and types, by type."""
+    pools = csp.pool_pairs(households(spark, d), R.first_is_main(persons(spark, d)), ["dwelltype", "hhsize"], ["sex"])
+    numbers = [f"n_{r}" for r in R.RELATIONS]
+    pool = pools["HH-Main"].groupBy("HH_dwelltype", "HH_hhsize", *numbers).agg(F.sum("count").alias("count"))
+    got = csp.typed_households(pool, 300, ["HH_dwelltype", "HH_hhsize", *numbers], "HH_hhsize")
+    return got.groupBy("hh_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT CAST(unnest(range(1, 401)) AS BIGINT) AS n, true AS met")
 def bn_rejection(spark, d):
     """400 samples of a network over the households, all of which meet the condition."""
