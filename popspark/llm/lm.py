@@ -25,8 +25,10 @@ Counts of words, pairs and triples are of the whole training corpus and grow
 with it: texts are dealt to groups, each group asks for the counts of its
 distinct keys, in sorted and packed arrays, and gets them back as arrays, so
 that no row is made per token. A training text is scored without its own
-counts, as if it were new. Groups and learners hang on the data alone, so
-scores do not change with the partitions.
+counts, but by a spelling model and weights that have learned from it too: a
+text of words of its own costs about half as much in training as held out.
+Groups and learners hang on the data alone, so scores do not change with the
+partitions.
 """
 
 from __future__ import annotations
@@ -570,7 +572,8 @@ def score_texts(docs: DataFrame, train_rows, id_col: str = "doc_id", text_col: s
 
     ``train_rows`` is a column over ``docs``: where it is true the model and the
     counts learn from the text; null is false. A training text's score leaves
-    out its own counts; its base score and ``n_known`` do not. A null or empty
+    out its own counts, not what the spelling model and the weights of its group
+    have learned from it; its base score and ``n_known`` leave out nothing. A null or empty
     text is its end token alone. With no training row N and V are 0, base_score
     is 0 and score is what untrained spelling gives. Repeated rows and ids give
     a row each and count each; an empty table gives no rows. Only the named
