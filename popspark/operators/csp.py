@@ -9,6 +9,7 @@ the next edge or is given back as impossible.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -54,24 +55,25 @@ def candidates(evidence: DataFrame, pairs: DataFrame, keys: Sequence[str], sourc
     return c, evidence.select(*keys).distinct().join(c.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def household_relations(households: DataFrame, pairs: DataFrame, household: str, household_atts: Sequence[str], size: str, seed: object = 0) -> DataFrame:
+def household_relations(households: DataFrame, pairs: DataFrame, household: str, household_atts: Sequence[str], size: str, seed: object = 0, by: Sequence[str] = ()) -> DataFrame:
     """Households with numbers of relations that add up to their size, drawn from the pairs of their attributes.
 
     Only fitting numbers are candidates, which is the distribution of drawing
     until they fit. A household whose attributes allow none takes them from
-    those of its size; without any it has one Main and else Others.
+    those of its size; without any it has one Main and else Others. Columns in
+    ``by`` must match as well, always.
     """
     from ..functions.attributes import size_matches
 
     numbers = [f"n_{r}" for r in RELATIONS]
-    cols = [f"HH_{a}" for a in household_atts]
+    cols = [*by, *[f"HH_{a}" for a in household_atts]]
     total = sum((F.col(n) for n in numbers), F.lit(0))
     ok = pairs.where(size_matches(F.col(f"HH_{size}"), total)).groupBy(*cols, *numbers).agg(F.sum("count").alias("count"))
     hh = households.withColumnsRenamed({a: f"HH_{a}" for a in household_atts})
     first = weighted_draws(hh, ok, cols, "count", numbers, [household], seed)
     rest = hh.join(first.select(household), household, "left_anti")
-    by_size = ok.groupBy(f"HH_{size}", *numbers).agg(F.sum("count").alias("count"))
-    second = weighted_draws(rest, by_size, [f"HH_{size}"], "count", numbers, [household], seed)
+    by_size = ok.groupBy(*by, f"HH_{size}", *numbers).agg(F.sum("count").alias("count"))
+    second = weighted_draws(rest, by_size, [*by, f"HH_{size}"], "count", numbers, [household], seed)
     bare = rest.join(second.select(household), household, "left_anti")
     n = F.coalesce(F.regexp_replace(f"HH_{size}", r"\+", "").try_cast("int"), F.lit(1))
     plain = bare.select("*", *[(F.lit(1) if r == "Main" else n - 1 if r == "Others" else F.lit(0)).cast("long").alias(f"n_{r}") for r in RELATIONS])
@@ -84,8 +86,9 @@ def sample_persons(households: DataFrame, pools: Mapping[str, DataFrame], househ
     return _sample(households, pools, household_atts, person_atts, household, size, seed, False)
 
 
-def _sample(households: DataFrame, pools: Mapping[str, DataFrame], household_atts: Sequence[str], person_atts: Sequence[str], household: str, size: str, seed: object, again: bool) -> tuple[DataFrame, DataFrame]:
-    numbers = cut(household_relations(households, pools["HH-Main"], household, household_atts, size, seed))
+def _sample(households: DataFrame, pools: Mapping[str, DataFrame], household_atts: Sequence[str], person_atts: Sequence[str], household: str, size: str, seed: object, again: bool, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """``by``: columns of the households and of all pools that must match in every draw, such as the zone."""
+    numbers = cut(household_relations(households, pools["HH-Main"], household, household_atts, size, seed, by))
     source_cols = {"HH": [f"HH_{a}" for a in household_atts]}
     people: dict[str, DataFrame] = {}
     made: dict[str, DataFrame] = {"HH": numbers}
@@ -96,13 +99,16 @@ def _sample(households: DataFrame, pools: Mapping[str, DataFrame], household_att
             continue
         cols = source_cols.get(source, [f"{source}_{a}" for a in person_atts])
         target_cols = [f"{target}_{a}" for a in person_atts]
-        want = numbers.select(household, F.col(f"n_{target}").alias("__n")).where("__n > 0")
+        want = numbers.select(household, *by, F.col(f"n_{target}").alias("__n")).where("__n > 0")
         if target in people:
             want = want.join(people[target].select(household).distinct(), household, "left_anti")
         if again and source in options:
-            people[source] = made[source] = cut(redraw_parents(made[source], options[source], want, pairs, cols, household, f"{seed}-{source}-{target}")[0])
+            keyed_by = numbers.select(household, *by)
+            known = [d.join(keyed_by, household) if by else d for d in (made[source], options[source])]
+            new = redraw_parents(known[0], known[1], want, pairs, [*by, *cols], household, f"{seed}-{source}-{target}")[0]
+            people[source] = made[source] = cut(new.drop(*by))
         evidence = made[source].select(household, *cols).join(want, household)
-        found, _ = candidates(evidence, pairs, [household], cols, target_cols)
+        found, _ = candidates(evidence, pairs, [household], [*by, *cols], target_cols)
         draws = draws_for(want, [household], "__n")
         got = weighted_draws(draws, found, [household], "count", target_cols, [household, "draw"], f"{seed}-{source}-{target}").select(household, *target_cols)
         got = cut(got)  # the next levels read it again and again
@@ -159,7 +165,8 @@ def run(households: DataFrame, pools: Mapping[str, DataFrame], household_atts: S
     """Persons of all households by the way asked for: from pairs, from pairs with back-tracking (``retries`` of any number stand for it), or by networks; by zone where zones have pools.
 
     With ``zone_pools`` the households of a zone that has pools of its own take
-    these, all others ``pools``.
+    these, all others ``pools``. Pairs of all zones are drawn in one plan;
+    networks are learned zone by zone.
     """
 
     def some(h: DataFrame, p: Mapping[str, DataFrame], seed: object) -> tuple[DataFrame, DataFrame]:
@@ -171,6 +178,16 @@ def run(households: DataFrame, pools: Mapping[str, DataFrame], household_atts: S
 
     if not zone_pools:
         return some(households, pools, seed)
+    if not use_bn:
+        # one plan for all zones: pools of all zones are one table with the zone's name, the rest has one of its own
+        rest = "\x00"
+        own = F.when(F.col(zone).cast("string").isin([str(z) for z in zone_pools]), F.col(zone).cast("string")).otherwise(F.lit(rest))
+        merged = {}
+        for edge in dict.fromkeys([*pools, *[e for p in zone_pools.values() for e in p]]):
+            tables = [p[edge].withColumn("__zone", F.lit(str(z))) for z, p in [*zone_pools.items(), (rest, pools)] if edge in p]
+            merged[edge] = reduce(lambda a, b: a.unionByName(b), tables)
+        people, short = _sample(households.withColumn("__zone", own), merged, household_atts, person_atts, household, size, seed, backtrack or bool(retries), ["__zone"])
+        return people, short
     parts = [some(households.where(F.col(zone) == z), p, f"{seed}-{z}") for z, p in zone_pools.items()]
     parts.append(some(households.where(~F.coalesce(F.col(zone).isin(list(zone_pools)), F.lit(False))), pools, seed))
     people, short = parts[0]

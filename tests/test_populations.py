@@ -176,3 +176,21 @@ def test_hot_stratum_spreads(spark):
     draws = S.draws_for(pool.select("z").distinct().withColumn("n", F.lit(50)), ["z"], "n")
     run = lambda spread: sorted(map(tuple, S.weighted_draws(draws, pool, ["z"], "w", ["k"], ["z", "draw"], spread=spread).collect()))
     assert run(True) == run(False) and len(run(True)) == 50 * pool.select("z").distinct().count()
+
+
+def test_zones_take_their_own_pools(spark):
+    """Households of a zone with pools of its own have persons of these only, the others those of all."""
+    hh = spark.createDataFrame([(i, f"z{i % 3}", "3") for i in range(30)], "hhid long, zone_id string, hhsize string")
+
+    def pools(sex):
+        n = [1, 1, 1, 0, 0, 0, 0, 0]
+        names = [f"n_{r}" for r in csp.RELATIONS]
+        counts = dict(zip(names, n)) if csp.RELATIONS[0] == "Main" else {f"n_{r}": int(r in ("Main", "Spouse", "Child")) for r in csp.RELATIONS}
+        main = spark.createDataFrame([("3", *counts.values(), sex, 1)], "HH_hhsize string, " + ", ".join(f"{c} long" for c in counts) + ", Main_sex string, count long")
+        pair = lambda r: spark.createDataFrame([(sex, sex, 1)], f"Main_sex string, {r}_sex string, count long")
+        return {"HH-Main": main, "Main-Spouse": pair("Spouse"), "Main-Child": pair("Child")}
+
+    for back in (False, True):
+        people, short = csp.run(hh, pools("any"), ["hhsize"], ["sex"], zone="zone_id", zone_pools={"z0": pools("only0"), "z1": pools("only1")}, backtrack=back)
+        got = people.join(hh, "hhid").groupBy("zone_id", "sex").count().collect()
+        assert {(r.zone_id, r.sex): r["count"] for r in got} == {("z0", "only0"): 30, ("z1", "only1"): 30, ("z2", "any"): 30} and short.count() == 0
