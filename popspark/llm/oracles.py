@@ -90,6 +90,45 @@ def _codes(parts: int = 8, width: int = 8, entries: int = 16, rounds: int = 6) -
 
 OP11 = _codes()
 
+_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+_PII = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true", "true", "lower(v)"),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "true", "len(list_filter(string_split(v, '.'), lambda y: length(ltrim(y, '0')) > 3 OR CAST('0' || right(ltrim(y, '0'), 3) AS INT) > 255)) = 0", "v"),
+    "card": (r"[0-9]([\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 14 AND 19", f"list_sum(list_transform(range(0, length({_DIGITS})), lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr(reverse({_DIGITS}), CAST(i + 1 AS INT), 1) AS INT) ELSE 2 * CAST(substr(reverse({_DIGITS}), CAST(i + 1 AS INT), 1) AS INT) - CASE WHEN CAST(substr(reverse({_DIGITS}), CAST(i + 1 AS INT), 1) AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0", _DIGITS),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "true", f"length({_DIGITS}) BETWEEN 10 AND 15", _DIGITS),
+}
+
+
+def _personal() -> str:
+    """Values by the plain patterns, places by what lies between the matches; counts, shares and spans of the terms."""
+    ctes = ["t AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents)"]
+    for k, (name, (pattern, counts, ok, entity)) in enumerate(_PII.items()):
+        ctes.append(f"m{k} AS (SELECT r, x, i, m[i] AS v, g[i] AS gap FROM (SELECT r, x, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT r, x, regexp_extract_all(x, '{pattern}') AS m, string_split_regex(x, '{pattern}') AS g FROM t)))")
+        ctes.append(f"p{k} AS (SELECT *, sum(length(gap) + length(v)) OVER (PARTITION BY r ORDER BY i) AS e FROM m{k})")
+        ctes.append(f"c{k} AS (SELECT r, x, v, e - length(v) AS s, e, coalesce(lag(e) OVER w, 0) AS pe, coalesce(lead(e - length(v)) OVER w, length(x)) AS ns FROM p{k} WHERE {counts} WINDOW w AS (PARTITION BY r ORDER BY i))")
+        ctes.append(f"v{k} AS (SELECT r, x, {k} AS k, '{name}:' || {entity} AS c, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e, CAST(pe AS BIGINT) AS pe, CAST(ns AS BIGINT) AS ns FROM c{k} WHERE {ok})")
+    ctes.append("f AS MATERIALIZED (SELECT *, row_number() OVER () AS id, substr(x, greatest(pe, s - 80) + 1, s - greatest(pe, s - 80)) AS a, substr(x, e + 1, least(ns, e + 80) - e) AS b FROM (" + " UNION ALL ".join(f"SELECT * FROM v{k}" for k in range(4)) + "))")
+    for side, origin, cut, near in (("a", "greatest(pe, s - 80)", "s - pe > 80 AND ts = 0", "DESC"), ("b", "e", "ns - e > 80 AND te = 80", "ASC")):
+        ctes.append(rf"w{side} AS (SELECT *, sum(length(gap) + length(v)) OVER (PARTITION BY id ORDER BY i) AS te FROM (SELECT * EXCLUDE (m, g), m[i] AS v, g[i] AS gap FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT id, r, c, s, e, pe, ns, regexp_extract_all({side}, '\p{{L}}{{3,}}') AS m, string_split_regex({side}, '\p{{L}}{{3,}}') AS g FROM f))))")
+        ctes.append(f"x{side} AS (SELECT id, r, c, lower(v) AS t, {origin} + ts AS ws, {origin} + te AS we, i FROM (SELECT *, te - length(v) AS ts FROM w{side}) WHERE NOT ({cut}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY i {near}) <= 5)")
+        ctes.append(f"d{side} AS (SELECT id, string_agg(t, ' ' ORDER BY i) AS d FROM x{side} GROUP BY id)")
+    ctes += [
+        "q AS MATERIALIZED (SELECT y.*, coalesce(da.d, '') AS da, coalesce(db.d, '') AS db FROM (SELECT * FROM xa UNION ALL SELECT * FROM xb) y LEFT JOIN da USING (id) LEFT JOIN db USING (id))",
+        "z AS (SELECT r, c, unnest([t, left(t, 3) || '*']) AS t, da, db FROM q)",
+        "nc AS (SELECT c, count(DISTINCT r) AS n_c FROM f GROUP BY c)",
+        "pr AS MATERIALIZED (SELECT c, t, count(DISTINCT r) AS n_ct FROM z GROUP BY ALL HAVING count(DISTINCT r) >= 3 AND count(DISTINCT da) >= 3 AND count(DISTINCT db) >= 3)",
+        r"tw AS (SELECT r, unnest(list_distinct(list_transform(regexp_extract_all(x, '\p{L}{3,}'), lambda y: lower(y)))) AS t FROM t)",
+        "nt AS (SELECT t, count(*) AS n_t FROM (SELECT DISTINCT r, t FROM (SELECT r, t FROM tw UNION ALL SELECT r, left(t, 3) || '*' FROM tw)) WHERE t IN (SELECT t FROM pr) GROUP BY t)",
+        "sh AS MATERIALIZED (SELECT c, t FROM pr JOIN nc USING (c) JOIN nt USING (t), (SELECT count(*) AS n FROM t) WHERE n_c >= 3 AND n > n_c AND log2(n * n_ct / n_c / n_t) >= 0.75 * log2(n / n_c) - 1e-9)",
+        "mo AS (SELECT r, CAST(ws AS BIGINT) AS s, max(CASE WHEN (c, left(t, 3) || '*') IN (SELECT c, t FROM sh) THEN 5 ELSE 4 END) AS k, CAST(we AS BIGINT) AS e FROM q WHERE (c, t) IN (SELECT c, t FROM sh) GROUP BY r, ws, we)",
+        "sp AS (SELECT r, s, k, e FROM f UNION ALL SELECT r, s, k, e FROM mo)",
+        "st AS (SELECT r, " + ", ".join(f"count(*) FILTER (k = {k}) AS n_{n}" for k, n in enumerate(_PII)) + ", string_agg(n[k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k, e) FILTER (k < 4) AS base, string_agg(n[k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k, e) AS spans FROM sp, (SELECT ['email', 'ip', 'card', 'phone', 'general', 'term'] AS n) GROUP BY r)",
+    ]
+    return "WITH " + ",\n".join(ctes) + "\nSELECT doc_id, " + ", ".join(f"CAST(coalesce(n_{n}, 0) AS BIGINT) AS n_{n}" for n in _PII) + ", sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN st USING (r)"
+
+
+OP12 = _personal()
+
 OP13 = r"""WITH t AS (SELECT coalesce(source, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, coalesce(min(doc_id) OVER (PARTITION BY coalesce(text, '')) < doc_id, false) AS copy, coalesce(q, 0) AS q, coalesce(b, 0) AS b
   FROM documents LEFT JOIN (SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INT)) AS q, max(CAST(coalesce(toxic = 1, false) AS INT)) AS b FROM labels GROUP BY doc_id) USING (doc_id)),
 m AS (SELECT part, q, b, concat(CASE WHEN len(w) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' END, CASE WHEN 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 2 * length(x) THEN 'C' END, CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 'D' END, CASE WHEN copy THEN 'E' END) AS f FROM t),
@@ -101,4 +140,4 @@ j AS (SELECT part, o, i, c, n, q, b, contains(f, c) AS fails, len(list_intersect
 r AS (SELECT part, o, i, c, sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END) AS removed, sum(CASE WHEN fails AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN sole THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN fails AND NOT gone THEN q ELSE 0 END) AS good_lost, sum(CASE WHEN fails AND NOT gone THEN b ELSE 0 END) AS toxic_lost FROM j GROUP BY ALL)
 SELECT part, o AS filter_order, CAST(i AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, c) AS BIGINT) AS shapley FROM r"""
 
-ORACLE_SQL: dict[str, str] = {"op2_jaccard_join": OP2, "op6_quality_rules": OP6, "op7_mix_sources": OP7, "op8_decontamination": OP8, "op9_line_dedup": OP9, "op11_vector_codes": OP11, "op13_filter_audit": OP13}
+ORACLE_SQL: dict[str, str] = {"op2_jaccard_join": OP2, "op6_quality_rules": OP6, "op7_mix_sources": OP7, "op8_decontamination": OP8, "op9_line_dedup": OP9, "op11_vector_codes": OP11, "op12_personal_data": OP12, "op13_filter_audit": OP13}

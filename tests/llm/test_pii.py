@@ -111,3 +111,16 @@ def test_sanitised(spark):
 def test_no_python(spark, docs):
     plan = personal_data(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_sql_states_the_method():
+    """The query's SQL gives the plain rows on texts with terms that reveal, copies and hard values."""
+    import duckdb
+    import pandas as pd
+
+    from popspark.llm.oracles import OP12
+
+    rows = plot() + [(1000 + i, t) for i, t in enumerate(HARD)] + [(2000, None), (2001, "")]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": [k for k, _ in rows], "text": pd.array([t for _, t in rows], dtype="string")}))
+    assert sorted(map(tuple, con.sql(OP12).fetchall())) == sorted(brute.personal_data(rows))
