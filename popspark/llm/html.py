@@ -34,14 +34,22 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _MAIN = frozenset(["article", "main"])
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 _OWN_CLOSE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Words in class, id or role that name something other than the article.
-_ROLE = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|banner|cookie|cookies|consent|gdpr|notice|alert|popup|modal|overlay|sidebar|side|rail|widget|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|pagination|pager|footer|header|masthead|topbar|toolbar|comment|comments|disqus|reply|replies|respond|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|search|skip|contentinfo|complementary|copyright|tags)(?:$|[\s_-])|(?:^|\s)hidden(?:$|\s)", re.I)
+#: Words in class, id or role that name something other than the article, in any part of a compound name.
+_ROLE = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|banner|cookie|cookies|consent|gdpr|notice|popup|modal|overlay|sidebar|widget|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|pagination|pager|footer|masthead|topbar|toolbar|comment|comments|disqus|replies|respond|sharing|recommended|newsletter|subscribe|subscription|signup|contentinfo|complementary|copyright)(?:$|[\s_-])|(?:^|\s)hidden(?:$|\s)", re.I)
+#: What may follow the word that a name of a page's part is about.
+_PARTS = "box|list|links?|buttons?|btn|bar|section|block|area|wrap|wrapper|container|posts?|articles?|stories|items?|unit|slot|form|widget|icons?|thread|notice|banner|consent"
+_PART = rf"(?:[_-](?:{_PARTS}|\d+))*(?:$|\s)"
+#: Words that compound names of an article's own parts have as well (search-results, side-effects, post-header): whole names only.
+_ROLE_WHOLE = re.compile(
+    r"(?:^|\s)(?:(?:(?:article|post|page|entry|site|js|main|top|left|right|user|reader)[_-])*(?:alert|side|rail|reply|share|social|related|login|search|skip|tags)|(?:(?:site|page|main|global|top|js)[_-])*header)"
+    rf"(?:[_-](?:{_PARTS}|share|social|search|tags|panel|group|row|top|left|right|bottom|inner|to|content|\d+))*(?:$|\s)",
+    re.I,
+)
 #: Whole names of these parts inside an article or main part, where single words of a name may well be the article's.
 _ROLE_INSIDE = re.compile(
-    r"(?:^|\s)(?:hidden|(?:(?:article|post|page|entry|site|js)[_-])*"
+    r"(?:^|\s)(?:hidden|(?:(?:article|post|page|entry|site|js|user|reader)[_-])*"
     r"(?:ads?|advert|adverts|advertisement|advertising|sponsored|promo|gdpr|cookies?|popup|modal|navbar|navigation|nav|menu|sidebar|breadcrumbs?|pagination|pager"
-    r"|comments|disqus|respond|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|contentinfo|complementary)"
-    r"(?:[_-](?:box|list|links?|buttons?|btn|bar|section|block|area|wrap|wrapper|container|posts?|articles?|stories|items?|unit|slot|form|widget|icons?|thread|\d+))*)(?:$|\s)",
+    r"|comments?|replies|disqus|respond|notices?|banner|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|contentinfo|complementary))" + _PART,
     re.I,
 )
 
@@ -133,7 +141,7 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
         attrs = m[3] or ""
         names = names_of(attrs) if attrs else ""
         inside = stack[-1].main or tag in _MAIN
-        odd = bool(names) and bool((_ROLE_INSIDE if inside else _ROLE).search(names))
+        odd = bool(names) and bool(_ROLE_INSIDE.search(names) if inside else _ROLE.search(names) or _ROLE_WHOLE.search(names))
         if tag in _INLINE and not odd:
             if tag == "br":
                 held.append("\n")

@@ -466,6 +466,16 @@ def test_roles_are_names(spark):
     assert [r.text for r in got] == ["Head\n\nOne two three\n\nFour", "plain"]
 
 
+def test_names_of_comments_notices_and_article_parts(spark):
+    """Reader comments and notices inside an article go; unmarked parts whose names only begin alike stay."""
+    gone = ["comment", "comment-list", "user-comments", "post-comment", "replies", "notice", "cookie-notice", "banner"]
+    kept = ["search-results", "side-effects", "post-header", "tags-explained", "related-work", "share-of-votes"]
+    rows = [("http://a.b/%d" % i, f"<body><article><p>Story {i}</p><div class='{c}'><p>not that</p></div></article></body>") for i, c in enumerate(gone)]
+    rows += [("http://c.d/%d" % i, f"<body><div class='{c}'><p>Story {i}</p></div><div class='search-box'>no</div><div id='tags'>no</div><div class='site-header'>no</div><div class='social-share'>no</div><div class='skip-to-content'>no</div></body>") for i, c in enumerate(kept)]
+    got = [r.text for r in html.main_text(pages(spark, rows)).orderBy("page_id").collect()]
+    assert got == [f"Story {i}" for i in range(len(gone))] + [f"Story {i}" for i in range(len(kept))]
+
+
 def test_pages_empty(spark):
     assert html.main_text(pages(spark, [])).collect() == []
 
