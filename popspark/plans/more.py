@@ -100,7 +100,7 @@ def best_attributes(spark, d):
 
 @query(WITH(HH, MARG) + "SELECT att, CAST(row_number() OVER (ORDER BY n DESC, att) AS INTEGER) AS place FROM (SELECT att, count(DISTINCT state) AS n FROM marg GROUP BY att)")
 def attribute_order(spark, d):
-    return spark.createDataFrame([(a, i) for i, a in enumerate(saa.first_order(census_hh(spark, d), HH_ATTS), 1)], "att string, place int")
+    return spark.createDataFrame([(a, i) for i, a in enumerate(saa.first_order(census_hh(spark, d)), 1)], "att string, place int")
 
 
 # Sampling

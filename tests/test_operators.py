@@ -113,9 +113,12 @@ def test_saa_matches_marginals(spark, sf):
     steps = []
     out = saa.run(marg, pool, atts, runs=2, extra_removed=0.2, on_step=lambda *x: steps.append(x[:3]))
     left = C.differences(marg, C.marginals(out, "zone_id", atts), ("zone_id", "att", "state")).collect()
-    assert min(r["diff"] for r in left) >= 0
+    off = {}
+    for r in left:
+        off[r["zone_id"], r["att"]] = off.get((r["zone_id"], r["att"]), 0) + r["diff"]
+    assert set(off.values()) == {0}  # the last run is kept whole: every zone has its total, single states may be over
     total = marg.where("att = 'hhinc'").agg(F.sum("value")).collect()[0][0]
-    assert out.count() >= 0.8 * total and steps
+    assert out.count() == total and sum(abs(r["diff"]) for r in left) <= 0.3 * total and steps
 
 
 def test_trimmed_never_over(spark, sf):
