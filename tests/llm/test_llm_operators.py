@@ -627,9 +627,42 @@ def test_contained_items(spark, docs, rows):
     for block in (2_000_000, 30):
         got = decontamination.contained_items(docs, bench, block_words=block).collect()
         assert keyed(tuple(r)[:4] for r in got) == keyed(brute.contained(rows, items))
-    clean = decontamination.decontaminate(docs, bench)
     hit = {k for k, *_ in brute.contained(rows, items)}
-    assert Counter(r.doc_id for r in clean.collect()) == Counter(k for k, _ in rows if k not in hit or k is None) and clean.columns == docs.columns
+    for block in (2_000_000, 30):
+        clean = decontamination.decontaminate(docs, bench, block_words=block)
+        assert Counter(r.doc_id for r in clean.collect()) == Counter(k for k, _ in rows if k not in hit or k is None) and clean.columns == docs.columns
+
+
+def test_contained_items_by_joins(spark):
+    """Beyond a block: items near the threshold, a phrase of all items, repeated items and copies of texts; nothing but joins by key."""
+    rng = __import__("random").Random(8)
+    phrase = words(rng, 9)
+    texts, items = [], [(100, "word"), (101, "two words"), (102, None), (103, " ")]
+    for n in range(40):
+        item = phrase + words(rng, rng.choice([3, 20, 60, 300]))
+        items.append((n, " ".join(item)))
+        keep = rng.choice([0.4, 0.7, 0.75, 0.8, 1.0])
+        part = item[: max(1, int(keep * len(item)))]
+        texts.append((n, " ".join(words(rng, 50) + part + words(rng, rng.choice([0, 2000])))))
+    items += [(200, items[10][1]), (10, items[10][1])]
+    texts += [(300, texts[3][1]), (3, texts[3][1]), (None, texts[5][1]), (301, " ".join(t for _, t in items[4:])), (302, "Two WORDS and a word"), (303, None), (304, "")]
+    docs = frame(spark, texts).repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = keyed(brute.contained(texts, items))
+    small, joined = (decontamination.contained_items(docs, bench, **how) for how in ({}, {"block_bytes": 100}))
+    assert keyed(tuple(r)[:4] for r in small.collect()) == want == keyed(tuple(r)[:4] for r in joined.collect())
+    assert small.dtypes == joined.dtypes
+    plan = joined._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_decontaminate_by_joins_edges(spark, docs, empty):
+    some = spark.createDataFrame([(1, "a b c d e f"), (2, "g h")], "item_id long, text string")
+    assert decontamination.decontaminate(empty, some, block_words=1).collect() == []
+    assert decontamination.contained_items(empty, some, block_words=1).collect() == []
+    odd = spark.createDataFrame([(1, "x a b c d e f", 7, 8), (2, None, 7, 8), (3, "g i h", 7, None)], "doc_id long, text string, __0 int, `a.b` int")
+    kept = decontamination.decontaminate(odd, some, block_words=1)
+    assert kept.columns == odd.columns and sorted(tuple(r) for r in kept.collect()) == [(2, None, 7, 8), (3, "g i h", 7, None)]
 
 
 def test_containment_edges(spark, docs, empty):
