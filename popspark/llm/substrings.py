@@ -6,11 +6,13 @@ follow one another with one trigger make a phrase, so a trigger, and with it
 the grouping, depends on the window's own bytes alone, and every window is in
 one phrase. The parse of the corpus is its sequence of phrase hashes. Phrases
 that occur again in full are settled on the parse: all windows of a later copy
-are repeats. What is left is the dictionary of distinct phrases; of these only
+are repeats, and copies that one map task sees are settled there, so that a run
+of one byte, which has a phrase for each of its windows, brings no key more than
+a row from each task. What is left is the dictionary of distinct phrases; of these only
 the ones whose trigger string occurs in another phrase can share a window. They
-meet by trigger, in parts of the dictionary; the suffix array of such a part,
-by prefix doubling up to ``LENGTH`` bytes, gives the first of equal windows in
-corpus order. No window runs over a phrase's end, so the parse is compared
+meet by trigger, in parts of the dictionary of about a megabyte, each of whole
+triggers; the suffix array of such a part, by prefix doubling up to ``LENGTH``
+bytes, gives the first of equal windows in corpus order. No window runs over a phrase's end, so the parse is compared
 phrase by phrase and needs no suffix array of its own.
 
 Triggers and phrases are compared by 64-bit hashes. A trigger whose distinct
@@ -36,6 +38,8 @@ ANCHOR = 32
 _CHUNK = 1 << 20
 _LOW = U64(_CHUNK - 1)
 _FLUSH = 1 << 21
+#: Bytes of a part of the dictionary that is sorted at once; the phrases of one trigger stay together.
+_PART = 1 << 20
 
 
 class Phrases:
@@ -97,16 +101,20 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 
 def _parse(docs: DataFrame, length: int, n_buckets: int) -> DataFrame:
-    """The parse, by trigger: (trigger, phrase hash, text, start, windows); kind 1: copies inside one task."""
+    """The parse, by trigger: (trigger, phrase hash, text, start, windows); kind 1: (text, start, windows) of later copies inside one task, by text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                cols = [np.concatenate(c) for c in zip(*held)]
+                key, content, text, start, count = (np.concatenate(c) for c in zip(*held))
                 held.clear()
-                yield from packed(cols[0], [cols[0].astype(np.uint32), *cols[1:]], n_buckets)
+                firsts, later = _first_copies(key, content, text, start)
+                key = mix(key[firsts])  # a trigger is the least of many hashes, and lies near 0
+                yield from packed(key, [key.astype(np.uint32), *(x[firsts] for x in (content, text, start, count))], n_buckets)
+                text, start, count = _runs(text[later], start[later], count[later])
+                yield from packed(mix(text.view(U64)), [text, start, count], n_buckets, 1)
 
         n = 0
         for b in batches:
@@ -127,11 +135,50 @@ def _parse(docs: DataFrame, length: int, n_buckets: int) -> DataFrame:
     return docs.mapInArrow(run, SCHEMA)
 
 
+def _first_copies(key: np.ndarray, content: np.ndarray, text: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that are the first of their phrase, and the later ones; rows that share their place count once."""
+    both = mix(key + content * U64(0x9E3779B97F4A7C15))
+    order = np.argsort(both)
+    both = both[order]
+    same = both[1:] == both[:-1]
+    copied = np.append(False, same) | np.append(same, False)
+    alone, order = order[~copied], order[copied]
+    order = order[np.lexsort((start[order], text[order], content[order], key[order]))]
+    if not len(order):
+        return alone, order
+    k, c, t, s = (x[order] for x in (key, content, text, start))
+    new = np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1]))
+    again = ~new & np.append(False, (t[1:] == t[:-1]) & (s[1:] == s[:-1]))
+    return np.append(alone, order[new]), order[~new & ~again]
+
+
+def _runs(text: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, windows) by text, with windows that follow one another, or meet, made one run."""
+    if not len(text):
+        return text.astype(np.int64), start.astype(np.uint32), count.astype(np.uint32)
+    order = np.lexsort((start, text))
+    text, start = text[order], start[order].astype(np.int64)
+    end = start + count[order]
+    # one row of places, text after text, in which no run reaches the next text
+    begins = np.append(True, text[1:] != text[:-1])
+    longest = int(end.max()) + 1
+    reach = np.maximum.accumulate(end + (np.cumsum(begins) - 1) * longest) - (np.cumsum(begins) - 1) * longest
+    first = np.flatnonzero(begins | np.append(True, start[1:] > reach[:-1]))
+    last = np.append(first[1:], len(text)) - 1
+    return text[first], start[first].astype(np.uint32), (reach[last] - start[first]).astype(np.uint32)
+
+
 _ENTRY = [np.uint32, U64, np.int64, np.uint32, np.uint8]
 
 
-def _settle(kinds: dict[int, list[bytes]], n_buckets: int, hot: int) -> Iterator[pa.RecordBatch]:
-    """By text: (text, start, windows, what): 0 repeats, 1 to compare by trigger, 2 to compare by window."""
+def _passed(blobs: list[bytes], bucket: int, kind: int) -> Iterator[pa.RecordBatch]:
+    for blob in blobs:
+        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "kind", "blob"])
+
+
+def _settle(kinds: dict[int, list[bytes]], bucket: int, n_buckets: int, hot: int) -> Iterator[pa.RecordBatch]:
+    """By text: (text, start, windows, what): 0 repeats, 1 to compare by trigger, 2 to compare by window; kind 1 as it comes."""
+    yield from _passed(kinds.get(1, []), bucket, 1)
     key, content, text, start, count = unpacked(kinds.get(0, []), _ENTRY)
     order = np.argsort(key, kind="stable")
     key = key[order]
@@ -156,6 +203,9 @@ def _settle(kinds: dict[int, list[bytes]], n_buckets: int, hot: int) -> Iterator
 def _by_text(kinds: dict[int, list[bytes]], _: int) -> Iterator[pa.RecordBatch]:
     """(k, repeats, compare): packed (start, windows) and (start, what) of each text."""
     text, start, count, what = unpacked(kinds.get(0, []), [np.int64, np.uint32, np.uint8, np.uint8])
+    copies = unpacked(kinds.get(1, []), [np.int64, np.uint32, np.uint32])
+    text, start, count = (np.concatenate(x) for x in zip((text, start, count.astype(np.uint32)), copies))
+    what = np.append(what, np.zeros(len(copies[0]), np.uint8))
     order = np.lexsort((start, text))
     text, start, count, what = (x[order] for x in (text, start, count, what))
     firsts = np.flatnonzero(np.append(True, text[1:] != text[:-1])) if len(text) else []
@@ -163,7 +213,7 @@ def _by_text(kinds: dict[int, list[bytes]], _: int) -> Iterator[pa.RecordBatch]:
     for i, j in zip(firsts, np.append(firsts[1:], len(text)) if len(firsts) else []):
         w = what[i:j]
         spans, ask = w == 0, w > 0
-        out.append((int(text[i]), start[i:j][spans].tobytes() + count[i:j][spans].astype(np.uint32).tobytes() or None, start[i:j][ask].tobytes() + w[ask].tobytes() or None))
+        out.append((int(text[i]), start[i:j][spans].tobytes() + count[i:j][spans].tobytes() or None, start[i:j][ask].tobytes() + w[ask].tobytes() or None))
     if out:
         k, a, b = zip(*out)
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["k", "repeats", "compare"])
@@ -180,13 +230,13 @@ def _contexts(texts: DataFrame, length: int, n_buckets: int) -> DataFrame:
             if held:
                 key, text, start, count = (np.concatenate(c) for c in list(zip(*held))[:4])
                 raw = [r for h in held for r in h[4]]
-                bucket = ((key >> U64(32)) * U64(n_buckets) >> U64(32)).astype(np.int64)
+                bucket = ((mix(key) >> U64(32)) * U64(n_buckets) >> U64(32)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 found, first = np.unique(bucket[order], return_index=True)
                 blobs = []
                 for i, j in zip(first, np.append(first[1:], len(order))):
                     o = order[i:j]
-                    blobs.append(np.uint32(len(o)).tobytes() + text[o].tobytes() + start[o].tobytes() + count[o].tobytes() + b"".join(raw[x] for x in o))
+                    blobs.append(np.uint32(len(o)).tobytes() + key[o].tobytes() + text[o].tobytes() + start[o].tobytes() + count[o].tobytes() + b"".join(raw[x] for x in o))
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([0] * len(found), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "kind", "blob"])
                 held.clear()
             if windows:
@@ -228,7 +278,7 @@ def _contexts(texts: DataFrame, length: int, n_buckets: int) -> DataFrame:
                                 pos = np.repeat(p.at[sel], c) + off
                                 windows.append([p.span(pos, pos + length), np.repeat(doc, c), np.repeat(begin, c) + off.astype(np.uint32)])
                                 n += 20 * len(pos)
-                if n >= 16 * _FLUSH:
+                if n >= 4 * _FLUSH:
                     yield from flush()
                     n = 0
         yield from flush()
@@ -257,11 +307,14 @@ def suffix_ranks(raw: np.ndarray, length: int) -> np.ndarray:
     while width < length and len(r):
         step = min(width, length - width)
         n = max(0, len(r) - step)
-        pair = (r[:n] << 32) | r[step : step + n]
+        pair = r[:n] << 32
+        pair |= r[step : step + n]
         order = np.argsort(pair)
-        ranked = pair[order]
+        pair = pair[order]
+        more = np.append(False, pair[1:] != pair[:-1])[:n]
+        del pair, r
         r = np.empty(n, np.int64)
-        r[order] = np.cumsum(np.append(False, ranked[1:] != ranked[:-1])[:n])
+        r[order] = np.cumsum(more)
         width += step
     return r
 
@@ -269,39 +322,49 @@ def suffix_ranks(raw: np.ndarray, length: int) -> np.ndarray:
 def _compare(kinds: dict[int, list[bytes]], bucket: int, length: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
     """By text: (text, start, windows) of the windows that run earlier.
 
-    The bucket's phrases are its part of the dictionary; the order of their
-    suffixes by their first ``length`` bytes brings equal windows together, in
-    corpus order.
+    The bucket's phrases, in parts of whole triggers, are the parts of the
+    dictionary; the order of their suffixes by their first ``length`` bytes
+    brings equal windows together, in corpus order.
     """
-    for blob in kinds.get(2, []):
-        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([0], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "kind", "blob"])
+    yield from _passed(kinds.get(2, []), bucket, 0)
     found: list[tuple] = []
     w, text, start = unpacked(kinds.get(1, []), [U64, np.int64, np.uint32])
     if len(w):
         w, text, start, new = _first_of_equal(w, text, start)
-        found.append((text[~new], start[~new]))
+        found.append(_runs(text[~new], start[~new], np.ones((~new).sum(), np.uint32)))
     cols: list[tuple] = []
     for blob in kinds.get(0, []):
         n = int(np.frombuffer(blob, np.uint32, 1)[0])
-        cols.append((np.frombuffer(blob, np.int64, n, 4), np.frombuffer(blob, np.uint32, n, 4 + 8 * n), np.frombuffer(blob, np.uint8, n, 4 + 12 * n), np.frombuffer(blob, np.uint8, -1, 4 + 13 * n)))
+        cols.append((np.frombuffer(blob, U64, n, 4), np.frombuffer(blob, np.int64, n, 4 + 8 * n), np.frombuffer(blob, np.uint32, n, 4 + 16 * n), np.frombuffer(blob, np.uint8, n, 4 + 20 * n), np.frombuffer(blob, np.uint8, -1, 4 + 21 * n)))
     if cols:
-        text, start, count, raw = (np.concatenate(x) for x in zip(*cols))
-        c = count.astype(np.int64)
-        base = np.cumsum(c + length - 1) - (c + length - 1)
-        off = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-        ranks = suffix_ranks(raw, length)[np.repeat(base, c) + off]
-        _, text, start, new = _first_of_equal(ranks, np.repeat(text, c), np.repeat(start, c) + off.astype(np.uint32))
-        found.append((text[~new], start[~new]))
+        key, text, start, count, raw = (np.concatenate(x) for x in zip(*cols))
+        cols.clear()
+        size = count.astype(np.int64) + length - 1
+        base = np.cumsum(size) - size
+        for rows in _whole_keys(key, size):
+            c, n, begin = count[rows].astype(np.int64), size[rows], np.cumsum(size[rows]) - size[rows]
+            part = raw[np.repeat(base[rows] - begin, n) + np.arange(n.sum())]
+            off = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+            ranks = suffix_ranks(part, length)[np.repeat(begin, c) + off]
+            _, t, s, new = _first_of_equal(ranks, np.repeat(text[rows], c), np.repeat(start[rows], c) + off.astype(np.uint32))
+            found.append(_runs(t[~new], s[~new], np.ones((~new).sum(), np.uint32)))
     if not found:
         return
-    text, start = (np.concatenate(x) for x in zip(*found))
-    if not len(text):
-        return
-    order = np.lexsort((start, text))
-    text, start = text[order], start[order].astype(np.int64)
-    cut = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (start[1:] > start[:-1] + 1)))
-    last = np.append(cut[1:], len(text)) - 1
-    yield from packed(mix(text[cut].view(U64)), [text[cut], start[cut].astype(np.uint32), (start[last] - start[cut] + 1).astype(np.uint32)], n_buckets)
+    text, start, count = (np.concatenate(x) for x in zip(*found))
+    yield from packed(mix(text.view(U64)), [text, start, count], n_buckets)
+
+
+def _whole_keys(key: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows in groups of whole keys, of about ``_PART`` bytes each."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    ends = np.flatnonzero(np.append(key[1:] != key[:-1], True)) + 1
+    total = np.cumsum(size[order])[ends - 1]
+    i, at, done = 0, 0, 0
+    while i < len(ends):
+        i = max(int(np.searchsorted(total, done + _PART, side="right")), i + 1)
+        yield order[at : ends[i - 1]]
+        at, done = ends[i - 1], total[i - 1]
 
 
 def _spans_by_text(kinds: dict[int, list[bytes]], _: int) -> Iterator[pa.RecordBatch]:
@@ -336,7 +399,7 @@ def _merged(blobs: list[bytes | None], length: int) -> tuple[np.ndarray, np.ndar
 def repeated_spans(docs: DataFrame, length: int = 100, hot: int = 20_000) -> DataFrame:
     """(k, repeats, more): packed spans of repeated windows of the texts (k, t); rows with one k are one text."""
     n_buckets = bucket_count(docs)
-    settled = by_bucket(_parse(docs, length, n_buckets), lambda kinds, _: _settle(kinds, n_buckets, hot), SCHEMA)
+    settled = by_bucket(_parse(docs, length, n_buckets), lambda kinds, bucket: _settle(kinds, bucket, n_buckets, hot), SCHEMA)
     first = durable(by_bucket(settled, _by_text, "k long, repeats binary, compare binary"))
     del settled
     ask = first.where("compare is not null").select(F.col("k").alias("k1"), "compare")

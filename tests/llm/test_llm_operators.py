@@ -406,6 +406,43 @@ def test_substrings_long_text(spark):
     assert keyed(map(tuple, remove_repeats(frame(spark, rows)).collect())) == keyed(brute.remove_repeats(rows))
 
 
+def test_substrings_runs_bring_few_rows(spark):
+    """A run of one byte has a phrase for each window; its key gets a row or so from each task, and the copies come as runs."""
+    from popspark.llm import substrings
+
+    rows = [(i, "a" * 5000) for i in range(40)]
+    d = frame(spark, rows).repartition(2)
+    parsed = substrings._parse(d.selectExpr("doc_id AS k", "text AS t"), 100, 8)
+    sizes = {r.kind: r.n for r in parsed.groupBy("kind").agg(F.sum(F.length("blob")).alias("n")).collect()}
+    assert sizes[0] < 2000 and sizes[1] < 40 * 16 * 3
+    assert keyed(map(tuple, remove_repeats(d).collect())) == keyed(brute.remove_repeats(rows))
+
+
+def test_substrings_buckets_are_even(spark):
+    """Triggers are least hashes; they fall into all buckets alike all the same."""
+    import random
+
+    from popspark.llm import substrings
+
+    rng = random.Random(12)
+    d = frame(spark, [(i, "".join(rng.choice("abcdefgh ") for _ in range(4000))) for i in range(100)])
+    n = [r.n for r in substrings._parse(d.selectExpr("doc_id AS k", "text AS t"), 100, 16).groupBy("bucket").agg(F.sum(F.length("blob")).alias("n")).collect()]
+    assert len(n) == 16 and max(n) < 2 * min(n)
+
+
+def test_substrings_dictionary_in_parts(monkeypatch):
+    """Parts hold whole triggers and are no larger than their bound, but for one trigger."""
+    import numpy as np
+
+    from popspark.llm import substrings
+
+    monkeypatch.setattr(substrings, "_PART", 1000)
+    key, size = np.array([3, 1, 3, 2, 9, 9, 1, 5], np.uint64), np.array([400, 300, 400, 300, 700, 700, 100, 1])
+    parts = list(substrings._whole_keys(key, size))
+    assert sorted(np.concatenate(parts).tolist()) == list(range(8))
+    assert [sorted(set(key[p].tolist())) for p in parts] == [[1, 2], [3, 5], [9]]
+
+
 def test_substrings_kept_text_and_repeats(spark, empty):
     d = frame(spark, [(1, "x" * 150), (1, "x" * 150), (2, None)])
     got = remove_repeats(d, with_text=True).collect()
