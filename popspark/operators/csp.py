@@ -50,7 +50,12 @@ def filter_pairs(pairs: DataFrame, source_low: str, target_low: str, least_gap:
 
 
 def candidates(evidence: DataFrame, pairs: DataFrame, keys: Sequence[str], source_cols: Sequence[str], target_cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(candidates with the summed counts of all evidence rows of a household, households without any)."""
+    """(candidates with the summed counts of all evidence rows of a household, households without any).
+
+    Pairs are added up over their other columns first, such as numbers of
+    relations: a household meets its target's combinations, not every row of the pool.
+    """
+    pairs = pairs.groupBy(*source_cols, *target_cols).agg(F.sum("count").alias("count"))
     c = evidence.join(pairs, list(source_cols)).groupBy(*keys, *target_cols).agg(F.sum("count").alias("count"))
     return c, evidence.select(*keys).distinct().join(c.select(*keys).distinct(), list(keys), "left_anti")
 
@@ -88,6 +93,7 @@ def sample_persons(households: DataFrame, pools: Mapping[str, DataFrame], househ
 
 def _sample(households: DataFrame, pools: Mapping[str, DataFrame], household_atts: Sequence[str], person_atts: Sequence[str], household: str, size: str, seed: object, again: bool, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """``by``: columns of the households and of all pools that must match in every draw, such as the zone."""
+    pools = {edge: cut(p) for edge, p in pools.items()}  # small, and read again and again
     numbers = cut(household_relations(households, pools["HH-Main"], household, household_atts, size, seed, by))
     source_cols = {"HH": [f"HH_{a}" for a in household_atts]}
     people: dict[str, DataFrame] = {}
@@ -126,6 +132,7 @@ def sample_persons_bn(households: DataFrame, pools: Mapping[str, DataFrame], hou
     source person of the household, drawn by a keyed hash where there are
     several; numbers of relations fit the household's size beforehand.
     """
+    pools = {edge: cut(p) for edge, p in pools.items()}  # small, and read again and again
     numbers = cut(household_relations(households, pools["HH-Main"], household, household_atts, size, seed))
     made, people = {"HH": numbers}, {}
     for source, target in EDGES:
@@ -134,6 +141,7 @@ def sample_persons_bn(households: DataFrame, pools: Mapping[str, DataFrame], hou
             continue
         cols = [f"HH_{a}" for a in household_atts] if source == "HH" else [f"{source}_{a}" for a in person_atts]
         goals = [f"{target}_{a}" for a in person_atts]
+        pairs = cut(pairs.groupBy(*cols, *goals).agg(F.sum("count").alias("count")))
         net = learn_structure(pairs, [*cols, *goals], max_parents=2, weight="count")
         net = {a: net[a] if a in goals else () for a in net}  # what is given needs no parents
         cpds = {a: conditional(pairs, a, net[a], state_names(pairs, [a])[a], "count", pseudo) for a in goals}

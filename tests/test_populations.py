@@ -68,6 +68,15 @@ def test_parents_are_drawn_again(spark):
     assert sorted(map(tuple, none.collect())) == sorted(parents) and {(r.tried, r.served) for r in log.collect()} == {(10, False)}
 
 
+def test_pairs_are_added_up_before_households_meet_them(spark):
+    """Pool rows that differ only in numbers of relations are one candidate, and are one before the join."""
+    pairs = spark.createDataFrame([("a", t, n, 1 + n) for t in "xy" for n in range(50)], "s string, t string, n_Child long, count long")
+    c, none = csp.candidates(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "hhid long, s string"), pairs, ["hhid"], ["s"], ["t"])
+    assert {(r.hhid, r.t): r["count"] for r in c.collect()} == {(h, t): 1275 for h in (1, 2) for t in "xy"} and [r.hhid for r in none.collect()] == [3]
+    plan = c._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Aggregate") > plan.index("Join")
+
+
 def test_race_keeps_weights(spark):
     """Of two candidates that serve, the draws keep the shares of their counts."""
     found = [(h, k, n) for h in range(3000) for k, n in (("bad", 50), ("x", 3), ("y", 1))]
