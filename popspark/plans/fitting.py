@@ -134,7 +134,7 @@ def csp_backtracked(spark, d):
     child = p.where("relationship = 'Child'").select("hhid", F.col("age").alias("__child"))
     pairs = main.join(child, "hhid").where(F.col("__age") - F.col("__child") >= 60).select("Main_sex", "Main_decade").distinct()
     options = C.condense(main, ["dwelltype", "Main_sex", "Main_decade"])
-    found = main.select("hhid", "dwelltype").join(options, "dwelltype").select("hhid", "Main_sex", "Main_decade", "count")
+    found = main.select("hhid", "dwelltype").join(F.broadcast(options), "dwelltype").select("hhid", "Main_sex", "Main_decade", "count")
     parents = main.select("hhid", "Main_sex", "Main_decade")
     after, log = csp.redraw_parents(parents, found, parents, pairs, ["Main_sex", "Main_decade"])
     pairs = pairs.withColumn("ok", F.lit(True))
