@@ -39,7 +39,7 @@ def _wide(rows: DataFrame, key: str, states: Sequence[tuple[str, str, str]], val
 
 
 def one_pass(w: DataFrame, states: Sequence[tuple[str, str, str]], zone: str) -> DataFrame:
-    """One update by every constraint in turn.
+    """One update by every constraint in turn; a row stands for ``same`` households.
 
     A household has one state of an attribute of its own, so that attribute's
     constraints do not meet and are one step; numbers of persons are a step for
@@ -49,7 +49,7 @@ def one_pass(w: DataFrame, states: Sequence[tuple[str, str, str]], zone: str) ->
     at = lambda c, i: F.get(F.col(c), F.lit(i))
 
     def scaled(w: DataFrame, some: list[int]) -> DataFrame:
-        sums = {i: F.sum(F.col("weight") * at("freq", i)).over(of_zone) for i in some}
+        sums = {i: F.sum(F.col("weight") * F.col("same") * at("freq", i)).over(of_zone) for i in some}
         w = w.withColumns({f"__s{i}": s for i, s in sums.items()})
         factor = F.coalesce(*[F.when((at("freq", i) > 0) & (F.col(f"__s{i}") > 0), at("goal", i) / F.col(f"__s{i}")) for i in some], F.lit(1.0))
         return w.withColumn("weight", F.col("weight") * factor).drop(*[f"__s{i}" for i in some])
@@ -69,7 +69,7 @@ def one_pass(w: DataFrame, states: Sequence[tuple[str, str, str]], zone: str) ->
 def fits(w: DataFrame, n: int, zone: str) -> DataFrame:
     """(zone, fit): the mean relative error of the constraints; sums are added up before they are shuffled."""
     at = lambda c, i: F.get(F.col(c), F.lit(i))
-    sums = w.groupBy(zone).agg(*[F.sum(F.col("weight") * at("freq", i)).alias(f"__s{i}") for i in range(n)], F.first("goal").alias("goal"))
+    sums = w.groupBy(zone).agg(*[F.sum(F.col("weight") * F.col("same") * at("freq", i)).alias(f"__s{i}") for i in range(n)], F.first("goal").alias("goal"))
     error: Column = sum((F.abs(F.col(f"__s{i}") - at("goal", i)) / F.greatest(at("goal", i), F.lit(1.0)) for i in range(n)), F.lit(0.0))
     return sums.select(zone, (error / n).alias("fit"))
 
@@ -84,22 +84,25 @@ def run(incidence_rows: DataFrame, targets: DataFrame, household: str = "hhid",
     relative error moves by more than ``tolerance`` from one check to the next
     or ``iterations`` are made; a zone keeps the weights of its best check.
 
-    Rows are zones by sample households, as the result is. They are shuffled by
+    Households that are alike in all constraints begin and stay alike, so that
+    the passes go over zones by kinds of households, each with the number of its
+    households; these take their kind's weights at the end. Rows are shuffled by
     zone once; nothing but the constraints' names is collected.
     """
     states = constraints(incidence_rows)
-    freq = _wide(incidence_rows, household, states, "freq", "freq")
+    freq = cut(_wide(incidence_rows, household, states, "freq", "freq"))
+    kinds = cut(freq.groupBy("freq").agg(F.count(F.lit(1)).alias("same")).withColumn("__kind", F.monotonically_increasing_id()))
     goal = _wide(targets, zone, states, "value", "__goal")
     zones = targets.select(zone).distinct().join(goal, zone, "left")
     goal = zones.select(zone, F.transform(F.sequence(F.lit(0), F.lit(len(states) - 1)), lambda i: F.greatest(F.coalesce(F.get("__goal", i), F.lit(0.0)), F.lit(LEAST))).alias("goal"))
     per_att = targets.where("level = 'household'").groupBy(zone, "att").agg(F.sum(F.col("value").cast("double")).alias("v")).groupBy(zone).agg(F.avg("v").alias("__homes"))
     every = freq.agg(F.count(F.lit(1)).alias("__n"))
-    # each zone gets every household: a join on a constant, as the result has them all
-    both = goal.join(per_att, zone, "left").withColumn("__one", F.lit(1)).join(freq.withColumn("__one", F.lit(1)), "__one").drop("__one").join(F.broadcast(every))
+    # each zone gets every kind: a join on a constant, as the result has all households
+    both = goal.join(per_att, zone, "left").withColumn("__one", F.lit(1)).join(kinds.withColumn("__one", F.lit(1)), "__one").drop("__one").join(F.broadcast(every))
     start = F.greatest(F.coalesce("__homes", F.col("__n").cast("double")), F.lit(1.0)) / F.col("__n")
     n = max(1, int(incidence_rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    w = both.select(zone, household, "freq", "goal", start.alias("weight")).repartition(n, zone)
-    best = w.select(zone, household, "weight", F.lit(float("inf")).alias("fit"), F.lit(0).alias("iterations"))
+    w = both.select(zone, "__kind", "same", "freq", "goal", start.alias("weight")).repartition(n, zone)
+    best = w.select(zone, "__kind", "weight", F.lit(float("inf")).alias("fit"), F.lit(0).alias("iterations"))
     done, before = 0, None
     while done < iterations:
         k = min(check_every, iterations - done)
@@ -107,19 +110,22 @@ def run(incidence_rows: DataFrame, targets: DataFrame, household: str = "hhid",
             w = one_pass(w, states, zone)
         w, done = cut(w), done + k
         now = cut(fits(w, len(states), zone))
-        step = w.join(now, zone).select(zone, household, "weight", "fit", F.lit(done).alias("iterations"))
+        step = w.join(now, zone).select(zone, "__kind", "weight", "fit", F.lit(done).alias("iterations"))
         if before is None:
             best = step
         else:
-            old = best.select(zone, household, *[F.col(c).alias(f"__{c}") for c in ("weight", "fit", "iterations")])
+            old = best.select(zone, "__kind", *[F.col(c).alias(f"__{c}") for c in ("weight", "fit", "iterations")])
             keep = F.col("__fit") <= F.col("fit")
-            best = step.join(old, [zone, household]).select(zone, household, *[F.when(keep, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in ("weight", "fit", "iterations")])
+            best = step.join(old, [zone, "__kind"]).select(zone, "__kind", *[F.when(keep, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in ("weight", "fit", "iterations")])
             best = cut(best)
             moved = now.join(before.withColumnRenamed("fit", "__f"), zone).agg(F.max(F.abs(F.col("fit") - F.col("__f")))).first()[0]
             if (moved or 0.0) < tolerance:
                 break
         before = now
-    return best
+    # a row for each kind, with its zones: no zone's rows meet in one task
+    of_kind = best.groupBy("__kind").agg(F.collect_list(F.struct(zone, "weight", "fit", "iterations")).alias("__zones"))
+    members = freq.join(kinds.select("freq", "__kind"), "freq").select(household, "__kind")
+    return members.join(of_kind, "__kind").select(household, F.explode("__zones").alias("x")).select(f"x.{zone}", household, "x.weight", "x.fit", "x.iterations")
 
 
 def synthesise(weights: DataFrame, household: str = "hhid", zone: str = "zone_id") -> DataFrame:
