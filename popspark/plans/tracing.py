@@ -22,7 +22,7 @@ TRACED = [
 @query(WITH(HH, MARG, *TRACED) + "SELECT r AS run, s AS step, att, state, round(sqrt(sum(d * d) / (SELECT count(DISTINCT zone_id) FROM marg)), 6) AS rmse FROM err GROUP BY ALL")
 def saa_step_trace(spark, d):
     """75 steps read from their folders: each step's population with what earlier runs kept."""
-    h = households(spark, d).select("hhid", "zone_id", *HH_ATTS)
+    h = households(spark, d).select("hhid", "zone_id", *HH_ATTS).repartition(spark.sparkContext.defaultParallelism, "hhid")  # each row becomes 50
     runs, steps = (F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (RUNS, STEPS))
     grid = h.withColumn("run", runs).withColumn("step", steps)
     where = files.artefact_folder(spark, "saa_step_trace")

@@ -115,8 +115,18 @@ def artefact_folder(spark: SparkSession, name: str) -> str:
 
 
 def write_steps(df: DataFrame, path: str, run: str = "run", step: str = "step") -> None:
-    """Adjusted populations of many runs and steps, a folder each."""
-    df.write.mode("overwrite").partitionBy(run, step).parquet(path)
+    """Adjusted populations of many runs and steps, a folder each.
+
+    A task has a writer open for each of its folders, up to a thousand, so that
+    its rows are not sorted by folder, and none is held.
+    """
+    writers, spark = "spark.sql.maxConcurrentOutputFileWriters", df.sparkSession
+    before = spark.conf.get(writers)
+    spark.conf.set(writers, "1000")
+    try:
+        df.write.mode("overwrite").partitionBy(run, step).parquet(path)
+    finally:
+        spark.conf.set(writers, before)
 
 
 def write_kept(df: DataFrame, path: str, run: str = "run") -> None:
